@@ -10,6 +10,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType, _parse_datatype_string
 
 #: The white space of every contract here: [\x20\x09-\x0D].
 WS_CLASS = r"[\x20\x09-\x0D]"
@@ -58,6 +59,11 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def with_fields(schema: StructType, **kinds: str) -> StructType:
+    """A schema with further columns."""
+    return StructType([*schema.fields, *(StructField(k, _parse_datatype_string(t)) for k, t in kinds.items())])
+
+
 def join_checked(big: DataFrame, small: DataFrame, on, how: str, max_rows: int = 200_000) -> DataFrame:
     """Join with a stored side: broadcast it only if its counted rows stay under max_rows, else leave the
     choice to the planner (sort-merge, which AQE splits where a key is hot)."""

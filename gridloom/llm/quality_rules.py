@@ -17,7 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from ._common import BASE, mix, per_text, prefix_hash, span_hash, text_slices, word_spans
+from ._common import BASE, mix, per_text, prefix_hash, span_hash, text_slices, with_fields, word_spans
 
 _U = np.uint64
 
@@ -133,11 +133,4 @@ def quality_rules(df: DataFrame, text_col: str = "text", result: str = "quality_
                 yield pa.RecordBatch.from_arrays([*part.columns, struct], names=[*part.schema.names, result])
 
     inner = ",".join(f"{k}:{'bigint' if t == 'long' else t}" for k, t in fields)
-    schema = df.schema.add(result, _struct(inner))
-    return df.mapInArrow(run, schema)
-
-
-def _struct(inner: str):
-    from pyspark.sql.types import _parse_datatype_string
-
-    return _parse_datatype_string(f"struct<{inner}>")
+    return df.mapInArrow(run, with_fields(df.schema, **{result: f"struct<{inner}>"}))
