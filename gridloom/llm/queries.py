@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import quality_rules as quality
-from . import exact_dedup, mixing, sentencepiece_codec, token_counts
+from . import exact_dedup, minhash_dedup, mixing, sentencepiece_codec, token_counts
 from ._common import read_table, stored
 
 
@@ -34,16 +34,39 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", *(F.col(f"mix.{k}") for k in ("size", "source_size", "target", "taken")))
 
 
+def op7_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    return minhash_dedup.near_duplicates(docs, shingle=4, percent=80).withColumnRenamed("id", "doc_id")
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
     return quality.quality_rules(docs).select("doc_id", "quality_rules.*")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_token_counts, op4_exact_dedup, op5_sentencepiece, op6_mixing, op9_quality_rules)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_token_counts, op4_exact_dedup, op5_sentencepiece, op6_mixing, op7_minhash_dedup, op9_quality_rules)}
 ORACLE_SQL: dict[str, str] = {
     "op4_exact_dedup": r"""
 WITH t AS (SELECT doc_id, coalesce(text, '') AS txt, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g') AS norm FROM documents),
 g AS (SELECT *, first_value(doc_id) OVER (PARTITION BY norm ORDER BY length(txt) DESC, doc_id) AS keep_id, count(*) OVER (PARTITION BY norm) AS group_size FROM t)
 SELECT doc_id, keep_id, CAST(group_size AS BIGINT) AS group_size, doc_id = keep_id AS kept, sha256(norm) AS text_sha256 FROM g
+""",
+    "op7_minhash_dedup": r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), x -> x <> '') AS ws FROM documents),
+s AS (SELECT doc_id, list_distinct(CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 4 THEN [array_to_string(ws, ' ')]
+  ELSE list_transform(range(1, len(ws) - 2), i -> array_to_string(ws[i:i + 3], ' ')) END) AS sh FROM w),
+c AS (SELECT doc_id, len(sh) AS n, list_sort(sh) AS sh FROM s),
+r AS (SELECT min(doc_id) AS rep, sh, any_value(n) AS n FROM c WHERE n > 0 GROUP BY sh),
+e AS (SELECT rep, n, unnest(sh) AS x FROM r),
+k AS (SELECT x FROM e GROUP BY x HAVING count(*) > 1),
+f AS (SELECT e.* FROM e JOIN k USING (x)),
+p AS (SELECT a.rep AS a, b.rep AS b, any_value(a.n) AS na, any_value(b.n) AS nb, count(*) AS i FROM f a JOIN f b ON a.x = b.x AND a.rep < b.rep GROUP BY 1, 2),
+l AS (SELECT a, b FROM p WHERE 100 * i >= 80 * (na + nb - i)),
+u AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+t AS (SELECT rep AS a, rep AS b FROM r UNION SELECT t.a, u.b FROM t JOIN u ON t.b = u.a),
+m AS (SELECT a, min(b) AS comp FROM t GROUP BY a)
+SELECT c.doc_id, CAST(c.n AS BIGINT) AS n_shingles, coalesce(m.comp, c.doc_id) AS component_id, coalesce(m.comp, c.doc_id) = c.doc_id AS kept
+FROM c LEFT JOIN r ON c.n > 0 AND c.sh = r.sh LEFT JOIN m ON m.a = r.rep
 """,
 }
