@@ -8,6 +8,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType, _parse_datatype_string
@@ -64,6 +65,15 @@ def with_fields(schema: StructType, **kinds: str) -> StructType:
     return StructType([*schema.fields, *(StructField(k, _parse_datatype_string(t)) for k, t in kinds.items())])
 
 
+def located(df: DataFrame) -> DataFrame:
+    """The rows with file and row of their content; rows that come from no file are written first."""
+    place = [F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row")]
+    try:
+        return df.select(*df.columns, *place)
+    except AnalysisException:
+        return stored(df, "content").select(*df.columns, *place)
+
+
 def join_checked(big: DataFrame, small: DataFrame, on, how: str, max_rows: int = 200_000) -> DataFrame:
     """Join with a stored side: broadcast it only if its counted rows stay under max_rows, else leave the
     choice to the planner (sort-merge, which AQE splits where a key is hot)."""

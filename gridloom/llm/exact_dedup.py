@@ -16,11 +16,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import WS_CLASS, join_checked, scratch_path, stored
+from ._common import WS_CLASS, join_checked, located, scratch_path, stored
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 _PROVIDER = "spark.sql.streaming.stateStore.providerClass"
@@ -76,21 +75,12 @@ class DedupState:
         return self.spark.read.parquet(f"{self.folder}/changes").groupBy("digest").agg(last).select("digest", "s.*").where("n > 1")
 
 
-def _located(df: DataFrame) -> DataFrame:
-    """The rows with file and row of their content; rows that come from no file are written first."""
-    place = [F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row")]
-    try:
-        return df.select(*df.columns, *place)
-    except AnalysisException:
-        return stored(df, "content").select(*df.columns, *place)
-
-
 def exact_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", state: DedupState | None = None, digest: Callable[[Column], Column] = sha256, place: tuple[str, str] | None = None) -> DataFrame:
     """One row per input row: id, keep_id, group_size, kept, text_sha256, file, row (the locator; place names the
     columns that hold it, if the input has them already)."""
     state = state or DedupState(df.sparkSession)
     if place is None:
-        docs = _located(df.select(F.struct(F.col(id_col).alias("id"), F.col(text_col).alias("text")).alias("doc")))
+        docs = located(df.select(F.struct(F.col(id_col).alias("id"), F.col(text_col).alias("text")).alias("doc")))
         docs = docs.select("doc.*", "file", "row")
     else:
         docs = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(place[0]).alias("file"), F.col(place[1]).alias("row"))
@@ -135,6 +125,6 @@ def _by_text(state: DedupState, docs: DataFrame, hits: DataFrame, clashes: DataF
 def drop_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The input's rows that stay, all columns as they are."""
     names = [F.col(f"`{c}`") for c in df.columns]
-    docs = _located(df.select(F.struct(*names).alias("doc"), F.col(id_col).alias("id"), F.col(text_col).alias("text")))
+    docs = located(df.select(F.struct(*names).alias("doc"), F.col(id_col).alias("id"), F.col(text_col).alias("text")))
     gone = stored(exact_dedup(docs, "id", "text", place=("file", "row")).where("not kept").select("file", "row"), "gone")
     return join_checked(docs, gone, ["file", "row"], "left_anti").select("doc.*")

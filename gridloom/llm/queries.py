@@ -8,10 +8,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import quality_rules as quality
-from . import exact_dedup, html_extract, minhash_dedup, mixing, sentencepiece_codec, token_counts
+from . import exact_dedup, html_extract, language_id, line_dedup, minhash_dedup, mixing, sentencepiece_codec, token_counts
 from ._common import read_table, stored
 
 
+def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    return line_dedup.line_dedup(docs).select("doc_id", F.col("text").alias("kept_text"), "line_dedup.*")
+
+
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
     return token_counts.token_counts(docs).select("doc_id", "n_bytes", "n_tokens", "over_limit")
@@ -44,13 +49,31 @@ def op7_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash_dedup.near_duplicates(docs, shingle=4, percent=80).withColumnRenamed("id", "doc_id")
 
 
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    apart = language_id.held_out(F.col("doc_id"))
+    net = language_id.fit(docs.where(~apart).select("doc_id", "text", "lang"))
+    return language_id.predict(docs.select("doc_id", "text", apart.alias("held_out")), net).select("doc_id", "held_out", "lang_pred", "score")
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
     return quality.quality_rules(docs).select("doc_id", "quality_rules.*")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_token_counts, op3_html_extract, op4_exact_dedup, op5_sentencepiece, op6_mixing, op7_minhash_dedup, op9_quality_rules)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_line_dedup, op2_token_counts, op3_html_extract, op4_exact_dedup, op5_sentencepiece, op6_mixing, op7_minhash_dedup, op8_language_id, op9_quality_rules)}
 ORACLE_SQL: dict[str, str] = {
+    "op1_line_dedup": r"""
+WITH l AS (SELECT doc_id, text, string_split(text, chr(10)) AS ls FROM documents),
+h AS (SELECT *, list_transform(ls, lambda x: CAST('0x' || substr(md5(x), 1, 7) AS BIGINT)) AS hs FROM l),
+e AS (SELECT *, list_filter(range(1, len(ls) + 1), lambda i: i = len(ls) OR ((CASE WHEN i > 1 THEN hs[i - 1] ELSE 0 END) * 1000003 + hs[i]) % 2147483647 % 4 = 0) AS ends FROM h),
+c AS (SELECT doc_id, ls, unnest(list_transform(range(1, len(ends) + 1), lambda k: {'k': k, 'lo': CASE WHEN k > 1 THEN ends[k - 1] ELSE 0 END, 'hi': ends[k]})) AS c FROM e),
+t AS (SELECT doc_id, c.k AS k, c.hi - c.lo AS n, array_to_string(ls[c.lo + 1:c.hi], chr(10)) AS txt FROM c),
+m AS (SELECT *, n > 1 AND regexp_matches(txt, '[^\x20\x09-\x0D]') AND row_number() OVER (PARTITION BY txt ORDER BY doc_id, k) > 1 AS gone FROM t),
+g AS (SELECT doc_id, string_agg(txt, chr(10) ORDER BY k) FILTER (NOT gone) AS kept_text, sum(n) AS n_lines, count(*) AS n_chunks, count(*) FILTER (gone) AS n_removed_chunks, coalesce(sum(n) FILTER (gone), 0) AS n_removed_lines FROM m GROUP BY doc_id)
+SELECT d.doc_id, CASE WHEN d.text IS NULL THEN NULL ELSE coalesce(g.kept_text, '') END AS kept_text, CAST(coalesce(n_lines, 0) AS BIGINT) AS n_lines, CAST(coalesce(n_chunks, 0) AS BIGINT) AS n_chunks, CAST(coalesce(n_removed_chunks, 0) AS BIGINT) AS n_removed_chunks, CAST(coalesce(n_removed_lines, 0) AS BIGINT) AS n_removed_lines
+FROM documents d LEFT JOIN g USING (doc_id)
+""",
     "op4_exact_dedup": r"""
 WITH t AS (SELECT doc_id, coalesce(text, '') AS txt, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g') AS norm FROM documents),
 g AS (SELECT *, first_value(doc_id) OVER (PARTITION BY norm ORDER BY length(txt) DESC, doc_id) AS keep_id, count(*) OVER (PARTITION BY norm) AS group_size FROM t)
