@@ -111,7 +111,7 @@ class Page:
         def pop_to(depth: int) -> None:
             nonlocal node, drop, link
             for tag, *_ in stack[depth:]:
-                if tag in _BLOCK:
+                if tag in _BLOCK or tag == "header-of-article":
                     close_block()
                     break
             del stack[depth:]
@@ -141,7 +141,7 @@ class Page:
                         close_block()
                     continue
                 for depth in range(len(stack) - 1, 0, -1):
-                    if stack[depth][0] == tag:
+                    if stack[depth][0] == tag or tag == "header" and stack[depth][0] == "header-of-article":
                         pop_to(depth)
                         break
                     if stack[depth][0] in ("td", "th", "table") and tag not in ("tr", "tbody", "thead", "tfoot", "table", "body", "html", "article", "main", "section", "div"):
@@ -190,12 +190,13 @@ class Page:
                 dropped = _around(tag, attrs)
             if tag == "header" and not dropped:
                 dropped = True
-                if any(x[0] in ("article", "main") for x in stack):
-                    dropped = False  # its headings are the article's; see below
+                within = self.path[node].split(">")
+                if any(x.split(".")[0] in ("article", "main") or _ARTICLE & {w for c in x.split(".")[1:] for w in _CAMEL.split(c)} for x in within):
+                    dropped = False  # its headings are the article's
                     tag = "header-of-article"
             if not drop and stack[-1][0] == "header-of-article" and tag not in _HEADING and tag not in ("div", "hgroup"):
                 dropped = True
-            stack.append((tag if tag != "header-of-article" else tag, inside, dropped, link or tag == "a"))
+            stack.append((tag, inside, dropped, link or tag == "a"))
             _, node, drop, link = stack[-1]
         close_block()
 

@@ -206,3 +206,18 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     named = classes.select("k1", "k2", "n", "node").join(comp.withColumnRenamed("id", "node"), "node", "left").select("k1", "k2", "n", F.coalesce("comp.id", "node.id").alias("component_id"))
     moved = stored(digests.select("id", "k1", "k2", "n").join(named, ["k1", "k2", "n"], "left").select("id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id")), "components")
     return moved.withColumn("kept", F.col("id") == F.col("component_id"))
+
+
+def drop_near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 80) -> DataFrame:
+    """The input's rows that stay, all columns as they are: one of each group, its smallest id. Of rows that share the
+    id that stays and belong to its group the first text stays."""
+    found = near_duplicates(df, id_col, text_col, shingle, percent)
+    gone = stored(found.where("not kept").select("id").distinct(), "gone")
+    keyed = df.withColumn("_near_id", F.col(id_col))
+    staying = join_checked(keyed, gone.withColumnRenamed("id", "_near_id"), "_near_id", "left_anti")
+    twice = stored(found.where("kept and n_shingles > 0").groupBy("id").count().where("count > 1").select(F.col("id").alias("_near_id")), "twice")
+    if not twice.isEmpty():
+        again = staying.join(twice, "_near_id", "left_semi")
+        first = again.withColumn("_near_rank", F.row_number().over(Window.partitionBy("_near_id").orderBy(text_col))).where("_near_rank = 1").drop("_near_rank")
+        staying = staying.join(twice, "_near_id", "left_anti").unionByName(first)
+    return staying.select(*df.columns)

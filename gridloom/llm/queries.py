@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import quality_rules as quality
-from . import exact_dedup, html_extract, language_id, line_dedup, minhash_dedup, mixing, sentencepiece_codec, token_counts
+from . import exact_dedup, html_extract, language_id, line_dedup, minhash_dedup, mixing, sentencepiece_codec, suffix_dedup, token_counts
 from ._common import read_table, stored
 
 
@@ -61,7 +61,12 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_rules(docs).select("doc_id", "quality_rules.*")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_line_dedup, op2_token_counts, op3_html_extract, op4_exact_dedup, op5_sentencepiece, op6_mixing, op7_minhash_dedup, op8_language_id, op9_quality_rules)}
+def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    return suffix_dedup.repeated_spans(docs).select(F.col("id").alias("doc_id"), "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_line_dedup, op2_token_counts, op3_html_extract, op4_exact_dedup, op5_sentencepiece, op6_mixing, op7_minhash_dedup, op8_language_id, op9_quality_rules, op10_suffix_dedup)}
 ORACLE_SQL: dict[str, str] = {
     "op1_line_dedup": r"""
 WITH l AS (SELECT doc_id, text, string_split(text, chr(10)) AS ls FROM documents),
