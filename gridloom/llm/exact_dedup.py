@@ -22,7 +22,9 @@ from pyspark.sql import functions as F
 from ._common import WS_CLASS, join_checked, located, scratch_path, stored
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-_PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+_STATE = "spark.sql.streaming.stateStore"
+#: RocksDB keeps the state; without preallocation, which would take some MB of disk for each partition.
+_SETTINGS = {f"{_STATE}.providerClass": ROCKSDB, f"{_STATE}.rocksdb.allowFAllocate": "false"}
 
 
 def normalised(text: Column) -> Column:
@@ -43,8 +45,9 @@ class DedupState:
     def feed(self, rows: DataFrame) -> None:
         """Append rows (id, digest, points, file, row) to the feed and run the stream over what is new."""
         rows.write.mode("append").parquet(f"{self.folder}/feed")
-        before = self.spark.conf.get(_PROVIDER, None)
-        self.spark.conf.set(_PROVIDER, ROCKSDB)
+        before = {k: self.spark.conf.get(k, None) for k in _SETTINGS}
+        for k, v in _SETTINGS.items():
+            self.spark.conf.set(k, v)
         try:
             state = (
                 self.spark.readStream.schema(rows.schema)
@@ -60,10 +63,11 @@ class DedupState:
             query = state.writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
             query.awaitTermination()
         finally:
-            if before is None:
-                self.spark.conf.unset(_PROVIDER)
-            else:
-                self.spark.conf.set(_PROVIDER, before)
+            for k, v in before.items():
+                if v is None:
+                    self.spark.conf.unset(k)
+                else:
+                    self.spark.conf.set(k, v)
 
     def rows(self) -> DataFrame:
         """All rows fed so far."""
