@@ -9,9 +9,9 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructField, StructType, _parse_datatype_string
+from pyspark.sql.types import ArrayType, BinaryType, DataType, StringType, StructField, StructType, _parse_datatype_string
 
 #: The white space of every contract here: [\x20\x09-\x0D].
 WS_CLASS = r"[\x20\x09-\x0D]"
@@ -74,10 +74,33 @@ def located(df: DataFrame) -> DataFrame:
         return stored(df, "content").select(*df.columns, *place)
 
 
-def join_checked(big: DataFrame, small: DataFrame, on, how: str, max_rows: int = 200_000) -> DataFrame:
-    """Join with a stored side: broadcast it only if its counted rows stay under max_rows, else leave the
-    choice to the planner (sort-merge, which AQE splits where a key is hot)."""
-    return big.join(F.broadcast(small) if small.count() <= max_rows else small, on, how)
+#: Bytes of a side that may be broadcast.
+BROADCAST_BYTES = 32 << 20
+
+
+def _width(column: Column, kind: DataType) -> Column:
+    """About how many bytes a value takes."""
+    if isinstance(kind, StringType | BinaryType):
+        return F.coalesce(F.octet_length(column), F.lit(0)) + 16
+    if isinstance(kind, ArrayType):
+        if isinstance(kind.elementType, StringType):
+            return F.coalesce(F.octet_length(F.array_join(column, "")), F.lit(0)) + 16 * F.greatest(F.size(column), F.lit(1))
+        return 16 + 8 * F.greatest(F.size(column), F.lit(0))
+    if isinstance(kind, StructType):
+        return sum((_width(column.getField(f.name), f.dataType) for f in kind.fields), F.lit(8))
+    return F.lit(8)
+
+
+def measured_bytes(df: DataFrame) -> int:
+    """About how many bytes all rows take."""
+    width = sum((_width(F.col(f.name), f.dataType) for f in df.schema.fields), F.lit(16)).cast("long")
+    return df.agg(F.coalesce(F.sum(width), F.lit(0))).first()[0]
+
+
+def join_checked(big: DataFrame, small: DataFrame, on, how: str, max_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """Join with a stored side: broadcast it only if its measured bytes stay under max_bytes, else leave the choice to
+    the planner (sort-merge, which AQE splits where a key is hot)."""
+    return big.join(F.broadcast(small) if measured_bytes(small) <= max_bytes else small, on, how)
 
 
 def text_slices(column: pa.Array | pa.ChunkedArray, max_bytes: int = SLICE_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
