@@ -30,19 +30,21 @@ m AS (SELECT n_nationkey AS k FROM nation),
 cell AS (SELECT k, CAST(range AS INTEGER) AS i, CAST(range % 64 AS INTEGER) AS x, CAST(range // 64 AS INTEGER) AS y FROM m, range(3072)),
 nz AS (SELECT k, CAST((p_partkey + 17 * k) % 3072 AS INTEGER) AS i, min(p_size) AS s FROM m, part GROUP BY 1, 2),
 raw AS (SELECT cell.k AS map_id, y, x, CASE WHEN (x % 16 = 0 OR y % 12 = 0) AND NOT (x % 16 = 0 AND (y + cell.k) % 12 = 5 AND x % 32 = 0 AND x > 0) THEN 0 WHEN s <= 2 THEN 0 WHEN s >= 49 THEN 247 ELSE 254 END AS v FROM cell LEFT JOIN nz ON nz.k = cell.k AND nz.i = cell.i),
-px AS (SELECT map_id, y, x, CASE v WHEN 254 THEN 255 WHEN 247 THEN 127 ELSE 0 END AS v FROM raw)
+px AS MATERIALIZED (SELECT map_id, y, x, CASE v WHEN 254 THEN 255 WHEN 247 THEN 127 ELSE 0 END AS v FROM raw)
 """
 OFFSETS = "o8 AS (SELECT a.dy, b.dx FROM (VALUES (-1), (0), (1)) a(dy), (VALUES (-1), (0), (1)) b(dx) WHERE a.dy <> 0 OR b.dx <> 0)"
 
 
 def _components(name: str, source: str) -> str:
     """CTEs: 8-connected components of source(map_id, y, x) as name(map_id, y, x, lid)."""
+    # nodes are the runs of a row
     return f"""
-{name}_n AS (SELECT map_id, y, x, y * 64 + x AS id FROM {source}),
-{name}_e AS (SELECT a.map_id, a.id AS a, b.id AS b FROM {name}_n a, o8 o, {name}_n b WHERE b.map_id = a.map_id AND b.y = a.y + o.dy AND b.x = a.x + o.dx),
+{name}_g AS (SELECT map_id, y, x, x - row_number() OVER (PARTITION BY map_id, y ORDER BY x) AS g FROM {source}),
+{name}_n AS MATERIALIZED (SELECT map_id, y, min(x) AS x0, max(x) AS x1, y * 64 + min(x) AS id FROM {name}_g GROUP BY map_id, y, g),
+{name}_e AS MATERIALIZED (SELECT a.map_id, a.id AS a, b.id AS b FROM {name}_n a JOIN {name}_n b ON b.map_id = a.map_id AND abs(a.y - b.y) = 1 AND a.x0 <= b.x1 + 1 AND b.x0 <= a.x1 + 1),
 {name}_r AS (SELECT map_id, id AS a, id AS b FROM {name}_n UNION SELECT r.map_id, r.a, e.b FROM {name}_r r JOIN {name}_e e ON e.map_id = r.map_id AND e.a = r.b),
-{name}_m AS (SELECT map_id, b AS id, min(a) AS root FROM {name}_r GROUP BY 1, 2),
-{name} AS (SELECT n.map_id, n.y, n.x, CAST(dense_rank() OVER (PARTITION BY n.map_id ORDER BY m.root) AS INTEGER) AS lid FROM {name}_n n JOIN {name}_m m ON m.map_id = n.map_id AND m.id = n.id)"""
+{name}_m AS MATERIALIZED (SELECT map_id, b AS id, min(a) AS root FROM {name}_r GROUP BY 1, 2),
+{name} AS MATERIALIZED (SELECT s.map_id, s.y, s.x, CAST(dense_rank() OVER (PARTITION BY s.map_id ORDER BY m.root) AS INTEGER) AS lid FROM {source} s JOIN {name}_n n ON n.map_id = s.map_id AND n.y = s.y AND s.x BETWEEN n.x0 AND n.x1 JOIN {name}_m m ON m.map_id = n.map_id AND m.id = n.id)"""
 
 
 FREE = "fr AS (SELECT map_id, y, x FROM px WHERE v = 255)"
@@ -276,8 +278,8 @@ def classify_regions(spark, sf_dir):
     return RG.classified(tiles.where("lid % 5 = 1"), tiles.where("lid % 5 <> 1"), seed.RESOLUTION, 0.08, 0.5)
 
 
-_EDGES = """sd(dy, dx, ax, ay, bx, by) AS (VALUES (-1, 0, 0, 0, 1, 0), (0, 1, 1, 0, 1, 1), (1, 0, 1, 1, 0, 1), (0, -1, 0, 1, 0, 0)),
-ed AS (SELECT t.map_id, t.lid, t.x + ax AS x0, t.y + ay AS y0, t.x + bx AS x1, t.y + by AS y1 FROM t, sd WHERE NOT EXISTS (SELECT 1 FROM t n WHERE n.map_id = t.map_id AND n.lid = t.lid AND n.y = t.y + sd.dy AND n.x = t.x + sd.dx))"""
+_EDGES = """sd(dy, dx, ax, ay, ex, ey) AS (VALUES (-1, 0, 0, 0, 1, 0), (0, 1, 1, 0, 1, 1), (1, 0, 1, 1, 0, 1), (0, -1, 0, 1, 0, 0)),
+ed AS (SELECT t.map_id, t.lid, t.x + ax AS x0, t.y + ay AS y0, t.x + ex AS x1, t.y + ey AS y1 FROM t, sd WHERE NOT EXISTS (SELECT 1 FROM t n WHERE n.map_id = t.map_id AND n.lid = t.lid AND n.y = t.y + sd.dy AND n.x = t.x + sd.dx))"""
 
 
 @query(f"WITH {TILES}, {_EDGES} SELECT map_id, lid, x0, y0, x1, y1 FROM ed")
