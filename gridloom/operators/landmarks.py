@@ -21,14 +21,14 @@ def centers(rooms: DataFrame, least: float = 0.1, grid: int = GRID) -> DataFrame
     """rooms(map_id, pos, geometry, markers) -> map_id, pos, x, y: the box centre if valid; else the valid point of a
     grid over the box that is farthest from the boundary (the first by x, then y); else the box centre."""
     ring = G.ring(G.points_of(F.col("geometry")))
-    base = rooms.select("map_id", "pos", ring.alias("p"), F.coalesce("markers", F.array().cast("array<array<double>>")).alias("markers"))
+    base = G.settled(rooms.select("map_id", "pos", ring.alias("p"), F.coalesce("markers", F.array().cast("array<array<double>>")).alias("markers")))
     xs, ys = F.transform("p", lambda q: q["x"]), F.transform("p", lambda q: q["y"])
-    base = base.withColumns({"x0": F.array_min(xs), "x1": F.array_max(xs), "y0": F.array_min(ys), "y1": F.array_max(ys)})
-    base = base.withColumns({"cx": (F.col("x0") + F.col("x1")) / 2, "cy": (F.col("y0") + F.col("y1")) / 2})
-    base = base.withColumn("ok", valid(F.col("cx"), F.col("cy"), F.col("p"), F.col("markers"), least))
+    base = G.settled(base.withColumns({"x0": F.array_min(xs), "x1": F.array_max(xs), "y0": F.array_min(ys), "y1": F.array_max(ys)}))
+    base = G.settled(base.withColumns({"cx": (F.col("x0") + F.col("x1")) / 2, "cy": (F.col("y0") + F.col("y1")) / 2}))
+    base = G.settled(base.withColumn("ok", valid(F.col("cx"), F.col("cy"), F.col("p"), F.col("markers"), least)))
     steps = F.array(*map(F.lit, range(grid)))
     spread = base.where("NOT ok").withColumn("ix", F.explode(steps)).withColumn("iy", F.explode(steps))
-    spread = spread.withColumns({"x": F.col("x0") + (F.col("x1") - F.col("x0")) * F.col("ix") / (grid - 1), "y": F.col("y0") + (F.col("y1") - F.col("y0")) * F.col("iy") / (grid - 1)})
+    spread = G.settled(spread.withColumns({"x": F.col("x0") + (F.col("x1") - F.col("x0")) * F.col("ix") / (grid - 1), "y": F.col("y0") + (F.col("y1") - F.col("y0")) * F.col("iy") / (grid - 1)}))
     spread = spread.where(valid(F.col("x"), F.col("y"), F.col("p"), F.col("markers"), least)).withColumn("d", G.distance_to_polygon(F.col("x"), F.col("y"), F.col("p")))
     best = spread.groupBy("map_id", "pos").agg(F.max_by(F.struct("x", "y"), F.struct("d", -F.col("ix"), -F.col("iy"))).alias("b"))
     out = base.select("map_id", "pos", "cx", "cy").join(best, ["map_id", "pos"], "left")

@@ -96,7 +96,7 @@ def component_sizes(spark, sf_dir):
 
 
 @query(
-    f"""WITH RECURSIVE {COMP} SELECT map_id, lid, count(*) AS pixels, round(count(*) * (0.05 * 0.05), 6) AS area, round(avg(x), 6) AS cx, round(avg(y), 6) AS cy,
+    f"""WITH RECURSIVE {COMP} SELECT map_id, lid, count(*) AS pixels, CAST(round(count(*) * (0.05 * 0.05), 6) AS DOUBLE) AS area, round(avg(x), 6) AS cx, round(avg(y), 6) AS cy,
 min(x) AS x0, min(y) AS y0, max(x) AS x1, max(y) AS y1 FROM lab GROUP BY 1, 2 HAVING count(*) >= 39"""
 )
 def room_stats(spark, sf_dir):
@@ -207,20 +207,20 @@ def new_regions(spark, sf_dir):
     return labels.groupBy("map_id", "lid").agg(F.count(F.lit(1)).alias("n"), F.min(F.col("y") * 64 + F.col("x")).alias("first_pixel"))
 
 
-@query(f"WITH RECURSIVE {COMP}, s AS (SELECT map_id, lid, count(*) >= 39 AS normal FROM lab GROUP BY 1, 2) SELECT lab.map_id, lab.y, lab.x, lab.lid, s.normal FROM lab JOIN s USING (map_id, lid)")
+@query(f"WITH RECURSIVE {COMP}, s AS (SELECT map_id, lid, count(*) >= 179 AS normal FROM lab GROUP BY 1, 2) SELECT lab.map_id, lab.y, lab.x, lab.lid, s.normal FROM lab JOIN s USING (map_id, lid)")
 def area_split(spark, sf_dir):
-    return RG.by_area(_regions(spark, sf_dir), K.area_cutoff(0.1, seed.RESOLUTION)).select("map_id", "y", "x", "lid", "normal")
+    return RG.by_area(_regions(spark, sf_dir), K.area_cutoff(0.45, seed.RESOLUTION)).select("map_id", "y", "x", "lid", "normal")
 
 
 @query(
-    f"""WITH RECURSIVE {COMP}, s AS (SELECT map_id, lid, count(*) >= 39 AS normal FROM lab GROUP BY 1, 2),
+    f"""WITH RECURSIVE {COMP}, s AS (SELECT map_id, lid, count(*) >= 179 AS normal FROM lab GROUP BY 1, 2),
 f AS (SELECT lab.* FROM lab JOIN s USING (map_id, lid) WHERE NOT normal), n AS (SELECT lab.* FROM lab JOIN s USING (map_id, lid) WHERE normal),
 d AS (SELECT f.map_id, f.lid, n.lid AS target, n.y, n.x, min(greatest(abs(f.y - n.y), abs(f.x - n.x))) AS d FROM f JOIN n USING (map_id) GROUP BY 1, 2, 3, 4, 5),
 b AS (SELECT map_id, lid, min(d) AS d FROM d GROUP BY 1, 2), c AS (SELECT map_id, lid, target, count(*) AS n FROM d JOIN b USING (map_id, lid, d) GROUP BY 1, 2, 3)
 SELECT map_id, lid, target FROM (SELECT *, row_number() OVER (PARTITION BY map_id, lid ORDER BY n DESC, target) AS rn FROM c) WHERE rn = 1"""
 )
 def fragment_nearest(spark, sf_dir):
-    split = RG.by_area(_regions(spark, sf_dir), K.area_cutoff(0.1, seed.RESOLUTION))
+    split = RG.by_area(_regions(spark, sf_dir), K.area_cutoff(0.45, seed.RESOLUTION))
     return RG.fragment_targets(split.where("NOT normal").drop("normal"), split.where("normal").drop("normal"))
 
 
@@ -325,7 +325,7 @@ SELECT map_id, lid, count(*) AS n FROM g1 GROUP BY 1, 2"""
 )
 def region_grow_1(spark, sf_dir):
     """One step of growth from the tiles' centres."""
-    raster = seed.rasters(spark, sf_dir)
+    raster = R.pack(seed.pixels(spark, sf_dir).withColumn("v", F.when(F.col("v") == 255, 255).otherwise(0)))
     tiles = _tiles(spark, sf_dir).where("x % 8 = 4 AND y % 6 = 3")
 
     def kernel(row):
@@ -410,7 +410,7 @@ def start_room_dock(spark, sf_dir):
 # --- coordinates and polygons --------------------------------------------------------------------------------------
 
 
-@query(f"WITH {ROOMS} SELECT pos, round(x0 * 0.05 + (-1.5) + 0.025, 3) AS wx, round((48 - y0 - 1) * 0.05 + (-2.25) - 0.025, 3) AS wy FROM rm")
+@query(f"WITH {ROOMS} SELECT pos, CAST(round(x0 * 0.05 + (-1.5) + 0.025, 3) AS DOUBLE) AS wx, CAST(round((48 - y0 - 1) * 0.05 + (-2.25) - 0.025, 3) AS DOUBLE) AS wy FROM rm")
 def pixel_to_world(spark, sf_dir):
     p = G.pixel_to_world(F.col("x0"), F.col("y0"), F.lit(0.05), F.lit(-1.5), F.lit(-2.25), F.lit(48))
     return seed.rooms(spark, sf_dir).select("pos", p.alias("p")).select("pos", F.col("p.x").alias("wx"), F.col("p.y").alias("wy"))
@@ -462,10 +462,10 @@ def split_axis_line(spark, sf_dir):
     return halves.select("pos", F.round(G.polygon_area(F.col("h")[0]), 6).alias("larger"), F.round(G.polygon_area(F.col("h")[1]), 6).alias("smaller"))
 
 
-@query(f"WITH {ROOMS} SELECT pos AS map_id, CAST(1 AS INTEGER) AS parts, round((x1 - x0) * (y1 - y0) + (x1 - x0) * 3 - 3 * 2, 6) AS area FROM rm")
+@query(f"WITH {ROOMS} SELECT pos AS map_id, CAST(1 AS INTEGER) AS parts, CAST((x1 - x0) * (y1 - y0) + (x1 - x0 - 2) * 3 AS DOUBLE) AS area FROM rm")
 def merge_rect_union_area(spark, sf_dir):
-    """Each room with a 3 high strip above it that overlaps it by 2 x 3 at one corner's side and leaves no hole."""
-    strip = F.array(*[G.point(x, y) for x, y in ((F.col("x0") + 2.0, F.col("y1") - 3.0 + 3.0), (F.col("x1") + 0.0, F.col("y1") + 0.0), (F.col("x1") + 0.0, F.col("y1") + 3.0), (F.col("x0") + 2.0, F.col("y1") + 3.0))])
+    """Each room with a strip of height 3 on its upper edge that begins 2 further right."""
+    strip = F.array(*[G.point(F.col(x) + dx, F.col("y1") + dy) for x, dx, dy in (("x0", 2.0, 0.0), ("x1", 0.0, 0.0), ("x1", 0.0, 3.0), ("x0", 2.0, 3.0))])
     groups = _corner_rooms(spark, sf_dir).select(F.col("pos").alias("map_id"), F.array("points", strip).alias("rings"))
     return P.unions(groups).select("map_id", "parts", F.round(G.polygon_area(F.col("points")), 6).alias("area"))
 
