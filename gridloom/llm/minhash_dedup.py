@@ -4,10 +4,11 @@
    4 minima each, and the signature: the low 4 bits of every minimum, packed in bit planes (8 longs).
 2. Documents with equal sets fall into one class; only its smallest id goes on.
 3. Band buckets pair each member with one leader. Pairs whose collision-corrected similarity, from bit counts over the
-   planes, lies more than six standard deviations below the threshold go; the rest are confirmed on full sets.
-4. Links join into components. Buckets whose members still lie in several components repeat step 3: by a leader
-   of their largest component while the pairs between components outnumber what is linear in the rows, then by
-   all pairs between components. Pairs inside one component can't change the result and are never made.
+   planes, lies more than DEVIATIONS standard deviations below the threshold go; the rest are confirmed on full sets.
+4. Links join into components. In buckets whose members still lie in several components, members outside the largest
+   one first meet its hub (the node of most links; two rounds). What then remains apart is compared with all members
+   of other components, with the estimate inside the join. Pairs inside one component can't change the result and
+   are never made.
 
 A pair at similarity s shares no band with probability (1 - s**4)**32, 5e-8 at 0.8.
 
@@ -33,10 +34,10 @@ MINIMA, ROWS, BITS = 128, 4, 4
 BANDS = MINIMA // ROWS
 #: Chance that unequal minima agree in their low bits.
 _AGREE = 1 / (1 << BITS)
-#: Star rounds at most before the remaining pairs between components are all compared.
-STAR_ROUNDS = 6
-#: Pairs between components, per row in mixed buckets, that are compared at once.
-LINEAR = 8
+#: Standard deviations below the threshold at which an estimate still goes on to full sets.
+DEVIATIONS = 4.5
+#: Rounds in which what lies outside a bucket's largest component meets that component's hub, the node of most links.
+HUB_ROUNDS = 2
 
 _rng = np.random.default_rng(7)
 _MULTIPLY = _rng.integers(0, 1 << 64, MINIMA, dtype=_U) | _U(1)
@@ -137,9 +138,9 @@ def components(links: DataFrame) -> DataFrame:
     both = stored(links.select("a", "b").union(links.select("b", "a")).distinct(), "links")
     label = stored(both.groupBy(F.col("a").alias("id")).agg(F.min("b").alias("m")).select("id", F.least("id", "m").alias("comp")), "labels")
     while True:
-        near = both.join(label.select(F.col("id").alias("b"), "comp"), "b").groupBy(F.col("a").alias("id")).agg(F.min("comp").alias("near"))
-        step = label.join(near, "id").select("id", F.col("comp").alias("old"), F.least("comp", "near").alias("comp"))
-        jump = step.join(label.select(F.col("id").alias("comp"), F.col("comp").alias("far")), "comp", "left")
+        near = join_checked(both, label.select(F.col("id").alias("b"), "comp"), "b", "inner").groupBy(F.col("a").alias("id")).agg(F.min("comp").alias("near"))
+        step = join_checked(near, label, "id", "inner").select("id", F.col("comp").alias("old"), F.least("comp", "near").alias("comp"))
+        jump = join_checked(step, label.select(F.col("id").alias("comp"), F.col("comp").alias("far")), "comp", "left")
         after = stored(jump.select("id", "old", F.least("comp", F.coalesce("far", "comp")).alias("comp")), "labels")
         if after.where("comp < old").isEmpty():
             return after.select("id", "comp")
@@ -154,57 +155,78 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     classes = stored(filled.groupBy("k1", "k2", "n").agg(F.min("id").alias("id"), F.min_by(F.struct("bands", "planes"), F.col("id")).alias("s")).select("id", "k1", "k2", "n", "s.bands", "s.planes"), "classes")
     # two classes may bear one id where ids repeat: a class is named by its key
     classes = classes.withColumn("node", F.struct("id", "k1", "k2"))
-    buckets = classes.select("node", F.explode("bands").alias("band"))
-    shared = buckets.groupBy("band").agg(F.count(F.lit(1)).alias("m"), F.min("node").alias("leader")).where("m > 1")
-    buckets = stored(buckets.join(shared, "band").select("band", "node", "leader"), "buckets")
-    planes = stored(classes.select("node", "n", "planes"), "planes")
+    unique = classes.groupBy("id").count().where("count > 1").isEmpty()
+    bands = classes.select("node", F.explode("bands").alias("band"))
+    shared = stored(bands.groupBy("band").agg(F.count(F.lit(1)).alias("m"), F.min("node").alias("leader")).where("m > 1").drop("m"), "shared")
+    buckets = stored(join_checked(bands, shared, "band", "inner").select("band", "node", "leader"), "buckets")
+    # only what shares a bucket is compared
+    met = stored(buckets.select("node").distinct(), "met")
+    planes = stored(join_checked(classes.select("node", "n", "planes"), met, "node", "left_semi"), "planes")
     sd = (percent / 100 * (1 - percent / 100) / MINIMA) ** 0.5 / (1 - _AGREE)
-    floor = percent / 100 - 6 * sd
+    floor = percent / 100 - DEVIATIONS * sd
 
-    def confirmed(pairs: DataFrame) -> DataFrame:
-        """Of pairs (a, b) of nodes those that are links."""
-        side = lambda s: planes.select(F.col("node").alias(s), F.col("n").alias(f"n{s}"), F.col("planes").alias(f"p{s}"))
-        likely = pairs.distinct().join(side("a"), "a").join(side("b"), "b")
-        likely = likely.where((100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")) & (estimate("pa", "pb") >= floor)).select("a", "b", "na", "nb")
+    def side(s: str) -> DataFrame:
+        return planes.select(F.col("node").alias(s), F.col("n").alias(f"n{s}"), F.col("planes").alias(f"p{s}"))
+
+    likely_pair = (100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")) & (estimate("pa", "pb") >= floor)
+
+    def estimated(pairs: DataFrame) -> DataFrame:
+        """Pairs (a, b) of nodes whose signatures allow a link."""
+        both = join_checked(join_checked(pairs.distinct(), side("a"), "a", "inner"), side("b"), "b", "inner")
+        return both.where(likely_pair).select("a", "b", "na", "nb")
+
+    def confirmed(likely: DataFrame) -> DataFrame:
+        """Of likely pairs those that are links on full sets."""
         likely = stored(likely, "likely")
         wanted = stored(likely.select(F.col("a.id").alias("id")).union(likely.select("b.id")).distinct(), "wanted")
         sets = _sets(join_checked(docs, wanted, "id", "left_semi").select("id", "text"), shingle)
-        keyed = sets.select("id", "set", F.size("set").cast("long").alias("n"))
-        if classes.groupBy("id").count().where("count > 1").isEmpty():
-            keyed = keyed.select("id", "set").dropDuplicates(["id"])
+        if unique:  # copies of an id hold one set
+            keyed = sets.groupBy("id").agg(F.first("set").alias("set"))
             at = lambda s: [F.col(f"{s}.id") == F.col(f"i{s}")]
-            side = lambda s: keyed.select(F.col("id").alias(f"i{s}"), F.col("set").alias(f"s{s}"))
-        else:  # repeated ids: a node's set is found by its own key
-            keyed = keyed.join(digests.select("id", "n", "k1", "k2").distinct(), ["id", "n"]).dropDuplicates(["id", "k1", "k2", "set"])
+            held = lambda s: keyed.select(F.col("id").alias(f"i{s}"), F.col("set").alias(f"s{s}"))
+        else:
+            keyed = sets.withColumn("n", F.size("set").cast("long")).join(digests.select("id", "n", "k1", "k2").distinct(), ["id", "n"]).dropDuplicates(["id", "k1", "k2", "set"])
             at = lambda s: [F.col(f"{s}.id") == F.col(f"i{s}"), F.col(f"{s}.k1") == F.col(f"x{s}"), F.col(f"{s}.k2") == F.col(f"y{s}")]
-            side = lambda s: keyed.select(F.col("id").alias(f"i{s}"), F.col("k1").alias(f"x{s}"), F.col("k2").alias(f"y{s}"), F.col("set").alias(f"s{s}"))
-        met = likely.join(side("b"), at("b")).select("a", "b", "na", "nb", "sb").join(side("a"), at("a"))
+            held = lambda s: keyed.select(F.col("id").alias(f"i{s}"), F.col("k1").alias(f"x{s}"), F.col("k2").alias(f"y{s}"), F.col("set").alias(f"s{s}"))
+        pairs = likely.join(held("b"), at("b")).select("a", "b", "na", "nb", "sb").join(held("a"), at("a"))
         both = F.size(F.array_intersect("sa", "sb"))
-        return met.where(100 * both >= percent * (F.col("na") + F.col("nb") - both)).select("a", "b").distinct()
-
-    links = stored(confirmed(buckets.where("node != leader").select(F.col("leader").alias("a"), F.col("node").alias("b"))), "star")
-    for turn in range(STAR_ROUNDS + 1):
-        comp = components(links)
-        member = buckets.select("band", "node").join(comp.withColumnRenamed("id", "node"), "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-        parts = member.groupBy("band", "comp").agg(F.count(F.lit(1)).alias("c"), F.min_by("node", F.xxhash64("node", F.lit(turn))).alias("head"))
-        mixed = parts.groupBy("band").agg(F.count(F.lit(1)).alias("parts"), F.sum("c").alias("m"), F.sum(F.col("c") * F.col("c")).alias("cc"), F.max(F.struct("c", "comp", "head")).alias("top")).where("parts > 1")
-        mixed = stored(mixed.select("band", "m", "cc", "top"), "mixed")
-        open_pairs, rows = mixed.agg(F.coalesce(F.sum((F.col("m") * F.col("m") - F.col("cc")) / 2), F.lit(0.0)), F.coalesce(F.sum("m"), F.lit(0))).first()
-        if not rows:
+        return pairs.where(100 * both >= percent * (F.col("na") + F.col("nb") - both)).select("a", "b")
+
+    def joined(comp: DataFrame, links: DataFrame) -> DataFrame:
+        """Components after further links, which are carried over to the components they join."""
+        named = comp.withColumnRenamed("id", "a").withColumnRenamed("comp", "ca")
+        over = join_checked(links, named, "a", "left").select(F.coalesce("ca", "a").alias("a"), "b")
+        over = join_checked(over, named.toDF("b", "cb"), "b", "left").select("a", F.coalesce("cb", "b").alias("b")).where("a != b")
+        new = components(over).toDF("comp", "new")
+        moved = join_checked(comp, new, "comp", "left").select("id", F.coalesce("new", "comp").alias("comp"))
+        fresh = join_checked(new, comp.select(F.col("id").alias("comp")), "comp", "left_anti").select(F.col("comp").alias("id"), F.col("new").alias("comp"))
+        return stored(moved.unionByName(fresh), "components")
+
+    links = stored(confirmed(estimated(buckets.where("node != leader").select(F.col("leader").alias("a"), F.col("node").alias("b")))), "star")
+    comp = components(links)
+    for turn in range(HUB_ROUNDS + 1):
+        member = join_checked(buckets.select("band", "node"), comp.withColumnRenamed("id", "node"), "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+        parts = member.groupBy("band", "comp").agg(F.count(F.lit(1)).alias("c"))
+        mixed = stored(parts.groupBy("band").agg(F.count(F.lit(1)).alias("parts"), F.max(F.struct("c", "comp")).alias("top")).where("parts > 1").select("band", F.col("top.comp").alias("top")), "mixed")
+        inside = stored(join_checked(member, mixed, "band", "inner"), "inside")
+        if inside.isEmpty():
             break
-        inside = stored(join_checked(member, mixed.select("band", "top"), "band", "inner"), "inside")
-        last = open_pairs <= LINEAR * rows or turn == STAR_ROUNDS
-        if last:
-            x, y = inside.select("band", F.col("node").alias("a"), F.col("comp").alias("ca")), inside.select("band", F.col("node").alias("b"), F.col("comp").alias("cb"))
-            pairs = x.join(y, "band").where("ca < cb").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+        outer = inside.where("comp != top")
+        if turn < HUB_ROUNDS:
+            ends = links.select(F.col("a").alias("id")).union(links.select("b")).groupBy("id").agg(F.count(F.lit(1)).alias("d"))
+            hubs = stored(join_checked(ends, comp, "id", "inner").groupBy(F.col("comp").alias("top")).agg(F.max_by("id", F.struct("d", "id")).alias("hub")), "hubs")
+            pairs = estimated(join_checked(outer.select("top", "node").distinct(), hubs, "top", "inner").select(F.col("hub").alias("a"), F.col("node").alias("b")))
         else:
-            pairs = inside.where("comp != top.comp").select(F.col("top.head").alias("a"), F.col("node").alias("b"))
-        links = stored(links.union(confirmed(pairs)).distinct(), "links")
-        if last:
-            comp = components(links)
-            break
-    named = classes.select("k1", "k2", "n", "node").join(comp.withColumnRenamed("id", "node"), "node", "left").select("k1", "k2", "n", F.coalesce("comp.id", "node.id").alias("component_id"))
-    moved = stored(digests.select("id", "k1", "k2", "n").join(named, ["k1", "k2", "n"], "left").select("id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id")), "components")
+            x = join_checked(outer.select("band", F.col("node").alias("a"), F.col("comp").alias("ca")), side("a"), "a", "inner")
+            y = join_checked(inside.select("band", F.col("node").alias("b"), F.col("comp").alias("cb"), "top"), side("b"), "b", "inner")
+            apart = (F.col("ca") < F.col("cb")) | (F.col("cb") == F.col("top"))
+            pairs = x.join(y, (x["band"] == y["band"]) & apart & likely_pair).select("a", "b", "na", "nb").distinct()
+        fresh = stored(confirmed(pairs), "links")
+        comp = joined(comp, fresh)
+        links = links.unionByName(fresh)
+    named = join_checked(classes.select("k1", "k2", "n", "node"), comp.withColumnRenamed("id", "node"), "node", "left").select("k1", "k2", "n", F.coalesce("comp.id", "node.id").alias("component_id"))
+    named = stored(named, "named")
+    moved = join_checked(digests.select("id", "k1", "k2", "n"), named, ["k1", "k2", "n"], "left").select("id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id"))
     return moved.withColumn("kept", F.col("id") == F.col("component_id"))
 
 
