@@ -11,6 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..config import Config
 from ..functions import geometry as G
 from ..functions import labels as L
 from ..operators import detections as D
@@ -21,6 +22,7 @@ from ..operators import polygons as P
 from ..operators import raster as R
 from ..operators import regions as RG
 from ..sources import seed
+from . import requests as plans
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -637,3 +639,35 @@ def charge_pose(spark, sf_dir):
     marker = lambda name, g: F.struct(F.lit(name).alias("name"), F.lit("pose").alias("type"), F.array(*map(F.lit, g)).alias("geometry"))
     markers = F.when(k % 4 == 1, F.array(marker("TABLE", [9.0]), marker("MY_CHARGE_1", [1.0, 2.0, 3.0]))).otherwise(F.array(marker("TABLE", [9.0])))
     return seed.table(spark, sf_dir, "supplier").select("s_suppkey", L.charge_pose(markers, F.when(k % 2 == 1, "S-K20PRO").otherwise("s10")).alias("pose"))
+
+
+def _maps(spark, sf_dir):
+    """Seed rasters as maps; every seventh lacks a resolution, every second has labels."""
+    k = F.col("map_id")
+    documents = _documents(spark, sf_dir).select("map_id", F.from_json("doc", L.DOCUMENT).alias("labels"))
+    base = seed.rasters(spark, sf_dir, raw=True).join(documents, "map_id", "left")
+    return base.select(
+        "map_id", "h", "w", "data", F.when(k % 7 == 0, 0.0).otherwise(seed.RESOLUTION).alias("resolution"), F.lit(0.0).alias("ox"), F.lit(0.0).alias("oy"), F.when(k % 2 == 0, "S-K20PRO").otherwise("s10").alias("robot_model"),
+        F.lit("u").alias("uuid"), F.array(*[F.lit(0.0)] * 3).alias("charge_pose"), F.array().cast("array<array<double>>").alias("furniture"), F.when(k % 2 == 0, F.col("labels")).alias("labels"),
+    )
+
+
+@query(
+    """SELECT s_suppkey AS request_id, CAST(CASE WHEN s_nationkey % 7 = 0 THEN 2 WHEN s_suppkey % 5 = 4 THEN 9 WHEN s_suppkey % 5 IN (2, 3) AND s_nationkey % 2 = 1 THEN 3
+WHEN s_suppkey % 5 = 2 AND s_suppkey % 3 = 0 THEN 4 WHEN s_suppkey % 5 = 2 AND s_suppkey % 2 = 1 THEN 7 WHEN s_suppkey % 5 = 3 AND s_suppkey % 3 <> 1 THEN 4 WHEN s_suppkey % 5 = 3 THEN 7 END AS INTEGER) AS code FROM supplier"""
+)
+def request_status(spark, sf_dir):
+    k = F.col("s_suppkey")
+    own = F.format_string("ROOM_%03d", F.pmod(k, F.lit(1000)).cast("int"))
+    operation = F.element_at(F.array(*map(F.lit, ("split", "repartition", "division", "merge", "dance"))), (k % 5 + 1).cast("int"))
+    listed = F.when(k % 3 == 1, F.array(own, F.lit("ROOM_none"))).when(k % 3 == 2, F.array(own))
+    point = F.when(k % 3 != 0, F.array(F.lit(0.0), F.lit(1.0)))
+    division = F.struct(F.when(k % 2 == 0, own).otherwise("ROOM_none").alias("id"), point.alias("A"), point.alias("B"))
+    requests = seed.table(spark, sf_dir, "supplier").select(k.alias("request_id"), F.col("s_nationkey").alias("map_id"), operation.alias("operation"), listed.alias("room_merge_list"), division.alias("division"))
+    return plans.validated(requests, _maps(spark, sf_dir)).select("request_id", "code")
+
+
+@query()
+def auto_partition(spark, sf_dir):
+    """The automatic partition of every seed map as a labels document."""
+    return plans.partition(_maps(spark, sf_dir), Config(min_room_area=0.1))
