@@ -23,7 +23,8 @@ from ._common import WORD_CLASS, join_checked, stored
 WEIGHTS = (5, 2, 1)
 CAP = 3
 BLOCK_WORDS = 256
-SHARD_WORDS = 4_000_000
+#: Words of a shard on average; more where there would be over 2**20 shards.
+SHARD_WORDS = 250_000
 SEED = 20240607
 
 
@@ -81,7 +82,7 @@ def mix_sources(
     cap: int = CAP,
     seed: int = SEED,
     block_words: int | None = None,
-    shard_words: int = SHARD_WORDS,
+    shard_words: int | None = None,
 ) -> DataFrame:
     """The input with a struct `result`: size, source_size, target, taken, copies (times the whole document is taken)
     and start, block, extra, blocks, phase (which further words are: see taken_again)."""
@@ -90,6 +91,7 @@ def mix_sources(
     sums = stored(df.groupBy(F.col(source_col).alias("source")).agg(F.sum(size).alias("source_size")), "sources")
     total = sums.agg(F.coalesce(F.sum("source_size"), F.lit(0))).first()[0]
     block = block_words or max(1, min(BLOCK_WORDS, total >> 17))
+    shard_words = shard_words or max(SHARD_WORDS, total >> 20)
     sources = targets(sums, weights, cap).withColumn("shards", F.ceil(F.col("source_size") / shard_words).cast("long"))
     sources = stored(apportion(sources.withColumn("_seats", F.round(F.lit(total) / block).cast("long")).withColumn("_all", F.lit(0)), ["_all"], ["position"], "target", "_seats").drop("_all", "_seats"), "targets")
 
