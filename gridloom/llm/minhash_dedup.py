@@ -6,9 +6,9 @@
 3. Band buckets pair each member with one leader. Pairs whose collision-corrected similarity, from bit counts over the
    planes, lies more than DEVIATIONS standard deviations below the threshold go; the rest are confirmed on full sets.
 4. Links join into components. In buckets whose members still lie in several components, members outside the largest
-   one first meet its hub (the node of most links; two rounds). What then remains apart is compared with all members
-   of other components, with the estimate inside the join. Pairs inside one component can't change the result and
-   are never made.
+   one first meet its hub (the node of most links; two rounds). What then remains apart gets a finer signature (the
+   lowest bit of 1024 minima) and is compared with all members of other components, with both estimates inside the
+   join. Pairs inside one component can't change the result and are never made.
 
 A pair at similarity s shares no band with probability (1 - s**4)**32, 5e-8 at 0.8.
 
@@ -32,16 +32,16 @@ _U = np.uint64
 
 MINIMA, ROWS, BITS = 128, 4, 4
 BANDS = MINIMA // ROWS
-#: Chance that unequal minima agree in their low bits.
-_AGREE = 1 / (1 << BITS)
+#: Minima and bits of the finer signature, taken only of what stays apart in a shared bucket.
+FINE_MINIMA, FINE_BITS = 1024, 1
 #: Standard deviations below the threshold at which an estimate still goes on to full sets.
 DEVIATIONS = 4.5
 #: Rounds in which what lies outside a bucket's largest component meets that component's hub, the node of most links.
 HUB_ROUNDS = 2
 
 _rng = np.random.default_rng(7)
-_MULTIPLY = _rng.integers(0, 1 << 64, MINIMA, dtype=_U) | _U(1)
-_ADD = _rng.integers(0, 1 << 64, MINIMA, dtype=_U)
+_MULTIPLY = _rng.integers(0, 1 << 64, MINIMA + FINE_MINIMA, dtype=_U) | _U(1)
+_ADD = _rng.integers(0, 1 << 64, MINIMA + FINE_MINIMA, dtype=_U)
 _lower = np.arange(256, dtype=np.uint8)
 _lower[65:91] += 32
 
@@ -72,23 +72,35 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray, size: int) -> tuple[np.n
     return acc, np.searchsorted(owner, np.arange(n + 1))
 
 
+def _minima(sets: np.ndarray, starts: np.ndarray, functions: range) -> np.ndarray:
+    """Minima of each text's set under the hash functions of these numbers, mixed so that their low bits are free."""
+    out = np.empty((len(starts), len(functions)), _U)
+    for at, k in enumerate(functions):
+        out[:, at] = np.minimum.reduceat(sets * _MULTIPLY[k] + _ADD[k], starts) if len(starts) else 0
+    return mix(out)
+
+
+def _planes(minima: np.ndarray, bits: int) -> np.ndarray:
+    """The low bits of all minima, plane by plane, 64 to a long."""
+    packed = [np.packbits(((minima >> _U(b)) & _U(1)).astype(np.uint8), axis=1).view(np.int64) for b in range(bits)]
+    return np.concatenate(packed, axis=1) if len(minima) else np.zeros((0, bits * minima.shape[1] // 64), np.int64)
+
+
+def _set_keys(sets: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """Two words that name a set."""
+    return np.stack([np.add.reduceat(mix(sets + _U(s)), starts) if len(starts) else np.zeros(0, _U) for s in (1, 2)], axis=1).view(np.int64)
+
+
 def signatures(sets: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """For each non-empty text: two-word set key, band keys, bit planes."""
     starts = bounds[:-1][np.diff(bounds) > 0]
     n = len(starts)
-    minima = np.empty((n, MINIMA), _U)
-    for k in range(MINIMA):
-        minima[:, k] = np.minimum.reduceat(sets * _MULTIPLY[k] + _ADD[k], starts) if n else 0
-    key = np.stack([np.add.reduceat(mix(sets + _U(s)), starts) if n else np.zeros(0, _U) for s in (1, 2)], axis=1)
+    minima = _minima(sets, starts, range(MINIMA))
     bands = np.zeros((n, BANDS), _U)
     for r in range(ROWS):
         bands = mix(bands * _U(BASE) + minima[:, r::ROWS])
     bands = mix(bands + np.arange(BANDS, dtype=_U) * _U(BASE))
-    planes = []
-    for b in range(BITS):
-        bit = ((minima >> _U(b)) & _U(1)).astype(np.uint8)
-        planes.append(np.packbits(bit, axis=1).view(np.int64))
-    return key.view(np.int64), bands.view(np.int64), np.concatenate(planes, axis=1) if n else np.zeros((0, 2 * BITS), np.int64)
+    return _set_keys(sets, starts), bands.view(np.int64), _planes(minima, BITS)
 
 
 def _digests(df: DataFrame, size: int) -> DataFrame:
@@ -125,11 +137,38 @@ def _sets(df: DataFrame, size: int) -> DataFrame:
     return df.mapInArrow(run, f"id {df.schema[0].dataType.simpleString()}, set array<long>")
 
 
-def estimate(a: str, b: str) -> Column:
+def _fine(df: DataFrame, size: int) -> DataFrame:
+    """node and finer signature of each row (id, text) that has words."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo, hi, data, offsets in text_slices(batch.column(1)):
+                sets, bounds = shingle_sets(data, offsets, size)
+                full = np.diff(bounds) > 0
+                starts = bounds[:-1][full]
+                key = _set_keys(sets, starts)
+                fine = _planes(_minima(sets, starts, range(MINIMA, MINIMA + FINE_MINIMA)), FINE_BITS)
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(len(fine) + 1) * fine.shape[1], pa.int32()), pa.array(fine.ravel()))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo).filter(pa.array(full)), pa.array(key[:, 0]), pa.array(key[:, 1]), lists], names=["id", "k1", "k2", "fine"])
+
+    found = df.mapInArrow(run, f"id {df.schema[0].dataType.simpleString()}, k1 long, k2 long, fine array<long>")
+    return found.groupBy(F.struct("id", "k1", "k2").alias("node")).agg(F.first("fine").alias("fine"))
+
+
+def estimate(a: str, b: str, minima: int = MINIMA, bits: int = BITS) -> Column:
     """Collision-corrected similarity of two packed signatures."""
-    unequal = [" | ".join(f"({a}[{2 * i + h}] ^ {b}[{2 * i + h}])" for i in range(BITS)) for h in (0, 1)]
-    same = F.lit(MINIMA) - F.expr(f"bit_count({unequal[0]}) + bit_count({unequal[1]})")
-    return (same / MINIMA - _AGREE) / (1 - _AGREE)
+    longs = minima // 64
+    unequal = [" | ".join(f"({a}[{longs * i + h}] ^ {b}[{longs * i + h}])" for i in range(bits)) for h in range(longs)]
+    same = F.lit(minima) - F.expr(" + ".join(f"bit_count({x})" for x in unequal))
+    agree = 1 / (1 << bits)  # chance that unequal minima agree in their low bits
+    return (same / minima - agree) / (1 - agree)
+
+
+def least_estimate(percent: int, minima: int = MINIMA, bits: int = BITS) -> float:
+    """The threshold less DEVIATIONS standard deviations of the estimate."""
+    s, agree = percent / 100, 1 / (1 << bits)
+    p = agree + (1 - agree) * s
+    return s - DEVIATIONS * (p * (1 - p) / minima) ** 0.5 / (1 - agree)
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -162,13 +201,11 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     # only what shares a bucket is compared
     met = stored(buckets.select("node").distinct(), "met")
     planes = stored(join_checked(classes.select("node", "n", "planes"), met, "node", "left_semi"), "planes")
-    sd = (percent / 100 * (1 - percent / 100) / MINIMA) ** 0.5 / (1 - _AGREE)
-    floor = percent / 100 - DEVIATIONS * sd
 
     def side(s: str) -> DataFrame:
         return planes.select(F.col("node").alias(s), F.col("n").alias(f"n{s}"), F.col("planes").alias(f"p{s}"))
 
-    likely_pair = (100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")) & (estimate("pa", "pb") >= floor)
+    likely_pair = (100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")) & (estimate("pa", "pb") >= least_estimate(percent))
 
     def estimated(pairs: DataFrame) -> DataFrame:
         """Pairs (a, b) of nodes whose signatures allow a link."""
@@ -217,10 +254,15 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
             hubs = stored(join_checked(ends, comp, "id", "inner").groupBy(F.col("comp").alias("top")).agg(F.max_by("id", F.struct("d", "id")).alias("hub")), "hubs")
             pairs = estimated(join_checked(outer.select("top", "node").distinct(), hubs, "top", "inner").select(F.col("hub").alias("a"), F.col("node").alias("b")))
         else:
-            x = join_checked(outer.select("band", F.col("node").alias("a"), F.col("comp").alias("ca")), side("a"), "a", "inner")
-            y = join_checked(inside.select("band", F.col("node").alias("b"), F.col("comp").alias("cb"), "top"), side("b"), "b", "inner")
+            rest = stored(inside.select("node.id").distinct(), "rest")
+            fine = stored(_fine(join_checked(docs, rest, "id", "left_semi").select("id", "text"), shingle), "fine")
+            finer = lambda s: join_checked(fine.select(F.col("node").alias(s), F.col("fine").alias(f"f{s}")), side(s), s, "inner")
+            sides = [stored(finer(s), "side") for s in ("a", "b")]
+            x = join_checked(outer.select("band", F.col("node").alias("a"), F.col("comp").alias("ca")), sides[0], "a", "inner")
+            y = join_checked(inside.select("band", F.col("node").alias("b"), F.col("comp").alias("cb"), "top"), sides[1], "b", "inner")
             apart = (F.col("ca") < F.col("cb")) | (F.col("cb") == F.col("top"))
-            pairs = x.join(y, (x["band"] == y["band"]) & apart & likely_pair).select("a", "b", "na", "nb").distinct()
+            likely_fine = estimate("fa", "fb", FINE_MINIMA, FINE_BITS) >= least_estimate(percent, FINE_MINIMA, FINE_BITS)
+            pairs = x.join(y, (x["band"] == y["band"]) & apart & likely_pair & likely_fine).select("a", "b", "na", "nb").distinct()
         fresh = stored(confirmed(pairs), "links")
         comp = joined(comp, fresh)
         links = links.unionByName(fresh)
