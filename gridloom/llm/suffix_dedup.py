@@ -6,8 +6,8 @@ runs of windows with one owner; a window can only repeat if its owner's hash doe
 their windows (a context) are cut out and dealt to shards by owner:
 
 * equal contexts are collapsed first (pre-aggregated); one that occurs twice repeats as a whole;
-* owners with several different contexts go to suffix arrays: contexts are concatenated, suffixes sorted by
-  Larsson-Sadakane refinement (only unsorted groups are refined, the sorted depth doubles), and Kasai's common
+* owners with several different contexts go to suffix arrays: contexts are concatenated, suffixes sorted to
+  their context's end by Larsson-Sadakane refinement (only unsorted groups are refined, the sorted depth doubles), and Kasai's common
   prefixes, in lockstep over all contexts, tell which windows agree with a neighbour in LENGTH bytes;
 * an owner with more than HOT different contexts is split over several shards; each writes its sorted window keys by
   range, and for each range every shard's keys are found in the others' by binary search.
@@ -89,15 +89,25 @@ def window_runs(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH, gra
 
 
 def suffix_order(symbols: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
-    """Suffixes in order of their first `depth` symbols at least (1..256, 0 as separator), and their ranks."""
+    """Suffixes in order of their first `depth` symbols at least (1..256, 0 as separator), and their ranks.
+
+    What follows a separator is not compared: suffixes equal up to it share a rank and stand in order of index, so the
+    order holds when both are cut by a symbol, as Kasai's pass requires."""
     n = len(symbols)
-    padded = np.concatenate([symbols.astype(_U), np.zeros(7, _U)])
+    ends = np.append(np.flatnonzero(symbols == 0), n)
+    left = (np.repeat(ends, np.diff(ends, prepend=-1))[:n] - np.arange(n)).astype(np.int32)
+    padded = np.concatenate([symbols, np.zeros(7, symbols.dtype)])
     key = np.zeros(n, _U)
     for k in range(7):
-        key = (key << _U(9)) | padded[k : k + n]
+        key <<= _U(9)
+        key |= padded[k : k + n].astype(_U)
+    near = np.flatnonzero(left < 7)
+    key[near] &= ~((_U(1) << (9 * (7 - left[near])).astype(_U)) - _U(1))
     order = np.argsort(key, kind="stable")
+    key = key[order]
     fresh = np.ones(n, bool)
-    fresh[1:] = key[order[1:]] != key[order[:-1]]
+    fresh[1:] = key[1:] != key[:-1]
+    del key, padded
     rank = np.empty(n + 1, np.int64)
     rank[n] = -1
     heads = np.flatnonzero(fresh)
@@ -106,6 +116,7 @@ def suffix_order(symbols: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarra
     # places in the order whose group has several suffixes
     size = np.diff(np.append(heads, n))
     open_ = np.flatnonzero(np.repeat(size > 1, size))
+    open_ = open_[left[order[open_]] >= sorted_to]
     while sorted_to < depth and len(open_):
         suffix = order[open_]
         group, then = rank[suffix], rank[np.minimum(suffix + sorted_to, n)]
@@ -119,6 +130,7 @@ def suffix_order(symbols: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarra
         rank[suffix] = np.repeat(open_[heads], size)
         open_ = open_[np.repeat(size > 1, size)]
         sorted_to *= 2
+        open_ = open_[left[order[open_]] >= sorted_to]
     return order, rank[:n]
 
 
@@ -130,10 +142,10 @@ def windows_and_ranks(contexts: list[bytes], length: int = LENGTH) -> list[tuple
     raw = np.frombuffer(b"\0".join(contexts), np.uint8)
     symbols[: len(raw)] = raw.astype(np.int16) + 1
     symbols[begin + sizes] = 0
-    order, rank = suffix_order(symbols, length)
+    # to the end of the longest context: an order cut before it would not bear out 'previous common prefix - 1'
+    order = suffix_order(symbols, int(sizes.max()) + 1)[0]
     n = len(symbols)
-    left = np.zeros(n, np.int64)  # bytes up to the context's end
-    left[:] = np.repeat(begin + sizes, sizes + 1) - np.arange(n)
+    left = (np.repeat(begin + sizes, sizes + 1) - np.arange(n)).astype(np.int32)  # bytes up to the context's end
     place = np.empty(n, np.int64)
     place[order] = np.arange(n)
     repeated, again = np.zeros(n, bool), np.zeros(n, bool)

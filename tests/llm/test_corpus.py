@@ -137,6 +137,23 @@ def test_suffix_order():
         assert (rank[order] == np.arange(len(s))).all()
 
 
+def test_long_shared_passages():
+    """Contexts that agree in 448 to 700 bytes and differ after them, all in one suffix array."""
+    rng = np.random.default_rng(8)
+    some = lambda n: rng.integers(97, 99, n).astype(np.uint8).tobytes()
+    contexts = []
+    for n in [448] * 40 + rng.integers(448, 701, 40).tolist():
+        passage = some(n)
+        contexts += [some(30) + passage + b"z" + some(60), some(20) + passage + b"a" + some(60), passage]
+    windows = [[c[t : t + 400] for t in range(len(c) - 399)] for c in contexts]
+    times = Counter(w for ws in windows for w in ws)
+    firsts = Counter()
+    for ws, (repeated, first) in zip(windows, suffix_dedup.windows_and_ranks(contexts)):
+        assert repeated.tolist() == [times[w] > 1 for w in ws]
+        firsts.update(w for w, f in zip(ws, first.tolist()) if f)
+    assert firsts == Counter(set(times))
+
+
 def test_long_text_in_pieces(monkeypatch):
     rng = np.random.default_rng(6)
     data = rng.integers(97, 101, 6000).astype(np.uint8)
