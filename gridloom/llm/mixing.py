@@ -1,12 +1,13 @@
 """Mixing sources to target weights by Sainte-Lague apportionment, in DataFrame operations alone.
 
 Sources share the size of all documents by weight; a target stops at `cap` times its source's size and the excess is
-shared anew by weight (solved in one step: in the order of cap * size / weight the capped sources come first). The mix
-is counted in blocks of equally many words. Blocks go to sources by the highest quotients target / (2k + 1), and each
-source's blocks to its shards (documents dealt by a seeded hash, about `shard_words` words each) by size / (2k + 1):
-integer quotas. A shard's documents stand in a seeded order on a line of words that is cut into blocks. A quota of q
-over a shard of a blocks takes the whole shard q div a times and q mod a of its blocks once more, spread evenly from a
-seeded phase, so a document's share is a closed formula.
+shared anew by weight (solved in one step: in the order of cap * size / weight the capped sources come first). The words
+of the mix go to sources by the highest quotients target / (2k + 1), and each source's words to its shards (documents
+dealt by a seeded hash, about `shard_words` words each) by size / (2k + 1): integer quotas. A shard's documents stand in
+a seeded order on a line of words that is cut into blocks of equally many words, at most `block_words` and a thousandth
+of the source, so that a small source is met to the word. A quota of q over a shard of w words takes the whole shard
+q div w times and the nearest number of blocks to q mod w once more, spread evenly from a seeded phase, so a document's
+share is a closed formula.
 
 Edge cases: a null or empty text has size 0 and nothing is taken; null is a source of its own, last in order; ties in
 the order fall to smaller ids; repeated rows lie side by side and are interchangeable; an empty table gives an empty
@@ -90,10 +91,10 @@ def mix_sources(
     size = F.col(size_col) if size_col else word_count(F.col(text_col))
     sums = stored(df.groupBy(F.col(source_col).alias("source")).agg(F.sum(size).alias("source_size")), "sources")
     total = sums.agg(F.coalesce(F.sum("source_size"), F.lit(0))).first()[0]
-    block = block_words or max(1, min(BLOCK_WORDS, total >> 17))
+    block = F.greatest(F.lit(1), F.least(F.lit(block_words or BLOCK_WORDS), F.shiftright("source_size", 10))).cast("long")
     shard_words = shard_words or max(SHARD_WORDS, total >> 20)
     sources = targets(sums, weights, cap).withColumn("shards", F.ceil(F.col("source_size") / shard_words).cast("long"))
-    sources = stored(apportion(sources.withColumn("_seats", F.round(F.lit(total) / block).cast("long")).withColumn("_all", F.lit(0)), ["_all"], ["position"], "target", "_seats").drop("_all", "_seats"), "targets")
+    sources = stored(apportion(sources.withColumn("_block", block).withColumn("_seats", F.lit(total).cast("long")).withColumn("_all", F.lit(0)), ["_all"], ["position"], "target", "_seats").drop("_all", "_seats"), "targets")
 
     doc = df.select(F.struct("*").alias("_doc"), F.col(id_col).alias("_id"), F.col(source_col).alias("_source"), size.alias("_size"))
     known = sources.select("source", "position", "source_size", "target", "shards")
@@ -101,15 +102,16 @@ def mix_sources(
     doc = doc.withColumn("_order", F.xxhash64(F.lit(seed), F.col("_id"))).withColumn("_shard", F.pmod(F.xxhash64(F.lit(seed + 1), F.col("_id")), F.greatest("shards", F.lit(1))))
 
     shards = doc.groupBy("position", "_shard").agg(F.sum("_size").alias("_words"))
-    shards = shards.join(F.broadcast(sources.select("position", "quota")) if sources.count() <= 200_000 else sources.select("position", "quota"), "position").withColumnRenamed("quota", "_seats")
+    quotas = sources.select("position", "_block", F.col("quota").alias("_seats"))
+    shards = shards.join(F.broadcast(quotas) if sources.count() <= 200_000 else quotas, "position")
     shards = apportion(shards, ["position"], ["_shard"], "_words", "_seats")
     shards = (
-        shards.withColumn("_blocks", F.ceil(F.col("_words") / block).cast("long"))
-        .withColumn("quota", F.least("quota", cap * F.col("_blocks")))
-        .withColumn("_copies", F.when(F.col("_blocks") > 0, F.expr("quota div _blocks")).otherwise(0))
-        .withColumn("_extra", F.col("quota") - F.col("_copies") * F.col("_blocks"))
+        shards.withColumn("_blocks", F.ceil(F.col("_words") / F.col("_block")).cast("long"))
+        .withColumn("quota", F.least("quota", cap * F.col("_words")))
+        .withColumn("_copies", F.when(F.col("_words") > 0, F.expr("quota div _words")).otherwise(0))
+        .withColumn("_extra", F.least("_blocks", F.round((F.col("quota") - F.col("_copies") * F.col("_words")) / F.col("_block")).cast("long")))
         .withColumn("_phase", F.when(F.col("_blocks") > 0, F.pmod(F.xxhash64(F.lit(seed + 2), "position", "_shard"), F.greatest("_blocks", F.lit(1)))).otherwise(0))
-        .select("position", "_shard", "_blocks", "_copies", "_extra", "_phase")
+        .select("position", "_shard", "_block", "_blocks", "_copies", "_extra", "_phase")
     )
     shards = stored(shards, "quotas")
     doc = join_checked(doc, shards, ["position", "_shard"], "left")
@@ -117,6 +119,7 @@ def mix_sources(
     doc = doc.withColumn("_end", F.sum("_size").over(line)).withColumn("_start", F.col("_end") - F.col("_size"))
 
     def taken_before(x: Column) -> Column:
+        block = F.col("_block")
         full = F.floor(x / block).cast("long")
         seats = lambda k: F.when(F.col("_blocks") > 0, F.floor((k + F.col("_phase")) * F.col("_extra") / F.col("_blocks"))).otherwise(0).cast("long")
         return (seats(full) - seats(F.lit(0))) * block + (seats(full + 1) - seats(full)) * (x - full * block)
@@ -129,7 +132,7 @@ def mix_sources(
         (F.col("_copies") * F.col("_size") + again).cast("long").alias("taken"),
         F.col("_copies").alias("copies"),
         F.col("_start").alias("start"),
-        F.lit(block).cast("long").alias("block"),
+        F.col("_block").alias("block"),
         F.col("_extra").alias("extra"),
         F.col("_blocks").alias("blocks"),
         F.col("_phase").alias("phase"),

@@ -166,6 +166,21 @@ def test_mixing(odd, some, empty):
     assert mixing.mix_sources(empty).count() == 0
 
 
+def test_mixing_small_sources_by_large_blocks(spark):
+    """Sources far under a block of words meet their targets too, at the cap and below it."""
+    sizes = {"a": 40, "b": 42, "c": 100, "d": 200, "e": 600, "f": 800, "g": 1000, "h": 30_000, "i": 9000}
+    rows = [(100 * k + d, s, n // 4 if d < 3 else n - 3 * (n // 4)) for k, (s, n) in enumerate(sizes.items()) for d in range(4)]
+    table = spark.createDataFrame(rows, "doc_id long, source string, words long").withColumn("text", F.expr("repeat('w ', int(words))"))
+    mixed = mixing.mix_sources(table, block_words=256)
+    taken = {r.source: r.n for r in mixed.groupBy("source").agg(F.sum("mix.taken").alias("n")).collect()}
+    want = plain_targets(sizes)
+    assert sum(want[s] == 3 * sizes[s] for s in sizes) >= 7
+    for s in sizes:
+        assert abs(taken[s] - want[s]) <= max(2, 0.01 * want[s])
+    words = {r.source: r.n for r in mixing.mixed_texts(mixed).groupBy("source").agg(F.sum(mixing.word_count(F.col("text"))).alias("n")).collect()}
+    assert words == taken
+
+
 def test_apportionment(spark):
     import itertools
 
