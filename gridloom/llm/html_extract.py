@@ -1,7 +1,7 @@
 """Main-text extraction by consensus paths of a host.
 
-Pass 1 scores each page's containers by the text that stands in them outside links and boilerplate, and names the best
-one by its generalised path: tags with their class words, digits and long hashes left out. In Spark the pages of a host
+Pass 1 takes each page's containers that hold nearly all of its text outside links and boilerplate: of these the
+outermost article, or else the innermost one. It is named by its generalised path: tags with their class words, digits and long hashes left out. In Spark the pages of a host
 vote on paths (counts are pre-aggregated by host and path, so a hot host sends few rows). Pass 2 extracts every page
 again from the container on its host's winning paths; a page without such a container uses its own best one.
 
@@ -17,13 +17,15 @@ import re
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ._common import join_checked, stored, text_slices, with_fields
 
 #: Paths of a host that win: the first and any other with this share of its votes.
 SHARE = 0.1
+#: Share of a page's text that its container must hold.
+NEARLY = 0.9
 
 _TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?\]\]>|<(/?)([a-zA-Z][^\s/>]*)((?:[^"'>]|"[^"]*"|'[^']*')*+)>|<[!?/][^>]*>|<[a-zA-Z][^>]*>""", re.S)
 _ATTRIBUTE = re.compile(r"""([^\s"'=<>/]+)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))|([^\s"'=<>/]+)""")
@@ -100,11 +102,7 @@ class Page:
                 text = " ".join("".join(pieces).split())
                 if text:
                     self.blocks.append((node, text))
-                    value = max(0.0, len(text) - 2.0 * linked)
-                    self.score[node] += value
-                    up = self.parent[node]
-                    if up >= 0:
-                        self.score[up] += value / 2
+                    self.score[node] += max(0.0, len(text) - 2.0 * linked)
                 pieces.clear()
             linked = 0
 
@@ -200,27 +198,33 @@ class Page:
             _, node, drop, link = stack[-1]
         close_block()
 
-    def bonus(self, n: int) -> float:
-        tag = self.path[n].rpartition(">")[2]
-        return 1.5 if tag.startswith(("article", "main")) else 1.25 if _ARTICLE & set(tag.split(".")[1:]) else 1.0
+    def named(self, n: int) -> bool:
+        """Whether a container's tag or class calls it an article."""
+        tag = self.path[n].rpartition(">")[2].split(".")
+        return tag[0] in ("article", "main") or bool(_ARTICLE & set(tag[1:]))
 
     def best(self) -> int:
-        """The container with the highest score, the first of equals; -1 without any text."""
-        ranked = [(self.score[n] * self.bonus(n), -n) for n in range(len(self.parent))]
-        top = max(ranked)
-        return -top[1] if self.blocks else -1
+        """Of the containers with nearly all text the outermost that is named an article, or else the innermost; -1
+        without any text. What an article holds beside its longest part thus stays."""
+        if not self.blocks:
+            return -1
+        total = list(self.score)
+        for n in range(len(total) - 1, 0, -1):  # containers follow their parents
+            total[self.parent[n]] += total[n]
+        if not total[0]:
+            return 0
+        chain = [n for n in range(len(total)) if total[n] >= NEARLY * total[0]]
+        return next((n for n in chain if self.named(n)), chain[-1])
 
     def on_path(self, path: str) -> list[int]:
-        """The containers on a path whose text counts: of several the best and those at least half as good."""
-        found = [n for n, p in enumerate(self.path) if p == path]
-        total = {n: 0 for n in found}
-        for node, text in self.blocks:
+        """The containers on a path, if any of them has text."""
+        found = {n for n, p in enumerate(self.path) if p == path}
+        for node, _ in self.blocks:
             while node >= 0:
-                if node in total:
-                    total[node] += len(text)
+                if node in found:
+                    return sorted(found)
                 node = self.parent[node]
-        most = max(total.values(), default=0)
-        return [n for n in found if total[n] and 2 * total[n] >= most]
+        return []
 
     def text(self, nodes: list[int]) -> str:
         wanted, out, known = set(nodes), [], {}
@@ -275,8 +279,10 @@ def main_text(df: DataFrame, html_col: str = "html", url_col: str = "url", share
     votes = stored(votes, "votes")
     totals = votes.groupBy("host").agg(F.sum("votes").alias("all"), F.max("votes").alias("most"))
     won = votes.join(totals, "host").where((F.col("votes") == F.col("most")) | (F.col("votes") >= share * F.col("all")))
-    won = won.groupBy("host").agg(F.sort_array(F.collect_list(F.struct((-F.col("votes")).alias("v"), "path"))).alias("w"))  # ties and shares: few paths of a host
-    won = stored(won.select("host", F.slice(F.transform("w", lambda x: x["path"]), 1, int(1 / share) + 1).alias("_paths")), "paths")
+    place = F.row_number().over(Window.partitionBy("host").orderBy(F.desc("votes"), "path"))
+    won = won.withColumn("place", place).where(F.col("place") <= int(1 / share) + 1)
+    won = won.groupBy("host").agg(F.sort_array(F.collect_list(F.struct("place", "path"))).alias("w"))  # of at most 1 / share + 1
+    won = stored(won.select("host", F.col("w.path").alias("_paths")), "paths")
     joined = join_checked(df.withColumn("_host", host_of(F.col(url_col))), won.withColumnRenamed("host", "_host"), "_host", "left").select(*[F.col(f"`{c}`") for c in df.columns], "_paths")
     at = df.columns.index(html_col)
 

@@ -105,6 +105,19 @@ def test_html(spark):
     assert html_extract.main_text(spark.createDataFrame([], "page_id long, url string, html string, n_chars int")).count() == 0
 
 
+def test_html_whole_articles(spark):
+    """Short parts of an article stay beside long ones, with and without the host's vote."""
+    t = lambda word, n: " ".join([word] * n)
+    pages = [
+        (f"<body><nav>n</nav><article><section><p>{t('long', 200)}</p></section><section><p>{t('short', 20)}</p></section></article></body>", [t("long", 200), t("short", 20)]),
+        (f"<body><article><h1>Title</h1><p>Lead.</p><div class='post-content'><p>{t('body', 200)}</p></div></article></body>", ["Title", "Lead.", t("body", 200)]),
+        (f"<body><div><article><p>{t('one', 100)}</p></article><article><p>{t('two', 10)}</p></article></div></body>", [t("one", 100), t("two", 10)]),
+    ]
+    rows = [(k, f"http://{k if apart else 'h'}.example/{k}", page) for apart in (True, False) for k, (page, _) in enumerate(pages)]
+    got = html_extract.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert len(got) == 6 and all(r.text == "\n".join(pages[r.page_id][1]) for r in got)
+
+
 def test_html_articles(spark, sf_dir):
     """On the small table the article's own blocks come out."""
     import html as h
