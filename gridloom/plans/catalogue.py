@@ -531,6 +531,35 @@ def nms_keep(spark, sf_dir):
     return D.suppressed(D.decoded(seed.detections(spark, sf_dir))).select("map_id", "det_id")
 
 
+@query()
+def obb_decode_all(spark, sf_dir):
+    """The queries with _all take every line item; those without keep the order keys of their SQL."""
+    d = D.decoded(seed.all_detections(spark, sf_dir))
+    return d.select("map_id", "det_id", F.round("conf", 6).alias("conf"), F.round(G.polygon_area(F.col("v")), 6).alias("area"))
+
+
+@query()
+def obb_vertices_all(spark, sf_dir):
+    v = F.col("v")
+    return D.decoded(seed.all_detections(spark, sf_dir)).select("det_id", *[F.round(v[i][c], 6).alias(n) for i, c, n in ((0, "x", "ax"), (0, "y", "ay"), (2, "x", "cx"), (2, "y", "cy"))])
+
+
+@query()
+def obb_centerline_all(spark, sf_dir):
+    d = D.decoded(seed.all_detections(spark, sf_dir)).select("det_id", G.box_centerline(F.col("v")).alias("l"))
+    return d.select("det_id", *[F.round(F.col("l")[i][c].cast("double"), 3).alias(n) for i, c, n in ((0, "x", "x1"), (0, "y", "y1"), (1, "x", "x2"), (1, "y", "y2"))])
+
+
+@query()
+def iou_pairs_all(spark, sf_dir):
+    return D.iou_pairs(D.decoded(seed.all_detections(spark, sf_dir))).where("iou > 0").withColumn("iou", F.round("iou", 6))
+
+
+@query()
+def nms_keep_all(spark, sf_dir):
+    return D.suppressed(D.decoded(seed.all_detections(spark, sf_dir))).select("map_id", "det_id")
+
+
 _LB = "(SELECT CAST(c_custkey AS INTEGER) AS id, CAST(100 + c_custkey * 37 % 1900 AS INTEGER) AS w, CAST(100 + c_custkey * 53 % 1500 AS INTEGER) AS h FROM customer)"
 
 
