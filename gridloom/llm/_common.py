@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -18,7 +19,7 @@ WS_CLASS = r"[\x20\x09-\x0D]"
 WORD_CLASS = r"[^\x20\x09-\x0D]+"
 
 #: Bytes of text that one numpy step holds at a time, unless a single text is longer.
-SLICE_BYTES = 1 << 21
+SLICE_BYTES = 1 << 18
 
 _MULT = 0x9E3779B97F4A7C15 | 1
 _U = np.uint64
@@ -29,13 +30,14 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share (spark.checkpoint.dir); a temporary one only where the setting is absent."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
+    """The folder all executors share (spark.checkpoint.dir). Where none is set, a temporary one serves a single JVM;
+    on a cluster that is an error."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
-        set_dir = spark.sparkContext.getCheckpointDir()
-        base = set_dir or f"file://{tempfile.mkdtemp(prefix='gridloom-')}"
-        if not set_dir:
-            spark.sparkContext.setCheckpointDir(base)
+        if not re.fullmatch(r"local(\[[^-]*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        base = f"file://{tempfile.mkdtemp(prefix='gridloom-')}"
+        spark.sparkContext.setCheckpointDir(base)
     return base.rstrip("/")
 
 
@@ -57,7 +59,15 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     """Write to the shared folder and read again: cuts lineage and survives lost executors."""
     path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.stored_at = path
+    return out
+
+
+def release(*tables: DataFrame) -> None:
+    """Delete stored tables that nothing reads any more."""
+    for df in tables:
+        drop_path(df.sparkSession, df.stored_at)
 
 
 def with_fields(schema: StructType, **kinds: str) -> StructType:

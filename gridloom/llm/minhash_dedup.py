@@ -6,15 +6,18 @@
 3. Band buckets pair each member with one leader. Pairs whose collision-corrected similarity, from bit counts over the
    planes, lies more than DEVIATIONS standard deviations below the threshold go; the rest are confirmed on full sets.
 4. Links join into components. In buckets whose members still lie in several components, members outside the largest
-   one first meet its hub (the node of most links; two rounds). What then remains apart gets a finer signature (the
-   lowest bit of 1024 minima) and is compared with all members of other components, with both estimates inside the
-   join. Pairs inside one component can't change the result and are never made.
+   one first meet its hub (the node of most links). What then remains apart is paired by an exact prefix
+   filter: with a set's shingles in order of frequency, two linked sets must share one among their rarest few, and
+   how few follows from both sizes. Only there do members of different components meet, and the same estimate and the
+   full sets judge the pair. Pairs inside one component can't change the result and are never made.
 
 A pair at similarity s shares no band with probability (1 - s**4)**32, 5e-8 at 0.8.
 
-Edge cases: a text without words (null, empty, white space) has an empty set and is linked with nothing; with fewer
-words than a shingle takes the whole sequence is one shingle; repeated rows and ids are classed each by its own set,
-and rows that share an id share the smallest component among them; other columns play no part.
+A document is named by its id, file and row, so rows that share an id (or have none) are documents of their own.
+
+Edge cases: a text without words (null, empty, white space) has an empty set, is linked with nothing and is kept; with
+fewer words than a shingle takes the whole sequence is one shingle; of repeated rows the first in order of id, file and
+row is kept; a null id sorts first; an empty table gives an empty result; other columns play no part.
 """
 
 from __future__ import annotations
@@ -23,25 +26,23 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._common import BASE, join_checked, mix, prefix_hash, scratch_path, span_hash, stored, text_slices, word_spans
+from ._common import BASE, join_checked, located, mix, prefix_hash, span_hash, stored, text_slices, word_spans
 
 _U = np.uint64
 
 MINIMA, ROWS, BITS = 128, 4, 4
 BANDS = MINIMA // ROWS
-#: Minima and bits of the finer signature, taken only of what stays apart in a shared bucket.
-FINE_MINIMA, FINE_BITS = 1024, 1
 #: Standard deviations below the threshold at which an estimate still goes on to full sets.
 DEVIATIONS = 4.5
 #: Rounds in which what lies outside a bucket's largest component meets that component's hub, the node of most links.
-HUB_ROUNDS = 2
+HUB_ROUNDS = 1
 
 _rng = np.random.default_rng(7)
-_MULTIPLY = _rng.integers(0, 1 << 64, MINIMA + FINE_MINIMA, dtype=_U) | _U(1)
-_ADD = _rng.integers(0, 1 << 64, MINIMA + FINE_MINIMA, dtype=_U)
+_MULTIPLY = _rng.integers(0, 1 << 64, MINIMA, dtype=_U) | _U(1)
+_ADD = _rng.integers(0, 1 << 64, MINIMA, dtype=_U)
 _lower = np.arange(256, dtype=np.uint8)
 _lower[65:91] += 32
 
@@ -126,33 +127,65 @@ def _digests(df: DataFrame, size: int) -> DataFrame:
 
 
 def _sets(df: DataFrame, size: int) -> DataFrame:
-    """id and full shingle set of each row (id, text)."""
+    """id, n and full shingle set of each row (id, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo, hi, data, offsets in text_slices(batch.column(1)):
                 sets, bounds = shingle_sets(data, offsets, size)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(sets.view(np.int64)))], names=["id", "set"])
-
-    return df.mapInArrow(run, f"id {df.schema[0].dataType.simpleString()}, set array<long>")
-
-
-def _fine(df: DataFrame, size: int) -> DataFrame:
-    """node and finer signature of each row (id, text) that has words."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for lo, hi, data, offsets in text_slices(batch.column(1)):
-                sets, bounds = shingle_sets(data, offsets, size)
-                full = np.diff(bounds) > 0
-                starts = bounds[:-1][full]
-                key = _set_keys(sets, starts)
-                fine = _planes(_minima(sets, starts, range(MINIMA, MINIMA + FINE_MINIMA)), FINE_BITS)
-                lists = pa.ListArray.from_arrays(pa.array(np.arange(len(fine) + 1) * fine.shape[1], pa.int32()), pa.array(fine.ravel()))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo).filter(pa.array(full)), pa.array(key[:, 0]), pa.array(key[:, 1]), lists], names=["id", "k1", "k2", "fine"])
-
-    found = df.mapInArrow(run, f"id {df.schema[0].dataType.simpleString()}, k1 long, k2 long, fine array<long>")
-    return found.groupBy(F.struct("id", "k1", "k2").alias("node")).agg(F.first("fine").alias("fine"))
+                lists = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(sets.view(np.int64)))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(np.diff(bounds), pa.int64()), lists], names=["id", "n", "set"])
+
+    return df.mapInArrow(run, f"id {df.schema[0].dataType.simpleString()}, n long, set array<long>")
+
+
+def least_common(a: Column, b: Column, percent: int) -> Column:
+    """Shingles that sets of a and b shingles must share for a link: 100 * i >= percent * (a + b - i)."""
+    return F.ceil(percent * (a + b) / (100 + percent)).cast("long")
+
+
+def size_class(n: Column) -> Column:
+    """The least size of the class of n: its six leading binary digits."""
+    cut = F.greatest(F.length(F.bin(n)) - 6, F.lit(0))
+    return F.call_function("shiftleft", F.call_function("shiftright", n, cut), cut)
+
+
+def prefix_pairs(members: DataFrame, percent: int) -> DataFrame:
+    """members (node, n, comp, set) -> pairs (a, b) of different components that can be links: every link is among them.
+
+    With all shingles in one order, rarest first, a smaller set x and a larger set y that share at least s shingles have
+    a common one among the first |x| - s + 1 of x and the first |y| - s + 1 of y. For x the bound of its own size holds
+    for every partner; y looks up each size class with that class's bound, so what is too far apart never meets. The
+    position of the first common shingle bounds what can follow it."""
+    held = members.select("node", "n", "comp", F.explode("set").alias("x"))
+    often = stored(held.groupBy("x").agg(F.count(F.lit(1)).alias("f")).where("f > 1"), "often")
+    known = join_checked(held, often, "x", "inner").groupBy("node", "n", "comp").agg(F.sort_array(F.collect_list(F.struct("f", "x"))).alias("known"))  # of one set
+    known = known.withColumn("alone", F.col("n") - F.size("known"))  # shingles of no other set come first
+    low = F.ceil(percent * F.col("n") / 100).cast("long")
+    step = F.call_function("shiftleft", F.lit(1).cast("long"), F.greatest(F.length(F.bin(low)) - 6, F.lit(0)))
+    classes = F.array_distinct(F.transform(F.sequence(size_class(low), F.col("n"), step), size_class))
+
+    def listed(rows: DataFrame, s: Column, names: tuple[str, ...]) -> DataFrame:
+        """The shingles within the prefix that a link of at least s common ones allows, with their positions."""
+        reach = (F.col("n") - s + 1 - F.col("alone")).cast("int")
+        return rows.select(*names, F.posexplode(F.when(reach > 0, F.slice("known", 1, F.greatest(reach, F.lit(1)))))).select(*names, F.col("col.x").alias("x"), (F.col("alone") + F.col("pos")).alias("at"))
+
+    names = ("node", "n", "comp", "class", "alone")
+    index = listed(known.withColumn("class", size_class(F.col("n"))), least_common(F.col("n"), F.col("n"), percent), names)
+    probe = listed(known.withColumn("class", F.explode(classes)), least_common(F.greatest("class", low), F.col("n"), percent), names)
+    key = ["x", "class"]
+    index = stored(index.drop("alone"), "index")
+    probe = stored(join_checked(probe.drop("alone"), stored(index.select(*key).distinct(), "keys"), key, "left_semi"), "probe")
+    kinds = index.select(*key, "comp").union(probe.select(*key, "comp")).groupBy(*key, "comp").agg(F.count(F.lit(1)).alias("c"))
+    tops = stored(kinds.groupBy(*key).agg(F.count(F.lit(1)).alias("kinds"), F.max(F.struct("c", "comp")).alias("top")).where("kinds > 1").select(*key, F.col("top.comp").alias("top")), "tops")
+    a = stored(join_checked(index, tops, key, "inner").select(*key, "top", *(F.col(k).alias(f"{k}a") for k in ("node", "n", "comp", "at"))), "index")
+    b = stored(join_checked(probe, tops, key, "inner").select(*key, *(F.col(k).alias(f"{k}b") for k in ("node", "n", "comp", "at")), "top"), "probe")
+    left = F.least(F.col("na") - F.col("ata"), F.col("nb") - F.col("atb"))
+    fits = (F.struct("na", "nodea") < F.struct("nb", "nodeb")) & (F.col("compa") != F.col("compb")) & (100 * F.col("na") >= percent * F.col("nb")) & (left >= least_common(F.col("na"), F.col("nb"), percent))
+    # of what most members of a key belong to, none meets another
+    far = a.where("compa != top").drop("top").join(b.drop("top"), key).where(fits)
+    near = a.where("compa = top").drop("top").join(b.where("compb != top").drop("top"), key).where(fits)
+    return far.union(near).select(F.col("nodea").alias("a"), F.col("nodeb").alias("b")).distinct()
 
 
 def estimate(a: str, b: str, minima: int = MINIMA, bits: int = BITS) -> Column:
@@ -186,15 +219,17 @@ def components(links: DataFrame) -> DataFrame:
         label = after.select("id", "comp")
 
 
-def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, percent: int = 80) -> DataFrame:
-    """One row per input row: id, n_shingles, component_id, kept."""
-    docs = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, percent: int = 80, place: tuple[str, str] | None = None) -> DataFrame:
+    """One row per input row: id, n_shingles, component_id, kept, file, row (the locator; place names the columns that
+    hold it, if the input has them already). Kept is the first of each component in order of id, file and row."""
+    if place is None:
+        df = located(df.select(F.struct(F.col(id_col).alias("id"), F.col(text_col).alias("text")).alias("doc")))
+        docs = df.select(F.struct("doc.id", F.xxhash64("file").alias("file"), "row").alias("id"), "doc.text")
+    else:
+        docs = df.select(F.struct(F.col(id_col).alias("id"), F.col(place[0]).alias("file"), F.col(place[1]).alias("row")).alias("id"), F.col(text_col).alias("text"))
     digests = stored(_digests(docs, shingle), "digests")
     filled = digests.where("n > 0")
-    classes = stored(filled.groupBy("k1", "k2", "n").agg(F.min("id").alias("id"), F.min_by(F.struct("bands", "planes"), F.col("id")).alias("s")).select("id", "k1", "k2", "n", "s.bands", "s.planes"), "classes")
-    # two classes may bear one id where ids repeat: a class is named by its key
-    classes = classes.withColumn("node", F.struct("id", "k1", "k2"))
-    unique = classes.groupBy("id").count().where("count > 1").isEmpty()
+    classes = stored(filled.groupBy("k1", "k2", "n").agg(F.min("id").alias("node"), F.min_by(F.struct("bands", "planes"), F.col("id")).alias("s")).select("node", "k1", "k2", "n", "s.bands", "s.planes"), "classes")
     bands = classes.select("node", F.explode("bands").alias("band"))
     shared = stored(bands.groupBy("band").agg(F.count(F.lit(1)).alias("m"), F.min("node").alias("leader")).where("m > 1").drop("m"), "shared")
     buckets = stored(join_checked(bands, shared, "band", "inner").select("band", "node", "leader"), "buckets")
@@ -215,18 +250,11 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     def confirmed(likely: DataFrame) -> DataFrame:
         """Of likely pairs those that are links on full sets."""
         likely = stored(likely, "likely")
-        wanted = stored(likely.select(F.col("a.id").alias("id")).union(likely.select("b.id")).distinct(), "wanted")
-        sets = _sets(join_checked(docs, wanted, "id", "left_semi").select("id", "text"), shingle)
-        if unique:  # copies of an id hold one set
-            keyed = sets.groupBy("id").agg(F.first("set").alias("set"))
-            at = lambda s: [F.col(f"{s}.id") == F.col(f"i{s}")]
-            held = lambda s: keyed.select(F.col("id").alias(f"i{s}"), F.col("set").alias(f"s{s}"))
-        else:
-            keyed = sets.withColumn("n", F.size("set").cast("long")).join(digests.select("id", "n", "k1", "k2").distinct(), ["id", "n"]).dropDuplicates(["id", "k1", "k2", "set"])
-            at = lambda s: [F.col(f"{s}.id") == F.col(f"i{s}"), F.col(f"{s}.k1") == F.col(f"x{s}"), F.col(f"{s}.k2") == F.col(f"y{s}")]
-            held = lambda s: keyed.select(F.col("id").alias(f"i{s}"), F.col("k1").alias(f"x{s}"), F.col("k2").alias(f"y{s}"), F.col("set").alias(f"s{s}"))
-        pairs = likely.join(held("b"), at("b")).select("a", "b", "na", "nb", "sb").join(held("a"), at("a"))
+        wanted = stored(likely.select(F.col("a").alias("id")).union(likely.select("b")).distinct(), "wanted")
+        sets = stored(_sets(join_checked(docs, wanted, "id", "left_semi").select("id", "text"), shingle).drop("n"), "sets")
+        held = lambda s: sets.select(F.col("id").alias(s), F.col("set").alias(f"s{s}"))
         both = F.size(F.array_intersect("sa", "sb"))
+        pairs = likely.join(held("b"), "b").join(held("a"), "a")
         return pairs.where(100 * both >= percent * (F.col("na") + F.col("nb") - both)).select("a", "b")
 
     def joined(comp: DataFrame, links: DataFrame) -> DataFrame:
@@ -254,34 +282,24 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
             hubs = stored(join_checked(ends, comp, "id", "inner").groupBy(F.col("comp").alias("top")).agg(F.max_by("id", F.struct("d", "id")).alias("hub")), "hubs")
             pairs = estimated(join_checked(outer.select("top", "node").distinct(), hubs, "top", "inner").select(F.col("hub").alias("a"), F.col("node").alias("b")))
         else:
-            rest = stored(inside.select("node.id").distinct(), "rest")
-            fine = stored(_fine(join_checked(docs, rest, "id", "left_semi").select("id", "text"), shingle), "fine")
-            finer = lambda s: join_checked(fine.select(F.col("node").alias(s), F.col("fine").alias(f"f{s}")), side(s), s, "inner")
-            sides = [stored(finer(s), "side") for s in ("a", "b")]
-            x = join_checked(outer.select("band", F.col("node").alias("a"), F.col("comp").alias("ca")), sides[0], "a", "inner")
-            y = join_checked(inside.select("band", F.col("node").alias("b"), F.col("comp").alias("cb"), "top"), sides[1], "b", "inner")
-            apart = (F.col("ca") < F.col("cb")) | (F.col("cb") == F.col("top"))
-            likely_fine = estimate("fa", "fb", FINE_MINIMA, FINE_BITS) >= least_estimate(percent, FINE_MINIMA, FINE_BITS)
-            pairs = x.join(y, (x["band"] == y["band"]) & apart & likely_pair & likely_fine).select("a", "b", "na", "nb").distinct()
+            rest = stored(inside.select(F.col("node").alias("id"), "comp").distinct(), "rest")
+            sets = _sets(join_checked(docs, rest.select("id"), "id", "left_semi").select("id", "text"), shingle)
+            members = stored(join_checked(sets, rest, "id", "inner").withColumnRenamed("id", "node"), "members")
+            pairs = estimated(prefix_pairs(members, percent))
         fresh = stored(confirmed(pairs), "links")
         comp = joined(comp, fresh)
         links = links.unionByName(fresh)
-    named = join_checked(classes.select("k1", "k2", "n", "node"), comp.withColumnRenamed("id", "node"), "node", "left").select("k1", "k2", "n", F.coalesce("comp.id", "node.id").alias("component_id"))
+    named = join_checked(classes.select("k1", "k2", "n", "node"), comp.withColumnRenamed("id", "node"), "node", "left").select("k1", "k2", "n", F.coalesce("comp", "node").alias("comp"))
     named = stored(named, "named")
-    moved = join_checked(digests.select("id", "k1", "k2", "n"), named, ["k1", "k2", "n"], "left").select("id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id"))
-    return moved.withColumn("kept", F.col("id") == F.col("component_id"))
+    first = F.coalesce("comp", "id")
+    return join_checked(digests.select("id", "k1", "k2", "n"), named, ["k1", "k2", "n"], "left").select(
+        "id.id", F.col("n").alias("n_shingles"), first.getField("id").alias("component_id"), (F.col("id") == first).alias("kept"), "id.file", "id.row"
+    )
 
 
 def drop_near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 80) -> DataFrame:
-    """The input's rows that stay, all columns as they are: one of each group, its smallest id. Of rows that share the
-    id that stays and belong to its group the first text stays."""
-    found = near_duplicates(df, id_col, text_col, shingle, percent)
-    gone = stored(found.where("not kept").select("id").distinct(), "gone")
-    keyed = df.withColumn("_near_id", F.col(id_col))
-    staying = join_checked(keyed, gone.withColumnRenamed("id", "_near_id"), "_near_id", "left_anti")
-    twice = stored(found.where("kept and n_shingles > 0").groupBy("id").count().where("count > 1").select(F.col("id").alias("_near_id")), "twice")
-    if not twice.isEmpty():
-        again = staying.join(twice, "_near_id", "left_semi")
-        first = again.withColumn("_near_rank", F.row_number().over(Window.partitionBy("_near_id").orderBy(text_col))).where("_near_rank = 1").drop("_near_rank")
-        staying = staying.join(twice, "_near_id", "left_anti").unionByName(first)
-    return staying.select(*df.columns)
+    """The input's rows that stay, all columns as they are: one of each group, the first by id."""
+    names = [F.col(f"`{c}`") for c in df.columns]
+    docs = located(df.select(F.struct(*names).alias("doc"), F.col(id_col).alias("id"), F.col(text_col).alias("text"))).withColumn("file", F.xxhash64("file"))
+    gone = stored(near_duplicates(docs, "id", "text", shingle, percent, place=("file", "row")).where("not kept").select("file", "row"), "gone")
+    return join_checked(docs, gone, ["file", "row"], "left_anti").select("doc.*")

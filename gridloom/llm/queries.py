@@ -46,7 +46,7 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
-    return minhash_dedup.near_duplicates(docs, shingle=4, percent=80).withColumnRenamed("id", "doc_id")
+    return minhash_dedup.near_duplicates(docs, shingle=4, percent=80).select(F.col("id").alias("doc_id"), "n_shingles", "component_id", "kept")
 
 
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -63,7 +63,7 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
-    return suffix_dedup.repeated_spans(docs).select(F.col("id").alias("doc_id"), "n_bytes", "n_removed", "n_spans", "kept_sha256")
+    return suffix_dedup.repeated_spans(docs).select(F.col("id").alias("doc_id"), "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept_text")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_line_dedup, op2_token_counts, op3_html_extract, op4_exact_dedup, op5_sentencepiece, op6_mixing, op7_minhash_dedup, op8_language_id, op9_quality_rules, op10_suffix_dedup)}

@@ -1,12 +1,13 @@
 """Removal of byte strings that start more than once anywhere in a corpus, by suffix arrays over shards.
 
-A window is LENGTH bytes of one document. Its owner is the gram of GRAM bytes inside it with the smallest hash (the last
-of equals), so equal windows have equal owners at equal places, wherever they stand. One pass lists each document's
-runs of windows with one owner; a window can only repeat if its owner's hash does. For those runs, the bytes of all
-their windows (a context) are cut out and dealt to shards by owner:
+A window is LENGTH bytes of one document. Its owner is the gram of GRAM bytes inside it with the smallest hash, so equal
+windows have equal owners, wherever they stand. One pass lists each document's runs of at most CUT windows whose
+owners' hash is one; a window can only repeat if its owner's hash occurs in a second run or at a second place of its
+run. For those runs, the bytes of all their windows (a context) are cut out and dealt to shards by owner. Contexts
+overlap by a window at most, so those of a periodic text are about as long as the text:
 
 * equal contexts are collapsed first (pre-aggregated); one that occurs twice repeats as a whole;
-* owners with several different contexts go to suffix arrays: contexts are concatenated, suffixes sorted to
+* owners with several different contexts, or with one that holds them twice, go to suffix arrays: contexts are concatenated, suffixes sorted to
   their context's end by Larsson-Sadakane refinement (only unsorted groups are refined, the sorted depth doubles), and Kasai's common
   prefixes, in lockstep over all contexts, tell which windows agree with a neighbour in LENGTH bytes;
 * an owner with more than HOT different contexts is split over several shards; each writes its sorted window keys by
@@ -29,16 +30,21 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import join_checked, located, prefix_hash, span_hash, stored, text_slices
+from ._common import join_checked, located, prefix_hash, release, span_hash, stored, text_slices
 
 _U = np.uint64
 
 LENGTH = 400
 GRAM = 64
 #: Different contexts of one owner that one shard takes; more are split.
-HOT = 1024
-#: Bytes of contexts in one suffix array, unless a single owner has more.
-SHARD_BYTES = 1 << 22
+HOT = 256
+#: Bytes of contexts in one suffix array, and the windows of a run at most.
+SHARD_BYTES = 1 << 20
+CUT = 2048
+#: Runs of a text that are cut out at a time.
+CHUNK = 1024
+#: Bits of a suffix's number where rank, next rank and number share one sort key.
+_BITS = 21
 #: A text's windows are listed so many at a time.
 PIECE = 1 << 22
 _PLACE = _U((1 << 24) - 1)
@@ -55,8 +61,9 @@ def sliding_min(values: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(behind[:n], ahead[width - 1 : width - 1 + n])
 
 
-def window_runs(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Runs of windows with one owner: text, first and last window start within it, owner's hash."""
+def window_runs(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH, gram: int = GRAM, cut: int = CUT) -> tuple[np.ndarray, ...]:
+    """Runs of windows with one owner's hash: text, first and last window start within it, the hash, and whether the
+    owner stands at several places of the run."""
     found = []
     pieces = [(0, len(data), offsets)]
     if len(offsets) == 2 and len(data) > 2 * PIECE:
@@ -78,13 +85,16 @@ def window_runs(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH, gra
             continue
         owner = (_PLACE - (least[window] & _PLACE)).astype(np.int64)
         fresh = np.ones(len(window), bool)
-        fresh[1:] = (owner[1:] != owner[:-1]) | (window[1:] != window[:-1] + 1)
+        key = hashes[owner]
+        fresh[1:] = (key[1:] != key[:-1]) | (window[1:] != window[:-1] + 1)
+        first = np.flatnonzero(fresh)
+        fresh |= (np.arange(len(window)) - first[np.cumsum(fresh) - 1]) % cut == 0
         first = np.flatnonzero(fresh)
         last = np.append(first[1:], len(window)) - 1
         text = np.searchsorted(bounds, window[first], side="right") - 1
-        found.append((text, window[first] - bounds[text] + at, window[last] - bounds[text] + at, hashes[owner[first]].view(np.int64)))
+        found.append((text, window[first] - bounds[text] + at, window[last] - bounds[text] + at, key[first].view(np.int64), owner[first] != owner[last]))
     if not found:
-        return tuple(np.zeros(0, np.int64) for _ in range(4))
+        return (*(np.zeros(0, np.int64) for _ in range(4)), np.zeros(0, bool))
     return tuple(np.concatenate(x) for x in zip(*found))
 
 
@@ -96,15 +106,23 @@ def suffix_order(symbols: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarra
     n = len(symbols)
     ends = np.append(np.flatnonzero(symbols == 0), n)
     left = (np.repeat(ends, np.diff(ends, prepend=-1))[:n] - np.arange(n)).astype(np.int32)
-    padded = np.concatenate([symbols, np.zeros(7, symbols.dtype)])
+    first = 4  # symbols of the first key
+    padded = np.concatenate([symbols, np.zeros(first, symbols.dtype)])
     key = np.zeros(n, _U)
-    for k in range(7):
+    for k in range(first):
         key <<= _U(9)
         key |= padded[k : k + n].astype(_U)
-    near = np.flatnonzero(left < 7)
-    key[near] &= ~((_U(1) << (9 * (7 - left[near])).astype(_U)) - _U(1))
-    order = np.argsort(key, kind="stable")
-    key = key[order]
+    near = np.flatnonzero(left < first)
+    key[near] &= ~((_U(1) << (9 * (first - left[near])).astype(_U)) - _U(1))
+    small = n < 1 << _BITS  # a key and the suffix's number share one word, which sorts much faster than an order does
+    low = _U((1 << _BITS) - 1)
+    if small:
+        key = np.sort((key << _U(_BITS)) | np.arange(n, dtype=_U))
+        order = (key & low).astype(np.int64)
+        key >>= _U(_BITS)
+    else:
+        order = np.argsort(key, kind="stable")
+        key = key[order]
     fresh = np.ones(n, bool)
     fresh[1:] = key[1:] != key[:-1]
     del key, padded
@@ -112,7 +130,7 @@ def suffix_order(symbols: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarra
     rank[n] = -1
     heads = np.flatnonzero(fresh)
     rank[order] = np.repeat(heads, np.diff(np.append(heads, n)))
-    sorted_to = 7
+    sorted_to = first
     # places in the order whose group has several suffixes
     size = np.diff(np.append(heads, n))
     open_ = np.flatnonzero(np.repeat(size > 1, size))
@@ -120,11 +138,17 @@ def suffix_order(symbols: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarra
     while sorted_to < depth and len(open_):
         suffix = order[open_]
         group, then = rank[suffix], rank[np.minimum(suffix + sorted_to, n)]
-        by = np.lexsort((then, group))
-        suffix, group, then = suffix[by], group[by], then[by]
+        if small:
+            word = np.sort((group.astype(_U) << _U(2 * _BITS)) | ((then + 1).astype(_U) << _U(_BITS)) | suffix.astype(_U))
+            suffix = (word & low).astype(np.int64)
+            word >>= _U(_BITS)
+            group = (word >> _U(_BITS)).astype(np.int64)
+        else:
+            by = np.lexsort((then, group))
+            suffix, group, word = suffix[by], group[by], then[by]
         order[open_] = suffix
         fresh = np.ones(len(open_), bool)
-        fresh[1:] = (group[1:] != group[:-1]) | (then[1:] != then[:-1])
+        fresh[1:] = (group[1:] != group[:-1]) | (word[1:] != word[:-1])
         heads = np.flatnonzero(fresh)
         size = np.diff(np.append(heads, len(open_)))
         rank[suffix] = np.repeat(open_[heads], size)
@@ -149,6 +173,10 @@ def windows_and_ranks(contexts: list[bytes], length: int = LENGTH) -> list[tuple
     place = np.empty(n, np.int64)
     place[order] = np.arange(n)
     repeated, again = np.zeros(n, bool), np.zeros(n, bool)
+    several = 5  # symbols compared at a time: 45 bits, which a double holds exactly
+    words = np.zeros(n + several, np.int64)
+    for k in range(several):
+        words[:n] = (words[:n] << 9) | np.append(symbols[k:], np.zeros(k, symbols.dtype))
     # Kasai, in lockstep: the t-th suffix of every context together
     common = np.zeros(len(sizes), np.int64)
     for t in range(int(sizes.max()) - length + 1):
@@ -161,10 +189,12 @@ def windows_and_ranks(contexts: list[bytes], length: int = LENGTH) -> list[tuple
         shared = np.minimum(shared, limit)
         going = np.flatnonzero(shared < limit)
         while len(going):
-            same = symbols[i[going] + shared[going]] == symbols[j[going] + shared[going]]
-            going = going[same]
-            shared[going] += 1
-            going = going[shared[going] < limit[going]]
+            depth = shared[going]
+            differ = words[i[going] + depth] ^ words[j[going] + depth]
+            same = several - (np.frexp(differ.astype(np.float64))[1] + 8) // 9
+            shared[going] = depth + same
+            going = going[(same == several) & (depth + same < limit[going])]
+        shared = np.minimum(shared, limit)
         common[live] = shared
         full = shared >= length
         repeated[i[full]] = True
@@ -187,7 +217,6 @@ def _spans(flags: np.ndarray, length: int) -> tuple[list[int], list[int]]:
     return first.tolist(), (last + length).tolist()
 
 
-_RUN = "struct<lo:int,hi:int,h:bigint>"
 _SHARD = "h long, c long, starts array<int>, ends array<int>, part int, k binary, kc binary, kt binary"
 
 
@@ -196,10 +225,10 @@ def _list_runs(docs: DataFrame, length: int, gram: int) -> DataFrame:
         for batch in batches:
             files, rows = batch.column(0).to_numpy(), batch.column(1).to_numpy()
             for lo, hi, data, offsets in text_slices(batch.column(2)):
-                text, first, last, h = window_runs(data, offsets, length, gram)
-                yield pa.RecordBatch.from_arrays([pa.array(files[lo:hi][text]), pa.array(rows[lo:hi][text]), pa.array(first.astype(np.int32)), pa.array(last.astype(np.int32)), pa.array(h)], names=["file", "row", "lo", "hi", "h"])
+                text, first, last, h, inner = window_runs(data, offsets, length, gram)
+                yield pa.RecordBatch.from_arrays([pa.array(files[lo:hi][text]), pa.array(rows[lo:hi][text]), pa.array(first.astype(np.int32)), pa.array(last.astype(np.int32)), pa.array(h), pa.array(inner)], names=["file", "row", "lo", "hi", "h", "inner"])
 
-    return docs.select("file", "row", "text").mapInArrow(run, "file long, row long, lo int, hi int, h long")
+    return docs.select("file", "row", "text").mapInArrow(run, "file long, row long, lo int, hi int, h long, inner boolean")
 
 
 def _cut_contexts(held: DataFrame, length: int) -> DataFrame:
@@ -207,15 +236,17 @@ def _cut_contexts(held: DataFrame, length: int) -> DataFrame:
         for batch in batches:
             for k in range(batch.num_rows):
                 text = (batch.column(2)[k].as_py() or "").encode("utf-8")
-                runs = batch.column(3)[k].as_py()
-                pieces = [text[r["lo"] : r["hi"] + length] for r in runs]
-                n = len(runs)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([batch.column(0)[k].as_py()] * n, pa.int64()), pa.array([batch.column(1)[k].as_py()] * n, pa.int64()), pa.array([r["lo"] for r in runs], pa.int32()), pa.array([r["h"] for r in runs], pa.int64()), pa.array(pieces, pa.binary())],
-                    names=["file", "row", "lo", "h", "context"],
-                )
+                file, row, runs = (batch.column(c)[k].as_py() for c in (0, 1, 3))
+                for at in range(0, len(runs), CHUNK):
+                    some = runs[at : at + CHUNK]
+                    n = len(some)
+                    pieces = [text[r["lo"] : r["hi"] + length] for r in some]
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array([file] * n, pa.int64()), pa.array([row] * n, pa.int64()), pa.array([r["lo"] for r in some], pa.int32()), pa.array([r["h"] for r in some], pa.int64()), pa.array([r["inner"] for r in some], pa.bool_()), pa.array(pieces, pa.binary())],
+                        names=["file", "row", "lo", "h", "inner", "context"],
+                    )
 
-    return held.select("file", "row", "text", "runs").mapInArrow(run, "file long, row long, lo int, h long, context binary")
+    return held.select("file", "row", "text", "runs").mapInArrow(run, "file long, row long, lo int, h long, inner boolean, context binary")
 
 
 def _shards(contexts: DataFrame, length: int) -> DataFrame:
@@ -292,23 +323,27 @@ def _merged(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarra
 
 
 def repeated_spans(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, gram: int = GRAM, hot: int = HOT) -> DataFrame:
-    """One row per input row: id, n_bytes, n_removed, n_spans, kept_sha256, starts, ends (byte spans removed)."""
+    """One row per input row: id, n_bytes, n_removed, n_spans, kept_sha256, starts, ends (byte spans removed), kept_text
+    (the remaining bytes; where a span cuts a character in two, its rest reads as U+FFFD)."""
     docs = located(df.select(F.struct(F.col(id_col).alias("id"), F.col(text_col).alias("text")).alias("doc")))
     docs = docs.select("doc.id", "doc.text", F.xxhash64("file").alias("file"), "row")
     runs = stored(_list_runs(docs, length, gram), "runs")
-    owners = stored(runs.groupBy("h").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("h"), "owners")
-    chosen = join_checked(runs, owners, "h", "left_semi").groupBy("file", "row").agg(F.collect_list(F.struct("lo", "hi", "h")).alias("runs"))  # of one document
-    held = stored(docs.select("file", "row", "text").join(chosen, ["file", "row"]), "held")
+    owners = stored(runs.groupBy("h").agg(F.count(F.lit(1)).alias("m"), F.max("inner").alias("inner")).where("m > 1 or inner").select("h"), "owners")
+    chosen = join_checked(runs, owners, "h", "left_semi").groupBy("file", "row").agg(F.collect_list(F.struct("lo", "hi", "h", "inner")).alias("runs"))  # of one document
+    held = stored(docs.select("id", "file", "row", "text").join(chosen, ["file", "row"]), "held")
+    release(runs, owners)
 
     places = _cut_contexts(held, length).withColumn("c", F.xxhash64("context"))
-    contexts = stored(places.groupBy("h", "c", "context").agg(F.count(F.lit(1)).alias("m")), "contexts")
-    several = stored(contexts.groupBy("h").agg(F.count(F.lit(1)).alias("kinds")).where("kinds > 1").select("h", F.ceil(F.col("kinds") / hot).cast("int").alias("parts")), "several")
+    contexts = stored(places.groupBy("h", "c", "context").agg(F.count(F.lit(1)).alias("m"), F.max("inner").alias("inner")), "contexts")
+    several = contexts.groupBy("h").agg(F.count(F.lit(1)).alias("kinds"), F.max("inner").alias("inner")).where("kinds > 1 or inner")
+    several = stored(several.select("h", F.ceil(F.col("kinds") / hot).cast("int").alias("parts")), "several")
     split = join_checked(contexts.select("h", "c", "context"), several, "h", "inner").withColumn("part", F.pmod("c", "parts").cast("int"))
     shards = stored(_shards(split, length), "shards")
     spans = shards.where("part is null").select("h", "c", "starts", "ends")
     spans = spans.union(_across(shards.where("part is not null"), length))
     whole = contexts.where("m > 1").select("h", "c", F.array(F.lit(0)).alias("starts"), F.array(F.length("context").cast("int")).alias("ends"))
     spans = stored(spans.union(whole).groupBy("h", "c").agg(F.flatten(F.collect_list("starts")).alias("starts"), F.flatten(F.collect_list("ends")).alias("ends")), "spans")  # of one context
+    release(contexts, several, shards)
 
     again = places.select("file", "row", "lo", "h", "c")
     found = join_checked(again, spans, ["h", "c"], "inner")
@@ -316,25 +351,24 @@ def repeated_spans(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     found = found.groupBy("file", "row").agg(F.flatten(F.collect_list(shift("starts"))).alias("starts"), F.flatten(F.collect_list(shift("ends"))).alias("ends"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.string()]
         for batch in batches:
             out = []
-            for file, row, text, starts, ends in zip(*(c.to_pylist() for c in batch.columns)):
+            for text, starts, ends in zip(*(batch.column(k).to_pylist() for k in (3, 4, 5))):
                 a, b = _merged(np.array(starts), np.array(ends))
-                raw, digest, at = memoryview((text or "").encode("utf-8")), hashlib.sha256(), 0
-                for x, y in zip(a.tolist(), b.tolist()):
-                    digest.update(raw[at:x])
-                    at = y
-                digest.update(raw[at:])
-                out.append((file, row, int((b - a).sum()), len(a), digest.hexdigest(), a.tolist(), b.tolist()))
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.list_(pa.int32()), pa.list_(pa.int32()))
-            names = ["file", "row", "n_removed", "n_spans", "sha", "starts", "ends"]
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out), kinds)] if out else [pa.array([], t) for t in kinds], names=names)
-
-    schema = "file long, row long, n_removed long, n_spans long, sha string, starts array<int>, ends array<int>"
-    lost = stored(held.select("file", "row", "text").join(found, ["file", "row"]).select("file", "row", "text", "starts", "ends").mapInArrow(cut, schema), "lost")
-    raw = F.coalesce("text", F.lit(""))
-    every = docs.select("id", "file", "row", F.octet_length(raw).cast("long").alias("n_bytes"), F.sha2(raw, 256).alias("own"))
-    none = F.array().cast("array<int>")
-    return join_checked(every, lost, ["file", "row"], "left").select(
-        "id", "n_bytes", F.coalesce("n_removed", F.lit(0)).cast("long").alias("n_removed"), F.coalesce("n_spans", F.lit(0)).cast("long").alias("n_spans"), F.coalesce("sha", "own").alias("kept_sha256"), F.coalesce("starts", none).alias("starts"), F.coalesce("ends", none).alias("ends")
-    )
+                raw = (text or "").encode("utf-8")
+                cuts = [0, *(x for pair in zip(a.tolist(), b.tolist()) for x in pair), len(raw)]
+                kept = b"".join(raw[x:y] for x, y in zip(cuts[::2], cuts[1::2]))
+                out.append((len(raw), len(raw) - len(kept), len(a), hashlib.sha256(kept).hexdigest(), a.tolist(), b.tolist(), kept.decode("utf-8", "replace")))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], *(pa.array(x, t) for x, t in zip(zip(*out) if out else [[]] * len(kinds), kinds))], names=names)
+
+    names = ["id", "file", "row", "n_bytes", "n_removed", "n_spans", "kept_sha256", "starts", "ends", "kept_text"]
+    kind = docs.schema["id"].dataType.simpleString()
+    schema = f"id {kind}, file long, row long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, starts array<int>, ends array<int>, kept_text string"
+    lost = stored(held.join(found, ["file", "row"]).select("id", "file", "row", "text", "starts", "ends").mapInArrow(cut, schema), "lost")
+    release(held, spans)
+    raw, none = F.coalesce("text", F.lit("")), F.array().cast("array<int>")
+    whole = join_checked(docs, stored(lost.select("file", "row"), "touched"), ["file", "row"], "left_anti")
+    nothing = F.lit(0).cast("long")
+    whole = whole.select("id", F.octet_length(raw).cast("long").alias("n_bytes"), nothing.alias("n_removed"), nothing.alias("n_spans"), F.sha2(raw, 256).alias("kept_sha256"), none.alias("starts"), none.alias("ends"), raw.alias("kept_text"))
+    return whole.unionByName(lost.drop("file", "row"))
