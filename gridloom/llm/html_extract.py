@@ -17,17 +17,20 @@ import re
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ._common import join_checked, stored, text_slices, with_fields
 
-#: Paths of a host that win: the first and any other with this share of its votes.
+#: Share of a host's votes with which a path wins; a host may have no such path, then each page keeps its own.
 SHARE = 0.1
 #: Share of a page's text that its container must hold.
 NEARLY = 0.9
 
-_TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?\]\]>|<(/?)([a-zA-Z][^\s/>]*)((?:[^"'>]|"[^"]*"|'[^']*')*+)>|<[!?/][^>]*>|<[a-zA-Z][^>]*>""", re.S)
+#: A tag whose quoted values are short; longer and broken ones are looked at by _Tokens.
+_TOKEN = re.compile(r"""<!--|<!\[CDATA\[|<(/?)([a-zA-Z][^\s/>]*)((?:[^"'<>]++|"[^"]{0,200}+"|'[^']{0,200}+'){0,40}+)>|<[!?/]|<[a-zA-Z]""", re.S)
+_SPECIAL = re.compile("[\"'>]")
+_NAME = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)")
 _ATTRIBUTE = re.compile(r"""([^\s"'=<>/]+)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))|([^\s"'=<>/]+)""")
 
 # Element classes of HTML.
@@ -80,11 +83,68 @@ def _generalised(tag: str, attrs: dict[str, str]) -> str:
     return ".".join([tag, *sorted(words)])
 
 
+def _extended(key: int, step: str) -> int:
+    """A path's key from its parent's: paths themselves would take a page's depth squared."""
+    return hash((key, step))
+
+
+class _Tokens:
+    """Comments, tags and declarations of a page, in time in proportion to its length whatever it holds."""
+
+    def __init__(self, html: str):
+        self.html, self.size = html, len(html)
+        self.last = html.rfind(">")
+        self.last_cdata = html.rfind("]]>")
+        self.dead: set[int] = set()  # places after a value from where no tag ends
+
+    def _end_of_tag(self, at: int) -> int:
+        """Where the tag ends whose name ends at `at`: the first > outside quoted values; -1 without any."""
+        seen = []
+        while at not in self.dead:
+            seen.append(at)
+            m = _SPECIAL.search(self.html, at)
+            if not m:
+                break
+            if m[0] == ">":
+                return m.start()
+            close = self.html.find(m[0], m.end())
+            if close < 0:
+                break
+            at = close + 1
+        self.dead.update(seen)
+        return -1
+
+    def next(self, at: int) -> tuple[int, int, str | None, str, str, str] | None:
+        """Start, end, slash and name of a tag (None where it is none), its attributes, and the text of CDATA."""
+        html = self.html
+        while m := _TOKEN.search(html, at):
+            start, found = m.start(), m[0]
+            if m[2] is not None:
+                return start, m.end(), m[1], m[2], m[3], ""
+            if found == "<!--":
+                end = html.find("-->", m.end())
+                return start, end + 3 if end >= 0 else self.size, None, "", "", ""
+            if start > max(self.last, self.last_cdata):
+                return None
+            if found == "<![CDATA[" and start < self.last_cdata:
+                end = html.find("]]>", m.end())
+                return start, end + 3, None, "", "", html[m.end() : end]
+            name = _NAME.match(html, start)
+            end = self._end_of_tag(name.end()) if name else -1
+            if end >= 0:
+                return start, end + 1, name[1], name[2], html[name.end() : end], ""
+            end = html.find(">", m.end()) if start < self.last else -1  # a broken tag ends at the next >
+            if end >= 0:
+                return start, end + 1, None, "", "", ""
+            at = m.end()
+        return None
+
+
 class Page:
     """A page's blocks of text, each with its container, and its containers with their paths."""
 
     def __init__(self, html: str):
-        self.parent, self.path, self.score = [-1], [""], [0.0]
+        self.parent, self.step, self.key, self.within, self.score = [-1], [""], [_extended(0, "")], [False], [0.0]
         self.blocks: list[tuple[int, str]] = []
         self._read(html)
 
@@ -115,9 +175,10 @@ class Page:
             del stack[depth:]
             _, node, drop, link = stack[-1]
 
+        tokens = _Tokens(html)
         while at < size:
-            m = _TOKEN.search(html, at)
-            end = m.start() if m else size
+            m = tokens.next(at)
+            end = m[0] if m else size
             if end > at and not drop:
                 text = html[at:end]
                 text = htmllib.unescape(text) if "&" in text else text
@@ -126,14 +187,13 @@ class Page:
                     linked += len(text)
             if not m:
                 break
-            at = m.end()
-            tag = m[2]
-            if tag is None:
-                if m[0].startswith("<![CDATA[") and not drop:
-                    pieces.append(m[0][9:-3])
+            _, at, slash, tag, rest, cdata = m
+            if slash is None:
+                if cdata and not drop:
+                    pieces.append(cdata)
                 continue
             tag = tag.lower()
-            if m[1]:
+            if slash:
                 if tag == "br" or tag == "p" and not any(x[0] == "p" for x in stack):
                     if tag == "p":
                         close_block()
@@ -146,7 +206,7 @@ class Page:
                         break
                 continue
             if tag in _RAW:
-                if not m[3].endswith("/"):
+                if not rest.endswith("/"):
                     stop = re.compile(f"</{re.escape(tag)}\\b[^>]*>", re.I).search(html, at)
                     at = stop.end() if stop else size
                 continue
@@ -174,22 +234,25 @@ class Page:
                     if stack[depth][0] in _BLOCK:
                         break
                 close_block()
-            if m[3].endswith("/") and tag not in _BLOCK:
+            if rest.endswith("/") and tag not in _BLOCK:
                 continue
-            attrs = _attributes(m[3]) if m[3] else {}
+            attrs = _attributes(rest) if rest else {}
             inside = node
             if tag in _CONTAINER:
                 inside = len(self.parent)
                 self.parent.append(node)
-                self.path.append(f"{self.path[node]}>{_generalised(tag, attrs)}")
+                step = _generalised(tag, attrs)
+                self.step.append(step)
+                self.key.append(_extended(self.key[node], step))
+                first, *classes = step.split(".")
+                self.within.append(self.within[node] or first in ("article", "main") or any(_ARTICLE & set(_CAMEL.split(c)) for c in classes))
                 self.score.append(0.0)
             dropped = drop or tag in _DROP_TAG
             if not dropped and attrs and tag not in ("html", "body"):
                 dropped = _around(tag, attrs)
             if tag == "header" and not dropped:
                 dropped = True
-                within = self.path[node].split(">")
-                if any(x.split(".")[0] in ("article", "main") or _ARTICLE & {w for c in x.split(".")[1:] for w in _CAMEL.split(c)} for x in within):
+                if self.within[node]:
                     dropped = False  # its headings are the article's
                     tag = "header-of-article"
             if not drop and stack[-1][0] == "header-of-article" and tag not in _HEADING and tag not in ("div", "hgroup"):
@@ -198,9 +261,17 @@ class Page:
             _, node, drop, link = stack[-1]
         close_block()
 
+    def path(self, n: int) -> str:
+        """A container's path from the page's root."""
+        steps = []
+        while n > 0:
+            steps.append(self.step[n])
+            n = self.parent[n]
+        return "".join(f">{x}" for x in reversed(steps))
+
     def named(self, n: int) -> bool:
         """Whether a container's tag or class calls it an article."""
-        tag = self.path[n].rpartition(">")[2].split(".")
+        tag = self.step[n].split(".")
         return tag[0] in ("article", "main") or bool(_ARTICLE & set(tag[1:]))
 
     def best(self) -> int:
@@ -218,7 +289,10 @@ class Page:
 
     def on_path(self, path: str) -> list[int]:
         """The containers on a path, if any of them has text."""
-        found = {n for n, p in enumerate(self.path) if p == path}
+        wanted = _extended(0, "")
+        for step in path.split(">")[1:]:
+            wanted = _extended(wanted, step)
+        found = {n for n, k in enumerate(self.key) if k == wanted}
         for node, _ in self.blocks:
             while node >= 0:
                 if node in found:
@@ -264,7 +338,7 @@ def _best_paths(pages: DataFrame) -> DataFrame:
                 for text in column.slice(lo, hi - lo).to_pylist():
                     page = Page(text) if text else None
                     best = page.best() if page else -1
-                    paths.append(page.path[best] if best >= 0 else None)
+                    paths.append(page.path(best) if best >= 0 else None)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(paths, pa.string())], names=["host", "path"])
 
     return pages.mapInArrow(run, "host string, path string")
@@ -277,11 +351,9 @@ def main_text(df: DataFrame, html_col: str = "html", url_col: str = "url", share
     votes = _best_paths(df.select(host_of(F.col(url_col)).alias("host"), F.col(html_col))).where("path is not null")
     votes = votes.groupBy("host", "path").agg(F.count(F.lit(1)).alias("votes"))
     votes = stored(votes, "votes")
-    totals = votes.groupBy("host").agg(F.sum("votes").alias("all"), F.max("votes").alias("most"))
-    won = votes.join(totals, "host").where((F.col("votes") == F.col("most")) | (F.col("votes") >= share * F.col("all")))
-    place = F.row_number().over(Window.partitionBy("host").orderBy(F.desc("votes"), "path"))
-    won = won.withColumn("place", place).where(F.col("place") <= int(1 / share) + 1)
-    won = won.groupBy("host").agg(F.sort_array(F.collect_list(F.struct("place", "path"))).alias("w"))  # of at most 1 / share + 1
+    totals = votes.groupBy("host").agg(F.sum("votes").alias("all"))
+    won = votes.join(totals, "host").where(F.col("votes") >= share * F.col("all"))
+    won = won.groupBy("host").agg(F.sort_array(F.collect_list(F.struct((-F.col("votes")).alias("least"), "path"))).alias("w"))  # of at most 1 / share
     won = stored(won.select("host", F.col("w.path").alias("_paths")), "paths")
     joined = join_checked(df.withColumn("_host", host_of(F.col(url_col))), won.withColumnRenamed("host", "_host"), "_host", "left").select(*[F.col(f"`{c}`") for c in df.columns], "_paths")
     at = df.columns.index(html_col)

@@ -2,16 +2,18 @@
 
 Filters of widths 2, 3 and 4 slide over fixed-length windows of UTF-8 bytes; each filter's maximum over a window feeds
 a softmax layer. A filter is a sum of table rows, one per byte it sees, so the network is trained as 256-row tables and
-applied as tables over byte pairs: a few gathers per byte. A text's windows cover all its bytes; their log-probabilities,
-weighted by the bytes each holds, are averaged into the text's own distribution.
+applied as tables over byte pairs: a few gathers per byte. A text's windows, all WINDOW bytes long, cover all its bytes
+(the last ends with the text; a short text is padded with spaces); their log-probabilities, weighted by the bytes that
+each adds, are averaged into the text's own distribution.
 
-Training takes labelled rows only, at most SAMPLE of each language (chosen by a hash of the id) and PIECES windows of
-each, so what reaches the driver is bounded by languages * SAMPLE * PIECES * WINDOW bytes. Labels of at most LANGUAGES
-different values are learned, the most frequent ones.
+Every label value is learned. Training takes labelled rows only: of each language's different rows (id and text) the
+`sample` of smallest hash, or so many that all languages together stay under `rows`, and PIECES windows of each. What
+reaches the driver is thus bounded by (rows + LEAST * languages) * PIECES * WINDOW bytes.
 
 Edge cases: a text that is null or has no letter is `und` with score 0; with one learned language (or none) that one
-(or `und`) is predicted; predictions depend on the text alone; repeated rows get equal predictions; other columns are
-kept (those that bear a result's name are replaced).
+(or `und`) is predicted; labels whose texts have no letter aren't learned; rows that share an id, or have none, are told
+apart by their texts; predictions depend on the text alone; repeated rows get equal predictions; an empty table gives an
+empty result; other columns are kept (those that bear a result's name are replaced).
 """
 
 from __future__ import annotations
@@ -21,7 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ._common import text_slices, with_fields
@@ -29,10 +31,11 @@ from ._common import text_slices, with_fields
 WINDOW = 256
 FILTERS = 8
 WIDTHS = (2, 3, 4)
-SAMPLE, PIECES, LANGUAGES = 400, 6, 256
+#: Labelled rows of a language and of all together, the rows that each language has at least, and windows of a row.
+SAMPLE, ROWS, LEAST, PIECES = 400, 100_000, 10, 6
 STEPS, BATCH, RATE = 700, 128, 0.01
 #: A text's windows are predicted so many at a time.
-CHUNK = 1 << 12
+CHUNK = 1 << 9
 
 
 class ByteNet:
@@ -99,31 +102,15 @@ class ByteNet:
         self.tail = both(t[4][2], t[4][3])
         return self
 
-    def window_logits(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        """Log-probabilities of windows data[start:end), each of at least 4 and at most WINDOW bytes."""
-        out = np.empty((len(starts), len(self.languages)), np.float32)
-        for lo in range(0, len(starts), CHUNK):
-            s, e = starts[lo : lo + CHUNK], ends[lo : lo + CHUNK]
-            first, last = int(s[0]), int(e[-1])
-            part = data[first:last].astype(np.int32)
-            pair = part[:-1] * 256 + part[1:]
-            n = len(part)
-            v = self.head[pair]
-            v[: n - 2, FILTERS : 2 * FILTERS] += self.third[part[2:]]
-            v[: n - 3, 2 * FILTERS :] += self.tail[pair[2:]]
-            pooled = []
-            for i, w in enumerate(WIDTHS):
-                # windows follow each other; the places whose filter would reach beyond a window's end are left out
-                edges = np.empty(2 * len(s), np.int64)
-                edges[0::2], edges[1::2] = s - first, np.minimum(e - first - w + 1, n - 1)
-                block = v[:, i * FILTERS : (i + 1) * FILTERS]
-                stop = edges[-1] == n - 1
-                pooled.append(np.maximum.reduceat(block, edges[:-1] if stop else edges, axis=0)[0::2] + self.bias[w])
-            hidden = np.maximum(np.concatenate(pooled, axis=1), 0)
-            logits = hidden @ self.out + self.out_bias
-            logits -= logits.max(axis=1, keepdims=True)
-            out[lo : lo + CHUNK] = logits - np.log(np.exp(logits).sum(axis=1, keepdims=True))
-        return out
+    def pooled(self, x: np.ndarray) -> np.ndarray:
+        """What _features gives for windows (rows of bytes), by tables over byte pairs."""
+        x = x.astype(np.int32)
+        pair = x[:, :-1] * 256 + x[:, 1:]
+        v = self.head[pair]
+        v[:, :-1, FILTERS : 2 * FILTERS] += self.third[x[:, 2:]]
+        v[:, :-2, 2 * FILTERS :] += self.tail[pair[:, 2:]]
+        best = [v[:, : x.shape[1] - w + 1, i * FILTERS : (i + 1) * FILTERS].max(axis=1) + self.bias[w] for i, w in enumerate(WIDTHS)]
+        return np.maximum(np.concatenate(best, axis=1), 0)
 
     def predict(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Index of the language and its probability, for each text of a slice; every byte lies in a window."""
@@ -132,17 +119,18 @@ class ByteNet:
         count = np.maximum(1, -(-size // WINDOW))
         text = np.repeat(np.arange(n), count)
         k = np.arange(len(text)) - np.repeat(np.cumsum(count) - count, count)
-        lo = offsets[text] + size[text] * k // count[text]
-        hi = offsets[text] + size[text] * (k + 1) // count[text]
+        start = np.maximum(0, np.minimum(k * WINDOW, size[text] - WINDOW))
+        new = np.maximum(1, np.minimum(size[text] - k * WINDOW, WINDOW))  # bytes that no earlier window has
         total = np.zeros((n, len(self.languages)))
-        fit = hi - lo >= max(WIDTHS)
-        if fit.any():
-            logs = self.window_logits(data, lo[fit], hi[fit])
-            np.add.at(total, text[fit], logs * (hi - lo)[fit, None])
-        for i in np.flatnonzero(size < max(WIDTHS)):  # padded with spaces
-            raw = np.full(max(WIDTHS) + 1, 32, np.uint8)
-            raw[: size[i]] = data[offsets[i] : offsets[i + 1]]
-            total[i] = self.window_logits(raw, np.array([0]), np.array([len(raw)]))[0] * max(size[i], 1)
+        step = np.arange(WINDOW)
+        for lo in range(0, len(text), CHUNK):
+            t, s = text[lo : lo + CHUNK], start[lo : lo + CHUNK]
+            at = s[:, None] + step
+            x = np.where(at < size[t][:, None], data[np.minimum(offsets[t][:, None] + at, len(data) - 1)] if len(data) else 32, 32)
+            logits = self.pooled(x) @ self.out + self.out_bias
+            logits -= logits.max(axis=1, keepdims=True)
+            logs = logits - np.log(np.exp(logits).sum(axis=1, keepdims=True))
+            np.add.at(total, t, logs * new[lo : lo + CHUNK, None])
         mean = total / np.maximum(size, 1)[:, None]
         mean = np.exp(mean - mean.max(axis=1, keepdims=True))
         mean /= mean.sum(axis=1, keepdims=True)
@@ -170,18 +158,22 @@ def pieces_of(raw: bytes, most: int = PIECES) -> list[bytes]:
     return [raw[s : s + WINDOW].ljust(WINDOW) for s in starts]
 
 
-def fit(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample: int = SAMPLE) -> ByteNet:
-    """Train on labelled rows; the rows taken depend on ids and labels alone, not on partitions."""
+def fit(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample: int = SAMPLE, rows: int = ROWS) -> ByteNet:
+    """Train on labelled rows; the rows taken depend on ids, labels and texts alone, not on partitions."""
     labelled = df.where(F.col(lang_col).isNotNull() & F.col(text_col).rlike(r"\p{L}"))
-    counts = {r[0]: r[1] for r in labelled.groupBy(lang_col).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), lang_col).limit(LANGUAGES).collect()}
+    labelled = labelled.select(F.col(lang_col).cast("string").alias("lang"), F.xxhash64(F.lit(11), F.col(id_col), F.col(text_col)).alias("h"), F.col(text_col).alias("text"))
+    counts = {r[0]: r[1] for r in labelled.groupBy("lang").agg(F.approx_count_distinct("h").alias("n")).collect()}  # a row for each label value
     languages = sorted(counts)
     net = ByteNet(languages)
     if len(languages) < 2:
         return net.ready()
-    # a language's rows below a hash threshold: twice the sample on average, of which the smallest hashes stay
-    rate = F.create_map(*[F.lit(x) for k in languages for x in (k, min(1.0, 2 * sample / counts[k]))])
-    order = F.xxhash64(F.lit(11), F.col(id_col))
-    near = F.pmod(order, F.lit(1 << 30)) < F.try_element_at(rate, F.col(lang_col)) * (1 << 30)
+    most = max(LEAST, min(sample, rows // len(languages)))
+    # different rows below a hash threshold: about twice as many as wanted (all of a rare language), of which the smallest hashes stay
+    rate = F.create_map(*[F.lit(x) for k in languages for x in (k, min(1.0, 2 * most / counts[k]) if counts[k] > 4 * most else 1.0)])
+    near = F.pmod("h", F.lit(1 << 30)) < F.try_element_at(rate, F.col("lang")) * (1 << 30)
+    order = Window.partitionBy("lang").orderBy(F.pmod("h", F.lit(1 << 30)), "h")
+    different = labelled.where(near).groupBy("lang", "h").agg(F.min("text").alias("text"))
+    taken = different.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= most)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -190,15 +182,15 @@ def fit(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col:
                 cols = list(zip(*found))
                 yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.string()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.int32()), pa.array(cols[3], pa.binary())], names=["lang", "h", "j", "piece"])
 
-    rows = labelled.where(near).select(F.col(lang_col).alias("lang"), order.alias("h"), F.col(text_col).alias("text")).mapInArrow(cut, "lang string, h long, j int, piece binary").collect()
+    pieces = taken.select("lang", "h", "text").mapInArrow(cut, "lang string, h long, j int, piece binary").collect()
     chosen: dict[str, list] = {k: [] for k in languages}
-    for r in sorted(rows, key=lambda r: (r.lang, r.h, r.j, r.piece)):
-        if len(chosen[r.lang]) < sample * PIECES:
-            chosen[r.lang].append(bytes(r.piece))
+    for r in sorted(pieces, key=lambda r: (r.lang, r.h, r.j)):
+        chosen[r.lang].append(bytes(r.piece))
     x = np.array([np.frombuffer(p, np.uint8) for k in languages for p in chosen[k]]).reshape(-1, WINDOW)
     y = np.array([i for i, k in enumerate(languages) for _ in chosen[k]])
-    if all(chosen.values()):
-        net.train(x, y)
+    if missing := [k for k, v in chosen.items() if not v]:
+        raise RuntimeError(f"no labelled row was drawn for {missing}")
+    net.train(x, y)
     return net.ready()
 
 

@@ -74,7 +74,9 @@ def line_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", re
     text = F.col("doc").getField(text_col)
 
     def outcome(c: Column) -> Column:
-        stays = F.filter(c, lambda x: ~F.array_contains(F.col("gone"), x["k"]))
+        # one difference of the numbers, not a search for each chunk
+        numbers = F.array_except(F.transform(c, lambda x: x["k"]), F.col("gone"))
+        stays = F.when(F.size("gone") == 0, c).otherwise(F.transform(numbers, lambda k: F.get(c, k)))
         lines = lambda a: F.coalesce(F.aggregate(a, F.lit(0).cast("long"), lambda t, x: t + x["n"]), F.lit(0))
         return F.struct(
             F.when(text.isNotNull(), F.array_join(F.transform(stays, lambda x: x["chunk"]), "\n")).alias("text"),

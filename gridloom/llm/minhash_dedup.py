@@ -16,8 +16,8 @@ A pair at similarity s shares no band with probability (1 - s**4)**32, 5e-8 at 0
 A document is named by its id, file and row, so rows that share an id (or have none) are documents of their own.
 
 Edge cases: a text without words (null, empty, white space) has an empty set, is linked with nothing and is kept; with
-fewer words than a shingle takes the whole sequence is one shingle; of repeated rows the first in order of id, file and
-row is kept; a null id sorts first; an empty table gives an empty result; other columns play no part.
+fewer words than a shingle takes the whole sequence is one shingle; of repeated rows the first in order of file and row
+stays; a null id sorts first; an empty table gives an empty result; other columns play no part.
 """
 
 from __future__ import annotations
@@ -220,8 +220,9 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, percent: int = 80, place: tuple[str, str] | None = None) -> DataFrame:
-    """One row per input row: id, n_shingles, component_id, kept, file, row (the locator; place names the columns that
-    hold it, if the input has them already). Kept is the first of each component in order of id, file and row."""
+    """One row per input row: id, n_shingles, component_id, kept (id is component_id), first (the row that stays: its
+    component's first in order of id, file and row), file, row (the locator; place names the columns that hold it, if
+    the input has them already)."""
     if place is None:
         df = located(df.select(F.struct(F.col(id_col).alias("id"), F.col(text_col).alias("text")).alias("doc")))
         docs = df.select(F.struct("doc.id", F.xxhash64("file").alias("file"), "row").alias("id"), "doc.text")
@@ -291,9 +292,9 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
         links = links.unionByName(fresh)
     named = join_checked(classes.select("k1", "k2", "n", "node"), comp.withColumnRenamed("id", "node"), "node", "left").select("k1", "k2", "n", F.coalesce("comp", "node").alias("comp"))
     named = stored(named, "named")
-    first = F.coalesce("comp", "id")
+    top = F.coalesce("comp", "id")
     return join_checked(digests.select("id", "k1", "k2", "n"), named, ["k1", "k2", "n"], "left").select(
-        "id.id", F.col("n").alias("n_shingles"), first.getField("id").alias("component_id"), (F.col("id") == first).alias("kept"), "id.file", "id.row"
+        "id.id", F.col("n").alias("n_shingles"), top.getField("id").alias("component_id"), F.col("id.id").eqNullSafe(top.getField("id")).alias("kept"), (F.col("id") == top).alias("first"), "id.file", "id.row"
     )
 
 
@@ -301,5 +302,5 @@ def drop_near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str =
     """The input's rows that stay, all columns as they are: one of each group, the first by id."""
     names = [F.col(f"`{c}`") for c in df.columns]
     docs = located(df.select(F.struct(*names).alias("doc"), F.col(id_col).alias("id"), F.col(text_col).alias("text"))).withColumn("file", F.xxhash64("file"))
-    gone = stored(near_duplicates(docs, "id", "text", shingle, percent, place=("file", "row")).where("not kept").select("file", "row"), "gone")
+    gone = stored(near_duplicates(docs, "id", "text", shingle, percent, place=("file", "row")).where("not first").select("file", "row"), "gone")
     return join_checked(docs, gone, ["file", "row"], "left_anti").select("doc.*")

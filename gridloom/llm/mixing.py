@@ -2,10 +2,10 @@
 
 Sources share the size of all documents by weight; a target stops at `cap` times its source's size and the excess is
 shared anew by weight (solved in one step: in the order of cap * size / weight the capped sources come first). The words
-of the mix go to sources by the highest quotients target / (2k + 1), and each source's words to its shards (documents
-dealt by a seeded hash, about `shard_words` words each) by size / (2k + 1): integer quotas. A shard's documents stand in
-a seeded order on a line of words that is cut into blocks of equally many words, at most `block_words` and a thousandth
-of the source, so that a small source is met to the word. A quota of q over a shard of w words takes the whole shard
+of the mix go to sources by the highest quotients target / (2k + 1) (a capped source has its words already), and each
+source's words to its SHARDS shards (documents dealt by a seeded hash) by size / (2k + 1): integer quotas. A shard's
+documents stand in a seeded order on a line of words that is cut into blocks of equally many words, BLOCKS to a source
+at every size and at least one word each. A quota of q over a shard of w words takes the whole shard
 q div w times and the nearest number of blocks to q mod w once more, spread evenly from a seeded phase, so a document's
 share is a closed formula.
 
@@ -23,9 +23,8 @@ from ._common import WORD_CLASS, join_checked, stored
 
 WEIGHTS = (5, 2, 1)
 CAP = 3
-BLOCK_WORDS = 256
-#: Words of a shard on average; more where there would be over 2**20 shards.
-SHARD_WORDS = 250_000
+#: Blocks and shards of every source.
+BLOCKS, SHARDS = 1 << 20, 1 << 10
 SEED = 20240607
 
 
@@ -83,38 +82,40 @@ def mix_sources(
     cap: int = CAP,
     seed: int = SEED,
     block_words: int | None = None,
-    shard_words: int | None = None,
+    shards: int = SHARDS,
 ) -> DataFrame:
-    """The input with a struct `result`: size, source_size, target, taken, copies (times the whole document is taken)
+    """The input with a struct `result` (block_words, if given, bounds a block from above): size, source_size, target, taken, copies (times the whole document is taken)
     and start, block, extra, blocks, phase (which further words are: see taken_again)."""
     df = df.drop(result)
     size = F.col(size_col) if size_col else word_count(F.col(text_col))
     sums = stored(df.groupBy(F.col(source_col).alias("source")).agg(F.sum(size).alias("source_size")), "sources")
     total = sums.agg(F.coalesce(F.sum("source_size"), F.lit(0))).first()[0]
-    block = F.greatest(F.lit(1), F.least(F.lit(block_words or BLOCK_WORDS), F.shiftright("source_size", 10))).cast("long")
-    shard_words = shard_words or max(SHARD_WORDS, total >> 20)
-    sources = targets(sums, weights, cap).withColumn("shards", F.ceil(F.col("source_size") / shard_words).cast("long"))
-    sources = stored(apportion(sources.withColumn("_block", block).withColumn("_seats", F.lit(total).cast("long")).withColumn("_all", F.lit(0)), ["_all"], ["position"], "target", "_seats").drop("_all", "_seats"), "targets")
+    block = F.greatest(F.lit(1), F.least(F.lit(block_words), F.ceil(F.col("source_size") / BLOCKS))).cast("long")
+    room = F.col("source_size") * cap
+    full = F.col("target") >= room
+    sources = targets(sums, weights, cap).withColumn("_block", block).withColumn("_votes", F.when(full, 0.0).otherwise(F.col("target"))).withColumn("_all", F.lit(0))
+    sources = sources.withColumn("_seats", (F.lit(total) - F.coalesce(F.sum(F.when(full, room)).over(Window.partitionBy("_all")), F.lit(0))).cast("long"))
+    sources = apportion(sources, ["_all"], ["position"], "_votes", "_seats").withColumn("quota", F.when(full, room).otherwise(F.col("quota")).cast("long"))
+    sources = stored(sources.drop("_all", "_seats", "_votes"), "targets")
 
     doc = df.select(F.struct("*").alias("_doc"), F.col(id_col).alias("_id"), F.col(source_col).alias("_source"), size.alias("_size"))
-    known = sources.select("source", "position", "source_size", "target", "shards")
+    known = sources.select("source", "position", "source_size", "target")
     doc = join_checked(doc, known, F.col("_source").eqNullSafe(F.col("source")), "left")
-    doc = doc.withColumn("_order", F.xxhash64(F.lit(seed), F.col("_id"))).withColumn("_shard", F.pmod(F.xxhash64(F.lit(seed + 1), F.col("_id")), F.greatest("shards", F.lit(1))))
+    doc = doc.withColumn("_order", F.xxhash64(F.lit(seed), F.col("_id"))).withColumn("_shard", F.pmod(F.xxhash64(F.lit(seed + 1), F.col("_id")), F.lit(shards)))
 
-    shards = doc.groupBy("position", "_shard").agg(F.sum("_size").alias("_words"))
+    lines = doc.groupBy("position", "_shard").agg(F.sum("_size").alias("_words"))
     quotas = sources.select("position", "_block", F.col("quota").alias("_seats"))
-    shards = shards.join(F.broadcast(quotas) if sources.count() <= 200_000 else quotas, "position")
-    shards = apportion(shards, ["position"], ["_shard"], "_words", "_seats")
-    shards = (
-        shards.withColumn("_blocks", F.ceil(F.col("_words") / F.col("_block")).cast("long"))
-        .withColumn("quota", F.least("quota", cap * F.col("_words")))
+    # a source's seats are at most cap times its words, and so then are a shard's
+    lines = apportion(join_checked(lines, quotas, "position", "inner"), ["position"], ["_shard"], "_words", "_seats")
+    lines = (
+        lines.withColumn("_blocks", F.ceil(F.col("_words") / F.col("_block")).cast("long"))
         .withColumn("_copies", F.when(F.col("_words") > 0, F.expr("quota div _words")).otherwise(0))
         .withColumn("_extra", F.least("_blocks", F.round((F.col("quota") - F.col("_copies") * F.col("_words")) / F.col("_block")).cast("long")))
         .withColumn("_phase", F.when(F.col("_blocks") > 0, F.pmod(F.xxhash64(F.lit(seed + 2), "position", "_shard"), F.greatest("_blocks", F.lit(1)))).otherwise(0))
         .select("position", "_shard", "_block", "_blocks", "_copies", "_extra", "_phase")
     )
-    shards = stored(shards, "quotas")
-    doc = join_checked(doc, shards, ["position", "_shard"], "left")
+    lines = stored(lines, "quotas")
+    doc = join_checked(doc, lines, ["position", "_shard"], "left")
     line = Window.partitionBy("position", "_shard").orderBy("_order", "_id", "_size").rowsBetween(Window.unboundedPreceding, 0)
     doc = doc.withColumn("_end", F.sum("_size").over(line)).withColumn("_start", F.col("_end") - F.col("_size"))
 

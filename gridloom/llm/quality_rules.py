@@ -117,6 +117,18 @@ def measure(data: np.ndarray, offsets: np.ndarray) -> dict[str, np.ndarray]:
     return out
 
 
+def drop_rejected(df: DataFrame, text_col: str = "text") -> DataFrame:
+    """The input's rows that the rules keep, all columns as they are; what goes never leaves the worker."""
+    at = df.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo, hi, data, offsets in text_slices(batch.column(at)):
+                yield batch.slice(lo, hi - lo).filter(pa.array(measure(data, offsets)["kept"]))
+
+    return df.mapInArrow(run, df.schema)
+
+
 def quality_rules(df: DataFrame, text_col: str = "text", result: str = "quality_rules") -> DataFrame:
     """The input with a struct column `result`: counts, base_failed, kept, and the first rule that failed as reason."""
     df = df.drop(result)

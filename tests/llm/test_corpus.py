@@ -161,7 +161,7 @@ def test_long_text_in_pieces(monkeypatch):
     whole = suffix_dedup.window_runs(data, bounds)
     monkeypatch.setattr(suffix_dedup, "PIECE", 1500)
     parts = suffix_dedup.window_runs(data, bounds)
-    spread = lambda runs: [(s, h) for _, lo, hi, h in zip(*(x.tolist() for x in runs)) for s in range(lo, hi + 1)]
+    spread = lambda runs: [(s, h) for _, lo, hi, h, *_ in zip(*(x.tolist() for x in runs)) for s in range(lo, hi + 1)]
     assert spread(whole) == spread(parts)
 
 
@@ -228,3 +228,96 @@ def test_pipeline(spark, sf_dir):
         if name != "sentencepiece":
             assert out.columns == docs.columns
             docs = spark.createDataFrame(after, docs.schema)
+
+
+def test_exact_across_feeds(spark):
+    """A digest that texts of different feeds share: earlier texts are fetched by their places."""
+    feeds = [[(1, "ab"), (2, "xyz")], [(3, "cd"), (4, "a b")], [(5, "cd"), (6, "ef"), (7, "xyz")]]
+    for from_files in (False, True):
+        state, fed = exact_dedup.DedupState(spark), []
+        for k, rows in enumerate(feeds):
+            fed += rows
+            table = spark.createDataFrame(rows, "doc_id long, text string")
+            if from_files:
+                table.write.parquet(f"{state.folder}/in{k}")
+                table = spark.read.parquet(f"{state.folder}/in{k}")
+            got = exact_dedup.exact_dedup(table, state=state, digest=weak).collect()
+            assert Counter((r.id, r.keep_id, r.group_size, r.text_sha256) for r in got) == plain_exact(fed)
+            assert {r.id for r in got if r.kept} == {x[1] for x in plain_exact(fed)}
+
+
+def test_near_shared_ids(spark):
+    """Rows that share an id, or have none, are documents of their own."""
+    base = [f"w{i}" for i in range(60)]
+    other = [f"v{i}" for i in range(60)]
+    near = base[:58] + ["x", "y"]
+    rows = [(1, base), (2, near), (2, other), (None, other[:58] + ["x", "y"]), (None, ["a", "b", "c", "d", "e"])]
+    table = spark.createDataFrame([(i, " ".join(t)) for i, t in rows], "doc_id long, text string")
+    got = minhash_dedup.near_duplicates(table).collect()
+    assert Counter((r.id, r.component_id, r.first) for r in got) == Counter([(1, 1, True), (2, 1, False), (2, None, False), (None, None, True), (None, None, True)])
+    assert Counter(r.doc_id for r in minhash_dedup.drop_near_duplicates(table).collect()) == Counter([1, None, None])
+
+
+def near_copies(n=300, words=60, seed=9):
+    """Copies of one text with 0 to 12 of its words replaced, so that most are no link of each other."""
+    rng = np.random.default_rng(seed)
+    base = [f"w{i}" for i in range(words)]
+    for i in range(n):
+        text = list(base)
+        for at in rng.choice(words, rng.integers(0, 13), replace=False):
+            text[at] = f"x{rng.integers(0, 400)}"
+        yield i, text
+
+
+def test_near_copies_of_one_text(spark):
+    rows = [(i, " ".join(t)) for i, t in near_copies()]
+    got = minhash_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), shingle=1).collect()
+    assert Counter((r.id, r.n_shingles, r.component_id) for r in got) == plain_near(rows, 1)
+
+
+@pytest.mark.parametrize("percent", [50, 80, 95])
+def test_prefix_pairs(spark, percent):
+    """Every link between components is among the pairs, and few others are."""
+    rng = np.random.default_rng(percent)
+    sets = [(i, sorted({hash(w) for w in t})) for i, t in near_copies(200, 80, 3)]
+    sets += [(1000 + i, sorted({int(x) for x in rng.integers(0, 60, rng.integers(1, 50))})) for i in range(200)]
+    comp = {i: int(rng.integers(0, 4)) for i, _ in sets}
+    table = spark.createDataFrame([(i, len(s), comp[i], s) for i, s in sets], "node long, n long, comp long, set array<long>")
+    got = {tuple(sorted((r.a, r.b))) for r in minhash_dedup.prefix_pairs(table, percent).collect()}
+    want = {(i, j) for i, a in sets for j, b in sets if i < j and comp[i] != comp[j] and 100 * len(set(a) & set(b)) >= percent * len(set(a) | set(b))}
+    assert want and want <= got
+    assert all(comp[i] != comp[j] for i, j in got)
+
+
+def test_periodic_texts(spark, odd):
+    """Whole long texts, periodic ones too: contexts stay about as long as the text."""
+    for unit in (b"a", b"ab", b"word "):
+        data = np.frombuffer(unit * (5_000_000 // len(unit)), np.uint8)
+        text, first, last, h, inner = suffix_dedup.window_runs(data, np.array([0, len(data)]))
+        assert (last - first + 400).sum() < 1.3 * len(data) and len(set(h.tolist())) <= 2 and inner.all()
+    rng = np.random.default_rng(2)
+    once = "".join(rng.choice(list("abcdefgh "), 3000))
+    rows = [(r.doc_id, r.text) for r in odd.collect()] + [(20, "a" * 20_000), (21, once + once[:700]), (22, once[::-1]), (23, ("abc" * 300)), (24, "q" + "z" * 450)]
+    got = suffix_dedup.repeated_spans(spark.createDataFrame(rows, "doc_id long, text string"))
+    got = got.collect()
+    assert Counter((r.id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got) == plain_repeats_by_sorting(rows, 400)
+    assert all(r.n_bytes - r.n_removed == len(r.kept_text.encode()) for r in got)
+
+
+def plain_repeats_by_sorting(rows, length):
+    """As plain_repeats, with windows numbered by hash, for longer texts."""
+    seen, out = Counter(), Counter()
+    texts = [(i, (t or "").encode()) for i, t in rows]
+    keys = [[hash(b[s : s + length]) for s in range(len(b) - length + 1)] for _, b in texts]
+    for k in keys:
+        seen.update(k)
+    for (i, b), k in zip(texts, keys):
+        edge = np.zeros(len(b) + 1, int)
+        for s, key in enumerate(k):
+            if seen[key] > 1:
+                edge[s] += 1
+                edge[s + length] -= 1
+        gone = np.cumsum(edge)[: len(b)] > 0
+        runs = int((np.diff(np.concatenate([[0], gone.astype(int)])) == 1).sum())
+        out[(i, len(b), int(gone.sum()), runs, hashlib.sha256(np.frombuffer(b, np.uint8)[~gone].tobytes()).hexdigest())] += 1
+    return out

@@ -204,3 +204,48 @@ def test_apportionment(spark):
         best = sorted(((-v / (2 * k + 1), i, k) for (i, v), k in itertools.product(enumerate(votes), range(seats)) if v), key=lambda x: x)[:seats]
         want = Counter(i for _, i, _ in best)
         assert got == {i: want[i] for i in range(len(votes))}
+
+
+def test_language_tables_equal_convolution():
+    """The tables over byte pairs give what the plain convolution gives."""
+    import numpy as np
+
+    net = language_id.ByteNet(["a", "b", "c"]).ready()
+    x = np.random.default_rng(1).integers(0, 256, (40, language_id.WINDOW)).astype(np.uint8)
+    assert np.allclose(net.pooled(x), net._features(x)[0], atol=1e-5)
+
+
+def test_language_repeated_and_missing_ids(spark):
+    """Ids that many rows share, or none has, change neither what is learned nor how well."""
+    from itertools import product
+
+    rows = [(0 if shared else None, f"the {a} and the {b} were here {k}", "en") for k, (a, b) in enumerate(product("house tree river cat dog".split(), repeat=2)) for shared in (True, False)]
+    rows += [(k, f"der {a} und die {b} waren da {k}", "de") for k, (a, b) in enumerate(product("Haus Baum Fluss Katze Hund".split(), repeat=2))]
+    rows += [(99, "12345", "xx"), (100, None, "de")]
+    table = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    net = language_id.fit(table, sample=20)
+    assert net.languages == ["de", "en"]
+    got = language_id.predict(table, net).collect()
+    assert all(r.lang_pred == r.lang for r in got if r.lang in ("en", "de") and r.text)
+    assert {r.lang_pred for r in got if r.doc_id in (99, 100)} == {"und"}
+
+
+def test_html_broken_tags(spark):
+    """Quotes and tags that never end, long values, deep nesting: right and in time in proportion to the page."""
+    import time
+
+    start = time.time()
+    assert html_extract.extract("<p>one</p>" + '<a "' * 200_000, None).startswith("one")
+    assert html_extract.extract("<p>one</p>" + '<a "' * 100_000 + "></a><p>two", None).endswith("two")
+    assert html_extract.extract("<div>" * 20_000 + "deep", None) == "deep"
+    assert time.time() - start < 30
+    value = "x > y " * 500
+    assert html_extract.extract(f"<div title=\"{value}\" class='post'>text</div>", None) == "text"
+    assert html_extract.extract("<p>a < b and <b>c</b> <3", None) == "a < b and c <3"
+
+
+def test_html_votes_without_a_common_path(spark):
+    """A host whose paths all stay under the share has no winner: each page keeps its own."""
+    rows = [(k, "http://h.example/", f"<body><div class='{chr(97 + k) * 3}'><p>text of page {k} here</p></div></body>") for k in range(26)]
+    got = html_extract.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert all(r.text == f"text of page {r.page_id} here" for r in got) and len(got) == 26
