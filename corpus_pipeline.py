@@ -18,7 +18,7 @@ SHINGLE, PERCENT = 5, 80
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules reject go."""
-    return quality_rules.quality_rules(docs).where("quality_rules.kept").select(*docs.columns)
+    return quality_rules.drop_rejected(docs)
 
 
 def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
