@@ -113,6 +113,20 @@ def join_checked(big: DataFrame, small: DataFrame, on, how: str, max_bytes: int
     return big.join(F.broadcast(small) if measured_bytes(small) <= max_bytes else small, on, how)
 
 
+#: Bytes of rows that go to a Python worker, or come back, at a time.
+ARROW_BYTES = 4 << 20
+_ARROW = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def in_arrow(df: DataFrame, function, schema) -> DataFrame:
+    """mapInArrow in small batches: by the number of rows alone, long texts would make batches of any size. The setting
+    holds for the session from here on, for the batches are cut when the result is computed."""
+    conf = df.sparkSession.conf
+    if not 0 < int(conf.get(_ARROW).rstrip("b")) <= ARROW_BYTES:
+        conf.set(_ARROW, ARROW_BYTES)
+    return df.mapInArrow(function, schema)
+
+
 def text_slices(column: pa.Array | pa.ChunkedArray, max_bytes: int = SLICE_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first row, end row, bytes, offsets) of whole texts, null as empty; offsets start at 0."""
     if isinstance(column, pa.ChunkedArray):

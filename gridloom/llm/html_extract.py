@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._common import join_checked, stored, text_slices, with_fields
+from ._common import in_arrow, join_checked, stored, text_slices, with_fields
 
 #: Share of a host's votes with which a path wins; a host may have no such path, then each page keeps its own.
 SHARE = 0.1
@@ -341,7 +341,7 @@ def _best_paths(pages: DataFrame) -> DataFrame:
                     paths.append(page.path(best) if best >= 0 else None)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(paths, pa.string())], names=["host", "path"])
 
-    return pages.mapInArrow(run, "host string, path string")
+    return pages.transform(in_arrow, run, "host string, path string")
 
 
 def main_text(df: DataFrame, html_col: str = "html", url_col: str = "url", share: float = SHARE) -> DataFrame:
@@ -366,4 +366,4 @@ def main_text(df: DataFrame, html_col: str = "html", url_col: str = "url", share
                 new = [pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())]
                 yield pa.RecordBatch.from_arrays([*part.columns[:-1], *new], names=[*part.schema.names[:-1], *names])
 
-    return joined.mapInArrow(run, with_fields(df.schema, text="string", n_chars="long"))
+    return joined.transform(in_arrow, run, with_fields(df.schema, text="string", n_chars="long"))

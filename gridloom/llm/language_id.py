@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._common import text_slices, with_fields
+from ._common import in_arrow, text_slices, with_fields
 
 WINDOW = 256
 FILTERS = 8
@@ -182,7 +182,7 @@ def fit(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col:
                 cols = list(zip(*found))
                 yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.string()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.int32()), pa.array(cols[3], pa.binary())], names=["lang", "h", "j", "piece"])
 
-    pieces = taken.select("lang", "h", "text").mapInArrow(cut, "lang string, h long, j int, piece binary").collect()
+    pieces = taken.select("lang", "h", "text").transform(in_arrow, cut, "lang string, h long, j int, piece binary").collect()
     chosen: dict[str, list] = {k: [] for k in languages}
     for r in sorted(pieces, key=lambda r: (r.lang, r.h, r.j)):
         chosen[r.lang].append(bytes(r.piece))
@@ -221,4 +221,4 @@ def predict(df: DataFrame, net: ByteNet, text_col: str = "text") -> DataFrame:
                 score = np.where(letters[lo:hi], score, 0.0)
                 yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(labels[best], pa.string()), pa.array(score, pa.float64())], names=[*part.schema.names[:-1], *names])
 
-    return spoken.mapInArrow(run, with_fields(df.schema, lang_pred="string", score="double"))
+    return spoken.transform(in_arrow, run, with_fields(df.schema, lang_pred="string", score="double"))

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._common import BASE, join_checked, located, mix, prefix_hash, span_hash, stored, text_slices, word_spans
+from ._common import BASE, in_arrow, join_checked, located, mix, prefix_hash, release, span_hash, stored, text_slices, word_spans
 
 _U = np.uint64
 
@@ -123,7 +123,7 @@ def _digests(df: DataFrame, size: int) -> DataFrame:
                 )
 
     kind = df.schema[0].dataType.simpleString()
-    return df.mapInArrow(run, f"id {kind}, n long, k1 long, k2 long, bands array<long>, planes array<long>")
+    return df.transform(in_arrow, run, f"id {kind}, n long, k1 long, k2 long, bands array<long>, planes array<long>")
 
 
 def _sets(df: DataFrame, size: int) -> DataFrame:
@@ -136,7 +136,7 @@ def _sets(df: DataFrame, size: int) -> DataFrame:
                 lists = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(sets.view(np.int64)))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(np.diff(bounds), pa.int64()), lists], names=["id", "n", "set"])
 
-    return df.mapInArrow(run, f"id {df.schema[0].dataType.simpleString()}, n long, set array<long>")
+    return df.transform(in_arrow, run, f"id {df.schema[0].dataType.simpleString()}, n long, set array<long>")
 
 
 def least_common(a: Column, b: Column, percent: int) -> Column:
@@ -160,8 +160,10 @@ def prefix_pairs(members: DataFrame, percent: int) -> DataFrame:
     held = members.select("node", "n", "comp", F.explode("set").alias("x"))
     often = stored(held.groupBy("x").agg(F.count(F.lit(1)).alias("f")).where("f > 1"), "often")
     known = join_checked(held, often, "x", "inner").groupBy("node", "n", "comp").agg(F.sort_array(F.collect_list(F.struct("f", "x"))).alias("known"))  # of one set
-    known = known.withColumn("alone", F.col("n") - F.size("known"))  # shingles of no other set come first
     low = F.ceil(percent * F.col("n") / 100).cast("long")
+    known = known.withColumn("alone", F.col("n") - F.size("known"))  # shingles of no other set come first
+    widest = (F.col("n") - least_common(low, F.col("n"), percent) + 1 - F.col("alone")).cast("int")
+    known = stored(known.where(widest > 0).withColumn("known", F.slice("known", 1, F.greatest(widest, F.lit(1)))), "known")
     step = F.call_function("shiftleft", F.lit(1).cast("long"), F.greatest(F.length(F.bin(low)) - 6, F.lit(0)))
     classes = F.array_distinct(F.transform(F.sequence(size_class(low), F.col("n"), step), size_class))
 
@@ -175,7 +177,8 @@ def prefix_pairs(members: DataFrame, percent: int) -> DataFrame:
     probe = listed(known.withColumn("class", F.explode(classes)), least_common(F.greatest("class", low), F.col("n"), percent), names)
     key = ["x", "class"]
     index = stored(index.drop("alone"), "index")
-    probe = stored(join_checked(probe.drop("alone"), stored(index.select(*key).distinct(), "keys"), key, "left_semi"), "probe")
+    keys = stored(index.select(*key).distinct(), "keys")
+    probe = stored(join_checked(probe.drop("alone"), keys, key, "left_semi"), "probe")
     kinds = index.select(*key, "comp").union(probe.select(*key, "comp")).groupBy(*key, "comp").agg(F.count(F.lit(1)).alias("c"))
     tops = stored(kinds.groupBy(*key).agg(F.count(F.lit(1)).alias("kinds"), F.max(F.struct("c", "comp")).alias("top")).where("kinds > 1").select(*key, F.col("top.comp").alias("top")), "tops")
     a = stored(join_checked(index, tops, key, "inner").select(*key, "top", *(F.col(k).alias(f"{k}a") for k in ("node", "n", "comp", "at"))), "index")
@@ -185,7 +188,9 @@ def prefix_pairs(members: DataFrame, percent: int) -> DataFrame:
     # of what most members of a key belong to, none meets another
     far = a.where("compa != top").drop("top").join(b.drop("top"), key).where(fits)
     near = a.where("compa = top").drop("top").join(b.where("compb != top").drop("top"), key).where(fits)
-    return far.union(near).select(F.col("nodea").alias("a"), F.col("nodeb").alias("b")).distinct()
+    pairs = stored(far.union(near).select(F.col("nodea").alias("a"), F.col("nodeb").alias("b")).distinct(), "pairs")
+    release(often, known, index, keys, probe, tops, a, b)
+    return pairs
 
 
 def estimate(a: str, b: str, minima: int = MINIMA, bits: int = BITS) -> Column:

@@ -17,7 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from ._common import BASE, mix, per_text, prefix_hash, span_hash, text_slices, with_fields, word_spans
+from ._common import BASE, in_arrow, mix, per_text, prefix_hash, span_hash, text_slices, with_fields, word_spans
 
 _U = np.uint64
 
@@ -126,7 +126,7 @@ def drop_rejected(df: DataFrame, text_col: str = "text") -> DataFrame:
             for lo, hi, data, offsets in text_slices(batch.column(at)):
                 yield batch.slice(lo, hi - lo).filter(pa.array(measure(data, offsets)["kept"]))
 
-    return df.mapInArrow(run, df.schema)
+    return df.transform(in_arrow, run, df.schema)
 
 
 def quality_rules(df: DataFrame, text_col: str = "text", result: str = "quality_rules") -> DataFrame:
@@ -145,4 +145,4 @@ def quality_rules(df: DataFrame, text_col: str = "text", result: str = "quality_
                 yield pa.RecordBatch.from_arrays([*part.columns, struct], names=[*part.schema.names, result])
 
     inner = ",".join(f"{k}:{'bigint' if t == 'long' else t}" for k, t in fields)
-    return df.mapInArrow(run, with_fields(df.schema, **{result: f"struct<{inner}>"}))
+    return df.transform(in_arrow, run, with_fields(df.schema, **{result: f"struct<{inner}>"}))

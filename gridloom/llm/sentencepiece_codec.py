@@ -21,7 +21,7 @@ import ahocorasick
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from ._common import text_slices, with_fields
+from ._common import in_arrow, text_slices, with_fields
 from .token_counts import tokenizer_path
 
 DEFAULT_FILE = "piece_bpe_32k.model"
@@ -203,4 +203,4 @@ def piece_codec(df: DataFrame, text_col: str = "text", path: str | None = None,
                 new = [pa.array([r[k] for r in rows], kinds[k][1]) for k in outputs]
                 yield pa.RecordBatch.from_arrays([*part.columns, *new], names=[*part.schema.names, *outputs])
 
-    return df.mapInArrow(run, with_fields(df.schema, **{k: kinds[k][0] for k in outputs}))
+    return df.transform(in_arrow, run, with_fields(df.schema, **{k: kinds[k][0] for k in outputs}))

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import join_checked, located, prefix_hash, release, span_hash, stored, text_slices
+from ._common import in_arrow, join_checked, located, prefix_hash, release, span_hash, stored, text_slices
 
 _U = np.uint64
 
@@ -228,7 +228,7 @@ def _list_runs(docs: DataFrame, length: int, gram: int) -> DataFrame:
                 text, first, last, h, inner = window_runs(data, offsets, length, gram)
                 yield pa.RecordBatch.from_arrays([pa.array(files[lo:hi][text]), pa.array(rows[lo:hi][text]), pa.array(first.astype(np.int32)), pa.array(last.astype(np.int32)), pa.array(h), pa.array(inner)], names=["file", "row", "lo", "hi", "h", "inner"])
 
-    return docs.select("file", "row", "text").mapInArrow(run, "file long, row long, lo int, hi int, h long, inner boolean")
+    return docs.select("file", "row", "text").transform(in_arrow, run, "file long, row long, lo int, hi int, h long, inner boolean")
 
 
 def _cut_contexts(held: DataFrame, length: int) -> DataFrame:
@@ -246,7 +246,7 @@ def _cut_contexts(held: DataFrame, length: int) -> DataFrame:
                         names=["file", "row", "lo", "h", "inner", "context"],
                     )
 
-    return held.select("file", "row", "text", "runs").mapInArrow(run, "file long, row long, lo int, h long, inner boolean, context binary")
+    return held.select("file", "row", "text", "runs").transform(in_arrow, run, "file long, row long, lo int, h long, inner boolean, context binary")
 
 
 def _shards(contexts: DataFrame, length: int) -> DataFrame:
@@ -289,7 +289,7 @@ def _shards(contexts: DataFrame, length: int) -> DataFrame:
         if held:
             yield solve(held)
 
-    return contexts.select("h", "c", "part", "parts", "context").repartition("h", "part").sortWithinPartitions("h", "part").mapInArrow(run, _SHARD)
+    return contexts.select("h", "c", "part", "parts", "context").repartition("h", "part").sortWithinPartitions("h", "part").transform(in_arrow, run, _SHARD)
 
 
 def _across(keys: DataFrame, length: int) -> DataFrame:
@@ -365,7 +365,7 @@ def repeated_spans(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     names = ["id", "file", "row", "n_bytes", "n_removed", "n_spans", "kept_sha256", "starts", "ends", "kept_text"]
     kind = docs.schema["id"].dataType.simpleString()
     schema = f"id {kind}, file long, row long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, starts array<int>, ends array<int>, kept_text string"
-    lost = stored(held.join(found, ["file", "row"]).select("id", "file", "row", "text", "starts", "ends").mapInArrow(cut, schema), "lost")
+    lost = stored(held.join(found, ["file", "row"]).select("id", "file", "row", "text", "starts", "ends").transform(in_arrow, cut, schema), "lost")
     release(held, spans)
     raw, none = F.coalesce("text", F.lit("")), F.array().cast("array<int>")
     whole = join_checked(docs, stored(lost.select("file", "row"), "touched"), ["file", "row"], "left_anti")

@@ -19,7 +19,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from ._common import text_slices, with_fields
+from ._common import in_arrow, text_slices, with_fields
 
 DEFAULT_FILE = "byte_bpe_50k.json"
 MEMO_SIZE = 400_000
@@ -144,4 +144,4 @@ def token_counts(df: DataFrame, text_col: str = "text", path: str | None = None,
                 new = [pa.array(sizes, pa.int64()), pa.array(counts, pa.int64()), pa.array([c > limit for c in counts], pa.bool_())]
                 yield pa.RecordBatch.from_arrays([*part.columns, *new], names=[*part.schema.names, *names])
 
-    return df.mapInArrow(run, with_fields(df.schema, n_bytes="long", n_tokens="long", over_limit="boolean"))
+    return df.transform(in_arrow, run, with_fields(df.schema, n_bytes="long", n_tokens="long", over_limit="boolean"))
