@@ -25,18 +25,24 @@ class Config:
     output_format: str = "yolo_obb"
     landmark_min_distance: float = 0.1
     min_part_area: float = 0.25
-    grow_iterations: int = 50
-    merge_area_threshold: float = 1.0
-    merge_ratio_threshold: float = 0.3
+    door_width: int = 20
+    grow_iterations: int = 10
+    merge_area_threshold: float = 0.0
+    merge_ratio_threshold: float = 0.6
+    min_new_region_area: int = 50
     threshold_thickness: int = 10
-    service_version: str = "1.0"
-    model_version: str = "1.0"
+    min_input_size: int = 416
+    normalize: bool = False
+    mean: tuple[float, ...] = (0.485, 0.456, 0.406)
+    std: tuple[float, ...] = (0.229, 0.224, 0.225)
+    service_version: str = "4.0.2"
+    model_version_tag: str = "0.0.1"
     landmark_model: str = "S-K20PRO"
     default_model: str = "s10"
 
     @property
     def labels_version(self) -> str:
-        return f"v{self.service_version}_{self.model_version}"
+        return f"v{self.service_version}_{self.model_version_tag}"
 
 
 def _cast(value, like):
@@ -45,7 +51,7 @@ def _cast(value, like):
     if isinstance(like, bool):
         return value.strip().lower() in ("1", "true", "yes", "on")
     if isinstance(like, tuple):
-        return tuple(int(x) for x in value.split(","))
+        return tuple(type(like[0])(x) for x in value.split(","))
     return type(like)(value)
 
 

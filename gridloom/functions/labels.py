@@ -10,7 +10,7 @@ DOCUMENT = f"struct<version:string,uuid:string,data:array<{ITEM}>>"
 MARKERS = "struct<data:array<struct<name:string,type:string,geometry:array<double>>>>"
 MAP_META = "struct<resolution:double,origin:array<double>>"
 MAP_INFO = "struct<robot_model:string,uuid:string>"
-REQUEST = "struct<operation:string,bucket:string,key:string,roomMergeList:array<string>,divisionCroodsDict:struct<id:string,A:array<double>,B:array<double>>>"
+REQUEST = "struct<request_id:string,operation:string,bucket:string,key:string,roomMergeList:array<string>,divisionCroodsDict:struct<id:string,A:array<double>,B:array<double>>>"
 #: The marker name of furniture (fixed value).
 FURNITURE = "家具"
 

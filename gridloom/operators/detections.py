@@ -54,15 +54,16 @@ def clip_area(a: np.ndarray, b: np.ndarray) -> float:
     return abs(K.shoelace(np.array(out))) if len(out) > 2 else 0.0
 
 
-def iou_pairs(detections: DataFrame, tile: float = 256.0) -> DataFrame:
+def iou_pairs(detections: DataFrame, tile: float = 256.0, least: float = 0.0) -> DataFrame:
     """Pairs of a map's detections whose bounding boxes meet: map_id, a, b (a before b by confidence, then id), iou.
-    Boxes are dealt to tiles and met there, so far ones are never paired."""
+    Boxes are dealt to tiles and met there, so far ones are never paired. Pairs surely under `least` are not clipped:
+    an intersection is at most the smaller area and what the bounding boxes share."""
     xs, ys = F.transform("v", lambda p: p["x"]), F.transform("v", lambda p: p["y"])
-    boxed = detections.select("map_id", "det_id", "v", "conf", F.array_min(xs).alias("l"), F.array_min(ys).alias("t"), F.array_max(xs).alias("r"), F.array_max(ys).alias("b"))
+    boxed = detections.select("map_id", "det_id", "v", "conf", F.array_min(xs).alias("l"), F.array_min(ys).alias("t"), F.array_max(xs).alias("r"), F.array_max(ys).alias("b"), G.polygon_area(F.col("v")).alias("s"))
     cells = lambda lo, hi: F.explode(F.sequence(F.floor(F.col(lo) / tile), F.floor(F.col(hi) / tile)))
     tiled = boxed.withColumn("tx", cells("l", "r")).withColumn("ty", cells("t", "b"))
-    one = tiled.select("map_id", "tx", "ty", *[F.col(c).alias(f"{c}1") for c in ("det_id", "v", "conf", "l", "t", "r", "b")])
-    two = tiled.select("map_id", "tx", "ty", *[F.col(c).alias(f"{c}2") for c in ("det_id", "v", "conf", "l", "t", "r", "b")])
+    one = tiled.select("map_id", "tx", "ty", *[F.col(c).alias(f"{c}1") for c in ("det_id", "v", "conf", "l", "t", "r", "b", "s")])
+    two = tiled.select("map_id", "tx", "ty", *[F.col(c).alias(f"{c}2") for c in ("det_id", "v", "conf", "l", "t", "r", "b", "s")])
     first = (F.col("conf1") > F.col("conf2")) | ((F.col("conf1") == F.col("conf2")) & (F.col("det_id1") < F.col("det_id2")))
     pairs = one.join(two, ["map_id", "tx", "ty"]).where(first & (F.col("l1") <= F.col("r2")) & (F.col("l2") <= F.col("r1")) & (F.col("t1") <= F.col("b2")) & (F.col("t2") <= F.col("b1")))
     # one tile counts, where the overlap begins
@@ -75,14 +76,17 @@ def iou_pairs(detections: DataFrame, tile: float = 256.0) -> DataFrame:
         corners = lambda v: np.array([[p["x"], p["y"]] for p in v], float)
         return pd.Series([clip_area(corners(x), corners(y)) for x, y in zip(a, b)])
 
-    area = lambda v: G.polygon_area(F.col(v))
-    met = pairs.select("map_id", F.col("det_id1").alias("a"), F.col("det_id2").alias("b"), shared("v1", "v2").alias("i"), area("v1").alias("s1"), area("v2").alias("s2"))
+    if least > 0:
+        box = (F.least("r1", "r2") - F.greatest("l1", "l2")) * (F.least("b1", "b2") - F.greatest("t1", "t2"))
+        most = F.least(box, "s1", "s2")
+        pairs = pairs.where(most * (1 + 1e-9) >= least * (F.col("s1") + F.col("s2") - most))
+    met = pairs.select("map_id", F.col("det_id1").alias("a"), F.col("det_id2").alias("b"), shared("v1", "v2").alias("i"), "s1", "s2")
     return met.select("map_id", "a", "b", F.when(F.col("s1") + F.col("s2") - F.col("i") > 0, F.col("i") / (F.col("s1") + F.col("s2") - F.col("i"))).otherwise(0.0).alias("iou"))
 
 
 def suppressed(detections: DataFrame, threshold: float = 0.35) -> DataFrame:
     """Greedy suppression: by confidence (then id) each survivor removes the later ones that overlap it so much."""
-    heavy = iou_pairs(detections).where(F.col("iou") >= threshold).groupBy("map_id").agg(F.collect_list(F.struct("a", "b")).alias("pairs"))
+    heavy = iou_pairs(detections, least=threshold).where(F.col("iou") >= threshold).groupBy("map_id").agg(F.collect_list(F.struct("a", "b")).alias("pairs"))
     ids = detections.groupBy("map_id").agg(F.sort_array(F.collect_list(F.struct((-F.col("conf")).alias("c"), "det_id"))).alias("ids"))
 
     def kernel(row: dict) -> Iterator[dict]:

@@ -11,6 +11,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.scratch import stored
 from . import kernels as K
 from .raster import AT, around, array_of, per_map
 
@@ -68,15 +69,15 @@ def fragment_targets(fragments: DataFrame, targets: DataFrame, tile: int = 16) -
         cell = lambda name: F.floor(F.col(name) / tile).cast("int")
         left = open_.select("map_id", "lid", F.col("y").alias("fy"), F.col("x").alias("fx"), F.explode(F.sequence(cell("y") - 1, cell("y") + 1)).alias("ty"), F.sequence(cell("x") - 1, cell("x") + 1).alias("txs")).withColumn("tx", F.explode("txs")).drop("txs")
         right = targets.select("map_id", F.col("lid").alias("target"), "y", "x", cell("y").alias("ty"), cell("x").alias("tx"))
-        pairs = left.join(right, ["map_id", "ty", "tx"]).withColumn("d", F.greatest(F.abs(F.col("x") - F.col("fx")), F.abs(F.col("y") - F.col("fy"))))
-        nearest = pairs.groupBy("map_id", "lid").agg(F.min("d").alias("d")).where(F.col("d") <= tile)
-        hits = pairs.join(nearest, ["map_id", "lid", "d"]).select("map_id", "lid", "target", "y", "x").distinct()
-        votes = hits.groupBy("map_id", "lid", "target").agg(F.count(F.lit(1)).alias("n"))
-        found = votes.groupBy("map_id", "lid").agg(F.max_by("target", F.struct("n", -F.col("target"))).alias("target"))
+        apart = F.greatest(F.abs(F.col("x") - F.col("fx")), F.abs(F.col("y") - F.col("fy")))
+        # each target pixel's distance from the fragment, then the pixels of each region at each distance: written once
+        pairs = left.join(right, ["map_id", "ty", "tx"]).groupBy("map_id", "lid", "target", "y", "x").agg(F.min(apart).alias("d")).where(F.col("d") <= tile)
+        votes = stored(pairs.groupBy("map_id", "lid", "target", "d").agg(F.count(F.lit(1)).alias("n")))
+        found = votes.groupBy("map_id", "lid").agg(F.min_by("target", F.struct("d", -F.col("n"), "target")).alias("target"))
         out = found if out is None else out.unionByName(found)
         if tile > far:
             return out
-        open_ = open_.join(nearest.select("map_id", "lid"), ["map_id", "lid"], "left_anti")
+        open_ = stored(open_.join(votes.select("map_id", "lid").distinct(), ["map_id", "lid"], "left_anti"))
         if open_.isEmpty():
             return out
         tile *= 2

@@ -14,7 +14,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..config import Config
+from ..config import BAD_ARGUMENT, FAILED, OK, Config
 from ..functions import geometry as G
 from ..functions import labels as L
 from ..operators import detections as D
@@ -31,12 +31,14 @@ META = ["resolution", "ox", "oy", "robot_model", "uuid", "charge_pose", "furnitu
 
 def validated(requests: DataFrame, maps: DataFrame) -> DataFrame:
     """Requests with their map's labels and a code: null where the request can run."""
-    joined = requests.join(maps.select("map_id", "resolution", "labels", F.lit(True).alias("known")), "map_id", "left")
+    readable = F.col("data").isNotNull() if "data" in maps.columns else F.lit(True)
+    joined = requests.join(maps.select("map_id", "resolution", "labels", readable.alias("readable"), F.lit(True).alias("known")), "map_id", "left")
     ids = F.transform(L.rooms_of(F.col("labels.data")), lambda r: r["id"])
     a, b, wanted = F.col("division.A"), F.col("division.B"), F.col("room_merge_list")
     editing = F.col("operation").isin("division", "merge")
     code = (
         F.when(F.col("known").isNull(), 11)
+        .when(~F.col("readable"), 1)
         .when(F.col("resolution").isNull() | (F.col("resolution") <= 0), 2)
         .when(~F.coalesce(F.col("operation").isin("split", "repartition", "division", "merge"), F.lit(False)), 9)
         .when(editing & F.col("labels").isNull(), 3)
@@ -48,6 +50,16 @@ def validated(requests: DataFrame, maps: DataFrame) -> DataFrame:
     return joined.withColumn("code", code).withColumn("room_ids", ids)
 
 
+def refusal() -> Column:
+    """What is wrong with a request's arguments, before any map is looked at: null where nothing is."""
+    known = F.coalesce(F.col("operation").isin("split", "repartition", "division", "merge"), F.lit(False))
+    return (
+        F.when(~known, "no such operation")
+        .when((F.col("operation") == "merge") & F.col("room_merge_list").isNull(), "need room merge list")
+        .when((F.col("operation") == "division") & F.col("division").isNull(), "need division croods list")
+    )
+
+
 def document(rooms: DataFrame, landmarks: DataFrame, maps: DataFrame, config: Config) -> DataFrame:
     """rooms and landmarks in order (map_id, pos, item fields) -> map_id, body: the labels document as JSON."""
     room = F.struct("name", "id", F.lit("polygon").alias("type"), "geometry", "colorType", "graph", "groundMaterial")
@@ -56,7 +68,7 @@ def document(rooms: DataFrame, landmarks: DataFrame, maps: DataFrame, config: Co
     marks = landmarks.groupBy("map_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", mark.alias("m")))), lambda x: F.to_json(x["m"])).alias("marks"))
     joined = maps.select("map_id", "uuid").join(parts, "map_id").join(marks, "map_id", "left")
     items = F.concat(F.col("rooms"), F.coalesce("marks", F.array().cast("array<string>")))
-    quoted = F.when(F.col("uuid").isNull(), "null").otherwise(F.concat(F.lit('"'), F.col("uuid"), F.lit('"')))
+    quoted = F.when(F.col("uuid").isNull(), "null").otherwise(F.expr("substring(to_json(array(uuid)), 2, length(to_json(array(uuid))) - 2)"))
     body = F.concat(F.lit(f'{{"version":"{config.labels_version}","uuid":'), quoted, F.lit(',"data":['), F.array_join(items, ","), F.lit("]}"))
     return joined.select("map_id", body.alias("body"))
 
@@ -139,15 +151,24 @@ def contour_mask(points: list[tuple[int, int]], h: int, w: int) -> np.ndarray:
 
 
 def edited(rooms: DataFrame, maps: DataFrame, config: Config) -> DataFrame:
-    """rooms after an edit (pos as stored; colorType null where it must be found) -> body, neighbours and colours new,
-    landmarks for every room."""
+    """rooms after an edit (pos as stored; colorType null where it must be found) -> body, neighbours and colours new.
+    Rooms that the edit left alone keep their landmarks' places, by room id; the others, and those without, get one."""
     rooms = stored(rooms)
+    rooms = rooms.withColumn("changed", F.col("colorType").isNull()) if "changed" not in rooms.columns else rooms
     edges = stored(contour_edges(rooms, maps.select("map_id", "h", "w")))
     colors = N.coloured(rooms.select("map_id", "pos", F.col("colorType").alias("color")), edges, kept=True)
     near = N.both_ways(edges).groupBy("map_id", F.col("i").alias("pos")).agg(F.array_sort(F.collect_list("j")).alias("graph"))
     full = rooms.drop("colorType").join(colors, ["map_id", "pos"]).join(near, ["map_id", "pos"], "left")
     full = stored(full.withColumn("colorType", F.col("color")).withColumn("graph", F.coalesce("graph", F.array().cast("array<int>"))))
-    marks = M.generated(full.withColumn("markers", F.lit(None).cast("array<array<double>>")), config.landmark_min_distance)
+    old = maps.select("map_id", F.posexplode(L.landmarks_of(F.col("labels.data"))).alias("turn", "m")).select("map_id", "turn", F.col("m.roomId").alias("id"), F.col("m.geometry").alias("geometry"))
+    named = full.select("map_id", "pos", F.col("id").alias("roomId"), "name")
+    same = full.where(~F.col("changed")).select("map_id", "pos", "id")
+    kept = stored(same.join(old, ["map_id", "id"]).select("map_id", "pos", "turn", "geometry"))
+    rest = full.join(kept.select("map_id", "pos").distinct(), ["map_id", "pos"], "left_anti")
+    new = M.generated(rest.withColumn("markers", F.lit(None).cast("array<array<double>>")), config.landmark_min_distance)
+    marks = kept.unionByName(new.select("map_id", "pos", F.lit(0).alias("turn"), "geometry")).join(named, ["map_id", "pos"])
+    place = F.row_number().over(Window.partitionBy("map_id").orderBy("pos", "turn"))
+    marks = marks.select("map_id", place.alias("pos"), L.landmark_id(place).alias("id"), "roomId", "name", F.lit("pose").alias("type"), "geometry")
     return document(full, marks, maps, config)
 
 
@@ -166,12 +187,12 @@ def division(requests: DataFrame, maps: DataFrame, config: Config) -> DataFrame:
     target = G.settled(target.withColumn("chord", chord))
     target = G.settled(target.withColumn("halves", P.cut(F.col("ring"), F.col("chord"))))
     area = lambda i: G.polygon_area(F.col("halves")[i])
-    code = F.when(F.size("geometry") < 8, 4).when(F.col("halves").isNull(), 5).when((area(0) < config.min_part_area) | (area(1) < config.min_part_area), 10)
-    target = stored(target.withColumn("code", code))
+    named = rooms.groupBy("map_id").agg(F.collect_list("id").alias("ids"), F.collect_list("name").alias("names"), F.count(F.lit(1)).cast("int").alias("n"))
+    code = F.when(F.size("geometry") < 8, 4).when(F.col("halves").isNull(), 5).when((area(0) < config.min_part_area) | (area(1) < config.min_part_area), 10).when(L.next_room_id(F.col("ids")).isNull(), 0)
+    target = stored(target.join(named, "map_id").withColumn("code", code))
     good = target.where("code IS NULL")
     flat = lambda i: G.flat(F.transform(G.closed(F.col("halves")[i]), lambda p: G.point(F.round(p["x"], 3), F.round(p["y"], 3))))
-    named = rooms.groupBy("map_id").agg(F.collect_list("id").alias("ids"), F.collect_list("name").alias("names"), F.count(F.lit(1)).cast("int").alias("n"))
-    halves = good.join(named, "map_id").select("map_id", F.explode(F.array(
+    halves = good.select("map_id", F.explode(F.array(
         F.struct(F.col("pos"), F.col("name"), F.col("id"), flat(0).alias("geometry")),
         F.struct(F.col("n").alias("pos"), L.next_room_name(F.col("names")).alias("name"), L.next_room_id(F.col("ids")).alias("id"), flat(1).alias("geometry")),
     )).alias("r"), "resolution", "ox", "oy", "h")
@@ -266,24 +287,31 @@ def extension(requests: DataFrame, maps: DataFrame, config: Config) -> DataFrame
     unused = F.filter(F.transform(F.sequence(F.lit(0), F.size("names") + F.col("turn")), L.room_name), lambda n: ~F.array_contains("names", n))
     full = both.select(
         "map_id", "pos", F.coalesce("name", F.get(unused, F.col("turn") - 1)).alias("name"), F.coalesce("id", F.format_string("ROOM_%03d", F.coalesce("last", F.lit(0)) + F.col("turn"))).alias("id"),
-        F.coalesce("new_geometry", "geometry").alias("geometry"), "colorType", "groundMaterial", F.coalesce("new_points", "points").alias("points"),
+        F.coalesce("new_geometry", "geometry").alias("geometry"), F.col("new_geometry").isNotNull().alias("changed"), "colorType", "groundMaterial", F.coalesce("new_points", "points").alias("points"),
     )
-    bodies = edited(full, own, config)
+    full = stored(full)
+    over = full.where(F.regexp_extract("id", r"(\d+)$", 1).try_cast("int") > 999).select("map_id").distinct()  # there is no such id: the request fails
+    bodies = edited(full.join(over, "map_id", "left_anti"), own.join(over, "map_id", "left_anti"), config)
     return own.select("request_id").join(bodies.withColumnRenamed("map_id", "request_id"), "request_id", "left").withColumn("code", F.lit(None).cast("int"))
 
 
-def run(requests: DataFrame, maps: DataFrame, config: Config | None = None) -> DataFrame:
-    """request_id, statusCode, body of every request: 200 with the labels document, 190 with the code of a failure."""
+def run(requests: DataFrame, maps: DataFrame, config: Config | None = None, detections: DataFrame | None = None) -> DataFrame:
+    """request_id, statusCode, body of every request: 200 with the labels document, 190 with the code of a failure, 171
+    with what is missing from its arguments. detections: door boxes of the maps, see `partition`."""
     config = config or Config()
-    checked = stored(validated(requests, maps))
+    asked = stored(requests.withColumn("refusal", refusal()))
+    refused = asked.where("refusal IS NOT NULL").select("request_id", F.lit(BAD_ARGUMENT).alias("statusCode"), F.col("refusal").alias("body"))
+    checked = stored(validated(asked.where("refusal IS NULL").drop("refusal"), maps))
+    maps = maps.where("data IS NOT NULL")
     ok = checked.where("code IS NULL")
     has = F.col("labels").isNotNull() & (F.size("labels.data") > 0)
     fresh = ok.where((F.col("operation") == "repartition") | ((F.col("operation") == "split") & ~F.coalesce(has, F.lit(False))))
     wanted = maps.join(fresh.select("map_id").distinct(), "map_id", "left_semi")
-    auto = fresh.select("request_id", "map_id").join(partition(wanted, config), "map_id", "left").select("request_id", F.lit(None).cast("int").alias("code"), "body")
+    auto = fresh.select("request_id", "map_id").join(partition(wanted, config, detections), "map_id", "left").select("request_id", F.lit(None).cast("int").alias("code"), "body")
     cut = division(ok.where("operation = 'division'"), maps, config).select("request_id", "code", "body")
     joined = merge(ok.where("operation = 'merge'"), maps, config).select("request_id", "code", "body")
     wider = extension(ok.where((F.col("operation") == "split") & has), maps, config).select("request_id", "code", "body")
     done = auto.unionByName(cut).unionByName(joined).unionByName(wider).unionByName(checked.where("code IS NOT NULL").select("request_id", "code", F.lit(None).cast("string").alias("body")))
     failed = F.col("code").isNotNull() | F.col("body").isNull()
-    return done.select("request_id", F.when(failed, 190).otherwise(200).alias("statusCode"), F.when(failed, F.coalesce(F.col("code"), F.lit(0)).cast("string")).otherwise(F.col("body")).alias("body"))
+    done = done.select("request_id", F.when(failed, FAILED).otherwise(OK).alias("statusCode"), F.when(failed, F.coalesce(F.col("code"), F.lit(0)).cast("string")).otherwise(F.col("body")).alias("body"))
+    return done.unionByName(refused)

@@ -84,12 +84,18 @@ def _files(spark: SparkSession, root: str, name: str) -> DataFrame:
 
 
 def read_rasters(spark: SparkSession, root: str) -> DataFrame:
-    """map_id (folder name), h, w, data."""
+    """map_id (folder name), h, w, data; null but for the id where the image can't be read."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
-                img = decode_png(batch.column(1)[i].as_py())
+                try:
+                    img = decode_png(batch.column(1)[i].as_py())
+                except (ValueError, KeyError, IndexError, TypeError, struct.error, zlib.error, UnboundLocalError):
+                    img = None
+                if img is None:
+                    yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, 1), *(pa.nulls(1, t) for t in (pa.int32(), pa.int32(), pa.binary()))], names=["map_id", "h", "w", "data"])
+                    continue
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, 1), pa.array([img.shape[0]], pa.int32()), pa.array([img.shape[1]], pa.int32()), pa.array([img.tobytes()], pa.binary())], names=["map_id", "h", "w", "data"])
 
     return _files(spark, root, "saved_map.png").mapInArrow(run, "map_id string, h int, w int, data binary")
@@ -124,6 +130,11 @@ def write_labels(results: DataFrame, path: str) -> None:
 
 
 def read_requests(spark: SparkSession, path: str) -> DataFrame:
-    """JSON lines of requests: operation, bucket, key, roomMergeList, divisionCroodsDict; map_id is the key's last part."""
-    lines = spark.read.text(path).select(F.from_json("value", L.REQUEST).alias("r"))
-    return lines.select("r.*").withColumn("map_id", F.regexp_extract("key", r"([^/]+)/?$", 1))
+    """JSON lines of requests (operation, bucket, key, roomMergeList, divisionCroodsDict and, optionally, request_id) as
+    `plans.requests.run` takes them. map_id is the key's last part; a request without an id gets its line's digest, and
+    equal ones are one request."""
+    lines = spark.read.text(path).where(F.trim("value") != "").select("value", F.from_json("value", L.REQUEST).alias("r"))
+    return lines.select(
+        F.coalesce("r.request_id", F.sha2("value", 256)).alias("request_id"), F.regexp_extract("r.key", r"([^/]+)/?$", 1).alias("map_id"), "r.operation",
+        F.col("r.roomMergeList").alias("room_merge_list"), F.col("r.divisionCroodsDict").alias("division"),
+    ).dropDuplicates(["request_id"])

@@ -21,7 +21,7 @@ def raw_pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
     maps = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("map_id"))
     cells = maps.withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(WIDTH * HEIGHT - 1))))
     part = table(spark, sf_dir, "part").select("p_partkey", "p_size")
-    noise = maps.join(F.broadcast(part) if part.count() <= 100_000 else part, how="cross")
+    noise = part.join(F.broadcast(maps), how="cross")  # the 25 nations, at every scale
     noise = noise.groupBy("map_id", F.pmod(F.col("p_partkey") + 17 * F.col("map_id"), F.lit(WIDTH * HEIGHT)).cast("int").alias("i")).agg(F.min("p_size").alias("s"))
     x, y = F.col("i") % WIDTH, F.floor(F.col("i") / WIDTH).cast("int")
     door = (x % 16 == 0) & ((y + F.col("map_id")) % 12 == 5) & (x % 32 == 0) & (x > 0)
