@@ -31,27 +31,42 @@ def decoded(raw: DataFrame, form: str = "yolo_obb", least: float = 0.1) -> DataF
     return raw.where(at(spec["conf"]) >= least).select("map_id", F.col("cell").alias("det_id"), v.alias("v"), at(spec["conf"]).alias("conf"))
 
 
-def clip_area(a: np.ndarray, b: np.ndarray) -> float:
-    """Area of the intersection of two convex polygons (Sutherland-Hodgman); 0 for degenerate ones."""
-    if abs(K.shoelace(a)) < 1e-12 or abs(K.shoelace(b)) < 1e-12:
-        return 0.0
-    if K.shoelace(b) < 0:
-        b = b[::-1]
-    out = [tuple(p) for p in (a if K.shoelace(a) > 0 else a[::-1])]
-    for (x0, y0), (x1, y1) in zip(b, np.roll(b, -1, axis=0)):
-        side = [(x1 - x0) * (y - y0) - (y1 - y0) * (x - x0) for x, y in out]
-        now = []
-        for k in range(len(out)):
-            p, q, s, t = out[k], out[(k + 1) % len(out)], side[k], side[(k + 1) % len(out)]
-            if s >= 0:
-                now.append(p)
-            if (s >= 0) != (t >= 0):
-                f = s / (s - t)
-                now.append((p[0] + f * (q[0] - p[0]), p[1] + f * (q[1] - p[1])))
-        out = now
-        if not out:
-            return 0.0
-    return abs(K.shoelace(np.array(out))) if len(out) > 2 else 0.0
+def _pieces(p: np.ndarray, q: np.ndarray, margin: np.ndarray, closed: bool) -> np.ndarray:
+    """What the pieces of p's edges within q add to the area they bound. An edge along one of q's counts if closed, where
+    both run the same way (else the polygons only touch there)."""
+    d, e = np.roll(p, -1, axis=1) - p, np.roll(q, -1, axis=1) - q
+    size = np.hypot(e[..., 0], e[..., 1])
+    normal = np.stack([-e[..., 1], e[..., 0]], axis=-1) / np.where(size > 0, size, 1)[..., None]
+    start = np.einsum("njc,nijc->nij", normal, p[:, :, None] - q[:, None])
+    rate = np.einsum("njc,nic->nij", normal, d)
+    margin = margin[:, None, None]
+    level = np.abs(rate) <= margin
+    out = level & (start <= margin)
+    if closed:
+        out &= (start < -margin) | (np.einsum("nic,njc->nij", d, e) <= 0)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        t = -start / rate
+    lo = np.where(~level & (rate > 0), t, 0.0).max(axis=2).clip(0, 1)
+    hi = np.where(~level & (rate < 0), t, 1.0).min(axis=2).clip(0, 1)
+    a, b = p + lo[..., None] * d, p + hi[..., None] * d
+    cross = a[..., 0] * b[..., 1] - a[..., 1] * b[..., 0]
+    return np.where((lo < hi) & ~out.any(axis=2), cross, 0.0).sum(axis=1) / 2
+
+
+def clip_areas(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Areas of the intersections of pairs of convex polygons (n, corners, 2), by the boundary of each intersection:
+    the edges of one inside the other, and the other way round; 0 for degenerate ones."""
+    a, b = a - a[:, :1], b - a[:, :1]
+
+    def wound(p: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        x, y = p[..., 0], p[..., 1]
+        s = (x * np.roll(y, -1, axis=1) - np.roll(x, -1, axis=1) * y).sum(axis=1) / 2
+        return np.where((s < 0)[:, None, None], p[:, ::-1], p), np.abs(s)
+
+    (a, one), (b, two) = wound(a), wound(b)
+    margin = 1e-11 * np.maximum(np.abs(a).max(axis=(1, 2)), np.abs(b).max(axis=(1, 2)))
+    area = _pieces(a, b, margin, True) + _pieces(b, a, margin, False)
+    return np.where((one >= 1e-12) & (two >= 1e-12), np.clip(area, 0, np.minimum(one, two)), 0.0)
 
 
 def iou_pairs(detections: DataFrame, tile: float = 256.0, least: float = 0.0) -> DataFrame:
@@ -69,18 +84,17 @@ def iou_pairs(detections: DataFrame, tile: float = 256.0, least: float = 0.0) ->
     # one tile counts, where the overlap begins
     pairs = pairs.where((F.floor(F.greatest("l1", "l2") / tile) == F.col("tx")) & (F.floor(F.greatest("t1", "t2") / tile) == F.col("ty")))
 
-    @F.pandas_udf("double")
-    def shared(a, b):
-        import pandas as pd
-
-        corners = lambda v: np.array([[p["x"], p["y"]] for p in v], float)
-        return pd.Series([clip_area(corners(x), corners(y)) for x, y in zip(a, b)])
+    @F.arrow_udf("double")
+    def shared(a: pa.Array, b: pa.Array) -> pa.Array:
+        corners = lambda v: v.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(v), -1, 2)
+        return pa.array(clip_areas(corners(a), corners(b)) if len(a) else [], pa.float64())
 
+    plain = lambda v: F.flatten(F.transform(v, lambda p: F.array(p["x"], p["y"])))
     if least > 0:
         box = (F.least("r1", "r2") - F.greatest("l1", "l2")) * (F.least("b1", "b2") - F.greatest("t1", "t2"))
         most = F.least(box, "s1", "s2")
         pairs = pairs.where(most * (1 + 1e-9) >= least * (F.col("s1") + F.col("s2") - most))
-    met = pairs.select("map_id", F.col("det_id1").alias("a"), F.col("det_id2").alias("b"), shared("v1", "v2").alias("i"), "s1", "s2")
+    met = pairs.select("map_id", F.col("det_id1").alias("a"), F.col("det_id2").alias("b"), shared(plain(F.col("v1")), plain(F.col("v2"))).alias("i"), "s1", "s2")
     return met.select("map_id", "a", "b", F.when(F.col("s1") + F.col("s2") - F.col("i") > 0, F.col("i") / (F.col("s1") + F.col("s2") - F.col("i"))).otherwise(0.0).alias("iou"))
 
 

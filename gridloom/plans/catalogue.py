@@ -474,8 +474,9 @@ def merge_rect_union_area(spark, sf_dir):
 
 # --- detections ----------------------------------------------------------------------------------------------------
 
-DET = """dt AS (SELECT CAST(l_orderkey % 25 AS INTEGER) AS map_id, l_orderkey * 10 + l_linenumber AS det_id, CAST(l_partkey * 13 % 300 AS DOUBLE) AS cx, CAST(l_suppkey * 29 % 200 AS DOUBLE) AS cy,
-10 + l_quantity AS w, 6 + l_quantity / 2 AS h, CAST(((l_orderkey * 10 + l_linenumber) * 7919 % 100003) AS DOUBLE) / 100003 AS conf FROM lineitem WHERE l_orderkey <= 400)"""
+DET = """li AS (SELECT *, l_orderkey * 1000 + row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity) AS k FROM lineitem),
+dt AS MATERIALIZED (SELECT CAST(l_orderkey // 16 AS INTEGER) AS map_id, k AS det_id, CAST(l_partkey * 13 % 300 AS DOUBLE) AS cx, CAST(l_suppkey * 29 % 200 AS DOUBLE) AS cy,
+10 + l_quantity AS w, 6 + l_quantity / 2 AS h, CAST((k * 7919 % 100003) AS DOUBLE) / 100003 AS conf, (k * 31 % 628) / 100.0::DOUBLE AS angle FROM li)"""
 
 
 @query(f"WITH {DET} SELECT map_id, det_id, round(conf, 6) AS conf, round(w * h, 6) AS area FROM dt WHERE conf >= 0.1")
@@ -521,7 +522,7 @@ def iou_pairs(spark, sf_dir):
 
 
 @query(
-    f"""WITH RECURSIVE {_IOU}, h AS (SELECT a, b FROM pr WHERE i / (s - i) >= 0.35), o AS (SELECT map_id, det_id, row_number() OVER (PARTITION BY map_id ORDER BY conf DESC, det_id) AS rn FROM c),
+    f"""WITH RECURSIVE {_IOU}, h AS MATERIALIZED (SELECT a, b FROM pr WHERE i / (s - i) >= 0.35), o AS MATERIALIZED (SELECT map_id, det_id, row_number() OVER (PARTITION BY map_id ORDER BY conf DESC, det_id) AS rn FROM c),
 k AS (SELECT map_id, 0 AS rn, CAST([] AS BIGINT[]) AS kept FROM (SELECT DISTINCT map_id FROM o)
   UNION ALL SELECT k.map_id, k.rn + 1, CASE WHEN EXISTS (SELECT 1 FROM h WHERE h.b = o.det_id AND list_contains(k.kept, h.a)) THEN k.kept ELSE list_append(k.kept, o.det_id) END FROM k JOIN o ON o.map_id = k.map_id AND o.rn = k.rn + 1),
 z AS (SELECT map_id, kept FROM (SELECT *, row_number() OVER (PARTITION BY map_id ORDER BY rn DESC) AS q FROM k) WHERE q = 1)
@@ -531,33 +532,24 @@ def nms_keep(spark, sf_dir):
     return D.suppressed(D.decoded(seed.detections(spark, sf_dir))).select("map_id", "det_id")
 
 
-@query()
-def obb_decode_all(spark, sf_dir):
-    """The queries with _all take every line item; those without keep the order keys of their SQL."""
-    d = D.decoded(seed.all_detections(spark, sf_dir))
-    return d.select("map_id", "det_id", F.round("conf", 6).alias("conf"), F.round(G.polygon_area(F.col("v")), 6).alias("area"))
+for _name in ("obb_decode", "obb_vertices", "obb_centerline", "iou_pairs", "nms_keep"):
+    QUERIES[f"{_name}_all"] = QUERIES[_name]  # the names of the time when those without _all read a part
 
 
-@query()
-def obb_vertices_all(spark, sf_dir):
+@query(f"WITH {DET} SELECT det_id, round(cx - w / 2 * cos(angle) + h / 2 * sin(angle), 6) AS ax, round(cy - w / 2 * sin(angle) - h / 2 * cos(angle), 6) AS ay, round(cx + w / 2 * cos(angle) - h / 2 * sin(angle), 6) AS cx, round(cy + w / 2 * sin(angle) + h / 2 * cos(angle), 6) AS cy FROM dt WHERE conf >= 0.1")
+def obb_vertices_turned(spark, sf_dir):
     v = F.col("v")
-    return D.decoded(seed.all_detections(spark, sf_dir)).select("det_id", *[F.round(v[i][c], 6).alias(n) for i, c, n in ((0, "x", "ax"), (0, "y", "ay"), (2, "x", "cx"), (2, "y", "cy"))])
-
-
-@query()
-def obb_centerline_all(spark, sf_dir):
-    d = D.decoded(seed.all_detections(spark, sf_dir)).select("det_id", G.box_centerline(F.col("v")).alias("l"))
-    return d.select("det_id", *[F.round(F.col("l")[i][c].cast("double"), 3).alias(n) for i, c, n in ((0, "x", "x1"), (0, "y", "y1"), (1, "x", "x2"), (1, "y", "y2"))])
+    return D.decoded(seed.detections(spark, sf_dir, turned=True)).select("det_id", *[F.round(v[i][c], 6).alias(n) for i, c, n in ((0, "x", "ax"), (0, "y", "ay"), (2, "x", "cx"), (2, "y", "cy"))])
 
 
 @query()
-def iou_pairs_all(spark, sf_dir):
-    return D.iou_pairs(D.decoded(seed.all_detections(spark, sf_dir))).where("iou > 0").withColumn("iou", F.round("iou", 6))
+def iou_pairs_turned(spark, sf_dir):
+    return D.iou_pairs(D.decoded(seed.detections(spark, sf_dir, turned=True))).where("iou > 0").withColumn("iou", F.round("iou", 6))
 
 
 @query()
-def nms_keep_all(spark, sf_dir):
-    return D.suppressed(D.decoded(seed.all_detections(spark, sf_dir))).select("map_id", "det_id")
+def nms_keep_turned(spark, sf_dir):
+    return D.suppressed(D.decoded(seed.detections(spark, sf_dir, turned=True))).select("map_id", "det_id")
 
 
 _LB = "(SELECT CAST(c_custkey AS INTEGER) AS id, CAST(100 + c_custkey * 37 % 1900 AS INTEGER) AS w, CAST(100 + c_custkey * 53 % 1500 AS INTEGER) AS h FROM customer)"

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import geometry as G
@@ -56,21 +56,14 @@ def rooms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corners.withColumn("geometry", G.flat(G.closed(rounded))).withColumn("id", F.format_string("ROOM_%03d", F.pmod("pos", F.lit(1000)).cast("int"))).withColumn("name", F.concat(F.lit("R"), F.col("pos").cast("string")))
 
 
-def detections(spark: SparkSession, sf_dir: str, orders: int = 400) -> DataFrame:
-    """Axis-aligned boxes from the line items of low order keys; every confidence of a map differs."""
-    li = table(spark, sf_dir, "lineitem").where(F.col("l_orderkey") <= orders)
-    return _boxes(li, F.pmod("l_orderkey", F.lit(25)).cast("int"), F.col("l_orderkey") * 10 + F.col("l_linenumber"))
-
-
-def all_detections(spark: SparkSession, sf_dir: str, orders: int = 16) -> DataFrame:
-    """The boxes of all line items, a map for every so many order keys: maps stay small, their number grows. Line
-    numbers repeat within an order, so an order's items are counted anew."""
+def detections(spark: SparkSession, sf_dir: str, orders: int = 16, turned: bool = False) -> DataFrame:
+    """A box for every line item, upright or turned by an angle of its key, and a map for every so many order keys: maps
+    stay small, their number grows. Line numbers repeat within an order, so an order's items are counted anew."""
     li = table(spark, sf_dir, "lineitem")
     turn = F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_quantity"))
-    return _boxes(li.withColumn("_k", F.col("l_orderkey") * 1000 + turn), F.floor(F.col("l_orderkey") / orders).cast("int"), F.col("_k"))
-
-
-def _boxes(li: DataFrame, map_id: Column, k: Column) -> DataFrame:
+    k = F.col("_k")
+    angle = F.pmod(k * 31, F.lit(628)) / 100 if turned else F.lit(0.0)
     cx, cy = F.pmod(F.col("l_partkey") * 13, F.lit(300)).cast("double"), F.pmod(F.col("l_suppkey") * 29, F.lit(200)).cast("double")
-    channels = F.array(cx, cy, 10 + F.col("l_quantity"), 6 + F.col("l_quantity") / 2, (F.pmod(k * 7919, F.lit(100003)) / 100003).cast("double"), F.lit(0.0))
-    return li.select(map_id.alias("map_id"), k.alias("cell"), channels.alias("channels"))
+    channels = F.array(cx, cy, 10 + F.col("l_quantity"), 6 + F.col("l_quantity") / 2, (F.pmod(k * 7919, F.lit(100003)) / 100003).cast("double"), angle)
+    boxes = li.withColumn("_k", F.col("l_orderkey") * 1000 + turn)
+    return boxes.select(F.floor(F.col("l_orderkey") / orders).cast("int").alias("map_id"), k.alias("cell"), channels.alias("channels"))

@@ -1,7 +1,12 @@
 """Detections of whole tables."""
 
+import math
+import random
 from collections import Counter, defaultdict
 
+import numpy as np
+
+from gridloom.operators import detections as D
 from gridloom.plans import catalogue
 from gridloom.sources import seed
 
@@ -31,3 +36,69 @@ def test_detections_of_all_line_items(spark):
         want |= {(m, b[1]) for b in kept}
     assert {r.det_id for r in catalogue.QUERIES["obb_decode_all"](spark, SMALL).collect()} == {b[1] for boxes in maps.values() for b in boxes}
     assert {tuple(r) for r in catalogue.QUERIES["nms_keep_all"](spark, SMALL).collect()} == want
+
+
+def plain_clip(a, b):
+    """Area of the intersection of two convex polygons, edge by edge of the second."""
+    area = lambda p: sum(p[k][0] * p[(k + 1) % len(p)][1] - p[(k + 1) % len(p)][0] * p[k][1] for k in range(len(p))) / 2
+    if area(a) == 0 or area(b) == 0:
+        return 0.0
+    b = b[::-1] if area(b) < 0 else b
+    for (x0, y0), (x1, y1) in zip(b, b[1:] + b[:1]):
+        side = [(x1 - x0) * (y - y0) - (y1 - y0) * (x - x0) for x, y in a]
+        now = []
+        for k, (p, s) in enumerate(zip(a, side)):
+            q, t = a[(k + 1) % len(a)], side[(k + 1) % len(a)]
+            if s >= 0:
+                now.append(p)
+            if (s >= 0) != (t >= 0):
+                now.append((p[0] + s / (s - t) * (q[0] - p[0]), p[1] + s / (s - t) * (q[1] - p[1])))
+        a = now
+        if len(a) < 3:
+            return 0.0
+    return abs(area(a))
+
+
+def rectangle(cx, cy, w, h, angle):
+    c, s = math.cos(angle), math.sin(angle)
+    return [(cx + x * w / 2 * c - y * h / 2 * s, cy + x * w / 2 * s + y * h / 2 * c) for x, y in ((-1, -1), (1, -1), (1, 1), (-1, 1))]
+
+
+def test_clip_areas():
+    """Random, equal, touching, nested, shifted, wound either way and degenerate boxes against the plain version."""
+    rng = random.Random(3)
+    some = lambda: rectangle(rng.uniform(0, 60), rng.uniform(0, 60), rng.uniform(1, 50), rng.uniform(1, 30), rng.choice((0, math.pi / 2, rng.uniform(0, 7))))
+    pairs = [(some(), some()) for _ in range(3000)]
+    for angle in (0.0, 0.3, 2.0):
+        a = rectangle(100, 50, 20, 10, angle)
+        along = lambda t, w=20, h=10: rectangle(100 + t * math.cos(angle), 50 + t * math.sin(angle), w, h, angle)
+        pairs += [(a, a), (a, a[::-1]), (a, a[2:] + a[:2]), (a, along(5)), (a, along(20)), (a, along(30)), (a, along(0, 10, 5)), (a, along(5, 10, 10)), (along(0, 10, 5), a), (a, along(0, 0, 10)), (a, rectangle(100, 50, 20, 10, angle + math.pi))]
+    got = D.clip_areas(np.array([p for p, _ in pairs]), np.array([q for _, q in pairs]))
+    want = [plain_clip(p, q) for p, q in pairs]
+    assert np.allclose(got, want, atol=1e-6), [(g, w) for g, w in zip(got, want) if abs(g - w) > 1e-6][:5]
+
+
+def test_turned_detections(spark):
+    """Pairs and survivors of turned boxes equal plain ones over all pairs of a map."""
+    boxes = D.decoded(seed.detections(spark, SMALL, turned=True))
+    maps = defaultdict(list)
+    for r in boxes.collect():
+        maps[r.map_id].append((-r.conf, r.det_id, [(p.x, p.y) for p in r.v]))
+    pairs, kept = {}, set()
+    size = lambda v: plain_clip(v, v)
+    for m, held in maps.items():
+        held.sort()
+        gone = set()
+        for i, (_, a, v) in enumerate(held):
+            for _, b, u in held[i + 1 :]:
+                shared = plain_clip(v, u)
+                if shared > 0:
+                    pairs[m, a, b] = shared / (size(v) + size(u) - shared)
+        for i, (_, a, _) in enumerate(held):
+            if a not in gone:
+                kept.add((m, a))
+                gone |= {b for _, b, _ in held[i + 1 :] if pairs.get((m, a, b), 0) >= 0.35}
+    got = {(r.map_id, r.a, r.b): r.iou for r in catalogue.QUERIES["iou_pairs_turned"](spark, SMALL).collect()}
+    big = {k for k, v in pairs.items() if v > 1e-5}
+    assert big <= set(got) and all(abs(got[k] - pairs.get(k, 0)) < 1e-5 for k in got)
+    assert {tuple(r) for r in catalogue.QUERIES["nms_keep_turned"](spark, SMALL).collect()} == kept
