@@ -28,7 +28,8 @@ def decoded(raw: DataFrame, form: str = "yolo_obb", least: float = 0.1) -> DataF
         v = F.array(*[G.point(at(2 * i + 1), at(2 * i + 2)) for i in range(4)])
     else:
         v = G.box_vertices(at(1), at(2), at(3), at(4), at(spec["angle"]))
-    return raw.where(at(spec["conf"]) >= least).select("map_id", F.col("cell").alias("det_id"), v.alias("v"), at(spec["conf"]).alias("conf"))
+    held = G.settled(raw.where(at(spec["conf"]) >= least).select("map_id", "cell", "channels"))
+    return G.settled(held.select("map_id", F.col("cell").alias("det_id"), v.alias("v"), at(spec["conf"]).alias("conf")))
 
 
 def _pieces(p: np.ndarray, q: np.ndarray, margin: np.ndarray, closed: bool) -> np.ndarray:
@@ -74,7 +75,7 @@ def iou_pairs(detections: DataFrame, tile: float = 256.0, least: float = 0.0) ->
     Boxes are dealt to tiles and met there, so far ones are never paired. Pairs surely under `least` are not clipped:
     an intersection is at most the smaller area and what the bounding boxes share."""
     xs, ys = F.transform("v", lambda p: p["x"]), F.transform("v", lambda p: p["y"])
-    boxed = detections.select("map_id", "det_id", "v", "conf", F.array_min(xs).alias("l"), F.array_min(ys).alias("t"), F.array_max(xs).alias("r"), F.array_max(ys).alias("b"), G.polygon_area(F.col("v")).alias("s"))
+    boxed = G.settled(detections.select("map_id", "det_id", "v", "conf", F.array_min(xs).alias("l"), F.array_min(ys).alias("t"), F.array_max(xs).alias("r"), F.array_max(ys).alias("b"), G.polygon_area(F.col("v")).alias("s")))
     cells = lambda lo, hi: F.explode(F.sequence(F.floor(F.col(lo) / tile), F.floor(F.col(hi) / tile)))
     tiled = boxed.withColumn("tx", cells("l", "r")).withColumn("ty", cells("t", "b"))
     one = tiled.select("map_id", "tx", "ty", *[F.col(c).alias(f"{c}1") for c in ("det_id", "v", "conf", "l", "t", "r", "b", "s")])
