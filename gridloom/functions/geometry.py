@@ -112,6 +112,22 @@ def inside_polygon(px: Column, py: Column, points: Column) -> Column:
     return F.aggregate(hits, F.lit(0), lambda a, h: a + h) % 2 == 1
 
 
+def without_collinear(points: Column) -> Column:
+    """A line's points without repeats of the one before and without those that lie on a straight line with both
+    neighbours; the ends stay. Fewer than three points stay as they are."""
+    single = F.filter(points, lambda p, i: (i == 0) | (p != F.get(points, i - 1)))
+
+    def bends(u: Column) -> Column:
+        def keep(p: Column, i: Column) -> Column:
+            a, b = F.get(u, i - 1), F.get(u, i + 1)
+            cross = (p["x"] - a["x"]) * (b["y"] - a["y"]) - (p["y"] - a["y"]) * (b["x"] - a["x"])
+            return (i == 0) | (i == F.size(u) - 1) | (cross != 0)
+
+        return F.filter(u, keep)
+
+    return F.when(F.size(points) < 3, points).otherwise(bind(single, bends))
+
+
 def segment_class(dx: Column, dy: Column) -> Column:
     """'H' under one degree, 'V' over 89, else 'D'."""
     angle = F.degrees(F.atan2(F.abs(dy), F.abs(dx)))

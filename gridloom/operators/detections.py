@@ -143,6 +143,21 @@ def threshold_lines(detections: DataFrame, maps: DataFrame, free: DataFrame, siz
     return ray_extended(lines, free, reach)
 
 
+def merged_lines(lines: DataFrame, gap: int = 3) -> DataFrame:
+    """lines(map_id, seg_id, x1, y1, x2, y2), whole pixels: level or upright ones on one line, in order of seg_id, become
+    one where their facing ends lie within the gap. The first keeps its id. Repeated ids stand in order of their ends."""
+    held = lines.groupBy("map_id").agg(F.array_sort(F.collect_list(F.struct("seg_id", "x1", "y1", "x2", "y2"))).alias("lines"))
+
+    def kernel(row: dict) -> Iterator[dict]:
+        rows = row["lines"]
+        for old, now in zip(rows, K.merge_segments([(r["x1"], r["y1"], r["x2"], r["y2"]) for r in rows], gap)):
+            if now:
+                yield {"seg_id": old["seg_id"], **dict(zip(("x1", "y1", "x2", "y2"), now))}
+
+    kind = lines.schema["seg_id"].dataType.simpleString()
+    return per_map(held, kernel, f"seg_id {kind}, x1 int, y1 int, x2 int, y2 int")
+
+
 def split_by_lines(rasters: DataFrame, lines: DataFrame, thickness: int = 2) -> DataFrame:
     """Free space without the drawn lines, as components: packed labels."""
     held = rasters.join(lines.groupBy("map_id").agg(F.collect_list(F.struct("x1", "y1", "x2", "y2")).alias("lines")), "map_id", "left")

@@ -314,18 +314,142 @@ def fill_polygon(points: np.ndarray, h: int, w: int) -> np.ndarray:
     for a, b, c, d in zip(x0, y0, x1, y1):
         if b == d:
             continue
-        rows = np.flatnonzero((cy > min(b, d)) & (cy < max(b, d)))
+        rows = np.flatnonzero((cy >= min(b, d)) & (cy < max(b, d)))  # a vertex on a row counts once
         cross = a + (cy[rows] - b) * (c - a) / (d - b)
         np.add.at(flips, (rows, np.clip(np.ceil(cross - 0.5), 0, w).astype(int)), 1)
     return (np.cumsum(flips, axis=1)[:, :w] % 2).astype(bool)
 
 
-def expand_region(mask: np.ndarray, free: np.ndarray) -> np.ndarray:
-    """A region grown by one pixel across the sides that face pixels which are not free."""
-    grown = mask.copy()
-    for dy, dx in ((-1, 0), (1, 0), (0, -1), (0, 1)):
-        grown |= shifted(mask & free, dy, dx, False) & ~free
-    return grown
+#: Sizes of the closings that bridge a label's pieces, tried in this order (fixed values).
+BRIDGES = (3, 5, 7, 11, 15, 21, 31)
+
+
+def filled(mask: np.ndarray) -> np.ndarray:
+    """One component without its holes."""
+    return fill_polygon(outer_polygon(boundary_edges(mask.astype(np.int32))[:, 1:]), *mask.shape)
+
+
+def close_disc(mask: np.ndarray, size: int) -> np.ndarray:
+    """Closing by a disc of odd size; outside the image neither grows nor shrinks."""
+    r = size // 2
+    rows = [(dy, int(np.rint(np.sqrt(r * r - dy * dy)))) for dy in range(-r, r + 1)]
+    steps = [(dy, dx) for dy, half in rows for dx in range(-half, half + 1)]
+    grown = np.zeros_like(mask)
+    for dy, dx in steps:
+        grown |= shifted(mask, dy, dx, False)
+    out = grown.copy()
+    for dy, dx in steps:
+        out &= shifted(grown, dy, dx, True)
+    return out
+
+
+def outer_contour(mask: np.ndarray) -> np.ndarray:
+    """The border pixels of the component whose contour bounds most, clockwise from its topmost, leftmost pixel;
+    straight runs as their ends (x, y)."""
+    labels = components(mask)
+    found = [_border(labels == c) for c in range(1, int(labels.max()) + 1)]
+    return max(found, key=lambda p: abs(shoelace(p))) if found else np.zeros((0, 2), int)
+
+
+def _border(own: np.ndarray) -> np.ndarray:
+    big = np.pad(own, 1)
+    y, x = (int(v) for v in np.argwhere(big)[0])
+    first, way, came, path = (x, y), None, 5, []
+    turns = ((1, 0), (1, 1), (0, 1), (-1, 1), (-1, 0), (-1, -1), (0, -1), (1, -1))
+    while True:
+        to = next((d for d in ((came + k) % 8 for k in range(8)) if big[y + turns[d][1], x + turns[d][0]]), None)
+        if to is None:
+            return np.array([(x - 1, y - 1)])
+        if (x, y) == first and to == way:
+            break
+        way = to if way is None else way
+        path.append((x - 1, y - 1, to))
+        x, y = x + turns[to][0], y + turns[to][1]
+        came = (to + 6 - to % 2) % 8
+    return np.array([p[:2] for k, p in enumerate(path) if p[2] != path[k - 1][2]])
+
+
+def bridged(mask: np.ndarray) -> np.ndarray:
+    """A label's pixels as one piece without holes: closed by growing discs until its pieces meet, else its piece of
+    largest contour."""
+    pieces = components(mask)
+    if pieces.max() <= 1:
+        return filled(mask)
+    whole = np.zeros_like(mask)
+    for c in range(1, int(pieces.max()) + 1):
+        whole |= filled(pieces == c)
+    ys, xs = np.nonzero(whole)
+    room = np.zeros((ys.max() + 3, xs.max() + 3), bool)  # two pixels past the pieces, as far as the closing sees
+    room[: mask.shape[0], : mask.shape[1]] = whole[: room.shape[0], : room.shape[1]]
+    for size in BRIDGES:
+        closed = close_disc(room, size)
+        if components(closed).max() == 1:
+            out = np.zeros_like(mask)
+            part = filled(closed)[: mask.shape[0], : mask.shape[1]]
+            out[: part.shape[0], : part.shape[1]] = part
+            return out
+    best = max(range(1, int(pieces.max()) + 1), key=lambda c: abs(shoelace(_border(pieces == c))))
+    return filled(pieces == best)
+
+
+def settled_labels(img: np.ndarray, labels: np.ndarray) -> np.ndarray:
+    """Labels as whole pieces, later ones over earlier ones; what they leave of free space are fragments, each of which
+    joins the nearest label."""
+    cover = np.zeros_like(labels)
+    for c in np.unique(labels[labels > 0]):
+        cover[bridged(labels == c)] = c
+    return merge_fragments_fixed(cover, components((img > 127) & (cover == 0)))
+
+
+def expanded(ring: np.ndarray, img: np.ndarray) -> np.ndarray:
+    """A lattice ring of unit steps, its corners taken as pixels, one pixel wider where a step touches free space and
+    what lies beyond isn't free: the contour of the pixels."""
+    h, w = img.shape
+    mask = fill_polygon(ring, h, w)
+    step = np.roll(ring, -1, axis=0) - ring
+    beyond = np.stack([step[:, 1], -step[:, 0]], axis=1) * int(np.sign(shoelace(ring)))
+    ends = np.stack([ring, ring + step])
+
+    def free(p: np.ndarray, outside: bool) -> np.ndarray:
+        x, y = p[..., 0], p[..., 1]
+        held = (x >= 0) & (y >= 0) & (x < w) & (y < h)
+        return np.where(held, img[y.clip(0, h - 1), x.clip(0, w - 1)] == 255, outside)
+
+    moved = (ends + beyond)[:, free(ends, False).any(axis=0)].reshape(-1, 2)
+    moved = moved[~free(moved, True)]
+    drawn = np.concatenate([ring[(ring[:, 0] < w) & (ring[:, 1] < h)], moved])
+    mask[drawn[:, 1], drawn[:, 0]] = True
+    return outer_contour(mask)
+
+
+def final_polygons(img: np.ndarray, labels: np.ndarray) -> dict[int, np.ndarray]:
+    """Label -> contour in pixels: whole pieces with their fragments, shared borders, widened to the walls."""
+    return {c: expanded(ring, img) for c, ring in polygons(settled_labels(img, labels)).items()}
+
+
+def merge_segments(lines: list[tuple[int, int, int, int]], gap: int = 3) -> list[tuple[int, int, int, int] | None]:
+    """Upright or level segments (x0, y0, x1, y1) on one line whose facing ends lie within the gap become one, in
+    order, until none does; the place of one that went holds null. Deep overlaps are no facing ends."""
+    held: list = list(lines)
+
+    def joined(a: tuple, b: tuple) -> tuple | None:
+        for run, line in ((0, 1), (1, 0)):
+            if len({a[line], a[line + 2], b[line], b[line + 2]}) == 1:
+                (a0, a1), (b0, b1) = sorted(a[run::2]), sorted(b[run::2])
+                if min(abs(a1 - b0), abs(b1 - a0)) <= gap:
+                    lo, hi = min(a0, b0), max(a1, b1)
+                    return (lo, a[1], hi, a[1]) if run == 0 else (a[0], lo, a[0], hi)
+        return None
+
+    todo = True
+    while todo:
+        todo = False
+        for i in range(len(held)):
+            for j in range(i + 1, len(held)):
+                one = joined(held[i], held[j]) if held[i] and held[j] else None
+                if one:
+                    held[i], held[j], todo = one, None, True
+    return held
 
 
 def label_adjacency(labels: np.ndarray) -> set[tuple[int, int]]:

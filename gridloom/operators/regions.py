@@ -153,6 +153,18 @@ def region_polygons(labels: DataFrame) -> DataFrame:
     return per_map(labels, kernel, "lid int, points array<struct<x:int,y:int>>")
 
 
+def final_polygons(rasters: DataFrame, labels: DataFrame) -> DataFrame:
+    """Rasters and their packed labels -> map_id, lid, points: contours in pixels, pieces bridged, fragments joined,
+    widened by a pixel to the walls."""
+    both = labels.select("map_id", "labels").join(rasters.select("map_id", "h", "w", "data"), "map_id")
+
+    def kernel(row: dict) -> Iterator[dict]:
+        for c, p in K.final_polygons(array_of(row), array_of(row, "labels", np.int32)).items():
+            yield {"lid": c, "points": [{"x": int(x), "y": int(y)} for x, y in p]}
+
+    return per_map(both, kernel, "lid int, points array<struct<x:int,y:int>>")
+
+
 def grown(labels: DataFrame, masks: DataFrame, iterations: int) -> DataFrame:
     """Packed labels grown inside packed masks."""
     both = labels.join(masks.select("map_id", "data"), "map_id")

@@ -110,7 +110,7 @@ def partition(maps: DataFrame, config: Config, detections: DataFrame | None = No
 
         labels = R.per_map(D.split_by_lines(cleaned, lines), settle, "h int, w int, labels binary")
     labels = stored(labels)
-    polygons = stored(RG.region_polygons(labels).withColumnRenamed("lid", "pos"))
+    polygons = stored(RG.final_polygons(layers.where("layer = 'input'").drop("layer"), labels).withColumnRenamed("lid", "pos"))
     edges = stored(RG.adjacency(R.unpack_labels(labels)))
     rooms = stored(ordered_rooms(polygons, edges, maps, N.coloured(polygons.select("map_id", "pos"), edges)))
     marks = M.generated(rooms.where(F.col("robot_model") == config.landmark_model), config.landmark_min_distance)
