@@ -311,6 +311,33 @@ def region_polygons(spark, sf_dir):
     return RG.region_polygons(labels).select("map_id", "lid", F.size("points").alias("n_points"), G.polygon_area(F.col("points")).alias("area"))
 
 
+@query()
+def final_polygons(spark, sf_dir):
+    """The contours of the seed maps' rooms as documents carry them: pieces whole, fragments joined, widened to the
+    walls. Tested against plain versions."""
+    rasters = seed.rasters(spark, sf_dir)
+    labels = RG.fallback_regions(rasters, seed.RESOLUTION, 0.1)
+    return RG.final_polygons(rasters, labels).select("map_id", "lid", F.size("points").alias("n_points"), G.polygon_area(F.col("points")).alias("area"))
+
+
+_SEGMENTS = "sg AS (SELECT CAST(l_orderkey // 16 AS INTEGER) AS map_id, CAST(l_suppkey * 29 % 200 AS INTEGER) AS y, CAST(l_partkey * 13 % 300 AS INTEGER) AS x, CAST(l_quantity AS INTEGER) AS n FROM lineitem)"
+
+
+@query(
+    f"""WITH {_SEGMENTS}, l AS (SELECT map_id, y, x, n, ((x + y) % 3) AS k FROM sg)
+SELECT map_id, y, x, n, CAST(CASE WHEN k = 0 OR n = 0 THEN 2 ELSE 3 END AS INTEGER) AS n_points FROM l"""
+)
+def collinear_points(spark, sf_dir):
+    """Lines of three points out of line items, every third of them straight, with repeats."""
+    li = seed.table(spark, sf_dir, "lineitem")
+    c = {"map_id": F.floor(F.col("l_orderkey") / 16), "y": F.pmod(F.col("l_suppkey") * 29, F.lit(200)), "x": F.pmod(F.col("l_partkey") * 13, F.lit(300)), "n": F.col("l_quantity")}
+    held = G.settled(li.select(*[v.cast("int").alias(k) for k, v in c.items()]))
+    x, y, n = F.col("x"), F.col("y"), F.col("n")
+    bend = F.when((x + y) % 3 == 0, y).otherwise(y + 1)
+    points = F.array(G.point(x, y), G.point(x, y), G.point(x + n, bend), G.point(x + 2 * n, y))
+    return held.select("map_id", "y", "x", "n", F.size(G.without_collinear(points)).alias("n_points"))
+
+
 @query(
     f"WITH RECURSIVE {COMP}, s AS (SELECT map_id, lid, count(*) AS n FROM lab GROUP BY 1, 2) SELECT s.map_id, CAST(sum(n) AS BIGINT) AS pixels, count(*) FILTER (n >= 39) AS rooms FROM s WHERE s.map_id IN (SELECT map_id FROM s WHERE n >= 39) GROUP BY 1"
 )
