@@ -18,6 +18,7 @@ from ..config import BAD_ARGUMENT, FAILED, OK, Config
 from ..functions import geometry as G
 from ..functions import labels as L
 from ..operators import detections as D
+from ..operators import extension as X
 from ..operators import graph as N
 from ..operators import kernels as K
 from ..operators import landmarks as M
@@ -234,64 +235,69 @@ def merge(requests: DataFrame, maps: DataFrame, config: Config) -> DataFrame:
     return state.select(F.col("map_id").alias("request_id"), "code").join(bodies.withColumnRenamed("map_id", "request_id"), "request_id", "left")
 
 
-def extend_regions(old: np.ndarray, free: np.ndarray, least: int) -> np.ndarray:
-    """Old labels extended over new free space. New regions in row order join the old room whose edge they share most
-    (ties to the smallest); those that touch none become rooms if they have `least` pixels; small ones left over join
-    the nearest room. Later regions see what earlier ones changed."""
-    labels = old.copy()
-    fresh = K.components(free & (old == 0))
-    top = int(labels.max())
-    left = []
-    for c in range(1, int(fresh.max()) + 1):
-        own = fresh == c
-        ring = labels[K.dilate(own) & ~own]
-        ring = ring[ring > 0]
-        if len(ring):
-            labels[own] = np.bincount(ring).argmax()
-        elif own.sum() >= least:
-            top += 1
-            labels[own] = top
-        else:
-            left.append(own)
-    for own in left:
-        if labels.any():
-            labels[own] = K._nearest_label(labels, own)
-    return labels
-
-
-def extension(requests: DataFrame, maps: DataFrame, config: Config) -> DataFrame:
-    """Splitting a map that has labels: rooms keep ids, names and colours, new space joins them or makes new rooms."""
-    own = requests.select("request_id", "map_id").join(maps, "map_id").withColumn("map_id", F.col("request_id"))
+#: Steps by which door lines may be carried on in an extension (fixed value).
+EXTENSION_REACH = 5
+
+
+def extension(requests: DataFrame, maps: DataFrame, config: Config, detections: DataFrame | None = None) -> DataFrame:
+    """Splitting a map that has labels: rooms keep ids, names and colours, new space joins them or makes new rooms, cut
+    along the detections' lines (see `partition`). Rooms then stand in walking order and neighbours name that order.
+    A map without new space keeps its rooms and landmarks as they are; only neighbours and colours are renewed."""
+    own = requests.select("request_id", "map_id").join(maps, "map_id").withColumn("source_map", F.col("map_id")).withColumn("map_id", F.col("request_id"))
     rooms = stored_rooms(own)
-    layer = R.preprocessed(own.select("map_id", "h", "w", "data"), config.max_noise_area, config.dilate_iter, config.smooth_iterations, config.max_burr_len).where("layer = 'cleaned2'").drop("layer")
-    held = layer.join(rooms.groupBy("map_id").agg(F.array_sort(F.collect_list(F.struct("pos", "points"))).alias("rooms")), "map_id", "left")
-    least = K.area_cutoff(config.min_room_area, config.resolution)
+    chain = (config.max_noise_area, config.dilate_iter, config.smooth_iterations, config.max_burr_len)
+    rasters = own.select("map_id", "h", "w", "data")
+    held = rasters.join(rooms.groupBy("map_id").agg(F.array_sort(F.collect_list(F.struct("pos", "points"))).alias("rooms")), "map_id", "left")
+    if detections is None:
+        held = held.withColumn("lines", F.lit(None).cast("array<struct<x1:double,y1:double,x2:double,y2:double>>"))
+    else:
+        doors = detections.withColumnRenamed("map_id", "source_map").join(own.select("source_map", "map_id"), "source_map").drop("source_map")
+        free = R.unpack(R.preprocessed(rasters, *chain).where("layer = 'cleaned'").drop("layer")).where("v >= 200").select("map_id", "y", "x")
+        lines = D.threshold_lines(doors, own.select("map_id", "w", "h"), free, config.target_size, EXTENSION_REACH)
+        held = held.join(lines.groupBy("map_id").agg(F.array_sort(F.collect_list(F.struct("x1", "y1", "x2", "y2"))).alias("lines")), "map_id", "left")
+    least = config.min_room_area / config.resolution**2
 
     def kernel(row: dict) -> Iterator[dict]:
-        img = R.array_of(row)
-        old = np.zeros(img.shape, np.int32)
-        for room in row["rooms"] or ():
-            old[contour_mask([(p["x"], p["y"]) for p in room["points"]], row["h"], row["w"])] = room["pos"] + 1
-        new = extend_regions(old, img >= config.wall_threshold, least)
-        for lid, points in K.polygons(new).items():
-            if lid > old.max() or (new == lid).sum() != (old == lid).sum():
-                yield {"pos": lid - 1, "points": [{"x": int(x), "y": int(y)} for x, y in points]}
-
-    changed = R.per_map(held, kernel, "pos int, points array<struct<x:int,y:int>>").join(own.select("map_id", "resolution", "ox", "oy", "h"), "map_id")
+        cleaned, grid, _ = K.preprocess(R.array_of(row), *chain)
+        free = grid >= config.wall_threshold
+        shapes = [contour_mask([(p["x"], p["y"]) for p in room["points"]], row["h"], row["w"]) for room in row["rooms"] or ()]
+        old = np.logical_or.reduce([np.zeros(free.shape, bool), *shapes])
+        if not (free & ~old).any():
+            return
+        yield {"pos": -1, "points": []}
+        lines = [(s["x1"], s["y1"], s["x2"], s["y2"]) for s in row["lines"] or ()]
+        strip = X.strips(lines, old, cleaned == K.FREE, contour_mask, config.threshold_thickness)
+        after, changed = X.extend(shapes, free, strip, least)
+        for pos, points in X.contours(after, len(shapes), changed, cleaned).items():
+            yield {"pos": pos, "points": [{"x": int(x), "y": int(y)} for x, y in points]}
+
+    grown = stored(R.per_map(held, kernel, "pos int, points array<struct<x:int,y:int>>"))
+    wider = grown.where("pos < 0").select("map_id")
+    changed = grown.where("pos >= 0").join(own.select("map_id", "resolution", "ox", "oy", "h"), "map_id")
     geometry = G.contour_to_geometry(F.col("points"), F.col("resolution"), F.col("ox"), F.col("oy"), F.col("h"))
     changed = G.settled(changed.select("map_id", "pos", F.col("points").alias("new_points"), geometry.alias("new_geometry")))
     both = rooms.drop("markers").join(changed, ["map_id", "pos"], "full")
     known = rooms.groupBy("map_id").agg(F.collect_list("name").alias("names"), F.max(F.regexp_extract("id", r"(\d+)$", 1).try_cast("int")).alias("last"))
-    fresh = Window.partitionBy("map_id").orderBy("pos")
-    both = both.join(known, "map_id", "left").withColumn("turn", F.sum(F.col("id").isNull().cast("int")).over(fresh))
+    turns = Window.partitionBy("map_id").orderBy("pos")
+    both = both.join(known, "map_id", "left").withColumn("names", F.coalesce("names", F.array().cast("array<string>"))).withColumn("turn", F.sum(F.col("id").isNull().cast("int")).over(turns))
     unused = F.filter(F.transform(F.sequence(F.lit(0), F.size("names") + F.col("turn")), L.room_name), lambda n: ~F.array_contains("names", n))
-    full = both.select(
+    full = both.join(wider.withColumn("wider", F.lit(True)), "map_id", "left").select(
         "map_id", "pos", F.coalesce("name", F.get(unused, F.col("turn") - 1)).alias("name"), F.coalesce("id", F.format_string("ROOM_%03d", F.coalesce("last", F.lit(0)) + F.col("turn"))).alias("id"),
-        F.coalesce("new_geometry", "geometry").alias("geometry"), F.col("new_geometry").isNotNull().alias("changed"), "colorType", "groundMaterial", F.coalesce("new_points", "points").alias("points"),
+        F.coalesce("new_geometry", "geometry").alias("geometry"), "colorType", F.when(F.col("wider").isNull(), F.col("groundMaterial")).alias("groundMaterial"), F.coalesce("new_points", "points").alias("points"), F.coalesce("wider", F.lit(False)).alias("wider"),
     )
     full = stored(full)
     over = full.where(F.regexp_extract("id", r"(\d+)$", 1).try_cast("int") > 999).select("map_id").distinct()  # there is no such id: the request fails
-    bodies = edited(full.join(over, "map_id", "left_anti"), own.join(over, "map_id", "left_anti"), config)
+    full = full.join(over, "map_id", "left_anti")
+    edges = stored(contour_edges(full, own.select("map_id", "h", "w")))
+    colors = N.coloured(full.select("map_id", "pos", F.col("colorType").alias("color")), edges, kept=True)
+    walk = N.walked(full.where("wider").select("map_id", "pos"), edges.join(wider, "map_id", "left_semi"), N.start_rooms(full.where("wider")))
+    order = stored(walk.unionByName(full.where("NOT wider").select("map_id", "pos", F.col("pos").alias("rank"))))
+    near = N.both_ways(edges).join(order.withColumnsRenamed({"pos": "j", "rank": "to"}), ["map_id", "j"]).groupBy("map_id", F.col("i").alias("pos")).agg(F.array_sort(F.collect_list("to")).alias("graph"))
+    done = full.drop("colorType").join(order, ["map_id", "pos"]).join(colors, ["map_id", "pos"]).join(near, ["map_id", "pos"], "left")
+    done = stored(done.select("map_id", F.col("rank").alias("pos"), "name", "id", "geometry", F.col("color").alias("colorType"), F.coalesce("graph", F.array().cast("array<int>")).alias("graph"), "groundMaterial", "wider"))
+    placed = done.where("wider").join(own.where(F.col("robot_model") == config.landmark_model).select("map_id", F.col("furniture").alias("markers")), "map_id")
+    kept = own.join(wider, "map_id", "left_anti").select("map_id", F.posexplode(L.landmarks_of(F.col("labels.data"))).alias("pos", "m")).select("map_id", "pos", "m.id", "m.roomId", "m.name", "m.type", "m.geometry")
+    bodies = document(done, kept.unionByName(M.generated(placed, config.landmark_min_distance)), own, config)
     return own.select("request_id").join(bodies.withColumnRenamed("map_id", "request_id"), "request_id", "left").withColumn("code", F.lit(None).cast("int"))
 
 
@@ -310,7 +316,7 @@ def run(requests: DataFrame, maps: DataFrame, config: Config | None = None, dete
     auto = fresh.select("request_id", "map_id").join(partition(wanted, config, detections), "map_id", "left").select("request_id", F.lit(None).cast("int").alias("code"), "body")
     cut = division(ok.where("operation = 'division'"), maps, config).select("request_id", "code", "body")
     joined = merge(ok.where("operation = 'merge'"), maps, config).select("request_id", "code", "body")
-    wider = extension(ok.where((F.col("operation") == "split") & has), maps, config).select("request_id", "code", "body")
+    wider = extension(ok.where((F.col("operation") == "split") & has), maps, config, detections).select("request_id", "code", "body")
     done = auto.unionByName(cut).unionByName(joined).unionByName(wider).unionByName(checked.where("code IS NOT NULL").select("request_id", "code", F.lit(None).cast("string").alias("body")))
     failed = F.col("code").isNotNull() | F.col("body").isNull()
     done = done.select("request_id", F.when(failed, FAILED).otherwise(OK).alias("statusCode"), F.when(failed, F.coalesce(F.col("code"), F.lit(0)).cast("string")).otherwise(F.col("body")).alias("body"))
