@@ -64,6 +64,12 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+def kept_as(table: DataFrame, view: DataFrame) -> DataFrame:
+    """A view of a stored table that can be released in its stead."""
+    view.stored_at = table.stored_at
+    return view
+
+
 def release(*tables: DataFrame) -> None:
     """Delete stored tables that nothing reads any more."""
     for df in tables:

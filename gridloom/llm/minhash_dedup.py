@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._common import BASE, in_arrow, join_checked, located, mix, prefix_hash, release, span_hash, stored, text_slices, word_spans
+from ._common import BASE, in_arrow, join_checked, kept_as, located, mix, prefix_hash, release, span_hash, stored, text_slices, word_spans
 
 _U = np.uint64
 
@@ -164,6 +164,7 @@ def prefix_pairs(members: DataFrame, percent: int) -> DataFrame:
     known = known.withColumn("alone", F.col("n") - F.size("known"))  # shingles of no other set come first
     widest = (F.col("n") - least_common(low, F.col("n"), percent) + 1 - F.col("alone")).cast("int")
     known = stored(known.where(widest > 0).withColumn("known", F.slice("known", 1, F.greatest(widest, F.lit(1)))), "known")
+    release(often)
     step = F.call_function("shiftleft", F.lit(1).cast("long"), F.greatest(F.length(F.bin(low)) - 6, F.lit(0)))
     classes = F.array_distinct(F.transform(F.sequence(size_class(low), F.col("n"), step), size_class))
 
@@ -179,17 +180,19 @@ def prefix_pairs(members: DataFrame, percent: int) -> DataFrame:
     index = stored(index.drop("alone"), "index")
     keys = stored(index.select(*key).distinct(), "keys")
     probe = stored(join_checked(probe.drop("alone"), keys, key, "left_semi"), "probe")
+    release(known, keys)
     kinds = index.select(*key, "comp").union(probe.select(*key, "comp")).groupBy(*key, "comp").agg(F.count(F.lit(1)).alias("c"))
     tops = stored(kinds.groupBy(*key).agg(F.count(F.lit(1)).alias("kinds"), F.max(F.struct("c", "comp")).alias("top")).where("kinds > 1").select(*key, F.col("top.comp").alias("top")), "tops")
     a = stored(join_checked(index, tops, key, "inner").select(*key, "top", *(F.col(k).alias(f"{k}a") for k in ("node", "n", "comp", "at"))), "index")
     b = stored(join_checked(probe, tops, key, "inner").select(*key, *(F.col(k).alias(f"{k}b") for k in ("node", "n", "comp", "at")), "top"), "probe")
+    release(index, probe, tops)
     left = F.least(F.col("na") - F.col("ata"), F.col("nb") - F.col("atb"))
     fits = (F.struct("na", "nodea") < F.struct("nb", "nodeb")) & (F.col("compa") != F.col("compb")) & (100 * F.col("na") >= percent * F.col("nb")) & (left >= least_common(F.col("na"), F.col("nb"), percent))
     # of what most members of a key belong to, none meets another
     far = a.where("compa != top").drop("top").join(b.drop("top"), key).where(fits)
     near = a.where("compa = top").drop("top").join(b.where("compb != top").drop("top"), key).where(fits)
     pairs = stored(far.union(near).select(F.col("nodea").alias("a"), F.col("nodeb").alias("b")).distinct(), "pairs")
-    release(often, known, index, keys, probe, tops, a, b)
+    release(a, b)
     return pairs
 
 
@@ -219,9 +222,11 @@ def components(links: DataFrame) -> DataFrame:
         step = join_checked(near, label, "id", "inner").select("id", F.col("comp").alias("old"), F.least("comp", "near").alias("comp"))
         jump = join_checked(step, label.select(F.col("id").alias("comp"), F.col("comp").alias("far")), "comp", "left")
         after = stored(jump.select("id", "old", F.least("comp", F.coalesce("far", "comp")).alias("comp")), "labels")
+        release(label)
         if after.where("comp < old").isEmpty():
-            return after.select("id", "comp")
-        label = after.select("id", "comp")
+            release(both)
+            return kept_as(after, after.select("id", "comp"))
+        label = kept_as(after, after.select("id", "comp"))
 
 
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, percent: int = 80, place: tuple[str, str] | None = None) -> DataFrame:
@@ -239,9 +244,11 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     bands = classes.select("node", F.explode("bands").alias("band"))
     shared = stored(bands.groupBy("band").agg(F.count(F.lit(1)).alias("m"), F.min("node").alias("leader")).where("m > 1").drop("m"), "shared")
     buckets = stored(join_checked(bands, shared, "band", "inner").select("band", "node", "leader"), "buckets")
+    release(shared)
     # only what shares a bucket is compared
     met = stored(buckets.select("node").distinct(), "met")
     planes = stored(join_checked(classes.select("node", "n", "planes"), met, "node", "left_semi"), "planes")
+    release(met)
 
     def side(s: str) -> DataFrame:
         return planes.select(F.col("node").alias(s), F.col("n").alias(f"n{s}"), F.col("planes").alias(f"p{s}"))
@@ -254,14 +261,16 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
         return both.where(likely_pair).select("a", "b", "na", "nb")
 
     def confirmed(likely: DataFrame) -> DataFrame:
-        """Of likely pairs those that are links on full sets."""
+        """Of likely pairs those that are links on full sets, as a stored table."""
         likely = stored(likely, "likely")
         wanted = stored(likely.select(F.col("a").alias("id")).union(likely.select("b")).distinct(), "wanted")
         sets = stored(_sets(join_checked(docs, wanted, "id", "left_semi").select("id", "text"), shingle).drop("n"), "sets")
         held = lambda s: sets.select(F.col("id").alias(s), F.col("set").alias(f"s{s}"))
         both = F.size(F.array_intersect("sa", "sb"))
         pairs = likely.join(held("b"), "b").join(held("a"), "a")
-        return pairs.where(100 * both >= percent * (F.col("na") + F.col("nb") - both)).select("a", "b")
+        out = stored(pairs.where(100 * both >= percent * (F.col("na") + F.col("nb") - both)).select("a", "b"), "links")
+        release(likely, wanted, sets)
+        return out
 
     def joined(comp: DataFrame, links: DataFrame) -> DataFrame:
         """Components after further links, which are carried over to the components they join."""
@@ -271,32 +280,43 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
         new = components(over).toDF("comp", "new")
         moved = join_checked(comp, new, "comp", "left").select("id", F.coalesce("new", "comp").alias("comp"))
         fresh = join_checked(new, comp.select(F.col("id").alias("comp")), "comp", "left_anti").select(F.col("comp").alias("id"), F.col("new").alias("comp"))
-        return stored(moved.unionByName(fresh), "components")
+        out = stored(moved.unionByName(fresh), "components")
+        release(comp)
+        return out
 
-    links = stored(confirmed(estimated(buckets.where("node != leader").select(F.col("leader").alias("a"), F.col("node").alias("b")))), "star")
+    links = confirmed(estimated(buckets.where("node != leader").select(F.col("leader").alias("a"), F.col("node").alias("b"))))
     comp = components(links)
     for turn in range(HUB_ROUNDS + 1):
         member = join_checked(buckets.select("band", "node"), comp.withColumnRenamed("id", "node"), "node", "left").withColumn("comp", F.coalesce("comp", "node"))
         parts = member.groupBy("band", "comp").agg(F.count(F.lit(1)).alias("c"))
         mixed = stored(parts.groupBy("band").agg(F.count(F.lit(1)).alias("parts"), F.max(F.struct("c", "comp")).alias("top")).where("parts > 1").select("band", F.col("top.comp").alias("top")), "mixed")
         inside = stored(join_checked(member, mixed, "band", "inner"), "inside")
+        done = [mixed, inside]
         if inside.isEmpty():
+            release(*done)
             break
         outer = inside.where("comp != top")
         if turn < HUB_ROUNDS:
             ends = links.select(F.col("a").alias("id")).union(links.select("b")).groupBy("id").agg(F.count(F.lit(1)).alias("d"))
             hubs = stored(join_checked(ends, comp, "id", "inner").groupBy(F.col("comp").alias("top")).agg(F.max_by("id", F.struct("d", "id")).alias("hub")), "hubs")
             pairs = estimated(join_checked(outer.select("top", "node").distinct(), hubs, "top", "inner").select(F.col("hub").alias("a"), F.col("node").alias("b")))
+            done.append(hubs)
         else:
             rest = stored(inside.select(F.col("node").alias("id"), "comp").distinct(), "rest")
             sets = _sets(join_checked(docs, rest.select("id"), "id", "left_semi").select("id", "text"), shingle)
             members = stored(join_checked(sets, rest, "id", "inner").withColumnRenamed("id", "node"), "members")
-            pairs = estimated(prefix_pairs(members, percent))
-        fresh = stored(confirmed(pairs), "links")
+            close = prefix_pairs(members, percent)
+            release(members, rest)
+            pairs = estimated(close)
+            done.append(close)
+        fresh = confirmed(pairs)
+        release(*done)
         comp = joined(comp, fresh)
         links = links.unionByName(fresh)
+    release(buckets, planes)
     named = join_checked(classes.select("k1", "k2", "n", "node"), comp.withColumnRenamed("id", "node"), "node", "left").select("k1", "k2", "n", F.coalesce("comp", "node").alias("comp"))
     named = stored(named, "named")
+    release(classes, comp)
     top = F.coalesce("comp", "id")
     return join_checked(digests.select("id", "k1", "k2", "n"), named, ["k1", "k2", "n"], "left").select(
         "id.id", F.col("n").alias("n_shingles"), top.getField("id").alias("component_id"), F.col("id.id").eqNullSafe(top.getField("id")).alias("kept"), (F.col("id") == top).alias("first"), "id.file", "id.row"
