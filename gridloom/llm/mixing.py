@@ -3,13 +3,13 @@
 Sources share the size of all documents by weight; a target stops at `cap` times its source's size and the excess is
 shared anew by weight (solved in one step: in the order of cap * size / weight the capped sources come first). The words
 of the mix go to sources by the highest quotients target / (2k + 1) (a capped source has its words already), and each
-source's words to its SHARDS shards (documents dealt by a seeded hash) by size / (2k + 1): integer quotas. A shard's
-documents stand in a seeded order on a line of words that is cut into blocks of equally many words, BLOCKS to a source
-at every size and at least one word each. A quota of q over a shard of w words takes the whole shard
+source's words to its shards (documents dealt by a seeded hash; their number follows one rule of the source's words at
+every size) by size / (2k + 1): integer quotas. A shard's documents stand in a seeded order on a line of words that is
+cut into blocks of equally many words, at least one word each. A quota of q over a shard of w words takes the whole shard
 q div w times and the nearest number of blocks to q mod w once more, spread evenly from a seeded phase, so a document's
 share is a closed formula.
 
-Edge cases: a null or empty text has size 0 and nothing is taken; null is a source of its own, last in order; ties in
+Edge cases: a null or empty text has size 0 and nothing is taken; a source without words has target 0; null is a source of its own, last in order; ties in
 the order fall to smaller ids; repeated rows lie side by side and are interchangeable; an empty table gives an empty
 result. Other columns are kept (one that bears the result's own name is replaced).
 """
@@ -23,8 +23,9 @@ from ._common import WORD_CLASS, join_checked, stored
 
 WEIGHTS = (5, 2, 1)
 CAP = 3
-#: Blocks and shards of every source.
-BLOCKS, SHARDS = 1 << 20, 1 << 10
+#: A source of n words has sqrt(n) / SHARD_ROOT shards (one at least), so both their number and their size grow with the
+#: root of its words, and a shard has about BLOCKS blocks.
+SHARD_ROOT, BLOCKS = 4, 1 << 10
 SEED = 20240607
 
 
@@ -60,7 +61,7 @@ def apportion(items: DataFrame, groups: list[str], key: list[str], votes: str, s
     whole = Window.partitionBy(*groups)
     shown = (
         items.withColumn("_n", F.count(F.lit(1)).over(whole))
-        .withColumn("_share", F.coalesce(F.col(votes) / F.sum(votes).over(whole), F.lit(0.0)))
+        .withColumn("_share", F.coalesce(F.try_divide(F.col(votes).cast("double"), F.sum(votes).over(whole)), F.lit(0.0)))
         .withColumn("_low", F.greatest(F.lit(0), F.floor(F.col(seats) * F.col("_share") - F.col("_n") / 2 * F.col("_share") - 1)).cast("long"))
         .withColumn("_high", F.ceil(F.col(seats) * F.col("_share") + F.col("_n") / 2 * F.col("_share") + 1).cast("long"))
         .withColumn("_open", F.col(seats) - F.sum("_low").over(whole))
@@ -82,26 +83,27 @@ def mix_sources(
     cap: int = CAP,
     seed: int = SEED,
     block_words: int | None = None,
-    shards: int = SHARDS,
+    shards: int | None = None,
 ) -> DataFrame:
-    """The input with a struct `result` (block_words, if given, bounds a block from above): size, source_size, target, taken, copies (times the whole document is taken)
+    """The input with a struct `result` (block_words, if given, bounds a block from above, and shards sets their number for every source): size, source_size, target, taken, copies (times the whole document is taken)
     and start, block, extra, blocks, phase (which further words are: see taken_again)."""
     df = df.drop(result)
     size = F.col(size_col) if size_col else word_count(F.col(text_col))
     sums = stored(df.groupBy(F.col(source_col).alias("source")).agg(F.sum(size).alias("source_size")), "sources")
     total = sums.agg(F.coalesce(F.sum("source_size"), F.lit(0))).first()[0]
-    block = F.greatest(F.lit(1), F.least(F.lit(block_words), F.ceil(F.col("source_size") / BLOCKS))).cast("long")
+    parts = F.greatest(F.lit(1), F.lit(shards) if shards else F.ceil(F.sqrt("source_size") / SHARD_ROOT)).cast("long")
+    block = F.greatest(F.lit(1), F.least(F.lit(block_words), F.ceil(F.col("source_size") / (F.col("_shards") * BLOCKS)))).cast("long")
     room = F.col("source_size") * cap
     full = F.col("target") >= room
-    sources = targets(sums, weights, cap).withColumn("_block", block).withColumn("_votes", F.when(full, 0.0).otherwise(F.col("target"))).withColumn("_all", F.lit(0))
+    sources = targets(sums, weights, cap).withColumn("_shards", parts).withColumn("_block", block).withColumn("_votes", F.when(full, 0.0).otherwise(F.col("target"))).withColumn("_all", F.lit(0))
     sources = sources.withColumn("_seats", (F.lit(total) - F.coalesce(F.sum(F.when(full, room)).over(Window.partitionBy("_all")), F.lit(0))).cast("long"))
     sources = apportion(sources, ["_all"], ["position"], "_votes", "_seats").withColumn("quota", F.when(full, room).otherwise(F.col("quota")).cast("long"))
     sources = stored(sources.drop("_all", "_seats", "_votes"), "targets")
 
     doc = df.select(F.struct("*").alias("_doc"), F.col(id_col).alias("_id"), F.col(source_col).alias("_source"), size.alias("_size"))
-    known = sources.select("source", "position", "source_size", "target")
+    known = sources.select("source", "position", "source_size", "target", "_shards")
     doc = join_checked(doc, known, F.col("_source").eqNullSafe(F.col("source")), "left")
-    doc = doc.withColumn("_order", F.xxhash64(F.lit(seed), F.col("_id"))).withColumn("_shard", F.pmod(F.xxhash64(F.lit(seed + 1), F.col("_id")), F.lit(shards)))
+    doc = doc.withColumn("_order", F.xxhash64(F.lit(seed), F.col("_id"))).withColumn("_shard", F.pmod(F.xxhash64(F.lit(seed + 1), F.col("_id")), F.col("_shards")))
 
     lines = doc.groupBy("position", "_shard").agg(F.sum("_size").alias("_words"))
     quotas = sources.select("position", "_block", F.col("quota").alias("_seats"))
@@ -152,5 +154,5 @@ def mixed_texts(df: DataFrame, text_col: str = "text", result: str = "mix") -> D
     part = F.when(F.col(f"{result}.taken") > F.col(f"{result}.copies") * F.col(f"{result}.size"), part)
     whole = F.array_repeat(F.col(text_col), F.col(f"{result}.copies").cast("int"))
     texts = F.when(F.col(f"{result}.size") > 0, F.concat(whole, F.array_compact(F.array(part)))).otherwise(F.array().cast("array<string>"))
-    out = df.withColumn("_text_mixed", F.explode(texts)).withColumn(text_col, F.col("_text_mixed"))
-    return out.select(*columns)
+    out = df.select(F.struct(*columns).alias("row"), F.explode(texts).alias("text"))
+    return out.select(*(F.col("text").alias(c) if c == text_col else F.col("row").getField(c).alias(c) for c in columns))

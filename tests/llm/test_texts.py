@@ -4,6 +4,7 @@ import hashlib
 import re
 from collections import Counter
 
+import pytest
 import sentencepiece
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -249,3 +250,43 @@ def test_html_votes_without_a_common_path(spark):
     rows = [(k, "http://h.example/", f"<body><div class='{chr(97 + k) * 3}'><p>text of page {k} here</p></div></body>") for k in range(26)]
     got = html_extract.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
     assert all(r.text == f"text of page {r.page_id} here" for r in got) and len(got) == 26
+
+
+def test_sources_without_words(spark):
+    rows = [(1, "w1 w2 w3 w4 w5", "a"), (2, "x y z", "b"), (3, "", "z"), (4, None, "z")]
+    table = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = {r.doc_id: r.mix for r in mixing.mix_sources(table).collect()}
+    assert [got[i].target for i in (3, 4)] == [0.0, 0.0] and [got[i].taken for i in (3, 4)] == [0, 0]
+    assert sum(got[i].taken for i in (1, 2)) == 8
+    assert sum(r.mix.taken for r in mixing.mix_sources(table.where("source = 'z'")).collect()) == 0
+    assert mixing.mixed_texts(mixing.mix_sources(table.where("source = 'z'"))).count() == 0
+
+
+def test_clashing_names(odd):
+    """Columns under the names that operators use within themselves are kept."""
+    extra = ["_letter", "_paths", "_host", "_text_mixed", "id", "row", "paths", "host", "_source", "h"]
+    table = odd.select("doc_id", "text", "lang", "source", *(F.lit(k).alias(k) for k in extra))
+    net = language_id.fit(table.select("doc_id", "text", "lang"))
+    for out in (
+        language_id.predict(table, net),
+        html_extract.main_text(table.withColumnsRenamed({"text": "html", "source": "url"})),
+        mixing.mixed_texts(mixing.mix_sources(table)),
+    ):
+        rows = out.collect()
+        assert rows and all(r[k] == k for r in rows for k in extra)
+
+
+@pytest.mark.parametrize("limit", ["64m", "4MB", "2097152", "100kb"])
+def test_arrow_limit_as_text(spark, odd, limit):
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key)
+    try:
+        spark.conf.set(key, limit)
+        assert quality_rules.quality_rules(odd).count() == odd.count()
+    finally:
+        spark.conf.set(key, before)
+
+
+def test_held_out_without_id(spark):
+    table = spark.createDataFrame([(None,), (3,)], "doc_id long")
+    assert all(r.h is not None for r in table.select(language_id.held_out(F.col("doc_id")).alias("h")).collect())
