@@ -124,11 +124,16 @@ ARROW_BYTES = 4 << 20
 _ARROW = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
+def _size_of(spark: SparkSession, text: str) -> int:
+    """Bytes of a size as Spark's settings write it: 4194304, 4194304b, 4m, 4MB."""
+    return spark.sparkContext._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(text.strip())
+
+
 def in_arrow(df: DataFrame, function, schema) -> DataFrame:
     """mapInArrow in small batches: by the number of rows alone, long texts would make batches of any size. The setting
     holds for the session from here on, for the batches are cut when the result is computed."""
     conf = df.sparkSession.conf
-    if not 0 < int(conf.get(_ARROW).rstrip("b")) <= ARROW_BYTES:
+    if _size_of(df.sparkSession, conf.get(_ARROW)) > ARROW_BYTES:
         conf.set(_ARROW, ARROW_BYTES)
     return df.mapInArrow(function, schema)
 

@@ -354,9 +354,11 @@ def main_text(df: DataFrame, html_col: str = "html", url_col: str = "url", share
     totals = votes.groupBy("host").agg(F.sum("votes").alias("all"))
     won = votes.join(totals, "host").where(F.col("votes") >= share * F.col("all"))
     won = won.groupBy("host").agg(F.sort_array(F.collect_list(F.struct((-F.col("votes")).alias("least"), "path"))).alias("w"))  # of at most 1 / share
-    won = stored(won.select("host", F.col("w.path").alias("_paths")), "paths")
-    joined = join_checked(df.withColumn("_host", host_of(F.col(url_col))), won.withColumnRenamed("host", "_host"), "_host", "left").select(*[F.col(f"`{c}`") for c in df.columns], "_paths")
-    at = df.columns.index(html_col)
+    won = stored(won.select("host", F.col("w.path").alias("paths")), "paths")
+    rows = df.select(F.struct("*").alias("row"), host_of(F.col(url_col)).alias("host"))
+    joined = join_checked(rows, won, "host", "left").select("row.*", "paths")
+    joined = joined.toDF(*(f"c{k}" for k in range(len(joined.columns))))  # by place: names may clash
+    at, kept = df.columns.index(html_col), df.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -364,6 +366,6 @@ def main_text(df: DataFrame, html_col: str = "html", url_col: str = "url", share
                 part = batch.slice(lo, hi - lo)
                 texts = [extract(h, p) for h, p in zip(part.column(at).to_pylist(), part.column(part.num_columns - 1).to_pylist())]
                 new = [pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())]
-                yield pa.RecordBatch.from_arrays([*part.columns[:-1], *new], names=[*part.schema.names[:-1], *names])
+                yield pa.RecordBatch.from_arrays([*part.columns[:-1], *new], names=[*kept, *names])
 
     return joined.transform(in_arrow, run, with_fields(df.schema, text="string", n_chars="long"))

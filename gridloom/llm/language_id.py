@@ -195,7 +195,8 @@ def fit(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col:
 
 
 def held_out(doc_id: Column) -> Column:
-    return F.crc32(doc_id.cast("string")) % 4 == 2
+    """A null id is not held out."""
+    return F.coalesce(F.crc32(doc_id.cast("string")) % 4 == 2, F.lit(False))
 
 
 def predict(df: DataFrame, net: ByteNet, text_col: str = "text") -> DataFrame:
@@ -203,8 +204,9 @@ def predict(df: DataFrame, net: ByteNet, text_col: str = "text") -> DataFrame:
     names = ["lang_pred", "score"]
     df = df.drop(*names)
     raw = net.dump()  # some hundred kB, whatever the input
-    spoken = df.withColumn("_letter", F.coalesce(F.col(text_col).rlike(r"\p{L}"), F.lit(False)))
-    at = df.columns.index(text_col)
+    spoken = df.select("*", F.coalesce(F.col(text_col).rlike(r"\p{L}"), F.lit(False)))  # by place: names may clash
+    spoken = spoken.toDF(*(f"c{k}" for k in range(len(spoken.columns))))
+    at, kept = df.columns.index(text_col), df.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = ByteNet.load(raw)
@@ -219,6 +221,6 @@ def predict(df: DataFrame, net: ByteNet, text_col: str = "text") -> DataFrame:
                     best, score = np.zeros(hi - lo, int), np.zeros(hi - lo)
                 best = np.where(letters[lo:hi], best, len(model.languages))
                 score = np.where(letters[lo:hi], score, 0.0)
-                yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(labels[best], pa.string()), pa.array(score, pa.float64())], names=[*part.schema.names[:-1], *names])
+                yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(labels[best], pa.string()), pa.array(score, pa.float64())], names=[*kept, *names])
 
     return spoken.transform(in_arrow, run, with_fields(df.schema, lang_pred="string", score="double"))
