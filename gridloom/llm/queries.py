@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import quality_rules as quality
-from . import exact_dedup, html_extract, language_id, line_dedup, minhash_dedup, mixing, sentencepiece_codec, suffix_dedup, token_counts
+from . import exact_dedup, hard_negatives, html_extract, language_id, line_dedup, minhash_dedup, mixing, resampling, sentencepiece_codec, suffix_dedup, token_counts, token_files
 from ._common import read_table, stored
 
 
@@ -66,7 +66,24 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.repeated_spans(docs).select(F.col("id").alias("doc_id"), "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept_text")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_line_dedup, op2_token_counts, op3_html_extract, op4_exact_dedup, op5_sentencepiece, op6_mixing, op7_minhash_dedup, op8_language_id, op9_quality_rules, op10_suffix_dedup)}
+def op11_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    return token_files.read_tokens(spark, token_files.write_tokens(docs), outputs=("ids_crc32",))
+
+
+def op12_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    drawn = resampling.resample(docs, read_table(spark, sf_dir, "benchmark").select("text"))
+    return drawn.select("doc_id", "n_features", "weight", "score", "rank")
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = read_table(spark, sf_dir, "embeddings")
+    rows = rows.withColumn("label", F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label")))
+    return hard_negatives.hard_negatives(rows, F.col("id") % 100 == 0)
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_line_dedup, op2_token_counts, op3_html_extract, op4_exact_dedup, op5_sentencepiece, op6_mixing, op7_minhash_dedup, op8_language_id, op9_quality_rules, op10_suffix_dedup, op11_token_files, op12_resampling, op13_hard_negatives)}
 ORACLE_SQL: dict[str, str] = {
     "op1_line_dedup": r"""
 WITH l AS (SELECT doc_id, text, string_split(text, chr(10)) AS ls FROM documents),
@@ -101,5 +118,31 @@ t AS (SELECT rep AS a, rep AS b FROM r UNION SELECT t.a, u.b FROM t JOIN u ON t.
 m AS (SELECT a, min(b) AS comp FROM t GROUP BY a)
 SELECT c.doc_id, CAST(c.n AS BIGINT) AS n_shingles, coalesce(m.comp, c.doc_id) AS component_id, coalesce(m.comp, c.doc_id) = c.doc_id AS kept
 FROM c LEFT JOIN r ON c.n > 0 AND c.sh = r.sh LEFT JOIN m ON m.a = r.rep
+""",
+    "op13_hard_negatives": r"""
+WITH e AS MATERIALIZED (SELECT vec_id AS id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS MATERIALIZED (SELECT a.id AS anchor_id, b.id AS id, a.label = b.label AS same, CAST(list_dot_product(a.v, b.v) AS BIGINT) AS score FROM e a JOIN e b ON a.id % 100 = 0 AND a.id <> b.id),
+p AS (SELECT anchor_id, id AS positive_id, score AS positive_score FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) <= 5)
+SELECT p.anchor_id, positive_id, CAST(row_number() OVER (PARTITION BY p.anchor_id, positive_id ORDER BY s.score DESC, s.id) AS INTEGER) AS rank, s.id AS negative_id, positive_score, s.score AS negative_score
+FROM p JOIN s ON s.anchor_id = p.anchor_id AND NOT s.same AND 30 * positive_score <= 100 * s.score AND 100 * s.score <= 90 * positive_score
+QUALIFY row_number() OVER (PARTITION BY p.anchor_id, positive_id ORDER BY s.score DESC, s.id) <= 10
+""",
+    "op12_resampling": r"""
+WITH b AS MATERIALIZED (SELECT list_transform(range(256), lambda i: list_reduce(list_prepend(i, range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS t),
+d AS (SELECT row_number() OVER () AS r, doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS w FROM documents),
+q AS (SELECT list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS w FROM benchmark),
+df AS MATERIALIZED (SELECT r, unnest(flatten(list_transform([1, 2, 3], lambda n: list_transform(range(1, len(w) - n + 2), lambda i: array_to_string(w[i:i + n - 1], ' '))))) AS f FROM d),
+qf AS MATERIALIZED (SELECT unnest(flatten(list_transform([1, 2, 3], lambda n: list_transform(range(1, len(w) - n + 2), lambda i: array_to_string(w[i:i + n - 1], ' '))))) AS f FROM q),
+u AS (SELECT DISTINCT f FROM (SELECT f FROM df UNION ALL SELECT f FROM qf)),
+c AS MATERIALIZED (SELECT f, xor(list_reduce(list_prepend(4294967295, list_transform(range(octet_length(encode(f))), lambda i: CAST('0x' || substr(hex(encode(f)), 2 * i + 1, 2) AS BIGINT))), lambda s, x: xor(b.t[(xor(s, x) & 255) + 1], s >> 8)), 4294967295) % 10000 AS k FROM u, b),
+s AS (SELECT k, count(*) AS s FROM df JOIN c USING (f) GROUP BY k), t AS (SELECT k, count(*) AS t FROM qf JOIN c USING (f) GROUP BY k),
+n AS (SELECT (SELECT count(*) FROM df) AS s_all, (SELECT count(*) FROM qf) AS t_all),
+g AS (SELECT r.range AS k, CAST(floor(1000 * ln((CAST(coalesce(t, 0) AS DOUBLE) + 1) * (CAST(s_all AS DOUBLE) + 10000) / ((CAST(coalesce(s, 0) AS DOUBLE) + 1) * (CAST(t_all AS DOUBLE) + 10000)))) AS BIGINT) AS gain FROM range(10000) r CROSS JOIN n LEFT JOIN s ON s.k = r.range LEFT JOIN t ON t.k = r.range),
+w AS (SELECT r, count(*) AS n_features, sum(gain) AS weight FROM df JOIN c USING (f) JOIN g USING (k) GROUP BY r),
+z AS (SELECT d.r, doc_id, len(d.w) >= 20 AS fit, CAST(coalesce(n_features, 0) AS BIGINT) AS n_features, CAST(coalesce(weight, 0) AS BIGINT) AS weight, CAST('0x' || substr(sha256('42:' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 8) AS BIGINT) AS h FROM d LEFT JOIN w USING (r)),
+y AS (SELECT *, weight + CAST(floor(-1000 * ln(-ln((h + 0.5::DOUBLE) / 4294967296::DOUBLE))) AS BIGINT) AS score FROM z),
+x AS (SELECT *, row_number() OVER (ORDER BY fit DESC, score DESC, doc_id NULLS LAST) AS place, count(*) FILTER (fit) OVER () * 5 // 100 AS most FROM y)
+SELECT doc_id, n_features, weight, score, CASE WHEN fit AND place <= most THEN place END AS rank FROM x
 """,
 }
