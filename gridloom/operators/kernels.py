@@ -7,6 +7,8 @@ row order, loops start at their smallest vertex, ties fall to smaller labels.
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 import numpy as np
 
 WALL, UNKNOWN, FREE = 0, 127, 255
@@ -28,8 +30,8 @@ def gray(bgr: np.ndarray) -> np.ndarray:
     return np.rint(0.299 * r + 0.587 * g + 0.114 * b).astype(np.uint8)
 
 
-def components(mask: np.ndarray) -> np.ndarray:
-    """8-connected components, numbered from 1 by first pixel in row order; 0 elsewhere.
+def components(mask: np.ndarray, corners: bool = True) -> np.ndarray:
+    """8-connected components (4-connected without corners), numbered from 1 by first pixel in row order; 0 elsewhere.
 
     Rows are cut into runs; runs of neighbouring rows that touch are joined by smallest labels and pointer doubling."""
     h, w = mask.shape
@@ -42,10 +44,10 @@ def components(mask: np.ndarray) -> np.ndarray:
     out = np.zeros((h, w), np.int32)
     if not n:
         return out
-    # runs of the next row that overlap [start - 1, end + 1)
-    base = row * (w + 4)
-    low = np.searchsorted(base + end, base + w + 4 + start - 1, side="right")
-    high = np.searchsorted(base + start, base + w + 4 + end + 1, side="left")
+    # runs of the next row that overlap [start - reach, end + reach)
+    base, reach = row * (w + 4), int(corners)
+    low = np.searchsorted(base + end, base + w + 4 + start - reach, side="right")
+    high = np.searchsorted(base + start, base + w + 4 + end + reach, side="left")
     low = np.maximum(low, np.searchsorted(row, row + 1, side="left"))
     high = np.minimum(high, np.searchsorted(row, row + 1, side="right"))
     count = np.maximum(high - low, 0)
@@ -71,6 +73,25 @@ def components(mask: np.ndarray) -> np.ndarray:
     return out
 
 
+def boxes(labels: np.ndarray) -> dict[int, tuple[int, int, int, int]]:
+    """Label -> first row, row past the last, first column, column past the last; in order of labels."""
+    ys, xs = np.nonzero(labels)
+    if not len(ys):
+        return {}
+    names, own = np.unique(labels[ys, xs], return_inverse=True)
+    low, high = np.full((2, len(names)), max(labels.shape)), np.zeros((2, len(names)), int)
+    for k, v in enumerate((ys, xs)):
+        np.minimum.at(low[k], own, v)
+        np.maximum.at(high[k], own, v + 1)
+    return {int(c): (int(a), int(b), int(e), int(f)) for c, a, b, e, f in zip(names, low[0], high[0], low[1], high[1])}
+
+
+def filled(mask: np.ndarray) -> np.ndarray:
+    """The mask and all that it encloses: what no path by edges leads out of."""
+    out = components(~np.pad(np.asarray(mask, bool), 1), corners=False)
+    return out[1:-1, 1:-1] != out[0, 0]
+
+
 def shifted(a: np.ndarray, dy: int, dx: int, fill=0) -> np.ndarray:
     """a moved so that place (y, x) holds a[y + dy, x + dx]."""
     h, w = a.shape
@@ -211,38 +232,49 @@ def split_by_area(labels: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarra
     return np.where(normal[labels], labels, 0), np.where(small[labels], labels, 0)
 
 
-def _nearest_label(target: np.ndarray, own: np.ndarray) -> int:
-    """The label with most pixels in the smallest square ring growth of own that meets any; ties to the smallest."""
-    ys, xs = np.nonzero(own)
+def _nearest_label(target: np.ndarray, ys: np.ndarray, xs: np.ndarray) -> int:
+    """The label with most pixels in the smallest square ring growth of the pixels that meets any; ties to the smallest."""
     h, w = target.shape
     reach = 1
     while True:
         y0, y1, x0, x1 = max(ys.min() - reach, 0), min(ys.max() + reach + 1, h), max(xs.min() - reach, 0), min(xs.max() + reach + 1, w)
-        met = target[y0:y1, x0:x1][dilate(own[y0:y1, x0:x1], reach)]
-        met = met[met > 0]
-        if len(met):
-            return int(np.bincount(met).argmax())
+        near = target[y0:y1, x0:x1]
+        if near.any():
+            own = np.zeros(near.shape, bool)
+            own[ys - y0, xs - x0] = True
+            met = near[dilate(own, reach)]
+            met = met[met > 0]
+            if len(met):
+                return int(np.bincount(met).argmax())
         if y0 == 0 and x0 == 0 and y1 == h and x1 == w and reach > max(h, w):
             return 0
         reach += 1
 
 
+def _pixels_of(labels: np.ndarray) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """Label -> its pixels, in one pass over the raster."""
+    ys, xs = np.nonzero(labels)
+    own = labels[ys, xs]
+    turn = np.argsort(own, kind="stable")
+    names, first = np.unique(own[turn], return_index=True)
+    return {int(c): (ys[t], xs[t]) for c, t in zip(names, np.split(turn, first[1:]))}
+
+
 def merge_fragments(normal: np.ndarray, small: np.ndarray) -> np.ndarray:
     """Fragments by size descending, then label, join the nearest region; earlier ones count as regions for later."""
     out = normal.copy()
-    ids, size = np.unique(small[small > 0], return_counts=True)
-    for c in ids[np.lexsort((ids, -size))]:
-        own = small == c
-        out[own] = _nearest_label(out, own) if out.any() else 0
+    some = bool(out.any())
+    for _, (ys, xs) in sorted(_pixels_of(small).items(), key=lambda f: (-len(f[1][0]), f[0])):
+        out[ys, xs] = _nearest_label(out, ys, xs) if some else 0
     return out
 
 
 def merge_fragments_fixed(normal: np.ndarray, small: np.ndarray) -> np.ndarray:
     """Every fragment on its own joins the nearest region of a fixed map."""
     out = normal.copy()
-    for c in np.unique(small[small > 0]):
-        own = small == c
-        out[own] = _nearest_label(normal, own) if normal.any() else 0
+    some = bool(normal.any())
+    for ys, xs in _pixels_of(small).values():
+        out[ys, xs] = _nearest_label(normal, ys, xs) if some else 0
     return out
 
 
@@ -299,10 +331,14 @@ def outer_polygon(edges: np.ndarray) -> np.ndarray:
     return np.roll(best, -k, axis=0)
 
 
-def polygons(labels: np.ndarray) -> dict[int, np.ndarray]:
-    """Label -> lattice polygon; neighbours share their edges exactly."""
+def polygons(labels: np.ndarray, only: Iterable[int] | None = None) -> dict[int, np.ndarray]:
+    """Label -> lattice polygon, of some labels or all; neighbours share their edges exactly."""
     edges = boundary_edges(labels)
-    return {int(c): outer_polygon(edges[edges[:, 0] == c, 1:]) for c in np.unique(edges[:, 0])}
+    if only is not None:
+        edges = edges[np.isin(edges[:, 0], list(only))]
+    edges = edges[np.argsort(edges[:, 0], kind="stable")]
+    names, first = np.unique(edges[:, 0], return_index=True)
+    return {int(c): outer_polygon(own[:, 1:]) for c, own in zip(names, np.split(edges, first[1:]))}
 
 
 def fill_polygon(points: np.ndarray, h: int, w: int) -> np.ndarray:
@@ -324,11 +360,6 @@ def fill_polygon(points: np.ndarray, h: int, w: int) -> np.ndarray:
 BRIDGES = (3, 5, 7, 11, 15, 21, 31)
 
 
-def filled(mask: np.ndarray) -> np.ndarray:
-    """One component without its holes."""
-    return fill_polygon(outer_polygon(boundary_edges(mask.astype(np.int32))[:, 1:]), *mask.shape)
-
-
 def close_disc(mask: np.ndarray, size: int) -> np.ndarray:
     """Closing by a disc of odd size; outside the image neither grows nor shrinks."""
     r = size // 2
@@ -396,14 +427,19 @@ def settled_labels(img: np.ndarray, labels: np.ndarray) -> np.ndarray:
     """Labels as whole pieces, later ones over earlier ones; what they leave of free space are fragments, each of which
     joins the nearest label."""
     cover = np.zeros_like(labels)
-    for c in np.unique(labels[labels > 0]):
-        cover[bridged(labels == c)] = c
+    halo = BRIDGES[-1] + 1  # a closing sees no further than its disc's width
+    for c, (y0, y1, x0, x1) in boxes(labels).items():
+        part = slice(max(0, y0 - halo), y1 + 3), slice(max(0, x0 - halo), x1 + 3)
+        cover[part][bridged(labels[part] == c)] = c
     return merge_fragments_fixed(cover, components((img > 127) & (cover == 0)))
 
 
 def expanded(ring: np.ndarray, img: np.ndarray) -> np.ndarray:
     """A lattice ring of unit steps, its corners taken as pixels, one pixel wider where a step touches free space and
     what lies beyond isn't free: the contour of the pixels."""
+    x0, y0 = np.maximum(ring.min(axis=0) - 2, 0)  # all that the ring can meet
+    x1, y1 = ring.max(axis=0) + 3
+    img, ring = img[y0:y1, x0:x1], ring - (x0, y0)
     h, w = img.shape
     mask = fill_polygon(ring, h, w)
     step = np.roll(ring, -1, axis=0) - ring
@@ -419,7 +455,7 @@ def expanded(ring: np.ndarray, img: np.ndarray) -> np.ndarray:
     moved = moved[~free(moved, True)]
     drawn = np.concatenate([ring[(ring[:, 0] < w) & (ring[:, 1] < h)], moved])
     mask[drawn[:, 1], drawn[:, 0]] = True
-    return outer_contour(mask)
+    return outer_contour(mask) + (x0, y0)
 
 
 def final_polygons(img: np.ndarray, labels: np.ndarray) -> dict[int, np.ndarray]:
@@ -556,3 +592,16 @@ def draw_line(shape: tuple[int, int], p: tuple[int, int], q: tuple[int, int], th
     for x, y in bresenham(*p, *q):
         out[max(0, y + lo) : max(0, y + hi), max(0, x + lo) : max(0, x + hi)] = True
     return out
+
+
+def contour_mask(points: list[tuple[int, int]], h: int, w: int) -> np.ndarray:
+    """Pixels inside a contour of pixels or on its border; fewer than three vertices give none."""
+    mask = np.zeros((h, w), bool)
+    if len(points) < 3:
+        return mask
+    mask |= fill_polygon(np.array(points) + 0.5, h, w)
+    for p, q in zip(points, [*points[1:], points[0]]):
+        for x, y in bresenham(*p, *q):
+            if 0 <= y < h and 0 <= x < w:
+                mask[y, x] = True
+    return mask

@@ -15,6 +15,7 @@ from ..config import Config
 from ..functions import geometry as G
 from ..functions import labels as L
 from ..operators import detections as D
+from ..operators import extension as X
 from ..operators import graph as N
 from ..operators import kernels as K
 from ..operators import landmarks as M
@@ -338,6 +339,26 @@ def collinear_points(spark, sf_dir):
     return held.select("map_id", "y", "x", "n", F.size(G.without_collinear(points)).alias("n_points"))
 
 
+@query(
+    """WITH s AS (SELECT CAST(c_custkey AS INTEGER) AS k, c_custkey % 7 AS side, 3 + c_custkey % 5 AS a, 3 + c_custkey % 4 AS b FROM customer)
+SELECT k AS map_id, CAST(1 + CASE WHEN (a - 1) * (b - 1) > 8 THEN 1 ELSE 0 END AS INTEGER) AS rooms, CAST(100 + 10 * side + a * b + CASE WHEN (a - 1) * (b - 1) > 8 THEN 0 ELSE 5 END AS BIGINT) AS covered FROM s"""
+)
+def extension_rooms(spark, sf_dir):
+    """A map for every customer: a stored room of 10 x 10, new space along one side of it, which it takes, and a block
+    apart, which is a room of its own where it bounds more than 8 pixels and else joins over a line of 5 pixels."""
+    k = F.col("c_custkey")
+    keys = seed.table(spark, sf_dir, "customer").select(k.cast("int").alias("map_id"), (k % 7).alias("side"), (3 + k % 5).alias("a"), (3 + k % 4).alias("b"))
+    cells = keys.withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(36 * 30 - 1)))).withColumn("y", F.floor(F.col("i") / 30).cast("int")).withColumn("x", F.col("i") % 30)
+    room = F.col("y").between(10, 19) & F.col("x").between(10, F.col("side") + 19)
+    block = F.col("y").between(25, F.col("a") + 24) & F.col("x").between(5, F.col("b") + 4)
+    rasters = R.pack(cells.select("map_id", "y", "x", F.when(room | block, 255).otherwise(0).alias("v")))
+    corner = lambda x, y: F.struct(F.lit(x).alias("x"), F.lit(y).alias("y"))
+    stored = F.array(F.struct(F.lit(0).alias("pos"), F.array(corner(10, 10), corner(19, 10), corner(19, 19), corner(10, 19)).alias("points")))
+    held = rasters.withColumn("rooms", stored).withColumn("lines", F.lit(None).cast("array<struct<x1:double,y1:double,x2:double,y2:double>>"))
+    grown = X.extended_maps(held, 8.0)
+    return grown.groupBy("map_id").agg(F.greatest(F.max("pos") + 1, F.lit(1)).cast("int").alias("rooms"), F.max(F.when(F.col("pos") < 0, F.col("pixels"))).alias("covered"))
+
+
 @query(
     f"WITH RECURSIVE {COMP}, s AS (SELECT map_id, lid, count(*) AS n FROM lab GROUP BY 1, 2) SELECT s.map_id, CAST(sum(n) AS BIGINT) AS pixels, count(*) FILTER (n >= 39) AS rooms FROM s WHERE s.map_id IN (SELECT map_id FROM s WHERE n >= 39) GROUP BY 1"
 )
@@ -559,10 +580,6 @@ def nms_keep(spark, sf_dir):
     return D.suppressed(D.decoded(seed.detections(spark, sf_dir))).select("map_id", "det_id")
 
 
-for _name in ("obb_decode", "obb_vertices", "obb_centerline", "iou_pairs", "nms_keep"):
-    QUERIES[f"{_name}_all"] = QUERIES[_name]  # the names of the time when those without _all read a part
-
-
 @query(f"WITH {DET} SELECT det_id, round(cx - w / 2 * cos(angle) + h / 2 * sin(angle), 6) AS ax, round(cy - w / 2 * sin(angle) - h / 2 * cos(angle), 6) AS ay, round(cx + w / 2 * cos(angle) - h / 2 * sin(angle), 6) AS cx, round(cy + w / 2 * sin(angle) + h / 2 * cos(angle), 6) AS cy FROM dt WHERE conf >= 0.1")
 def obb_vertices_turned(spark, sf_dir):
     v = F.col("v")

@@ -27,6 +27,8 @@ from ..operators import raster as R
 from ..operators import regions as RG
 from ..sources.scratch import stored
 
+contour_mask = K.contour_mask
+
 META = ["resolution", "ox", "oy", "robot_model", "uuid", "charge_pose", "furniture"]
 
 
@@ -138,19 +140,6 @@ def contour_edges(rooms: DataFrame, sizes: DataFrame) -> DataFrame:
     return RG.adjacency(R.per_map(held, kernel, "lid int, y int, x int"))
 
 
-def contour_mask(points: list[tuple[int, int]], h: int, w: int) -> np.ndarray:
-    """Pixels inside a contour of pixels or on its border; fewer than three vertices give none."""
-    mask = np.zeros((h, w), bool)
-    if len(points) < 3:
-        return mask
-    mask |= K.fill_polygon(np.array(points) + 0.5, h, w)
-    for p, q in zip(points, [*points[1:], points[0]]):
-        for x, y in K.bresenham(*p, *q):
-            if 0 <= y < h and 0 <= x < w:
-                mask[y, x] = True
-    return mask
-
-
 def edited(rooms: DataFrame, maps: DataFrame, config: Config) -> DataFrame:
     """rooms after an edit (pos as stored; colorType null where it must be found) -> body, neighbours and colours new.
     Rooms that the edit left alone keep their landmarks' places, by room id; the others, and those without, get one."""
@@ -257,21 +246,7 @@ def extension(requests: DataFrame, maps: DataFrame, config: Config, detections:
         held = held.join(lines.groupBy("map_id").agg(F.array_sort(F.collect_list(F.struct("x1", "y1", "x2", "y2"))).alias("lines")), "map_id", "left")
     least = config.min_room_area / config.resolution**2
 
-    def kernel(row: dict) -> Iterator[dict]:
-        cleaned, grid, _ = K.preprocess(R.array_of(row), *chain)
-        free = grid >= config.wall_threshold
-        shapes = [contour_mask([(p["x"], p["y"]) for p in room["points"]], row["h"], row["w"]) for room in row["rooms"] or ()]
-        old = np.logical_or.reduce([np.zeros(free.shape, bool), *shapes])
-        if not (free & ~old).any():
-            return
-        yield {"pos": -1, "points": []}
-        lines = [(s["x1"], s["y1"], s["x2"], s["y2"]) for s in row["lines"] or ()]
-        strip = X.strips(lines, old, cleaned == K.FREE, contour_mask, config.threshold_thickness)
-        after, changed = X.extend(shapes, free, strip, least)
-        for pos, points in X.contours(after, len(shapes), changed, cleaned).items():
-            yield {"pos": pos, "points": [{"x": int(x), "y": int(y)} for x, y in points]}
-
-    grown = stored(R.per_map(held, kernel, "pos int, points array<struct<x:int,y:int>>"))
+    grown = stored(X.extended_maps(held, least, chain, config.wall_threshold, config.threshold_thickness))
     wider = grown.where("pos < 0").select("map_id")
     changed = grown.where("pos >= 0").join(own.select("map_id", "resolution", "ox", "oy", "h"), "map_id")
     geometry = G.contour_to_geometry(F.col("points"), F.col("resolution"), F.col("ox"), F.col("oy"), F.col("h"))

@@ -34,8 +34,8 @@ def test_detections_of_all_line_items(spark):
             if all(meet(a, b) / (area(a) + area(b) - meet(a, b)) < 0.35 for a in kept):
                 kept.append(b)
         want |= {(m, b[1]) for b in kept}
-    assert {r.det_id for r in catalogue.QUERIES["obb_decode_all"](spark, SMALL).collect()} == {b[1] for boxes in maps.values() for b in boxes}
-    assert {tuple(r) for r in catalogue.QUERIES["nms_keep_all"](spark, SMALL).collect()} == want
+    assert {r.det_id for r in catalogue.QUERIES["obb_decode"](spark, SMALL).collect()} == {b[1] for boxes in maps.values() for b in boxes}
+    assert {tuple(r) for r in catalogue.QUERIES["nms_keep"](spark, SMALL).collect()} == want
 
 
 def plain_clip(a, b):

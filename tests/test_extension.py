@@ -136,3 +136,80 @@ def test_doors_cut_new_space(spark, maps):
     assert all(rooms[a]["graph"] == [order.index(b)] for a, b in (("ROOM_004", "ROOM_005"), ("ROOM_005", "ROOM_004")))
     assert rooms["ROOM_004"]["colorType"] == 2 != rooms["ROOM_005"]["colorType"]
     assert sorted(m["roomId"] for m in data if m["type"] == "pose") == ["ROOM_004", "ROOM_005"]
+
+
+def random_case(rng):
+    """A noisy map, rooms as boxes (some over walls and over each other), strips."""
+    h, w = rng.integers(12, 46, 2)
+    free = rng.random((h, w)) < rng.choice([0.55, 0.75, 0.93])
+    for _ in range(rng.integers(0, 7)):  # walls, with gaps by chance
+        if rng.random() < 0.5:
+            free[rng.integers(0, h), rng.integers(0, w) : rng.integers(1, w + 1)] = False
+        else:
+            free[rng.integers(0, h) : rng.integers(1, h + 1), rng.integers(0, w)] = False
+    shapes = []
+    for _ in range(rng.integers(0, 5)):
+        y, x = rng.integers(0, h), rng.integers(0, w)
+        shapes.append(box((h, w), y, y + rng.integers(1, 16), x, x + rng.integers(1, 16)))
+    strip = np.zeros((h, w), bool)
+    for _ in range(rng.integers(0, 4)):
+        y, x = rng.integers(0, h), rng.integers(0, w)
+        strip |= box((h, w), y, y + rng.integers(1, 4), x, x + rng.integers(1, 12))
+    return shapes, free, strip & free & ~np.logical_or.reduce([np.zeros((h, w), bool), *shapes]), float(rng.choice([0, 4, 15, 60]))
+
+
+def test_extension_as_on_whole_rasters():
+    from tests import plain_maps
+
+    rng = np.random.default_rng(11)
+    for _ in range(400):
+        case = random_case(rng)
+        got, changed = X.extend(*case)
+        want, plain_changed = plain_maps.extend(*case)
+        assert changed == plain_changed and len(got) == len(want)
+        assert all(np.array_equal(a, b) for a, b in zip(got, want))
+
+
+def test_rings_and_enclosures():
+    """A region that closes a ring brings what it encloses; a room with parts; a region round a whole room."""
+    from tests import plain_maps
+
+    shape, none = (40, 40), np.zeros((40, 40), bool)
+    ring = box(shape, 5, 35, 5, 35) & ~box(shape, 9, 31, 9, 31)
+    inner, far = box(shape, 18, 22, 18, 22), box(shape, 12, 15, 12, 15)
+    room = box(shape, 5, 35, 5, 9)
+    cases = [([room], ring | inner | far, none, 4), ([room, inner], ring | inner | far, none, 4), ([inner], ring | inner, none, 4), ([box(shape, 0, 12, 0, 40)], box(shape, 0, 4, 0, 40) | box(shape, 8, 20, 0, 20) | box(shape, 4, 8, 30, 33), none, 4)]
+    for case in cases:
+        got, want = X.extend(*case), plain_maps.extend(*case)
+        assert got[1] == want[1] and len(got[0]) == len(want[0]) and all(np.array_equal(a, b) for a, b in zip(got[0], want[0]))
+
+
+def test_patches_and_areas():
+    from tests import plain_maps
+
+    rng = np.random.default_rng(5)
+    for _ in range(300):
+        mask = rng.random(rng.integers(1, 15, 2)) < rng.choice([0.2, 0.5, 0.8])
+        whole = X.pieces(mask)
+        assert all(np.array_equal(a, b) for a, b in zip(whole, plain_maps.pieces(mask), strict=True))
+        assert all(X.bounded(p) == plain_maps.area(p) for p in whole) and X.area(mask) == (plain_maps.area(mask) if mask.any() else 0)
+
+
+def test_large_map():
+    """2000 x 2000 pixels, twenty rooms, three hundred regions: 20 s at most."""
+    import time
+
+    n = 2000
+    free = np.ones((n, n), bool)
+    free[::400] = free[:, ::500] = False
+    shapes = [box((n, n), y + 20, y + 300, x + 20, x + 420) for y in range(0, n, 400) for x in range(0, n, 500)]
+    grid = np.zeros((n, n), bool)
+    grid[10::26] = True  # walls through what the rooms leave
+    held = np.logical_or.reduce(shapes)
+    free &= ~grid | held
+    began = time.time()
+    rooms, changed = X.extended([X.cropped(s) for s in shapes], free, np.zeros((n, n), bool), 400.0)
+    assert time.time() - began < 20 and len(X.patches(free & ~held)) >= 300
+    assert changed and len(rooms) >= 20
+    covered = np.logical_or.reduce([r.painted((n, n)) for r in rooms])
+    assert covered[free].all()

@@ -95,3 +95,24 @@ def test_line_clean_up(spark):
     lines = [(1, 0, 0, 5, 10, 5), (1, 1, 20, 5, 12, 5), (1, 2, 23, 5, 30, 5), (1, 3, 2, 5, 4, 5), (1, 4, 7, 0, 7, 4), (1, 5, 7, 8, 7, 6), (1, 6, 0, 0, 3, 3), (2, 0, 31, 5, 33, 5)]
     got = {tuple(r) for r in D.merged_lines(spark.createDataFrame(lines, "map_id int, seg_id int, x1 int, y1 int, x2 int, y2 int")).collect()}
     assert got == {(1, 0, 0, 5, 30, 5), (1, 3, 2, 5, 4, 5), (1, 4, 7, 0, 7, 8), (1, 6, 0, 0, 3, 3), (2, 0, 31, 5, 33, 5)}
+
+
+def test_final_polygons_as_on_whole_rasters():
+    """Crops give what whole rasters give: pieces bridged near borders, fragments, widened contours."""
+    from tests import plain_maps
+
+    rng = np.random.default_rng(8)
+    for _ in range(60):
+        h, w = rng.integers(8, 60, 2)
+        img = np.where(rng.random((h, w)) < 0.85, 255, rng.choice([0, 127], (h, w))).astype(np.uint8)
+        labels = np.zeros((h, w), np.int32)
+        for c in range(1, rng.integers(2, 8)):
+            for _ in range(rng.integers(1, 3)):
+                y, x = rng.integers(0, h), rng.integers(0, w)
+                labels[y : y + rng.integers(1, 14), x : x + rng.integers(1, 14)] = c
+        settled = K.settled_labels(img, labels)
+        assert np.array_equal(settled, plain_maps.settled_labels(img, labels))
+        for c, ring in K.polygons(settled).items():
+            assert np.array_equal(K.expanded(ring, img), plain_maps.expanded(ring, img))
+        small = np.where(img == 0, K.components(img == 0), 0)
+        assert np.array_equal(K.merge_fragments(labels, small), plain_maps.merge_fragments(labels, small))
