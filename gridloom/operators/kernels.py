@@ -173,19 +173,26 @@ def remove_interior_noise(img: np.ndarray, max_area: int = 30, iterations: int =
 
 def remove_unknown_noise(img: np.ndarray, max_area: int = 30) -> tuple[np.ndarray, np.ndarray]:
     """Small unknown components take the majority of the ring around them: wall if it has more walls, else free."""
+    h, w = img.shape
     comp = components(img == UNKNOWN)
-    out = img.copy()
-    changed = np.zeros(img.shape, bool)
     area = np.bincount(comp.ravel())
-    for c in np.flatnonzero(area <= max_area):
-        if c == 0 or not area[c]:
-            continue
-        ys, xs = np.nonzero(comp == c)
-        y0, y1, x0, x1 = max(ys.min() - 1, 0), ys.max() + 2, max(xs.min() - 1, 0), xs.max() + 2
-        own = comp[y0:y1, x0:x1] == c
-        ring = img[y0:y1, x0:x1][dilate(own) & ~own]
-        out[y0:y1, x0:x1][own] = WALL if (ring == WALL).sum() > (ring == FREE).sum() else FREE
-        changed[y0:y1, x0:x1] |= own
+    small = area <= max_area
+    small[0] = False
+    changed = small[comp]
+    ys, xs = np.nonzero(changed)
+    own = comp[ys, xs].astype(np.int64)
+    ring = []
+    for dy, dx in EIGHT:
+        y, x = ys + dy, xs + dx
+        held = (y >= 0) & (x >= 0) & (y < h) & (x < w)
+        y, x, c = y[held], x[held], own[held]
+        other = comp[y, x] != c
+        ring.append((c * (h * w) + y * w + x)[other])
+    c, at = np.divmod(np.unique(np.concatenate(ring)), h * w)  # each pixel of a ring once
+    value = img.ravel()[at]
+    walls, frees = (np.bincount(c, value == v, len(area)) for v in (WALL, FREE))
+    out = img.copy()
+    out[ys, xs] = np.where(walls > frees, WALL, FREE)[own]
     return out, changed
 
 

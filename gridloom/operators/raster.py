@@ -17,6 +17,9 @@ from pyspark.sql.types import StructField, StructType, _parse_datatype_string
 from . import kernels as K
 
 AT = ["map_id", "y", "x"]
+#: Bytes of rows that go to a Python worker, or come back, at a time; a larger row goes alone.
+ARROW_BYTES = 16 << 20
+_ARROW = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 def per_map(rasters: DataFrame, kernel: Callable[[dict], Iterator[dict]], schema: str) -> DataFrame:
@@ -29,7 +32,8 @@ def per_map(rasters: DataFrame, kernel: Callable[[dict], Iterator[dict]], schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in batch.to_pylist():
+            for i in range(batch.num_rows):  # one map's objects at a time
+                row = batch.slice(i, 1).to_pylist()[0]
                 columns: dict[str, list] = {f.name: [] for f in arrow}
                 for got in kernel(row):
                     columns["map_id"].append(row["map_id"])
@@ -37,6 +41,9 @@ def per_map(rasters: DataFrame, kernel: Callable[[dict], Iterator[dict]], schema
                         columns[k].append(v)
                 yield pa.RecordBatch.from_arrays([pa.array(columns[f.name], f.type) for f in arrow], schema=arrow)
 
+    conf = rasters.sparkSession.conf  # by rows alone, large rasters would make batches of any size
+    if rasters.sparkSession.sparkContext._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(conf.get(_ARROW).strip()) > ARROW_BYTES:
+        conf.set(_ARROW, ARROW_BYTES)
     return rasters.mapInArrow(run, out)
 
 
@@ -90,15 +97,24 @@ def free_pixels(pixels: DataFrame, least: int = 200) -> DataFrame:
     return pixels.withColumn("_any", any_free).where(F.when(F.col("_any") == 1, F.col("v") >= least).otherwise(F.col("v") > 0)).drop("_any")
 
 
-def component_labels(rasters: DataFrame, least: int = 200) -> DataFrame:
+def _by_size(rasters: DataFrame, tile: int, small: Callable[[DataFrame], DataFrame], large: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Maps that fit a tile each in one task, larger ones in tiles. Tiles are planned only where there are such maps."""
+    fits = (F.col("h") <= tile) & (F.col("w") <= tile)
+    rest = rasters.where(~fits)
+    done = small(rasters.where(fits))
+    return done if rest.isEmpty() else done.unionByName(large(rest))
+
+
+def component_labels(rasters: DataFrame, least: int = 200, tile: int = 1024) -> DataFrame:
     """rasters -> map_id, h, w, labels: 8-connected components of free space."""
+    from . import tiles
 
     def kernel(row: dict) -> Iterator[dict]:
         img = array_of(row)
         mask = img >= least
         yield {"h": row["h"], "w": row["w"], "labels": K.components(mask if mask.any() else img > 0).astype("<i4").tobytes()}
 
-    return per_map(rasters, kernel, "h int, w int, labels binary")
+    return _by_size(rasters, tile, lambda r: per_map(r, kernel, "h int, w int, labels binary"), lambda r: tiles.component_labels(r, least, tile))
 
 
 def components_of(rasters: DataFrame, value: int) -> DataFrame:
@@ -106,14 +122,15 @@ def components_of(rasters: DataFrame, value: int) -> DataFrame:
     return per_map(rasters, lambda row: iter([{"h": row["h"], "w": row["w"], "labels": K.components(array_of(row) == value).astype("<i4").tobytes()}]), "h int, w int, labels binary")
 
 
-def preprocessed(rasters: DataFrame, max_area: int = 30, iterations: int = 2, smooth: int = 2, burr: int = 4) -> DataFrame:
-    """Three rows a map: layers cleaned, cleaned2 and input."""
+def preprocessed(rasters: DataFrame, max_area: int = 30, iterations: int = 2, smooth: int = 2, burr: int = 4, tile: int = 1024) -> DataFrame:
+    """Three rows a map: layers cleaned, cleaned2 and input. Maps of more than a tile are cleaned tile by tile."""
+    from . import tiles
 
     def kernel(row: dict) -> Iterator[dict]:
         for name, img in zip(("cleaned", "cleaned2", "input"), K.preprocess(array_of(row), max_area, iterations, smooth, burr)):
             yield {"layer": name, "h": row["h"], "w": row["w"], "data": img.tobytes()}
 
-    return per_map(rasters, kernel, "layer string, h int, w int, data binary")
+    return _by_size(rasters, tile, lambda r: per_map(r, kernel, "layer string, h int, w int, data binary"), lambda r: tiles.preprocessed(r, max_area, iterations, smooth, burr, tile))
 
 
 def offsets(radius: int, centre: bool = False) -> Column:
