@@ -58,10 +58,18 @@ def new_space(pixels: DataFrame, regions: DataFrame, least: int = 128, strips: D
     return out.join(strips.select(*AT), AT, "left_anti") if strips is not None else out
 
 
+def borders(regions: DataFrame) -> DataFrame:
+    """Pixels with one of their eight neighbours outside their region, or the map."""
+    near = around(regions.select(*AT, "lid")).join(regions.select(*AT, "lid"), [*AT, "lid"], "left_semi")
+    inner = near.groupBy("map_id", F.col("y0").alias("y"), F.col("x0").alias("x"), "lid").agg(F.count(F.lit(1)).alias("n")).where("n = 8")
+    return regions.select(*AT, "lid").join(inner, [*AT, "lid"], "left_anti")
+
+
 def fragment_targets(fragments: DataFrame, targets: DataFrame, tile: int = 16) -> DataFrame:
     """For each fragment the region with most pixels at its least square distance (ties to the smallest): map_id, lid,
-    target. Both sides are dealt to tiles and met in neighbouring tiles; what has met nothing closer than a tile's
+    target. Only border pixels can lie at that distance, so only they are compared. Both sides are dealt to tiles and met in neighbouring tiles; what has met nothing closer than a tile's
     edge allows is tried again with tiles twice as wide."""
+    fragments, targets = stored(borders(fragments)), stored(borders(targets))
     out, open_ = None, fragments
     limits = targets.groupBy("map_id").agg(F.max(F.greatest("x", "y")).alias("far"))
     far = limits.agg(F.coalesce(F.max("far"), F.lit(0))).first()[0]

@@ -29,9 +29,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
 
 RAW = """
-m AS (SELECT n_nationkey AS k FROM nation),
+m AS (SELECT CAST(n_nationkey AS INTEGER) AS k FROM nation UNION SELECT CAST(c_custkey // 60 AS INTEGER) FROM customer), mc AS (SELECT count(*) AS maps FROM m),
 cell AS (SELECT k, CAST(range AS INTEGER) AS i, CAST(range % 64 AS INTEGER) AS x, CAST(range // 64 AS INTEGER) AS y FROM m, range(3072)),
-nz AS (SELECT k, CAST((p_partkey + 17 * k) % 3072 AS INTEGER) AS i, min(p_size) AS s FROM m, part GROUP BY 1, 2),
+pk AS (SELECT CAST((p_partkey + range) % maps AS INTEGER) AS k, p_partkey, p_size FROM part, range(25), mc),
+nz AS (SELECT k, CAST((p_partkey + 17 * k) % 3072 AS INTEGER) AS i, min(p_size) AS s FROM pk GROUP BY 1, 2),
 raw AS (SELECT cell.k AS map_id, y, x, CASE WHEN (x % 16 = 0 OR y % 12 = 0) AND NOT (x % 16 = 0 AND (y + cell.k) % 12 = 5 AND x % 32 = 0 AND x > 0) THEN 0 WHEN s <= 2 THEN 0 WHEN s >= 49 THEN 247 ELSE 254 END AS v FROM cell LEFT JOIN nz ON nz.k = cell.k AND nz.i = cell.i),
 px AS MATERIALIZED (SELECT map_id, y, x, CASE v WHEN 254 THEN 255 WHEN 247 THEN 127 ELSE 0 END AS v FROM raw)
 """
@@ -170,12 +171,59 @@ def gauss_wall(spark, sf_dir):
     return R.blurred(seed.pixels(spark, sf_dir), seed.sizes(spark, sf_dir)).withColumn("g", F.round("g", 6))
 
 
-@query()
+def _layers_sql() -> str:
+    """CTEs c1, c2, c3: the layers cleaned, cleaned2 and input as pixels, step by step."""
+    line = lambda a, b: f"OVER (PARTITION BY map_id, {b} ORDER BY {a} ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING)"
+    steps = [
+        f"wl AS (SELECT map_id, y, x FROM px WHERE v = 0), {_components('w', 'wl')}",
+        "near AS (SELECT DISTINCT w.map_id, w.y, w.x FROM w JOIN px f ON f.map_id = w.map_id AND f.v = 255 AND abs(f.y - w.y) <= 4 AND abs(f.x - w.x) <= 4)",
+        "good AS (SELECT w.map_id, w.lid FROM w LEFT JOIN near n USING (map_id, y, x) GROUP BY 1, 2 HAVING count(*) <= 30 AND count(n.map_id) = count(*))",
+        "gone AS (SELECT w.map_id, w.y, w.x FROM w JOIN good USING (map_id, lid))",
+        "c1 AS MATERIALIZED (SELECT p.map_id, p.y, p.x, CASE WHEN g.y IS NOT NULL THEN 255 ELSE p.v END AS v FROM px p LEFT JOIN gone g USING (map_id, y, x))",
+        f"ul AS (SELECT map_id, y, x FROM c1 WHERE v = 127), {_components('u', 'ul')}",
+        "ring AS (SELECT DISTINCT u.map_id, u.lid, u.y + o.dy AS y, u.x + o.dx AS x FROM u, o8 o)",
+        "votes AS (SELECT r.map_id, r.lid, sum(CASE WHEN p.v = 0 THEN 1 ELSE 0 END) AS w, sum(CASE WHEN p.v = 255 THEN 1 ELSE 0 END) AS f FROM ring r JOIN c1 p USING (map_id, y, x) WHERE NOT EXISTS (SELECT 1 FROM u WHERE u.map_id = r.map_id AND u.lid = r.lid AND u.y = r.y AND u.x = r.x) GROUP BY 1, 2)",
+        "taken AS (SELECT s.map_id, s.lid, CASE WHEN coalesce(w, 0) > coalesce(f, 0) THEN 0 ELSE 255 END AS v FROM (SELECT map_id, lid FROM u GROUP BY 1, 2 HAVING count(*) <= 30) s LEFT JOIN votes USING (map_id, lid))",
+        "c2 AS MATERIALIZED (SELECT p.map_id, p.y, p.x, coalesce(t.v, p.v) AS v FROM c1 p LEFT JOIN (SELECT u.map_id, u.y, u.x, taken.v FROM u JOIN taken USING (map_id, lid)) t USING (map_id, y, x))",
+        "beside AS (SELECT DISTINCT a.map_id, a.y, a.x FROM c2 a, o8 o, c2 b WHERE a.v = 255 AND b.v = 127 AND b.map_id = a.map_id AND b.y = a.y + o.dy AND b.x = a.x + o.dx)",
+        "full_ AS MATERIALIZED (SELECT p.map_id, p.y, p.x, CASE WHEN b.y IS NOT NULL THEN 0 ELSE p.v END AS v FROM c2 p LEFT JOIN beside b USING (map_id, y, x))",
+        "w0 AS (SELECT map_id, y, x, CASE WHEN v = 0 THEN 1 ELSE 0 END AS wall FROM full_)",
+    ]
+    at = "w0"
+    for k in range(2):
+        for a, b in (("x", "y"), ("y", "x")):
+            now = f"w{k}{a}"
+            steps += [f"{now}g AS (SELECT map_id, y, x, max(wall) {line(a, b)} AS wall FROM {at})", f"{now} AS (SELECT map_id, y, x, min(wall) {line(a, b)} AS wall FROM {now}g)"]
+            at = now
+    steps.append(f"b0 AS MATERIALIZED (SELECT map_id, y, x FROM {at} WHERE wall = 1)")
+    for k in range(4):
+        steps.append(f"b{k + 1} AS MATERIALIZED (SELECT a.map_id, a.y, a.x FROM b{k} a, o8 o LEFT JOIN b{k} b ON b.map_id = a.map_id AND {_MIRRORED} GROUP BY 1, 2, 3 HAVING count(b.map_id) > 1)")
+    steps += [
+        "o9 AS (SELECT a.dy, b.dx FROM (VALUES (-1), (0), (1)) a(dy), (VALUES (-1), (0), (1)) b(dx)), se AS (SELECT exp(-1 / (2 * 0.8 * 0.8)) AS e), ke AS (SELECT e / (1 + 2 * e) AS side, 1 / (1 + 2 * e) AS mid FROM se)",
+        f"gs AS (SELECT a.map_id, a.y, a.x, sum((CASE WHEN o.dy = 0 THEN mid ELSE side END) * (CASE WHEN o.dx = 0 THEN mid ELSE side END)) AS g FROM px a, o9 o, ke, b4 b WHERE b.map_id = a.map_id AND {_MIRRORED} GROUP BY 1, 2, 3)",
+        "nf AS (SELECT DISTINCT a.map_id, a.y, a.x FROM px a, o8 o, full_ b WHERE b.v = 255 AND b.map_id = a.map_id AND b.y = a.y + o.dy AND b.x = a.x + o.dx)",
+        """c3 AS (SELECT p.map_id, p.y, p.x, CASE WHEN coalesce(g, 0) > 0.5 AND p.v <> 0 THEN 0 WHEN coalesce(g, 0) <= 0.5 AND p.v = 0 AND nf.y IS NOT NULL THEN 255 WHEN coalesce(g, 0) <= 0.5 AND p.v = 0 THEN 127 ELSE p.v END AS v
+FROM full_ p LEFT JOIN gs USING (map_id, y, x) LEFT JOIN nf USING (map_id, y, x))""",
+    ]
+    return ", ".join(steps)
+
+
+_LAYERS = f"{RAW}, {OFFSETS}, {_layers_sql()}"
+
+
+@query(f"WITH RECURSIVE {_LAYERS} SELECT map_id, layer, v, count(*) AS n, CAST(sum(y * 64 + x) AS BIGINT) AS places FROM (SELECT 'cleaned' AS layer, * FROM c1 UNION ALL SELECT 'cleaned2', * FROM c2 UNION ALL SELECT 'input', * FROM c3) GROUP BY 1, 2, 3")
 def preprocess_layers(spark, sf_dir):
-    """All cleaning steps; counts of values by layer."""
-    layers = R.preprocessed(seed.rasters(spark, sf_dir, raw=True))
+    """All cleaning steps, tile by tile; counts of values and sums of their places by layer."""
+    layers = R.preprocessed(seed.rasters(spark, sf_dir, raw=True), tile=32)
     keyed = layers.select(F.struct("map_id", "layer").alias("map_id"), "h", "w", "data")
-    return R.unpack(keyed).groupBy("map_id", "v").agg(F.count(F.lit(1)).alias("n")).select("map_id.map_id", "map_id.layer", "v", "n")
+    counted = R.unpack(keyed).groupBy("map_id", "v").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("y") * 64 + F.col("x")).cast("long").alias("places"))
+    return counted.select("map_id.map_id", "map_id.layer", "v", "n", "places")
+
+
+@query(f"WITH RECURSIVE {COMP} SELECT map_id, y, x, lid FROM lab")
+def component_tiles(spark, sf_dir):
+    """The components of free space, labelled in tiles of 16 x 16 and joined over their borders."""
+    return R.unpack_labels(R.component_labels(seed.rasters(spark, sf_dir), tile=16))
 
 
 @query(

@@ -16,12 +16,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def maps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A map for every nation and for every 60 customers: their number grows with the table."""
+    nations = table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("int").alias("map_id"))
+    return nations.union(table(spark, sf_dir, "customer").select(F.floor(F.col("c_custkey") / 60).cast("int"))).distinct()
+
+
 def raw_pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A 64 x 48 map for every nation: a grid of rooms with doors, and noise from part sizes."""
-    maps = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("map_id"))
-    cells = maps.withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(WIDTH * HEIGHT - 1))))
-    part = table(spark, sf_dir, "part").select("p_partkey", "p_size")
-    noise = part.join(F.broadcast(maps), how="cross")  # the 25 nations, at every scale
+    """A 64 x 48 map each: a grid of rooms with doors, and noise from part sizes (a part has a place in
+    25 maps, so the noise stays as dense)."""
+    held = maps(spark, sf_dir)
+    number = held.count()
+    cells = held.withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(WIDTH * HEIGHT - 1))))
+    noise = table(spark, sf_dir, "part").select("p_partkey", "p_size", F.explode(F.sequence(F.lit(0), F.lit(24))).alias("j"))
+    noise = noise.withColumn("map_id", F.pmod(F.col("p_partkey") + F.col("j"), F.lit(number)).cast("int"))
     noise = noise.groupBy("map_id", F.pmod(F.col("p_partkey") + 17 * F.col("map_id"), F.lit(WIDTH * HEIGHT)).cast("int").alias("i")).agg(F.min("p_size").alias("s"))
     x, y = F.col("i") % WIDTH, F.floor(F.col("i") / WIDTH).cast("int")
     door = (x % 16 == 0) & ((y + F.col("map_id")) % 12 == 5) & (x % 32 == 0) & (x > 0)
@@ -42,7 +50,7 @@ def regions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("map_id"), F.lit(HEIGHT).alias("h"), F.lit(WIDTH).alias("w"))
+    return maps(spark, sf_dir).select("map_id", F.lit(HEIGHT).alias("h"), F.lit(WIDTH).alias("w"))
 
 
 def rooms(spark: SparkSession, sf_dir: str) -> DataFrame:
