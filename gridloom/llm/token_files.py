@@ -72,8 +72,10 @@ class Encoder:
 
     def _units(self, units: list[str]) -> bytes:
         memo = self.memo
-        new = [u for u in set(units) if u not in memo]
-        if new:
+        try:
+            return b"".join(map(memo.__getitem__, units))
+        except KeyError:
+            new = [u for u in set(units) if u not in memo]
             self.held += sum(map(len, new))
             if self.held > MEMO_CHARS:
                 memo.clear()
