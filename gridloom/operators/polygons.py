@@ -46,11 +46,31 @@ def cut(points: Column, pair: Column) -> Column:
     return F.when(pair.isNotNull(), G.bind(F.struct(one.alias("a"), two.alias("b")), lambda s: F.when(G.polygon_area(s["a"]) >= G.polygon_area(s["b"]), F.array(s["a"], s["b"])).otherwise(F.array(s["b"], s["a"]))))
 
 
-def union_outline(rings: list[np.ndarray], digits: int = 6) -> tuple[np.ndarray, int]:
-    """Outer ring of the largest part of a union, and how many parts there are. Edges are cut where they meet; those
-    with the union on one side only remain and are traced."""
-    rings = [np.round(np.asarray(r, float), digits) for r in rings]
+#: Width by which parts that almost touch are grown and shrunk again (fixed value).
+CLOSING = 1e-4
+#: A ring round nothing.
+_NOTHING = np.zeros((1, 2))
+
+
+def _winding(p: np.ndarray, ring: np.ndarray) -> int:
+    """How often a ring runs round a point, anticlockwise counted positive."""
+    x0, y0 = ring.T
+    x1, y1 = np.roll(ring, -1, axis=0).T
+    up, down = (y0 <= p[1]) & (y1 > p[1]), (y1 <= p[1]) & (y0 > p[1])
+    with np.errstate(divide="ignore", invalid="ignore"):
+        right = (x1 - x0) * (p[1] - y0) / (y1 - y0) + x0 > p[0]
+    return int(np.count_nonzero(up & right)) - int(np.count_nonzero(down & right))
+
+
+def region_loops(regions: list[list[np.ndarray]], digits: int = 9) -> list[np.ndarray]:
+    """The loops of the union of regions: outer ones anticlockwise, holes clockwise. A region of one ring is what the ring
+    winds round at all (so a self-crossing one keeps all its parts), one of several rings what they wind round
+    positively. Edges are cut where they meet; those with the union on one side only remain and are traced."""
+    regions = [[np.round(np.asarray(r, float), digits) for r in region] for region in regions]
+    rings = [r for region in regions for r in region]
     segments = [(tuple(p), tuple(q)) for r in rings for p, q in zip(r, np.roll(r, -1, axis=0)) if tuple(p) != tuple(q)]
+    if not segments:
+        return []
     a, b = np.array([s[0] for s in segments]), np.array([s[1] for s in segments])
     d = b - a
     pieces = set()
@@ -70,22 +90,15 @@ def union_outline(rings: list[np.ndarray], digits: int = 6) -> tuple[np.ndarray,
             cuts.update(s[(s > 0) & (s < 1)].tolist())
         at = [tuple(np.round(a[k] + s * d[k], digits) + 0.0) for s in sorted(cuts)]
         pieces.update((p, q) for p, q in zip(at, at[1:]) if p != q)
-    eps = 10.0 ** (-digits) * 20
+    aside = 10.0 ** (-digits) * 20
 
     def inside(p: np.ndarray) -> bool:
-        for r in rings:
-            x0, y0 = r.T
-            x1, y1 = np.roll(r, -1, axis=0).T
-            span = (y0 > p[1]) != (y1 > p[1])
-            with np.errstate(divide="ignore", invalid="ignore"):
-                if np.count_nonzero(span & (p[0] < (x1 - x0) * (p[1] - y0) / (y1 - y0) + x0)) % 2:
-                    return True
-        return False
+        return any(_winding(p, r[0]) != 0 if len(r) == 1 else sum(_winding(p, x) for x in r) > 0 for r in regions)
 
     keep = set()
     for p, q in pieces:
         m, v = (np.array(p) + q) / 2, np.array(q) - p
-        n = np.array([-v[1], v[0]]) / np.hypot(*v) * eps
+        n = np.array([-v[1], v[0]]) / np.hypot(*v) * aside
         left, right = inside(m + n), inside(m - n)
         if left != right:
             keep.add((p, q) if left else (q, p))  # the union on the left
@@ -105,13 +118,48 @@ def union_outline(rings: list[np.ndarray], digits: int = 6) -> tuple[np.ndarray,
                     break
             if len(loop) > 2:
                 loops.append(np.array([nodes[i] for i in loop]))
+    return [straightened(r) for r in loops]
+
+
+def straightened(ring: np.ndarray) -> np.ndarray:
+    """A ring without the points that don't bend it."""
+    prev, nxt = np.roll(ring, 1, axis=0), np.roll(ring, -1, axis=0)
+    bend = np.abs((ring[:, 0] - prev[:, 0]) * (nxt[:, 1] - ring[:, 1]) - (ring[:, 1] - prev[:, 1]) * (nxt[:, 0] - ring[:, 0])) > 1e-12
+    return ring[bend]
+
+
+def offset(loop: np.ndarray, width: float, bevel: bool = False) -> np.ndarray:
+    """A loop with its region on the left, moved outwards by a width (inwards by a negative one): edges shift, corners
+    are where shifted edges meet. Sharp corners, and with bevel those that the shift opens, are cut off."""
+    d = np.roll(loop, -1, axis=0) - loop
+    d /= np.hypot(d[:, 0], d[:, 1])[:, None]
+    out = np.stack([d[:, 1], -d[:, 0]], axis=1) * width
+    points = []
+    for k in range(len(loop)):
+        before, after = d[k - 1], d[k]
+        cross, dot = before[0] * after[1] - before[1] * after[0], before @ after
+        if dot < -0.5 or bevel and cross * width > 0:
+            points += [loop[k] + out[k - 1], loop[k] + out[k]]
+        else:
+            points.append(loop[k] + (out[k - 1] + out[k]) / (1 + dot))
+    return np.array(points)
+
+
+def union_outline(rings: list[np.ndarray], closing: float = CLOSING) -> tuple[np.ndarray, int]:
+    """Outer ring of the largest part of a union, and how many parts there are. Parts that touch in a point, or over a
+    gap of less than twice the closing width, are one: all are grown by that width and shrunk again."""
+    loops = region_loops([[r] for r in rings])
     outer = [r for r in loops if K.shoelace(r) > 0]
+    for bevel in (False, True):
+        if len(outer) > 1 and closing:
+            grown = region_loops([[offset(r, closing) for r in loops]])
+            closed = [r for r in region_loops([[*(offset(r, -closing, bevel) for r in grown), _NOTHING]]) if len(r) > 2]
+            parts = [r for r in closed if K.shoelace(r) > 0]
+            if 0 < len(parts) < len(outer):
+                outer = parts
     if not outer:
         return np.zeros((0, 2)), 0
-    best = max(outer, key=K.shoelace)
-    prev, nxt = np.roll(best, 1, axis=0), np.roll(best, -1, axis=0)
-    bend = np.abs((best[:, 0] - prev[:, 0]) * (nxt[:, 1] - best[:, 1]) - (best[:, 1] - prev[:, 1]) * (nxt[:, 0] - best[:, 0])) > 1e-9
-    return best[bend], len(outer)
+    return max(outer, key=K.shoelace), len(outer)
 
 
 def unions(groups: DataFrame) -> DataFrame:

@@ -116,3 +116,57 @@ def test_final_polygons_as_on_whole_rasters():
             assert np.array_equal(K.expanded(ring, img), plain_maps.expanded(ring, img))
         small = np.where(img == 0, K.components(img == 0), 0)
         assert np.array_equal(K.merge_fragments(labels, small), plain_maps.merge_fragments(labels, small))
+
+
+def square(x, y, w=2.0, h=2.0):
+    return np.array([[x, y], [x + w, y], [x + w, y + h], [x, y + h]])
+
+
+def test_union_closes_gaps():
+    from gridloom.operators import polygons as P
+
+    for gap in (0.0, 1e-5, 5e-5, 1.5e-4):
+        ring, parts = P.union_outline([square(0, 0), square(2 + gap, 0)])
+        assert parts == 1 and abs(K.shoelace(ring) - 8) < 1e-3 and len(ring) == 4, gap
+    ring, parts = P.union_outline([square(0, 0), square(2.001, 0)])
+    assert parts == 2 and abs(K.shoelace(ring) - 4) < 1e-9
+    ring, parts = P.union_outline([square(0, 0), square(2 + 5e-5, 0), square(0, 2 + 5e-5, 2, 1), square(9, 9, 1, 1)])
+    assert parts == 2 and abs(K.shoelace(ring) - 10) < 1e-3
+    three = P.union_outline([square(0, 0), square(2, 0), square(4, 0)])
+    assert three[1] == 1 and abs(K.shoelace(three[0]) - 12) < 1e-9
+    corner, parts = P.union_outline([square(0, 0), square(2, 2)])  # a contact in a point
+    assert parts == 1 and abs(K.shoelace(corner) - 8) < 1e-3
+    with_hole = [square(0, 0, 6, 2), square(0, 4, 6, 2), square(0, 0, 2, 6), square(4, 0, 2, 6)]
+    ring, parts = P.union_outline(with_hole)
+    assert parts == 1 and abs(K.shoelace(ring) - 36) < 1e-9
+
+
+def test_union_repairs_rings():
+    from gridloom.operators import polygons as P
+
+    bow = np.array([[0.0, 0], [4, 4], [4, 0], [0, 4]])
+    loops = P.region_loops([[bow]])
+    assert sorted(round(K.shoelace(r), 6) for r in loops) == [4.0, 4.0]  # both wings
+    ring, parts = P.union_outline([bow])
+    assert parts == 1 and abs(K.shoelace(ring) - 8) < 1e-3
+    ring, parts = P.union_outline([bow], closing=0)
+    assert parts == 2 and abs(K.shoelace(ring) - 4) < 1e-9
+    turns = np.array([np.cos(np.arange(5) * 4 * np.pi / 5), np.sin(np.arange(5) * 4 * np.pi / 5)]).T  # a star: its middle is wound round twice
+    star, parts = P.union_outline([turns])
+    assert parts == 1 and len(star) == 10 and K.shoelace(star) > 1.1
+    twice = np.concatenate([square(0, 0), square(0, 0)])
+    assert abs(K.shoelace(P.union_outline([twice])[0]) - 4) < 1e-9
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.tuples(st.integers(0, 8), st.integers(0, 8), st.integers(1, 5), st.integers(1, 5)), min_size=1, max_size=6))
+def test_union_of_boxes_by_pixels(boxes):
+    """Lattice boxes: the largest part's filled area, where parts that touch in a corner are one."""
+    from gridloom.operators import polygons as P
+
+    grid = np.zeros((16, 16), bool)
+    for x, y, w, h in boxes:
+        grid[y : y + h, x : x + w] = True
+    want = max(K.filled(K.components(grid) == c).sum() for c in range(1, K.components(grid).max() + 1))
+    ring, _ = P.union_outline([square(*map(float, b)) for b in boxes])
+    assert abs(K.shoelace(ring) - want) < 1e-2
