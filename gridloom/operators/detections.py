@@ -135,9 +135,9 @@ def ray_extended(lines: DataFrame, free: DataFrame, reach: int = 3) -> DataFrame
     return moved.groupBy("map_id", "seg_id").agg(pick(0, "x").alias("x1"), pick(0, "y").alias("y1"), pick(1, "x").alias("x2"), pick(1, "y").alias("y2"))
 
 
-def threshold_lines(detections: DataFrame, maps: DataFrame, free: DataFrame, size: tuple[int, int] = (1280, 1280), reach: int = 3) -> DataFrame:
+def threshold_lines(detections: DataFrame, maps: DataFrame, free: DataFrame, size: tuple[int, int] = (1280, 1280), reach: int = 3, least: int = 416) -> DataFrame:
     """Detections in model space -> extended centre lines in map pixels. maps: map_id, w, h."""
-    box = G.letterbox(F.col("w"), F.col("h"), *size)
+    box = G.letterbox(F.col("w"), F.col("h"), *size, least)
     placed = detections.join(maps.select("map_id", box.alias("_box")), "map_id").withColumn("v", G.un_letterbox(F.col("v"), F.col("_box")))
     lines = placed.select("map_id", F.col("det_id").alias("seg_id"), G.box_centerline(F.col("v")).alias("line")).where("line is not null")
     return ray_extended(lines, free, reach)
@@ -172,21 +172,41 @@ def split_by_lines(rasters: DataFrame, lines: DataFrame, thickness: int = 2) ->
     return per_map(held, kernel, "h int, w int, labels binary")
 
 
-def letterbox_tensor(rasters: DataFrame, size: tuple[int, int] = (1280, 1280)) -> DataFrame:
-    """rasters -> map_id, shape, tensor: (1, 3, th, tw) floats in 0..1, nearest resize, padding 127."""
-    boxed = rasters.withColumn("box", G.letterbox(F.col("w"), F.col("h"), *size))
+def letterbox_tensor(rasters: DataFrame, size: tuple[int, int] = (1280, 1280), least: int = 416, mean: tuple[float, ...] | None = None, std: tuple[float, ...] | None = None) -> DataFrame:
+    """rasters -> map_id, scale, pad_x, pad_y, pre_x, pre_y, shape and tensor: (1, 3, th, tw) floats, packed channel after
+    channel. Every target cell takes the source pixel under it; small maps are centred in `least` x `least` first, the
+    rest is unknown (127). Values lie in 0..1, with mean and std (of each channel) they are normalised."""
     tw, th = size
+    boxed = rasters.withColumn("box", G.letterbox(F.col("w"), F.col("h"), tw, th, least))
+    shift, scale = (np.array(v if v is not None else (d, d, d), np.float32) for v, d in ((mean, 0.0), (std, 1.0)))
 
     def kernel(row: dict) -> Iterator[dict]:
         img, b = array_of(row), row["box"]
-        if b["pre_x"] or b["pre_y"] or (row["w"] < 416 and row["h"] < 416):
-            wide = np.full((416, 416), 127, np.uint8)
-            wide[b["pre_y"] : b["pre_y"] + row["h"], b["pre_x"] : b["pre_x"] + row["w"]] = img
-            img = wide
-        ys = np.minimum((np.arange(b["h"]) * img.shape[0] / b["h"]).astype(int), img.shape[0] - 1)
-        xs = np.minimum((np.arange(b["w"]) * img.shape[1] / b["w"]).astype(int), img.shape[1] - 1)
-        full = np.full((th, tw), 127, np.float32)
-        full[b["pad_y"] : b["pad_y"] + b["h"], b["pad_x"] : b["pad_x"] + b["w"]] = img[np.ix_(ys, xs)]
-        yield {"shape": [1, 3, th, tw], "tensor": np.broadcast_to(full / np.float32(255), (1, 3, th, tw)).astype("<f4").tobytes()}
-
-    return per_map(boxed, kernel, "shape array<int>, tensor binary")
+        small = row["w"] < least and row["h"] < least
+        h, w = (least, least) if small else img.shape
+        ys = np.minimum((np.arange(b["h"]) * h / b["h"]).astype(int), h - 1) - b["pre_y"]
+        xs = np.minimum((np.arange(b["w"]) * w / b["w"]).astype(int), w - 1) - b["pre_x"]
+        held = ((ys >= 0) & (ys < row["h"]))[:, None] & ((xs >= 0) & (xs < row["w"]))
+        near = img[np.ix_(ys.clip(0, row["h"] - 1), xs.clip(0, row["w"] - 1))]
+        full = np.full((th, tw), K.UNKNOWN, np.float32)
+        full[b["pad_y"] : b["pad_y"] + b["h"], b["pad_x"] : b["pad_x"] + b["w"]] = np.where(held, near, K.UNKNOWN)
+        full /= np.float32(255)
+        packed = b"".join(((full - shift[c]) / scale[c]).astype("<f4").tobytes() for c in range(3))
+        yield {**{k: b[k] for k in ("scale", "pad_x", "pad_y", "pre_x", "pre_y")}, "shape": [1, 3, th, tw], "tensor": packed}
+
+    return per_map(boxed, kernel, "scale double, pad_x int, pad_y int, pre_x int, pre_y int, shape array<int>, tensor binary")
+
+
+def tensor_cells(tensors: DataFrame) -> DataFrame:
+    """letterbox_tensor's rows -> map_id, channel, v, n, places: how many cells have a value, and the sum of their places."""
+
+    def kernel(row: dict) -> Iterator[dict]:
+        _, channels, th, tw = row["shape"]
+        values = np.frombuffer(row["tensor"], "<f4").reshape(channels, th * tw)
+        for c in range(channels):
+            found, own = np.unique(values[c], return_inverse=True)
+            n, places = np.bincount(own), np.bincount(own, np.arange(th * tw))
+            for k, v in enumerate(found):
+                yield {"channel": c, "v": float(v), "n": int(n[k]), "places": int(places[k])}
+
+    return per_map(tensors, kernel, "channel int, v double, n long, places long")

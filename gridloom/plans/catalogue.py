@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from ..config import Config
 from ..functions import geometry as G
 from ..functions import labels as L
+from ..operators import beautify as B
 from ..operators import detections as D
 from ..operators import extension as X
 from ..operators import graph as N
@@ -568,6 +569,23 @@ def merge_rect_union_area(spark, sf_dir):
     return P.unions(groups).select("map_id", "parts", F.round(G.polygon_area(F.col("points")), 6).alias("area"))
 
 
+@query(f"WITH {ROOMS} SELECT pos AS map_id, CAST(CASE WHEN pos % 4 = 3 THEN 2 ELSE 1 END AS INTEGER) AS parts, CAST((x1 - x0) * (y1 - y0) * CASE WHEN pos % 4 = 3 THEN 1 ELSE 2 END AS DOUBLE) AS area FROM rm")
+def merge_gap_union_area(spark, sf_dir):
+    """Each room with its like on the right: touching, or 5e-5 or 1e-5 apart (one room then), or too far (the larger)."""
+    gap = F.element_at(F.array(F.lit(0.0), F.lit(5e-5), F.lit(1e-5), F.lit(1e-2)), (F.col("pos") % 4 + 1).cast("int"))
+    beside = F.transform("points", lambda p: G.point(p["x"] + F.col("x1") - F.col("x0") + gap, p["y"]))
+    groups = _corner_rooms(spark, sf_dir).select(F.col("pos").alias("map_id"), F.array("points", beside).alias("rings"))
+    return P.unions(groups).select("map_id", "parts", F.round(G.polygon_area(F.col("points")), 2).alias("area"))
+
+
+@query(f"WITH {ROOMS} SELECT pos AS map_id, CAST(1 AS INTEGER) AS parts, CAST((x1 - x0) * (y1 - y0) / 2.0 AS DOUBLE) AS area FROM rm")
+def merge_bow_tie_area(spark, sf_dir):
+    """Rooms whose ring crosses itself: both wings stay, joined where they touch."""
+    bow = F.array(*[F.col("points")[k] for k in (0, 2, 1, 3)])
+    groups = _corner_rooms(spark, sf_dir).select(F.col("pos").alias("map_id"), F.array(bow).alias("rings"))
+    return P.unions(groups).select("map_id", "parts", F.round(G.polygon_area(F.col("points")), 2).alias("area"))
+
+
 # --- detections ----------------------------------------------------------------------------------------------------
 
 DET = """li AS (SELECT *, l_orderkey * 1000 + row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity) AS k FROM lineitem),
@@ -659,6 +677,79 @@ def letterbox_params(spark, sf_dir):
     return b.select("id", F.round("b.scale", 9).alias("scale"), F.col("b.w").alias("nw"), F.col("b.h").alias("nh"), "b.pad_x", "b.pad_y", "b.pre_x")
 
 
+_TENSOR = (
+    "cl AS (SELECT k AS map_id, CAST(c AS INTEGER) AS channel, cy.range * 160 + cx.range AS place, CAST(floor(cy.range * 416 / 120.0) AS INTEGER) - 184 AS sy, CAST(floor((cx.range - 20) * 416 / 120.0) AS INTEGER) - 176 AS sx, cx.range BETWEEN 20 AND 139 AS inside, me, sd"
+    " FROM m, range(120) cy, range(160) cx, (VALUES (0, 0.485, 0.229), (1, 0.456, 0.224), (2, 0.406, 0.225)) ch(c, me, sd))"
+)
+
+
+@query(
+    f"""WITH {RAW}, {_TENSOR}, vl AS (SELECT cl.map_id, channel, place, CASE WHEN inside AND px.v IS NOT NULL THEN px.v ELSE 127 END AS v, me, sd FROM cl LEFT JOIN px ON px.map_id = cl.map_id AND px.y = cl.sy AND px.x = cl.sx)
+SELECT map_id, channel, CAST(round((v / 255.0 - me) / sd, 4) AS DOUBLE) AS v, count(*) AS n, CAST(sum(place) AS BIGINT) AS places FROM vl GROUP BY 1, 2, 3"""
+)
+def letterbox_cells(spark, sf_dir):
+    """Every cell of the seed maps' normalised tensors of 160 x 120: a value's number of cells and the sum of their places."""
+    c = Config(normalize=True)
+    tensors = D.letterbox_tensor(seed.rasters(spark, sf_dir), (160, 120), c.min_input_size, c.mean, c.std)
+    return D.tensor_cells(tensors).withColumn("v", F.round("v", 4))
+
+
+# --- contours made plain -------------------------------------------------------------------------------------------
+
+
+@query(
+    f"""WITH {RAW}, {ROOMS}, sz AS (SELECT *, x1 - x0 AS w, y1 - y0 AS h FROM rm), ch AS (SELECT *, 2 * (w + h) AS n, CAST(unnest(range(2 * (w + h))) AS INTEGER) AS t FROM sz),
+pt AS (SELECT map_id, pos, n, t, CASE WHEN t < w THEN x0 + t WHEN t < w + h THEN x1 WHEN t < 2 * w + h THEN x1 - (t - w - h) ELSE x0 END AS x, CASE WHEN t < w THEN y0 WHEN t < w + h THEN y0 + (t - w) WHEN t < 2 * w + h THEN y1 ELSE y1 - (t - 2 * w - h) END AS y FROM ch),
+f0 AS MATERIALIZED (SELECT pt.*, CASE WHEN p.v = 255 THEN 1 ELSE 0 END AS f FROM pt LEFT JOIN px p USING (map_id, y, x)),
+il AS (SELECT DISTINCT a.map_id, a.y, a.x FROM f0 a JOIN f0 b ON b.pos = a.pos AND b.t = (a.t + a.n - 1) % a.n JOIN f0 c ON c.pos = a.pos AND c.t = (a.t + 1) % a.n WHERE a.f = 0 AND b.f = 1 AND c.f = 1),
+f1 AS MATERIALIZED (SELECT f0.map_id, pos, n, t, f0.x, f0.y, CASE WHEN f = 1 OR il.x IS NOT NULL THEN 1 ELSE 0 END AS f FROM f0 LEFT JOIN il ON il.map_id = f0.map_id AND il.y = f0.y AND il.x = f0.x),
+bg AS (SELECT a.*, CASE WHEN a.f = 1 AND b.f = 0 THEN 1 ELSE 0 END AS b FROM f1 a JOIN f1 b ON b.pos = a.pos AND b.t = (a.t + a.n - 1) % a.n),
+rn AS (SELECT *, sum(b) OVER (PARTITION BY pos ORDER BY t) AS run, sum(b) OVER (PARTITION BY pos) AS last FROM bg),
+op AS (SELECT map_id, pos, CASE WHEN run = 0 THEN last ELSE run END AS run, t + CASE WHEN run = 0 AND last > 0 THEN n ELSE 0 END AS u, x, y FROM rn WHERE f = 1),
+nb AS (SELECT *, lag(x) OVER q AS xa, lag(y) OVER q AS ya, lead(x) OVER q AS xb, lead(y) OVER q AS yb FROM op WINDOW q AS (PARTITION BY pos, run ORDER BY u)),
+kp AS (SELECT * FROM nb WHERE xa IS NULL OR xb IS NULL OR (x - xa) * (yb - ya) <> (y - ya) * (xb - xa)),
+sg AS (SELECT map_id, pos, run, u, x AS x1, y AS y1, lead(x) OVER (PARTITION BY pos, run ORDER BY u) AS x2, lead(y) OVER (PARTITION BY pos, run ORDER BY u) AS y2 FROM kp)
+SELECT map_id, pos, CAST(row_number() OVER (PARTITION BY pos ORDER BY run, u) - 1 AS INTEGER) AS seg_id, x1, y1, x2, y2 FROM sg WHERE x2 IS NOT NULL"""
+)
+def doorways(spark, sf_dir):
+    """Where the borders of the seed rooms run over free pixels of their map."""
+    return B.doorways(_pixel_rooms(spark, sf_dir), seed.pixels(spark, sf_dir).where("v = 255").select("map_id", "y", "x"))
+
+
+@query()
+def doorways_merged(spark, sf_dir):
+    """The same with facing ends within three pixels joined. Merging goes on in order, which SQL can't say; tested by hand."""
+    return B.merged_doorways(doorways(spark, sf_dir))
+
+
+def _pixel_rooms(spark, sf_dir):
+    whole = F.array(*[F.struct(F.col(a).cast("int").alias("x"), F.col(b).cast("int").alias("y")) for a, b in (("x0", "y0"), ("x1", "y0"), ("x1", "y1"), ("x0", "y1"))])
+    return seed.rooms(spark, sf_dir).select("map_id", "pos", whole.alias("points"))
+
+
+@query(
+    f"""WITH {ROOMS}, sz AS (SELECT pos, x1 - x0 AS w, y1 - y0 AS h FROM rm)
+SELECT pos AS map_id, CAST(k AS INTEGER) AS pos, CAST(CASE WHEN k = 0 THEN w * h ELSE w * h - (w - 2) * (h - 1) END AS DOUBLE) AS area, CAST(0 AS INTEGER) AS slanted FROM sz, (VALUES (0), (1)) v(k)"""
+)
+def beautified_rooms(spark, sf_dir):
+    """A map for each room, with the room and its like two columns and a row further on: contours with points that aren't
+    needed come out plain, and the second one loses what both share."""
+    sizes = seed.rooms(spark, sf_dir).select(F.col("pos").alias("map_id"), (F.col("x1") - F.col("x0")).cast("int").alias("w"), (F.col("y1") - F.col("y0")).cast("int").alias("h"))
+    cells = sizes.withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(20 * 24 - 1)))).withColumn("y", F.floor(F.col("i") / 24).cast("int")).withColumn("x", F.col("i") % 24)
+    within = lambda dx, dy: (F.col("x") > 2 + dx) & (F.col("x") < 2 + dx + F.col("w")) & (F.col("y") > 2 + dy) & (F.col("y") < 2 + dy + F.col("h"))
+    rasters = R.pack(cells.select("map_id", "y", "x", F.when(within(0, 0) | within(2, 1), 255).otherwise(127).alias("v")))
+
+    def ring(dx, dy):
+        at = lambda x, y: F.struct((x + 2 + dx).cast("int").alias("x"), (y + 2 + dy).cast("int").alias("y"))
+        none, w, h = F.lit(0), F.col("w"), F.col("h")
+        return F.array(at(none, none), at(F.lit(2), none), at(w, none), at(w, h), at(w - 1, h), at(none, h), at(none, h - 2))
+
+    contours = sizes.select("map_id", F.posexplode(F.array(ring(0, 0), ring(2, 1))).alias("pos", "points"))
+    done = B.beautified(rasters, contours)
+    edge = F.transform("points", lambda p, i: F.when((p["x"] != F.col("points")[F.pmod(i + 1, F.size("points"))]["x"]) & (p["y"] != F.col("points")[F.pmod(i + 1, F.size("points"))]["y"]), 1).otherwise(0))
+    return done.select("map_id", "pos", G.polygon_area(F.col("points")).alias("area"), F.aggregate(edge, F.lit(0), lambda a, b: a + b).alias("slanted"))
+
+
 # --- landmarks -----------------------------------------------------------------------------------------------------
 
 

@@ -104,7 +104,7 @@ def partition(maps: DataFrame, config: Config, detections: DataFrame | None = No
     else:
         cleaned = layers.where("layer = 'cleaned'").drop("layer")
         free = R.unpack(cleaned).where("v >= 200").select("map_id", "y", "x")
-        lines = D.threshold_lines(detections, maps.select("map_id", "w", "h"), free, config.target_size, int(config.max_extend))
+        lines = D.threshold_lines(detections, maps.select("map_id", "w", "h"), free, config.target_size, int(config.max_extend), config.min_input_size)
         least = K.area_cutoff(config.min_room_area, config.resolution)
 
         def settle(row: dict) -> Iterator[dict]:
@@ -242,7 +242,7 @@ def extension(requests: DataFrame, maps: DataFrame, config: Config, detections:
     else:
         doors = detections.withColumnRenamed("map_id", "source_map").join(own.select("source_map", "map_id"), "source_map").drop("source_map")
         free = R.unpack(R.preprocessed(rasters, *chain).where("layer = 'cleaned'").drop("layer")).where("v >= 200").select("map_id", "y", "x")
-        lines = D.threshold_lines(doors, own.select("map_id", "w", "h"), free, config.target_size, EXTENSION_REACH)
+        lines = D.threshold_lines(doors, own.select("map_id", "w", "h"), free, config.target_size, EXTENSION_REACH, config.min_input_size)
         held = held.join(lines.groupBy("map_id").agg(F.array_sort(F.collect_list(F.struct("x1", "y1", "x2", "y2"))).alias("lines")), "map_id", "left")
     least = config.min_room_area / config.resolution**2
 
@@ -276,10 +276,29 @@ def extension(requests: DataFrame, maps: DataFrame, config: Config, detections:
     return own.select("request_id").join(bodies.withColumnRenamed("map_id", "request_id"), "request_id", "left").withColumn("code", F.lit(None).cast("int"))
 
 
-def run(requests: DataFrame, maps: DataFrame, config: Config | None = None, detections: DataFrame | None = None) -> DataFrame:
+def model_tensors(maps: DataFrame, config: Config) -> DataFrame:
+    """What a door model takes for each map: the cleaned input layer as a tensor, by the configuration's target size, least
+    size and normalisation."""
+    chain = (config.max_noise_area, config.dilate_iter, config.smooth_iterations, config.max_burr_len)
+    layers = R.preprocessed(maps.select("map_id", "h", "w", "data"), *chain).where("layer = 'input'").drop("layer")
+    return D.letterbox_tensor(layers, config.target_size, config.min_input_size, *((config.mean, config.std) if config.normalize else (None, None)))
+
+
+def doors_of(raw: DataFrame, config: Config) -> DataFrame:
+    """A model's raw candidates (map_id, cell, channels) as detections: decoded by the configured format and least
+    confidence, then suppressed by the configured overlap."""
+    return D.suppressed(D.decoded(raw, config.output_format, config.conf_threshold), config.nms_threshold)
+
+
+def run(requests: DataFrame, maps: DataFrame, config: Config | None = None, detections: DataFrame | None = None, raw: DataFrame | None = None) -> DataFrame:
     """request_id, statusCode, body of every request: 200 with the labels document, 190 with the code of a failure, 171
-    with what is missing from its arguments. detections: door boxes of the maps, see `partition`."""
+    with what is missing from its arguments. detections: door boxes of the maps, see `partition`; raw: a model's
+    candidates instead, see `doors_of`."""
     config = config or Config()
+    if raw is not None:
+        if detections is not None:
+            raise ValueError("give either detections or raw candidates")
+        detections = stored(doors_of(raw, config))
     asked = stored(requests.withColumn("refusal", refusal()))
     refused = asked.where("refusal IS NOT NULL").select("request_id", F.lit(BAD_ARGUMENT).alias("statusCode"), F.col("refusal").alias("body"))
     checked = stored(validated(asked.where("refusal IS NULL").drop("refusal"), maps))

@@ -18,8 +18,59 @@ from ..operators.kernels import gray
 _CHANNELS = {0: 1, 2: 3, 3: 1, 4: 2, 6: 4}
 
 
+#: First column and row, and steps, of the seven passes of an interlaced image (fixed values).
+_PASSES = ((0, 0, 8, 8), (4, 0, 8, 8), (0, 4, 4, 8), (2, 0, 4, 4), (0, 2, 2, 4), (1, 0, 2, 2), (0, 1, 1, 2))
+
+
+def _unfiltered(lines: np.ndarray, step: int) -> np.ndarray:
+    """Scan lines (a filter number, then bytes) as bytes; step: bytes of a whole pixel. Where a byte needs its left
+    neighbour's value, all bytes of one anti-diagonal are found at once."""
+    rule, data = lines[:, 0], lines[:, 1:]
+    h, size = data.shape
+    if not size or not (rule > 2).any():
+        out = np.zeros((h, size), np.uint8)
+        above = np.zeros(size, np.uint8)
+        for y in range(h):
+            if rule[y] == 1:
+                out[y] = np.cumsum(data[y].reshape(-1, step), axis=0, dtype=np.uint8).ravel()
+            else:
+                out[y] = data[y] + above if rule[y] == 2 else data[y]
+            above = out[y]
+        return out
+    w = size // step
+    tilted = np.zeros((h + w + 1, h + 1, step), np.uint8)  # place (x + y + 2, y + 1)
+    for y in range(h):
+        tilted[y + 2 : y + 2 + w, y + 1] = data[y].reshape(w, step)
+    kind = rule.astype(np.int16)[:, None]
+    for d in range(h + w - 1):
+        lo, hi = max(0, d - w + 1), min(h, d + 1)
+        left, up, corner = (v.astype(np.int16) for v in (tilted[d + 1, lo + 1 : hi + 1], tilted[d + 1, lo:hi], tilted[d, lo:hi]))
+        if d < h:  # the row that begins here
+            left[-1] = corner[-1] = 0
+        k = kind[lo:hi]
+        guess = left + up - corner
+        a, b, c = np.abs(guess - left), np.abs(guess - up), np.abs(guess - corner)
+        near = np.where((a <= b) & (a <= c), left, np.where(b <= c, up, corner))
+        guess = np.where(k == 4, near, np.where(k == 3, (left + up) // 2, np.where(k == 2, up, np.where(k == 1, left, 0))))
+        tilted[d + 2, lo + 1 : hi + 1] += guess.astype(np.uint8)
+    return np.stack([tilted[y + 2 : y + 2 + w, y + 1].reshape(-1) for y in range(h)])
+
+
+def _samples(raw: np.ndarray, w: int, h: int, depth: int, n: int) -> tuple[np.ndarray, int]:
+    """(h, w, n) samples of one pass (of 16 bits the upper byte), and how many bytes it took."""
+    size = (w * n * depth + 7) // 8
+    used = h * (size + 1)
+    rows = _unfiltered(raw[:used].reshape(h, size + 1), max(1, n * depth // 8))
+    if depth == 16:
+        rows = rows[:, ::2]
+    elif depth < 8:
+        bits = np.unpackbits(rows, axis=1).reshape(h, -1, depth)
+        rows = (bits @ (1 << np.arange(depth - 1, -1, -1))).astype(np.uint8)
+    return rows[:, : w * n].reshape(h, w, n), used
+
+
 def decode_png(raw: bytes) -> np.ndarray:
-    """8-bit PNG without interlacing -> (h, w) grey values; colours by luma weights, alpha is left out."""
+    """PNG of any depth, colour type and interlacing -> (h, w) grey values; colours by luma weights, alpha is left out."""
     if raw[:8] != b"\x89PNG\r\n\x1a\n":
         raise ValueError("not a PNG")
     at, body, palette = 8, [], None
@@ -29,8 +80,6 @@ def decode_png(raw: bytes) -> np.ndarray:
         at += 12 + size
         if kind == b"IHDR":
             w, h, depth, color, _, _, interlace = struct.unpack(">IIBBBBB", data)
-            if depth != 8 or interlace:
-                raise ValueError("only 8-bit PNGs without interlacing are read")
         elif kind == b"PLTE":
             palette = np.frombuffer(data, np.uint8).reshape(-1, 3)
         elif kind == b"IDAT":
@@ -38,32 +87,17 @@ def decode_png(raw: bytes) -> np.ndarray:
         elif kind == b"IEND":
             break
     n = _CHANNELS[color]
-    lines = np.frombuffer(zlib.decompress(b"".join(body)), np.uint8).reshape(h, 1 + w * n)
-    out = np.zeros((h, w * n), np.uint8)
-    above = np.zeros(w * n, np.uint8)
-    for y in range(h):
-        rule, line = lines[y, 0], lines[y, 1:]
-        if rule == 0:
-            out[y] = line
-        elif rule == 1:
-            out[y] = np.cumsum(line.reshape(w, n), axis=0, dtype=np.uint8).ravel()
-        elif rule == 2:
-            out[y] = line + above
-        else:
-            now, up = line.astype(int).tolist(), above.astype(int).tolist()
-            for x in range(w * n):
-                a, b, c = (now[x - n] if x >= n else 0), up[x], (up[x - n] if x >= n else 0)
-                if rule == 3:
-                    guess = (a + b) // 2
-                else:
-                    p = a + b - c
-                    guess = min((abs(p - a), 0, a), (abs(p - b), 1, b), (abs(p - c), 2, c))[2]
-                now[x] = (now[x] + guess) & 255
-            out[y] = now
-        above = out[y]
-    img = out.reshape(h, w, n)
+    stream = np.frombuffer(zlib.decompress(b"".join(body)), np.uint8)
+    img = np.zeros((h, w, n), np.uint8)
+    for x, y, dx, dy in _PASSES if interlace else ((0, 0, 1, 1),):
+        part = img[y::dy, x::dx]
+        if part.shape[0] and part.shape[1]:
+            part[...], used = _samples(stream, part.shape[1], part.shape[0], depth, n)
+            stream = stream[used:]
     if color == 3:
         img = palette[img[..., 0]]
+    elif depth < 8:
+        img = img * np.uint8(255 // ((1 << depth) - 1))
     if img.shape[-1] < 3:
         return img[..., 0].copy()
     return gray(img[..., 2::-1])
