@@ -7,7 +7,9 @@ again from the container on its host's winning paths; a page without such a cont
 
 Edge cases: null, empty and text-less html give an empty text; a null or odd url counts as the host ''; unclosed and
 misnested tags are repaired as browsers do for paragraphs, list items and cells; repeated rows are extracted each for
-itself; other columns are kept (those that bear a result's name are replaced). Pages are read to their end.
+itself; other columns are kept (those that bear a result's name are replaced). Pages are read to their end. What a
+class, an id or a role names as boilerplate goes only after all text is weighed: words that layouts give to wrappers
+(a page-wide form, a "layout-sidebar") don't take what holds most of the page's text.
 """
 
 from __future__ import annotations
@@ -38,8 +40,10 @@ _RAW = frozenset("script style noscript template iframe svg math canvas object a
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _BLOCK = frozenset("address article aside blockquote body center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol optgroup option p pre section select summary table tbody td tfoot th thead tr ul".split())
 _CONTAINER = frozenset("article body div main section td blockquote center form fieldset aside table ul ol dl".split())
-_DROP_TAG = frozenset("head title nav aside footer form button select option input label dialog menu map applet".split())
+_DROP_TAG = frozenset("head title nav aside footer button select option input label dialog menu map applet".split())
 _HEADING = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: End tags that reach out of a table's cell.
+_PAST_CELLS = frozenset("table tr tbody thead tfoot body html article main section div".split())
 #: A start tag closes these open elements, up to one of the bounds.
 _CLOSES = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"})}
 #: Names of what surrounds an article, as words of a class or id.
@@ -49,6 +53,8 @@ _AROUND = frozenset(
     "newsletter subscribe subscription signup login signin register form search share sharing social related recommended recommendations teaser teasers "
     "comment comments commentlist discussion disqus respond reply replies reviews pagination pager toolbar tags hidden skip print paywall".split()
 )
+#: Of these the ones that layouts also give to what holds the article; forms may hold a whole page.
+_LAYOUT = frozenset("sidebar sidebars side rail header widget widgets form print paywall overlay topbar toolbar".split())
 _ARTICLE = frozenset("article content main post entry story body text page hentry".split())
 _AROUND_ROLE = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog form menu menubar toolbar".split())
 _QUALIFIER = frozenset("with has no without is".split())
@@ -59,17 +65,31 @@ def _attributes(text: str) -> dict[str, str]:
     return {(m[1] or m[5]).lower(): m[2] or m[3] or m[4] or "" for m in _ATTRIBUTE.finditer(text)}
 
 
-def _around(tag: str, attrs: dict[str, str]) -> bool:
-    """Whether an element's attributes name it as boilerplate."""
+def _around(tag: str, attrs: dict[str, str]) -> str:
+    """The word by which an element's attributes name it as boilerplate, or nothing."""
     if "hidden" in attrs or attrs.get("aria-hidden") == "true" or re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", attrs.get("style", "")):
-        return True
-    if attrs.get("role", "").lower() in _AROUND_ROLE:
-        return True
+        return "hidden"
+    if (role := attrs.get("role", "").lower()) in _AROUND_ROLE:
+        return role
     for name in f"{attrs.get('class', '')} {attrs.get('id', '')}".split():
         words = [w.lower() for w in _CAMEL.split(name) if w]
         if not words or words[0] in _QUALIFIER:
             continue
-        if words[-1].rstrip("0123456789") in _AROUND or words[0] in _AROUND and not _ARTICLE & set(words):
+        last = words[-1].rstrip("0123456789")
+        if last == "header" and (tag in _HEADING or _ARTICLE & set(words)):
+            continue  # a heading, or an article's own head
+        if last in _AROUND:
+            return last
+        if words[0] in _AROUND and not _ARTICLE & set(words):
+            return words[0]
+    return ""
+
+
+def _own_head(attrs: dict[str, str]) -> bool:
+    """Whether a class calls an element the head of an article."""
+    for name in attrs.get("class", "").split():
+        words = [w.lower() for w in _CAMEL.split(name) if w]
+        if words and words[-1] == "header" and _ARTICLE & set(words):
             return True
     return False
 
@@ -145,16 +165,40 @@ class Page:
 
     def __init__(self, html: str):
         self.parent, self.step, self.key, self.within, self.score = [-1], [""], [_extended(0, "")], [False], [0.0]
+        self.around: dict[int, str] = {}  # containers that a word names as boilerplate
         self.blocks: list[tuple[int, str]] = []
         self._read(html)
+        self._settle()
+
+    def _sums(self, score: list[float]) -> list[float]:
+        total = list(score)
+        for n in range(len(total) - 1, 0, -1):  # containers follow their parents
+            total[self.parent[n]] += total[n]
+        return total
+
+    def _settle(self) -> None:
+        """Drop what is named as boilerplate, unless a layout's word names what holds most of the text outside the rest."""
+        if not self.around:
+            return
+        size, gone = len(self.parent), [False] * len(self.parent)
+        for n in range(1, size):
+            gone[n] = gone[self.parent[n]] or n in self.around and self.around[n] not in _LAYOUT
+        total = self._sums([0.0 if g else s for g, s in zip(gone, self.score)])
+        for n in range(1, size):
+            gone[n] = gone[n] or gone[self.parent[n]] or n in self.around and 2 * total[n] <= total[0]
+        self.blocks = [(n, text) for n, text in self.blocks if not gone[n]]
+        self.score = [0.0 if g else s for g, s in zip(gone, self.score)]
 
     def _read(self, html: str) -> None:
-        # open elements: tag, container node, dropped?, link?
-        stack: list[tuple[str, int, bool, bool]] = [("", 0, False, False)]
+        # open elements: tag, container node, dropped?, link?, an article's own head?
+        stack: list[tuple[str, int, bool, bool, bool]] = [("", 0, False, False, False)]
+        places: dict[str, list[int]] = {}  # where each tag is open
+        blocks: list[int] = []  # where blocks are open
         pieces: list[str] = []
         linked = 0
         at, size = 0, len(html)
-        _, node, drop, link = stack[-1]
+        _, node, drop, link, _ = stack[-1]
+        last = lambda *tags: max((places[t][-1] for t in tags if places.get(t)), default=0)
 
         def close_block() -> None:
             nonlocal linked
@@ -169,11 +213,15 @@ class Page:
         def pop_to(depth: int) -> None:
             nonlocal node, drop, link
             for tag, *_ in stack[depth:]:
-                if tag in _BLOCK or tag == "header-of-article":
+                if tag in _BLOCK:
                     close_block()
                     break
+            for tag, *_ in stack[depth:]:
+                places[tag].pop()
+            while blocks and blocks[-1] >= depth:
+                blocks.pop()
             del stack[depth:]
-            _, node, drop, link = stack[-1]
+            _, node, drop, link, _ = stack[-1]
 
         tokens = _Tokens(html)
         while at < size:
@@ -194,21 +242,20 @@ class Page:
                 continue
             tag = tag.lower()
             if slash:
-                if tag == "br" or tag == "p" and not any(x[0] == "p" for x in stack):
+                if tag == "br" or tag == "p" and not places.get("p"):
                     if tag == "p":
                         close_block()
                     continue
-                for depth in range(len(stack) - 1, 0, -1):
-                    if stack[depth][0] == tag or tag == "header" and stack[depth][0] == "header-of-article":
-                        pop_to(depth)
-                        break
-                    if stack[depth][0] in ("td", "th", "table") and tag not in ("tr", "tbody", "thead", "tfoot", "table", "body", "html", "article", "main", "section", "div"):
-                        break
+                depth = last(tag)
+                cell = 0 if tag in _PAST_CELLS else last("td", "th", "table")  # other end tags don't reach out of a cell
+                if depth and depth >= cell:
+                    pop_to(depth)
                 continue
             if tag in _RAW:
                 if not rest.endswith("/"):
-                    stop = re.compile(f"</{re.escape(tag)}\\b[^>]*>", re.I).search(html, at)
-                    at = stop.end() if stop else size
+                    stop = re.compile(f"</{re.escape(tag)}\\b", re.I).search(html, at)
+                    at = html.find(">", stop.end()) + 1 if stop else 0
+                    at = at or size
                 continue
             if tag == "br":
                 if not drop:
@@ -221,24 +268,20 @@ class Page:
             if tag in _BLOCK:
                 if tag in _CLOSES:
                     gone, bounds = _CLOSES[tag]
-                    for depth in range(len(stack) - 1, 0, -1):
-                        if stack[depth][0] in gone:
-                            pop_to(depth)
-                            break
-                        if stack[depth][0] in bounds:
-                            break
-                for depth in range(len(stack) - 1, 0, -1):  # a block ends an open paragraph
-                    if stack[depth][0] == "p":
+                    depth = last(*gone)
+                    if depth > last(*bounds):
                         pop_to(depth)
-                        break
-                    if stack[depth][0] in _BLOCK:
-                        break
+                if blocks and stack[blocks[-1]][0] == "p":  # a block ends an open paragraph
+                    pop_to(blocks[-1])
                 close_block()
             if rest.endswith("/") and tag not in _BLOCK:
                 continue
             attrs = _attributes(rest) if rest else {}
+            word = _around(tag, attrs) if attrs and tag not in ("html", "body") and not drop else ""
+            word = word or ("form" if tag == "form" else "")
+            soft = bool(word) and tag in _BLOCK and not drop
             inside = node
-            if tag in _CONTAINER:
+            if tag in _CONTAINER or soft:
                 inside = len(self.parent)
                 self.parent.append(node)
                 step = _generalised(tag, attrs)
@@ -247,18 +290,19 @@ class Page:
                 first, *classes = step.split(".")
                 self.within.append(self.within[node] or first in ("article", "main") or any(_ARTICLE & set(_CAMEL.split(c)) for c in classes))
                 self.score.append(0.0)
-            dropped = drop or tag in _DROP_TAG
-            if not dropped and attrs and tag not in ("html", "body"):
-                dropped = _around(tag, attrs)
-            if tag == "header" and not dropped:
-                dropped = True
-                if self.within[node]:
-                    dropped = False  # its headings are the article's
-                    tag = "header-of-article"
-            if not drop and stack[-1][0] == "header-of-article" and tag not in _HEADING and tag not in ("div", "hgroup"):
+                if soft:
+                    self.around[inside] = word
+            dropped = drop or tag in _DROP_TAG or bool(word) and not soft
+            head = not dropped and (tag == "header" or tag in _BLOCK and tag not in _HEADING and _own_head(attrs))
+            if head and tag == "header" and not self.within[node]:
+                head, dropped = False, True
+            if not drop and stack[-1][4] and tag not in _HEADING and tag not in ("div", "hgroup"):
                 dropped = True
-            stack.append((tag, inside, dropped, link or tag == "a"))
-            _, node, drop, link = stack[-1]
+            places.setdefault(tag, []).append(len(stack))
+            if tag in _BLOCK:
+                blocks.append(len(stack))
+            stack.append((tag, inside, dropped, link or tag == "a", head))
+            _, node, drop, link, _ = stack[-1]
         close_block()
 
     def path(self, n: int) -> str:
@@ -279,9 +323,7 @@ class Page:
         without any text. What an article holds beside its longest part thus stays."""
         if not self.blocks:
             return -1
-        total = list(self.score)
-        for n in range(len(total) - 1, 0, -1):  # containers follow their parents
-            total[self.parent[n]] += total[n]
+        total = self._sums(self.score)
         if not total[0]:
             return 0
         chain = [n for n in range(len(total)) if total[n] >= NEARLY * total[0]]

@@ -290,3 +290,42 @@ def test_arrow_limit_as_text(spark, odd, limit):
 def test_held_out_without_id(spark):
     table = spark.createDataFrame([(None,), (3,)], "doc_id long")
     assert all(r.h is not None for r in table.select(language_id.held_out(F.col("doc_id")).alias("h")).collect())
+
+
+@pytest.mark.parametrize(
+    "html, want",
+    [
+        ('<body><form id="aspnetForm"><div class="content"><p>Text of the page.</p></div></form></body>', "Text of the page."),
+        ('<div class="layout-sidebar"><article><p>The article here.</p></article></div>', "The article here."),
+        ('<article><div class="post-header"><h1>Title</h1><span>by me</span></div><p>Body of the post.</p></article>', "Title\nBody of the post."),
+        ('<article><h2 class="section-header">Head</h2><p>Body of the post.</p></article>', "Head\nBody of the post."),
+        ('<article><p>Long enough to be most of the page.</p></article><div class="sidebar"><p>aside</p></div><form><p>search</p></form>', "Long enough to be most of the page."),
+        ('<article><p>Short body.</p></article><section class="comments"><p>A comment of a reader that is longer than all of the article by itself.</p></section>', "Short body."),
+        ('<article><p>Short body.</p></article><div class="cookie-notice"><p>A notice that is longer than all of the article by itself, as they are.</p></div>', "Short body."),
+    ],
+)
+def test_html_wrappers(html, want):
+    """Words of layouts don't take what holds most of the text; comments and notices go whatever their length."""
+    assert html_extract.extract(html, None) == want
+
+
+def test_html_wrapped_pages(spark):
+    """The main text of every small page is the same in a page-wide form or under a layout's class."""
+    pages = [r.html for r in spark.read.parquet("/root/testdata/sf0.001/pages.parquet").collect() if r.html and "<body" in r.html]
+    for html in pages:
+        plain = html_extract.extract(html, None)
+        for start, end in (('<form id="f">', "</form>"), ('<div class="layout-sidebar">', "</div>")):
+            wrapped = re.sub(r"(<body[^>]*>)(.*)(</body>)", lambda m: m[1] + start + m[2] + end + m[3], html, flags=re.S)
+            assert html_extract.extract(wrapped, None) == plain
+
+
+@pytest.mark.parametrize(
+    "html",
+    ["<b>" * 200_000 + "</i>" * 200_000, "<div><p>t</p></div><nav><b>" * 20_000, "<b>" * 100_000 + "</p>" * 100_000, "<script>" + "</script " * 100_000, "<p>x" * 100_000, "<table><tr><td>" * 20_000 + "</b>" * 50_000, "<form>" * 50_000 + "x"],
+)
+def test_html_in_time(html):
+    import time
+
+    began = time.process_time()
+    html_extract.extract(html, None)
+    assert time.process_time() - began < 5
