@@ -83,7 +83,17 @@ def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hard_negatives.hard_negatives(rows, F.col("id") % 100 == 0)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_line_dedup, op2_token_counts, op3_html_extract, op4_exact_dedup, op5_sentencepiece, op6_mixing, op7_minhash_dedup, op8_language_id, op9_quality_rules, op10_suffix_dedup, op11_token_files, op12_resampling, op13_hard_negatives)}
+def mixing_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What op6_mixing takes its blocks by, for SQL: sizes and targets."""
+    return op6_mixing(spark, sf_dir).select("doc_id", "size", "source_size", F.round("target", 4).alias("target"))
+
+
+def quality_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The base columns of op9_quality_rules, for SQL."""
+    return op9_quality_rules(spark, sf_dir).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_line_dedup, op2_token_counts, op3_html_extract, op4_exact_dedup, op5_sentencepiece, op6_mixing, op7_minhash_dedup, op8_language_id, op9_quality_rules, op10_suffix_dedup, op11_token_files, op12_resampling, op13_hard_negatives, mixing_targets, quality_base)}
 ORACLE_SQL: dict[str, str] = {
     "op1_line_dedup": r"""
 WITH l AS (SELECT doc_id, text, string_split(text, chr(10)) AS ls FROM documents),
@@ -118,6 +128,25 @@ t AS (SELECT rep AS a, rep AS b FROM r UNION SELECT t.a, u.b FROM t JOIN u ON t.
 m AS (SELECT a, min(b) AS comp FROM t GROUP BY a)
 SELECT c.doc_id, CAST(c.n AS BIGINT) AS n_shingles, coalesce(m.comp, c.doc_id) AS component_id, coalesce(m.comp, c.doc_id) = c.doc_id AS kept
 FROM c LEFT JOIN r ON c.n > 0 AND c.sh = r.sh LEFT JOIN m ON m.a = r.rep
+""",
+    "mixing_targets": r"""
+WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size FROM documents),
+s AS (SELECT source, CAST(sum(size) AS DOUBLE) AS ss FROM d GROUP BY source),
+p AS (SELECT *, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS k, 3 * ss AS room, sum(ss) OVER () AS total FROM s),
+w AS (SELECT *, CAST([5, 2, 1][k % 3 + 1] AS DOUBLE) AS weight FROM p),
+o AS (SELECT *, total - coalesce(sum(room) OVER (ORDER BY room / weight, k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS rest, sum(weight) OVER (ORDER BY room / weight, k ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS open FROM w),
+f AS (SELECT *, room * open <= rest * weight AS full_ FROM o),
+t AS (SELECT source, ss, CASE WHEN full_ THEN room ELSE (total - coalesce(sum(room) FILTER (full_) OVER (), 0)) * weight / sum(weight) FILTER (NOT full_) OVER () END AS target FROM f)
+SELECT doc_id, CAST(size AS BIGINT) AS size, CAST(ss AS BIGINT) AS source_size, round(target, 4) AS target FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source
+""",
+    "quality_base": r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w, list_filter(string_split(coalesce(text, ''), chr(10)), lambda l: regexp_matches(l, '[^\x20\x09-\x0D]')) AS ls FROM documents),
+i AS (SELECT doc_id, unnest(range(1, len(w) - 1)) AS i, w FROM d WHERE len(w) >= 3),
+g AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, w[i], w[i + 1], w[i + 2]) > 1 AS twice FROM i),
+r AS (SELECT doc_id, count(DISTINCT j) AS n FROM (SELECT doc_id, i + unnest([0, 1, 2]) AS j FROM g WHERE twice) GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(list_sum(list_transform(w, lambda x: length(x))), 0) AS BIGINT) AS word_chars, CAST(length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
+CAST(len(ls) - len(list_distinct(ls)) AS BIGINT) AS n_dup_lines, CAST(coalesce(r.n, 0) AS BIGINT) AS n_repeat_words, len(w) < 50 OR 100 * coalesce(r.n, 0) > 50 * len(w) AS base_failed
+FROM d LEFT JOIN r USING (doc_id)
 """,
     "op13_hard_negatives": r"""
 WITH e AS MATERIALIZED (SELECT vec_id AS id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS v FROM embeddings
