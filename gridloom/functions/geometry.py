@@ -50,9 +50,11 @@ def flat(points: Column) -> Column:
     return F.flatten(F.transform(points, lambda p: F.array(p["x"], p["y"])))
 
 
-def ring(points: Column) -> Column:
-    """Without a last point equal to the first."""
-    return F.when((F.size(points) > 1) & (F.element_at(points, 1) == F.element_at(points, -1)), F.slice(points, 1, F.size(points) - 1)).otherwise(points)
+def ring(points: Column, within: float = 0.0) -> Column:
+    """Without a last point equal to the first, or within a distance of it along both axes."""
+    first, last = F.get(points, F.lit(0)), F.get(points, F.size(points) - 1)
+    same = (F.abs(first["x"] - last["x"]) < within) & (F.abs(first["y"] - last["y"]) < within) if within else first == last
+    return F.when((F.size(points) > 1) & same, F.slice(points, 1, F.size(points) - 1)).otherwise(points)
 
 
 def closed(points: Column) -> Column:

@@ -9,18 +9,20 @@ from ..functions import geometry as G
 from ..functions.labels import landmark_id
 
 GRID = 51
+#: A ring's last point within this of the first one closes it (fixed value).
+CLOSED = 1e-6
 
 
 def valid(x: Column, y: Column, points: Column, markers: Column, least: float) -> Column:
     """Inside the room, farther than `least` from its boundary, outside every marker and farther than that from it."""
-    clear = F.forall(markers, lambda m: G.bind(G.ring(G.points_of(m)), lambda p: ~G.inside_polygon(x, y, p) & (G.distance_to_polygon(x, y, p) > least)))
+    clear = F.forall(markers, lambda m: G.bind(G.ring(G.points_of(m), CLOSED), lambda p: ~G.inside_polygon(x, y, p) & (G.distance_to_polygon(x, y, p) > least)))
     return G.inside_polygon(x, y, points) & (G.distance_to_polygon(x, y, points) > least) & F.coalesce(clear, F.lit(True))
 
 
 def centers(rooms: DataFrame, least: float = 0.1, grid: int = GRID) -> DataFrame:
     """rooms(map_id, pos, geometry, markers) -> map_id, pos, x, y: the box centre if valid; else the valid point of a
     grid over the box that is farthest from the boundary (the first by x, then y); else the box centre."""
-    ring = G.ring(G.points_of(F.col("geometry")))
+    ring = G.ring(G.points_of(F.col("geometry")), CLOSED)
     base = G.settled(rooms.select("map_id", "pos", ring.alias("p"), F.coalesce("markers", F.array().cast("array<array<double>>")).alias("markers")))
     xs, ys = F.transform("p", lambda q: q["x"]), F.transform("p", lambda q: q["y"])
     base = G.settled(base.withColumns({"x0": F.array_min(xs), "x1": F.array_max(xs), "y0": F.array_min(ys), "y1": F.array_max(ys)}))

@@ -11,6 +11,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..config import InvalidParameterError
 from ..sources.scratch import stored
 from . import kernels as K
 from .raster import AT, around, array_of, per_map
@@ -39,16 +40,23 @@ def relabelled(regions: DataFrame) -> DataFrame:
 def merged(regions: DataFrame, ids: list[int]) -> DataFrame:
     """The listed labels become the first of them; fewer than two are an error of code 4."""
     if len(ids) < 2:
-        raise ValueError("code 4: two labels or more are merged")
+        raise InvalidParameterError("two labels or more are merged")
     return regions.withColumn("lid", F.when(F.col("lid").isin(ids), F.lit(ids[0])).otherwise(F.col("lid")))
 
 
+def picked(regions: DataFrame, points: DataFrame) -> DataFrame:
+    """points (map_id, x1, y1, x2, y2) with the regions at both: keep, gone and code, which is 4 where a point lies on
+    background or both lie in one region, else null."""
+    at = lambda n, name: regions.select("map_id", F.col("x").alias(f"x{n}"), F.col("y").alias(f"y{n}"), F.col("lid").alias(name))
+    both = points.join(at(1, "keep"), ["map_id", "x1", "y1"], "left").join(at(2, "gone"), ["map_id", "x2", "y2"], "left")
+    wrong = F.col("keep").isNull() | F.col("gone").isNull() | (F.col("keep") == F.col("gone"))
+    return both.select("map_id", "x1", "y1", "x2", "y2", "keep", "gone", F.when(wrong, InvalidParameterError.code).alias("code"))
+
+
 def merged_at(regions: DataFrame, points: DataFrame) -> DataFrame:
     """points (map_id, x1, y1, x2, y2): the second point's region becomes the first's; a point on background or two in
     one region change nothing."""
-    first = regions.select("map_id", F.col("x").alias("x1"), F.col("y").alias("y1"), F.col("lid").alias("keep"))
-    second = regions.select("map_id", F.col("x").alias("x2"), F.col("y").alias("y2"), F.col("lid").alias("gone"))
-    pairs = points.join(first, ["map_id", "x1", "y1"]).join(second, ["map_id", "x2", "y2"]).where("keep != gone").select("map_id", "keep", "gone")
+    pairs = picked(regions, points).where("code IS NULL").select("map_id", "keep", "gone")
     return regions.join(pairs, "map_id", "left").select(*AT, F.when(F.col("lid") == F.col("gone"), F.col("keep")).otherwise(F.col("lid")).alias("lid"))
 
 

@@ -473,16 +473,50 @@ def dfs_permutation(spark, sf_dir):
     return order.groupBy("map_id").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("rank").alias("ranks"), F.min("rank").alias("first_rank"), F.max("rank").alias("last_rank"))
 
 
-@query()
+_WALK_NODES = "e AS MATERIALIZED (SELECT map_id, i, j FROM adj UNION ALL SELECT map_id, j, i FROM adj), dg AS MATERIALIZED (SELECT r.map_id, r.pos, count(e.i) AS degree FROM (SELECT DISTINCT map_id, lid AS pos FROM t) r LEFT JOIN e ON e.map_id = r.map_id AND e.i = r.pos GROUP BY 1, 2)"
+
+
+@query(
+    f"""WITH RECURSIVE {TILES}, {_ADJ}, {_WALK_NODES}, nbl AS (SELECT e.map_id, e.i AS pos, list(e.j ORDER BY d.degree, e.j DESC) AS near FROM e JOIN dg d ON d.map_id = e.map_id AND d.pos = e.j GROUP BY 1, 2),
+k AS (SELECT map_id, list(pos ORDER BY degree, pos DESC) AS stack, CAST([] AS INTEGER[]) AS seen FROM dg GROUP BY 1
+  UNION ALL SELECT k.map_id, CASE WHEN list_contains(seen, stack[len(stack)]) THEN stack[1:len(stack) - 1] ELSE list_concat(stack[1:len(stack) - 1], list_filter(coalesce(near, []), lambda v: NOT list_contains(seen, v))) END,
+  CASE WHEN list_contains(seen, stack[len(stack)]) THEN seen ELSE list_append(seen, stack[len(stack)]) END FROM k LEFT JOIN nbl ON nbl.map_id = k.map_id AND nbl.pos = k.stack[len(k.stack)] WHERE len(stack) > 0)
+SELECT map_id, unnest(seen) AS pos, CAST(unnest(range(len(seen))) AS INTEGER) AS rank FROM k WHERE len(stack) = 0"""
+)
 def walk_order(spark, sf_dir):
     return N.walked(*_graph(spark, sf_dir))
 
 
-@query()
+@query(
+    f"""WITH RECURSIVE {TILES}, {_ADJ}, {_WALK_NODES}, o AS MATERIALIZED (SELECT map_id, pos, row_number() OVER (PARTITION BY map_id ORDER BY degree, pos) AS rn FROM dg),
+bf AS MATERIALIZED (SELECT a.map_id, a.rn, list(b.rn) AS before FROM o a JOIN e ON e.map_id = a.map_id AND e.i = a.pos JOIN o b ON b.map_id = a.map_id AND b.pos = e.j AND b.rn < a.rn GROUP BY 1, 2),
+k AS (SELECT map_id, 0 AS rn, CAST([] AS INTEGER[]) AS cs FROM (SELECT DISTINCT map_id FROM o)
+  UNION ALL SELECT map_id, rn, list_append(cs, CAST(CASE WHEN len(list_filter([0, 1, 2, 3, 4], lambda c: NOT list_contains(near, c))) > 0 THEN list_filter([0, 1, 2, 3, 4], lambda c: NOT list_contains(near, c))[1]
+    ELSE list_filter([0, 1, 2, 3, 4], lambda c: hits[c + 1] = list_min(hits))[pos % len(list_filter([0, 1, 2, 3, 4], lambda c: hits[c + 1] = list_min(hits))) + 1] END AS INTEGER))
+  FROM (SELECT *, list_transform([0, 1, 2, 3, 4], lambda c: len(list_filter(near, lambda v: v = c))) AS hits FROM (SELECT k.map_id, o.rn, o.pos, k.cs, list_transform(coalesce(bf.before, []), lambda i: k.cs[i]) AS near FROM k JOIN o ON o.map_id = k.map_id AND o.rn = k.rn + 1 LEFT JOIN bf ON bf.map_id = o.map_id AND bf.rn = o.rn)))
+SELECT o.map_id, o.pos, k.cs[o.rn] AS color FROM o JOIN (SELECT map_id, cs FROM (SELECT *, row_number() OVER (PARTITION BY map_id ORDER BY rn DESC) AS q FROM k) WHERE q = 1) k USING (map_id)"""
+)
 def room_colors(spark, sf_dir):
     return N.coloured(*_graph(spark, sf_dir))
 
 
+@query(
+    f"""WITH {TILES}, {_ADJ}, c AS (SELECT map_id, lid AS pos, CAST(lid % 3 AS INTEGER) AS color FROM (SELECT DISTINCT map_id, lid FROM t))
+SELECT adj.map_id, count(*) AS edges, CAST(sum(CASE WHEN a.color = b.color THEN 1 ELSE 0 END) AS BIGINT) AS before, CAST(0 AS BIGINT) AS after FROM adj JOIN c a ON a.map_id = adj.map_id AND a.pos = adj.i JOIN c b ON b.map_id = adj.map_id AND b.pos = adj.j GROUP BY 1"""
+)
+def color_repair(spark, sf_dir):
+    """Conflicts of neighbours before and after a colouring by threes is mended."""
+    rooms, edges = _graph(spark, sf_dir)
+    given = rooms.withColumn("color", (F.col("pos") % 3).cast("int"))
+    mended = N.coloured(given, edges, kept=True)
+    both = edges
+    for name, table in (("a", given), ("b", mended)):
+        for end in "ij":
+            both = both.join(table.select("map_id", F.col("pos").alias(end), F.col("color").alias(name + end)), ["map_id", end])
+    same = lambda n: F.sum((F.col(f"{n}i") == F.col(f"{n}j")).cast("long"))
+    return both.groupBy("map_id").agg(F.count(F.lit(1)).alias("edges"), same("a").alias("before"), same("b").alias("after"))
+
+
 ROOMS = """rm AS (SELECT CAST(s_nationkey AS INTEGER) AS map_id, CAST(s_suppkey AS INTEGER) AS pos, CAST(s_suppkey * 7 % 40 AS INTEGER) AS x0, CAST(s_suppkey * 11 % 30 AS INTEGER) AS y0,
 CAST(s_suppkey * 7 % 40 + 4 + s_suppkey % 9 AS INTEGER) AS x1, CAST(s_suppkey * 11 % 30 + 4 + s_suppkey % 7 AS INTEGER) AS y1 FROM supplier)"""
 
@@ -586,6 +620,84 @@ def merge_bow_tie_area(spark, sf_dir):
     return P.unions(groups).select("map_id", "parts", F.round(G.polygon_area(F.col("points")), 2).alias("area"))
 
 
+_LI = "li AS (SELECT l_orderkey * 1000 + row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity) AS k, CAST(l_partkey % 41 - 20 AS INTEGER) AS dx, CAST(l_suppkey % 23 - 11 AS INTEGER) AS dy, CAST(l_quantity AS INTEGER) AS q FROM lineitem)"
+
+
+def _line_items(spark, sf_dir):
+    """Steps and numbers out of line items: k, dx, dy, q."""
+    turn = F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_quantity"))
+    return seed.table(spark, sf_dir, "lineitem").select((F.col("l_orderkey") * 1000 + turn).alias("k"), (F.col("l_partkey") % 41 - 20).cast("int").alias("dx"), (F.col("l_suppkey") % 23 - 11).cast("int").alias("dy"), F.col("l_quantity").cast("int").alias("q"))
+
+
+_KIND = "CASE WHEN dy = 0 THEN 'H' WHEN dx = 0 THEN 'V' ELSE 'D' END"
+
+
+@query(
+    f"WITH {_LI}, s AS (SELECT k, dx, dy, {_KIND} AS kind, CASE WHEN q % 2 = 0 THEN 1 ELSE -1 END AS sg FROM li) SELECT k, kind, CAST(CASE WHEN kind = 'H' THEN 0 ELSE sign(dy) * sg * 2 END AS INTEGER) AS ox, CAST(CASE WHEN kind = 'V' THEN 0 ELSE -sign(dx) * sg * 2 END AS INTEGER) AS oy FROM s"
+)
+def segment_steps(spark, sf_dir):
+    """Class of every line item's step (none lies within a degree of an axis without lying on it) and two pixels outward."""
+    kind = G.segment_class(F.col("dx"), F.col("dy"))
+    step = G.segment_offset(kind, F.col("dx"), F.col("dy"), F.when(F.col("q") % 2 == 0, 1).otherwise(-1), 2)
+    return _line_items(spark, sf_dir).select("k", kind.alias("kind"), step.alias("s")).select("k", "kind", F.col("s.x").alias("ox"), F.col("s.y").alias("oy"))
+
+
+@query(
+    f"WITH {ROOMS}, c AS (SELECT *, sqrt(CAST((x1 - x0) * (x1 - x0) + (y1 - y0) * (y1 - y0) AS DOUBLE)) AS diag FROM rm) SELECT pos, CASE WHEN pos % 5 > 0 THEN round(x0 - 0.6 * greatest(4 * diag, 10.0), 6) END AS ax, CASE WHEN pos % 5 > 0 THEN round(y0 + 1 - 0.8 * greatest(4 * diag, 10.0), 6) END AS ay, CASE WHEN pos % 5 > 0 THEN round(x0 + 3 + 0.6 * greatest(4 * diag, 10.0), 6) END AS bx, CASE WHEN pos % 5 > 0 THEN round(y0 + 5 + 0.8 * greatest(4 * diag, 10.0), 6) END AS by FROM c"
+)
+def cut_lines(spark, sf_dir):
+    """Cuts of the seed rooms along (3, 4), long enough to cross them; every fifth has no direction."""
+    ax, ay = F.col("x0").cast("double"), F.col("y0") + 1.0
+    far = F.when(F.col("pos") % 5 > 0, 1.0).otherwise(0.0)
+    line = G.cut_line(ax, ay, ax + 3 * far, ay + 4 * far, F.col("points"))
+    found = _corner_rooms(spark, sf_dir).select("pos", line.alias("l"))
+    return found.select("pos", *[F.round(F.col("l")[i][c], 6).alias(n) for i, c, n in ((0, "x", "ax"), (0, "y", "ay"), (1, "x", "bx"), (1, "y", "by"))])
+
+
+@query(f"WITH {ROOMS}, i AS (SELECT map_id, list(pos ORDER BY pos) AS ps FROM rm GROUP BY 1) SELECT rm.map_id, pos, CAST(coalesce(list_position(ps, pos), 0) - 1 AS INTEGER) AS own, CAST(coalesce(list_position(ps, pos + 25), 0) - 1 AS INTEGER) AS later FROM rm JOIN i USING (map_id)")
+def index_by_id(spark, sf_dir):
+    """Places of ids among a map's rooms, -1 for those that aren't there."""
+    rooms = seed.rooms(spark, sf_dir).select("map_id", "pos")
+    ids = rooms.groupBy("map_id").agg(F.array_sort(F.collect_list("pos")).alias("ps"))
+    return rooms.join(ids, "map_id").select("map_id", "pos", L.index_of(F.col("ps"), F.col("pos")).alias("own"), F.coalesce(L.index_of(F.col("ps"), F.col("pos") + 25), F.lit(-1)).alias("later"))
+
+
+@query(f"WITH {TILES} SELECT DISTINCT lid, CAST(lid * 97 % 200 + 56 AS INTEGER) AS r, CAST(lid * 57 % 200 + 56 AS INTEGER) AS g, CAST(lid * 23 % 200 + 56 AS INTEGER) AS b FROM t")
+def label_colors(spark, sf_dir):
+    return _tiles(spark, sf_dir).select("lid").distinct().select("lid", L.label_color(F.col("lid")).alias("c")).select("lid", "c.*")
+
+
+@query(f"WITH {_LI}, c AS (SELECT k, abs(dx) * 6 AS r, abs(dy) * 11 AS g, q * 5 AS b FROM li) SELECT k, CAST(round_even(0.299 * r + 0.587 * g + 0.114 * b, 0) AS INTEGER) AS grey FROM c")
+def luma_grey(spark, sf_dir):
+    """Grey values of colours out of line items."""
+    return _line_items(spark, sf_dir).select("k", R.luma(F.abs("dx") * 6, F.abs("dy") * 11, F.col("q") * 5).alias("grey"))
+
+
+@query(f"WITH {RAW}, d AS (SELECT map_id, y, x, CASE WHEN map_id % 3 = 0 AND v >= 200 THEN 150 ELSE v END AS v FROM px), a AS (SELECT map_id, max(v) >= 200 AS bright FROM d GROUP BY 1) SELECT d.map_id, count(*) AS n, CAST(sum(y * 64 + x) AS BIGINT) AS places FROM d JOIN a USING (map_id) WHERE CASE WHEN bright THEN v >= 200 ELSE v > 0 END GROUP BY 1")
+def free_space(spark, sf_dir):
+    """Free pixels; every third map has none that is bright enough, so all above 0 count there."""
+    v = F.when((F.col("map_id") % 3 == 0) & (F.col("v") >= 200), 150).otherwise(F.col("v"))
+    free = R.free_pixels(seed.pixels(spark, sf_dir).withColumn("v", v))
+    return free.groupBy("map_id").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("y") * 64 + F.col("x")).cast("long").alias("places"))
+
+
+@query(f"WITH {RAW} SELECT DISTINCT w.map_id, w.y + dy.range - 2 AS y, w.x + dx.range - 2 AS x FROM px w, range(5) dy, range(5) dx WHERE w.v = 127")
+def dilate_unknown(spark, sf_dir):
+    """Places within two pixels of unknown space, beyond the map's border too."""
+    grown = R.dilated(seed.pixels(spark, sf_dir).where("v = 127"), 2)
+    return grown.select("map_id", F.col("y").cast("long").alias("y"), F.col("x").cast("long").alias("x"))
+
+
+@query(f"WITH {ROOMS} SELECT map_id, pos, CAST(10 AS INTEGER) AS closed_size, CAST(4 AS INTEGER) AS ring_size FROM rm")
+def closed_geometry(spark, sf_dir):
+    """Closed flat arrays hold five points whether the first was repeated or not; rings hold four, also where the last
+    point misses the first by less than a millionth."""
+    p = F.col("points")
+    given = F.when(F.col("pos") % 2 == 0, p).otherwise(F.concat(p, F.slice(p, 1, 1)))
+    near = F.concat(p, F.array(G.point(p[0]["x"] + 5e-7, p[0]["y"] - 5e-7)))
+    return _corner_rooms(spark, sf_dir).select("map_id", "pos", F.size(G.flat(G.closed(given))).alias("closed_size"), F.size(G.ring(F.when(F.col("pos") % 3 == 0, near).otherwise(given), 1e-6)).alias("ring_size"))
+
+
 # --- detections ----------------------------------------------------------------------------------------------------
 
 DET = """li AS (SELECT *, l_orderkey * 1000 + row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity) AS k FROM lineitem),
@@ -652,6 +764,21 @@ def obb_vertices_turned(spark, sf_dir):
     return D.decoded(seed.detections(spark, sf_dir, turned=True)).select("det_id", *[F.round(v[i][c], 6).alias(n) for i, c, n in ((0, "x", "ax"), (0, "y", "ay"), (2, "x", "cx"), (2, "y", "cy"))])
 
 
+@query(f"WITH {DET} SELECT det_id, CAST(round(cx, 6) AS DOUBLE) AS cx, CAST(round(cy, 6) AS DOUBLE) AS cy, round(conf, 6) AS conf, round(w * h, 4) AS area FROM dt WHERE conf >= 0.1")
+def obb_decode_formats(spark, sf_dir):
+    """The same boxes by their angle's other place, and by their corners: centre and area of both, which must agree."""
+    raw = seed.detections(spark, sf_dir, turned=True)
+    c = F.col("channels")
+    swapped = F.array(c[0], c[1], c[2], c[3], c[5], c[4], F.lit(0.0))
+    v = G.box_vertices(c[0], c[1], c[2], c[3], c[5])
+    corners = G.settled(raw.select("map_id", "cell", v.alias("v"), c[4].alias("conf")))
+    flat = F.array(*[F.col("v")[i][n] for i in range(4) for n in ("x", "y")], F.col("conf"), F.lit(0.0))
+    one = D.decoded(raw.select("map_id", "cell", swapped.alias("channels")), "xywha").select("det_id", "conf", F.col("v").alias("a"))
+    two = D.decoded(corners.select("map_id", "cell", flat.alias("channels")), "xyxyxyxy").select("det_id", F.col("v").alias("b"))
+    middle = lambda p, n: F.round((F.col(p)[0][n] + F.col(p)[2][n]) / 2, 6)
+    return one.join(two, "det_id").select("det_id", middle("a", "x").alias("cx"), middle("b", "y").alias("cy"), F.round("conf", 6).alias("conf"), F.round((G.polygon_area(F.col("a")) + G.polygon_area(F.col("b"))) / 2, 4).alias("area"))
+
+
 @query()
 def iou_pairs_turned(spark, sf_dir):
     return D.iou_pairs(D.decoded(seed.detections(spark, sf_dir, turned=True))).where("iou > 0").withColumn("iou", F.round("iou", 6))
@@ -826,12 +953,14 @@ def labels_json(spark, sf_dir):
 
 
 @query(
-    """SELECT k AS kind, CASE k WHEN 'float16' THEN 'FP16' WHEN 'float32' THEN 'FP32' WHEN 'float64' THEN 'FP64' WHEN 'bool' THEN 'BOOL' WHEN 'uint8' THEN 'UINT8' WHEN 'int64' THEN 'INT64' ELSE 'FP32' END AS wire
-FROM (VALUES ('float16'), ('float32'), ('float64'), ('bool'), ('uint8'), ('int64'), ('complex64'), (NULL)) v(k)"""
+    """WITH k AS (SELECT p_partkey, ['float16', 'float32', 'float64', 'bool', 'uint8', 'int64', 'complex64', NULL][p_partkey % 8 + 1] AS kind FROM part)
+SELECT p_partkey, kind, CASE kind WHEN 'float16' THEN 'FP16' WHEN 'float32' THEN 'FP32' WHEN 'float64' THEN 'FP64' WHEN 'bool' THEN 'BOOL' WHEN 'uint8' THEN 'UINT8' WHEN 'int64' THEN 'INT64' ELSE 'FP32' END AS wire FROM k"""
 )
 def wire_names(spark, sf_dir):
-    kinds = spark.createDataFrame([(k,) for k in ("float16", "float32", "float64", "bool", "uint8", "int64", "complex64", None)], "kind string")
-    return kinds.select("kind", L.wire_name(F.col("kind")).alias("wire"))
+    """A kind for every part, by its key; unknown ones and null too."""
+    kinds = F.array(*map(F.lit, ("float16", "float32", "float64", "bool", "uint8", "int64", "complex64", None)))
+    part = seed.table(spark, sf_dir, "part").select("p_partkey", kinds[(F.col("p_partkey") % 8).cast("int")].alias("kind"))
+    return part.select("p_partkey", "kind", L.wire_name(F.col("kind")).alias("wire"))
 
 
 @query(
@@ -871,6 +1000,17 @@ def request_status(spark, sf_dir):
     return plans.validated(requests, _maps(spark, sf_dir)).select("request_id", "code")
 
 
+@query(
+    f"""WITH RECURSIVE {_LAYERS}, fl AS (SELECT map_id, y, x FROM c3 WHERE v >= 200), {_components('fc', 'fl')}, s AS (SELECT map_id, lid, count(*) AS n FROM fc GROUP BY 1, 2)
+SELECT map_id, count(*) FILTER (n >= 39) AS rooms FROM s GROUP BY 1 HAVING count(*) FILTER (n >= 39) > 0"""
+)
+def auto_partition_rooms(spark, sf_dir):
+    """How many rooms the documents of the automatic partition hold: as many as the cleaned maps have components of
+    enough area."""
+    bodies = auto_partition(spark, sf_dir).select("map_id", F.from_json("body", L.DOCUMENT).alias("d"))
+    return bodies.select("map_id", F.size(L.rooms_of(F.col("d.data"))).cast("long").alias("rooms"))
+
+
 @query()
 def auto_partition(spark, sf_dir):
     """The automatic partition of every seed map as a labels document."""

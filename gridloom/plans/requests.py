@@ -142,7 +142,8 @@ def contour_edges(rooms: DataFrame, sizes: DataFrame) -> DataFrame:
 
 def edited(rooms: DataFrame, maps: DataFrame, config: Config) -> DataFrame:
     """rooms after an edit (pos as stored; colorType null where it must be found) -> body, neighbours and colours new.
-    Rooms that the edit left alone keep their landmarks' places, by room id; the others, and those without, get one."""
+    Rooms that the edit left alone keep their landmarks' places, by room id; the others, and those without, get one.
+    Landmarks stand in walking order from the largest room, those of a room as stored."""
     rooms = stored(rooms)
     rooms = rooms.withColumn("changed", F.col("colorType").isNull()) if "changed" not in rooms.columns else rooms
     edges = stored(contour_edges(rooms, maps.select("map_id", "h", "w")))
@@ -157,7 +158,9 @@ def edited(rooms: DataFrame, maps: DataFrame, config: Config) -> DataFrame:
     rest = full.join(kept.select("map_id", "pos").distinct(), ["map_id", "pos"], "left_anti")
     new = M.generated(rest.withColumn("markers", F.lit(None).cast("array<array<double>>")), config.landmark_min_distance)
     marks = kept.unionByName(new.select("map_id", "pos", F.lit(0).alias("turn"), "geometry")).join(named, ["map_id", "pos"])
-    place = F.row_number().over(Window.partitionBy("map_id").orderBy("pos", "turn"))
+    walk = N.walked(full.select("map_id", "pos"), edges, N.start_rooms(full.select("map_id", "pos", "points")))
+    marks = marks.join(walk, ["map_id", "pos"])
+    place = F.row_number().over(Window.partitionBy("map_id").orderBy("rank", "turn"))
     marks = marks.select("map_id", place.alias("pos"), L.landmark_id(place).alias("id"), "roomId", "name", F.lit("pose").alias("type"), "geometry")
     return document(full, marks, maps, config)
 
