@@ -136,6 +136,29 @@ def _gap(a: np.ndarray, b: np.ndarray) -> tuple[float, tuple, tuple]:
     return best
 
 
+def contour_patch(points: Sequence[tuple[int, int]], h: int, w: int) -> Patch:
+    """Pixels inside a contour or on its border, as far as they lie in the map; fewer than three vertices give none."""
+    if len(points) < 3:
+        return Patch(0, 0, np.zeros((0, 0), bool))
+    x0, y0 = np.min(points, axis=0)
+    x1, y1 = np.max(points, axis=0) + 1
+    whole = Patch(int(y0), int(x0), K.contour_mask([(int(x - x0), int(y - y0)) for x, y in points], int(y1 - y0), int(x1 - x0)))
+    y0, y1, x0, x1 = (int(np.clip(v, 0, m)) for v, m in ((y0, h), (y1, h), (x0, w), (x1, w)))
+    return Patch(y0, x0, whole.window(y0, y1, x0, x1))
+
+
+def touching(shapes: Sequence[tuple[int, Patch]]) -> set[tuple[int, int]]:
+    """Pairs a < b of names whose patches overlap or have neighbouring pixels."""
+    shapes = [s for s in shapes if s[1].mask.any()]
+    boxes = np.array([p.box for _, p in shapes]).reshape(-1, 4)
+    out = set()
+    for k, (name, patch) in enumerate(shapes):
+        a, b, c, d = patch.box
+        near = np.flatnonzero((boxes[k + 1 :, 0] <= b) & (boxes[k + 1 :, 1] >= a) & (boxes[k + 1 :, 2] <= d) & (boxes[k + 1 :, 3] >= c)) + k + 1
+        out |= {(min(name, shapes[j][0]), max(name, shapes[j][0])) for j in near.tolist() if shapes[j][0] != name and _contact(patch, shapes[j][1])}
+    return out
+
+
 class Room(Patch):
     """A room that grows. size: its area; whole: whether it is one piece without holes."""
 
@@ -356,13 +379,16 @@ def extended_maps(held: DataFrame, least: float, chain: tuple[int, int, int, int
         img = array_of(row)
         cleaned, grid = K.preprocess(img, *chain)[:2] if chain else (img, img)
         free = grid >= threshold
-        shapes = [K.contour_mask([(p["x"], p["y"]) for p in room["points"]], row["h"], row["w"]) for room in row["rooms"] or ()]
-        old = np.logical_or.reduce([np.zeros(free.shape, bool), *shapes])
+        shapes = [contour_patch([(p["x"], p["y"]) for p in room["points"]], row["h"], row["w"]) for room in row["rooms"] or ()]
+        old = np.zeros(free.shape, bool)
+        for s in shapes:
+            ys, xs = s.pixels()
+            old[ys, xs] = True
         if not (free & ~old).any():
             return
         lines = [(s["x1"], s["y1"], s["x2"], s["y2"]) for s in row["lines"] or ()]
         strip = strips(lines, old, cleaned == K.FREE, K.contour_mask, thickness)
-        after, changed = extended([cropped(s) for s in shapes], free, strip, least)
+        after, changed = extended(shapes, free, strip, least)
         for r in after:
             ys, xs = r.pixels()
             old[ys, xs] = True

@@ -495,16 +495,6 @@ def merge_segments(lines: list[tuple[int, int, int, int]], gap: int = 3) -> list
     return held
 
 
-def label_adjacency(labels: np.ndarray) -> set[tuple[int, int]]:
-    """Pairs a < b of labels with 8-adjacent pixels."""
-    out = set()
-    for dy, dx in ((0, 1), (1, 0), (1, 1), (1, -1)):
-        other = shifted(labels, dy, dx)
-        at = (labels > 0) & (other > 0) & (labels != other)
-        out |= {(min(a, b), max(a, b)) for a, b in np.unique(np.stack([labels[at], other[at]], 1), axis=0).tolist()}
-    return out
-
-
 def fallback_color(room: int, near: list[int], colors: int = 5) -> int:
     """When all colours are taken: among those with fewest conflicts the (room modulo their number)-th."""
     hits = [near.count(c) for c in range(colors)]

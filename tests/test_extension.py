@@ -213,3 +213,18 @@ def test_large_map():
     assert changed and len(rooms) >= 20
     covered = np.logical_or.reduce([r.painted((n, n)) for r in rooms])
     assert covered[free].all()
+
+
+def test_contours_that_touch():
+    """Crops of contours are the contours' pixels within the map; pairs are those with neighbouring pixels."""
+    rng = np.random.default_rng(9)
+    for _ in range(120):
+        h, w = (int(v) for v in rng.integers(5, 40, 2))
+        shapes, masks = [], []
+        for name in range(int(rng.integers(1, 7))):
+            points = [(int(x), int(y)) for x, y in rng.integers(-4, 44, (int(rng.integers(1, 6)), 2))]
+            shapes.append((name, X.contour_patch(points, h, w)))
+            masks.append(plans.contour_mask(points, h, w))
+            assert np.array_equal(shapes[-1][1].painted((h, w)), masks[-1])
+        want = {(i, j) for i in range(len(masks)) for j in range(i + 1, len(masks)) if (K.dilate(masks[i]) & masks[j]).any()}
+        assert X.touching(shapes) == want

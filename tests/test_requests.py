@@ -106,3 +106,46 @@ def test_config_and_errors():
     assert got.target_size == (640, 480) and got.resolution == 0.2 and got.min_room_area == 2.0
     assert InvalidResolutionError("x").code == 2 and issubclass(InvalidResolutionError, MapError)
     assert Config().nms_threshold == 0.35
+
+
+def test_answers_to_files_and_streams(spark, cases, tmp_path):
+    """Labels documents as files by map; requests that arrive as files are answered batch by batch."""
+    from gridloom.streaming.requests import SCHEMA, serve
+
+    maps = source.read_maps(spark, cases).where("map_id != 'broken'").cache()
+    inbox, outbox = tmp_path / "in", tmp_path / "out"
+    inbox.mkdir()
+    (inbox / "one.json").write_text(json.dumps({"request_id": "a", "map_id": "labelled", "operation": "merge", "room_merge_list": ["ROOM_001", "ROOM_007"]}) + "\n" + json.dumps({"request_id": "b", "map_id": "labelled", "operation": "dance"}))
+    go = lambda: serve(spark, f"file://{inbox}", maps, f"file://{outbox}", f"file://{tmp_path}/state").awaitTermination(240)
+    assert go()
+    got = {r.request_id: r for r in spark.read.parquet(f"file://{outbox}").collect()}
+    assert set(got) == {"a", "b"} and got["a"].statusCode == 200 and (got["b"].statusCode, got["b"].body) == (171, "no such operation")
+    (inbox / "two.json").write_text(json.dumps({"request_id": "c", "map_id": "nowhere", "operation": "split"}))
+    assert go()  # only what is new is answered
+    got = {(r.batch, r.request_id): r.statusCode for r in spark.read.parquet(f"file://{outbox}").collect()}
+    assert sorted(got) == [(0, "a"), (0, "b"), (1, "c")] and got[1, "c"] == 190 and len(SCHEMA.split(",")) >= 5
+    body = json.loads(next(r.body for r in spark.read.parquet(f"file://{outbox}").collect() if r.request_id == "a"))
+    source.write_labels(spark.createDataFrame([("labelled", json.dumps(body)), ("other", "{}")], "map_id string, body string"), f"file://{tmp_path}/labels")
+    read = {r.map_id: json.loads(r.value) for r in spark.read.text(f"file://{tmp_path}/labels").collect()}
+    assert read == {"labelled": body, "other": {}}
+
+
+def test_landmarks_in_walking_order(spark, tmp_path):
+    """Rooms in a row, the largest last: kept landmarks follow the walk from it, those of a room as stored."""
+    img = np.zeros((60, 160), np.uint8)
+    img[2:58, 2:158] = 254
+    folder = tmp_path / "row"
+    folder.mkdir()
+    (folder / "saved_map.png").write_bytes(source.encode_png(img))
+    (folder / "saved_map.json").write_text(json.dumps({"resolution": 0.05, "origin": [0.0, 0.0]}))
+    room = lambda i, x0, x1: {"name": f"N{i}", "id": f"ROOM_00{i}", "type": "polygon", "geometry": [x0, 0.2, x0, 2.8, x1, 2.8, x1, 0.2, x0, 0.2], "colorType": 1, "graph": [], "groundMaterial": None}
+    mark = lambda i, x: {"geometry": [x, 1.0, 0.0], "id": f"PLATFORM_LANDMARK_00{int(x)}", "roomId": f"ROOM_00{i}", "name": "m", "type": "pose"}
+    data = [room(1, 0.2, 1.2), room(2, 1.2, 2.2), room(3, 2.2, 3.2), room(4, 3.2, 7.6), mark(1, 0.5), mark(4, 6.0), mark(4, 5.0)]
+    (folder / "labels.json").write_text(json.dumps({"version": "v", "uuid": "u", "data": data}))
+    maps = source.read_maps(spark, f"file://{tmp_path}")
+    requests = spark.createDataFrame([("m", "row", "merge", ["ROOM_002", "ROOM_003"], None)], "request_id string, map_id string, operation string, room_merge_list array<string>, division struct<id:string,A:array<double>,B:array<double>>")
+    row = plans.run(requests, maps).first()
+    marks = [i for i in json.loads(row.body)["data"] if i["type"] == "pose"]
+    assert [(m["roomId"], m["geometry"][0]) for m in marks if m["roomId"] != "ROOM_002"] == [("ROOM_004", 6.0), ("ROOM_004", 5.0), ("ROOM_001", 0.5)]
+    assert [m["roomId"] for m in marks] == ["ROOM_004", "ROOM_004", "ROOM_002", "ROOM_001"]
+    assert [m["id"] for m in marks] == [f"PLATFORM_LANDMARK_00{k}" for k in (1, 2, 3, 4)]
