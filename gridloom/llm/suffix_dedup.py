@@ -38,6 +38,8 @@ LENGTH = 400
 GRAM = 64
 #: Different contexts of one owner that one shard takes; more are split.
 HOT = 256
+#: Shards of a split owner whose keys one range holds.
+SHARE = 8
 #: Bytes of contexts in one suffix array, and the windows of a run at most.
 SHARD_BYTES = 1 << 20
 CUT = 2048
@@ -268,8 +270,9 @@ def _shards(contexts: DataFrame, length: int) -> DataFrame:
             key, c, t = (np.concatenate(x) for x in zip(*found))
             by = np.argsort(key, kind="stable")
             key, c, t = key[by], c[by], t[by]
-            bounds = np.searchsorted(key >> _U(32), (np.arange(parts + 1, dtype=_U) << _U(32)) // _U(parts))
-            for p in range(parts):
+            ranges = -(-parts // SHARE)
+            bounds = np.searchsorted(key >> _U(32), (np.arange(ranges + 1, dtype=_U) << _U(32)) // _U(ranges))
+            for p in np.flatnonzero(np.diff(bounds)).tolist():  # never more rows than keys, however many ranges there are
                 s = slice(bounds[p], bounds[p + 1])
                 for k, v in zip(out, (h, None, None, None, p, key[s].tobytes(), c[s].astype(np.int64).tobytes(), t[s].astype(np.int32).tobytes())):
                     out[k].append(v)
