@@ -7,8 +7,9 @@ applied as tables over byte pairs: a few gathers per byte. A text's windows, all
 each adds, are averaged into the text's own distribution.
 
 Every label value is learned. Training takes labelled rows only: of each language's different rows (id and text) the
-`sample` of smallest hash, or so many that all languages together stay under `rows`, and PIECES windows of each. What
-reaches the driver is thus bounded by (rows + LEAST * languages) * PIECES * WINDOW bytes.
+`sample` of smallest hash, or so many that all languages together stay under `rows`, and of each `pieces` windows spread
+evenly over the whole text (a text with fewer gives all it has). What reaches the driver is thus bounded by
+(rows + LEAST * languages) * pieces * WINDOW bytes. sample, rows and pieces are arguments of `fit`.
 
 Edge cases: a text that is null or has no letter is `und` with score 0; with one learned language (or none) that one
 (or `und`) is predicted; labels whose texts have no letter aren't learned; rows that share an id, or have none, are told
@@ -26,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._common import in_arrow, text_slices, with_fields
+from ._common import in_arrow, join_checked, stored, text_slices, with_fields
 
 WINDOW = 256
 FILTERS = 8
@@ -158,33 +159,33 @@ def pieces_of(raw: bytes, most: int = PIECES) -> list[bytes]:
     return [raw[s : s + WINDOW].ljust(WINDOW) for s in starts]
 
 
-def fit(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample: int = SAMPLE, rows: int = ROWS) -> ByteNet:
+def fit(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample: int = SAMPLE, rows: int = ROWS, pieces: int = PIECES) -> ByteNet:
     """Train on labelled rows; the rows taken depend on ids, labels and texts alone, not on partitions."""
     labelled = df.where(F.col(lang_col).isNotNull() & F.col(text_col).rlike(r"\p{L}"))
     labelled = labelled.select(F.col(lang_col).cast("string").alias("lang"), F.xxhash64(F.lit(11), F.col(id_col), F.col(text_col)).alias("h"), F.col(text_col).alias("text"))
-    counts = {r[0]: r[1] for r in labelled.groupBy("lang").agg(F.approx_count_distinct("h").alias("n")).collect()}  # a row for each label value
-    languages = sorted(counts)
+    counts = stored(labelled.groupBy("lang").agg(F.approx_count_distinct("h").alias("n")), "labels")
+    languages = sorted(r.lang for r in counts.select("lang").collect())  # the network has an output for each label value
     net = ByteNet(languages)
     if len(languages) < 2:
         return net.ready()
     most = max(LEAST, min(sample, rows // len(languages)))
     # different rows below a hash threshold: about twice as many as wanted (all of a rare language), of which the smallest hashes stay
-    rate = F.create_map(*[F.lit(x) for k in languages for x in (k, min(1.0, 2 * most / counts[k]) if counts[k] > 4 * most else 1.0)])
-    near = F.pmod("h", F.lit(1 << 30)) < F.try_element_at(rate, F.col("lang")) * (1 << 30)
+    rate = F.when(F.col("n") > 4 * most, F.least(F.lit(1.0), 2.0 * most / F.col("n"))).otherwise(1.0)
+    near = F.pmod("h", F.lit(1 << 30)) < rate * (1 << 30)
     order = Window.partitionBy("lang").orderBy(F.pmod("h", F.lit(1 << 30)), "h")
-    different = labelled.where(near).groupBy("lang", "h").agg(F.min("text").alias("text"))
+    different = join_checked(labelled, counts, "lang", "inner").where(near).groupBy("lang", "h").agg(F.min("text").alias("text"))
     taken = different.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= most)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [(lang, h, j, p) for lang, h, t in zip(*(c.to_pylist() for c in batch.columns)) for j, p in enumerate(pieces_of(t.encode("utf-8")))]
+            found = [(lang, h, j, p) for lang, h, t in zip(*(c.to_pylist() for c in batch.columns)) for j, p in enumerate(pieces_of(t.encode("utf-8"), pieces))]
             if found:
                 cols = list(zip(*found))
                 yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.string()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.int32()), pa.array(cols[3], pa.binary())], names=["lang", "h", "j", "piece"])
 
-    pieces = taken.select("lang", "h", "text").transform(in_arrow, cut, "lang string, h long, j int, piece binary").collect()
+    drawn = taken.select("lang", "h", "text").transform(in_arrow, cut, "lang string, h long, j int, piece binary").collect()
     chosen: dict[str, list] = {k: [] for k in languages}
-    for r in sorted(pieces, key=lambda r: (r.lang, r.h, r.j)):
+    for r in sorted(drawn, key=lambda r: (r.lang, r.h, r.j)):
         chosen[r.lang].append(bytes(r.piece))
     x = np.array([np.frombuffer(p, np.uint8) for k in languages for p in chosen[k]]).reshape(-1, WINDOW)
     y = np.array([i for i, k in enumerate(languages) for _ in chosen[k]])
