@@ -17,27 +17,31 @@ SHINGLE, PERCENT = 5, 80
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules reject go."""
+    """Documents that the quality rules reject go: null, empty and short texts are rejected, repeated rows are judged each
+    for itself, an empty table stays empty."""
     return quality_rules.drop_rejected(docs)
 
 
 def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents equal but for white space one stays."""
+    """Of documents equal but for white space one stays: the longest text, then the smallest doc_id; null counts as empty,
+    of wholly equal rows one stays, null ids come after all others."""
     return exact_dedup.drop_copies(docs)
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates the smallest doc_id stays."""
+    """Of each group of near duplicates the smallest doc_id stays: null and empty texts are near nothing and stay, rows that
+    share an id or have none are documents of their own."""
     return minhash_dedup.drop_near_duplicates(docs, shingle=SHINGLE, percent=PERCENT)
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The mix: documents as often as their source's target takes them, cut where it takes a part."""
+    """The mix: documents as often as their source's target takes them, cut where it takes a part; null and empty texts
+    have no words and go, null is a source of its own, repeated rows are interchangeable."""
     return mixing.mixed_texts(mixing.mix_sources(docs))
 
 
 def encoding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Ids of every text and the digests that a decoding must meet."""
+    """Ids of every text and the digests that a decoding must meet; null counts as empty, every row stays."""
     wanted = ("n_tokens", "ids", "ids_sha256", "decoded_sha256")
     return sentencepiece_codec.piece_codec(docs.select("doc_id", "source", "text"), outputs=wanted).withColumn("round_trip", F.col("decoded_sha256") == F.sha2(F.coalesce("text", F.lit("")), 256)).drop("text")
 
