@@ -18,8 +18,8 @@ from . import kernels as K
 from .polygons import straightened
 from .raster import array_of, per_map
 
-#: Rounds of dropping and aligning after a contour was filled (fixed value).
-ROUNDS = 3
+#: Rounds after which a contour is left as it is, whether it has settled or not.
+ROUNDS = 4
 
 
 class Sight:
@@ -139,18 +139,13 @@ def refilled(points: Points) -> Points:
 
 
 def plain(points: Points, sight: Sight, rounds: int = ROUNDS) -> Points:
-    """Vertices dropped, edges aligned, filled and traced again, then dropped and aligned until nothing changes or for so
-    many rounds."""
-    once = without_collinear(dropped(dropped(points, sight), sight))
-    now = refilled(aligned(once, sight))
-    if not now:
-        return once
-    now = without_collinear(aligned(now, sight))
+    """Vertices dropped, edges aligned, filled and traced again, aligned: until nothing changes or for so many rounds."""
+    now = points
     for _ in range(rounds):
-        before = now
-        now = without_collinear(dropped(dropped(now, sight), sight))
-        now = without_collinear(aligned(now, sight))
-        if now == before:
+        once = without_collinear(dropped(dropped(now, sight), sight))
+        traced = refilled(aligned(once, sight))
+        before, now = now, without_collinear(aligned(traced, sight)) if traced else once
+        if set(now) == set(before):
             break
     return now
 
