@@ -38,8 +38,6 @@ LENGTH = 400
 GRAM = 64
 #: Different contexts of one owner that one shard takes; more are split.
 HOT = 256
-#: Shards of a split owner whose keys one range holds.
-SHARE = 8
 #: Bytes of contexts in one suffix array, and the windows of a run at most.
 SHARD_BYTES = 1 << 20
 CUT = 2048
@@ -270,8 +268,7 @@ def _shards(contexts: DataFrame, length: int) -> DataFrame:
             key, c, t = (np.concatenate(x) for x in zip(*found))
             by = np.argsort(key, kind="stable")
             key, c, t = key[by], c[by], t[by]
-            ranges = -(-parts // SHARE)
-            bounds = np.searchsorted(key >> _U(32), (np.arange(ranges + 1, dtype=_U) << _U(32)) // _U(ranges))
+            bounds = np.searchsorted(key >> _U(32), (np.arange(parts + 1, dtype=_U) << _U(32)) // _U(parts))
             for p in np.flatnonzero(np.diff(bounds)).tolist():  # never more rows than keys, however many ranges there are
                 s = slice(bounds[p], bounds[p + 1])
                 for k, v in zip(out, (h, None, None, None, p, key[s].tobytes(), c[s].astype(np.int64).tobytes(), t[s].astype(np.int32).tobytes())):
@@ -301,17 +298,16 @@ def _across(keys: DataFrame, length: int) -> DataFrame:
     def merge(table: pa.Table) -> pa.Table:
         lists = [np.frombuffer(k, _U) for k in table.column("k").to_pylist()]
         every = np.sort(np.concatenate(lists))
-        out: dict[str, list] = {"h": [], "c": [], "starts": [], "ends": []}
-        h = table.column("h")[0].as_py()
+        owners, at = [np.zeros(0, np.int64)], [np.zeros(0, np.int32)]
         for key, kc, kt in zip(lists, table.column("kc").to_pylist(), table.column("kt").to_pylist()):
             # a shard's keys are distinct, so more than its own one means another shard's
             met = np.searchsorted(every, key, side="right") - np.searchsorted(every, key, side="left") > 1
-            c, t = np.frombuffer(kc, np.int64)[met], np.frombuffer(kt, np.int32)[met]
-            out["h"].extend([h] * len(c))
-            out["c"].extend(c.tolist())
-            out["starts"].extend([[int(x)] for x in t])
-            out["ends"].extend([[int(x) + length] for x in t])
-        return pa.table({"h": pa.array(out["h"], pa.int64()), "c": pa.array(out["c"], pa.int64()), "starts": pa.array(out["starts"], pa.list_(pa.int32())), "ends": pa.array(out["ends"], pa.list_(pa.int32()))})
+            owners.append(np.frombuffer(kc, np.int64)[met])
+            at.append(np.frombuffer(kt, np.int32)[met])
+        c, t = np.concatenate(owners), np.concatenate(at)
+        one = pa.array(np.arange(len(t) + 1, dtype=np.int32))  # a list of one for each window
+        h = np.full(len(t), table.column("h")[0].as_py(), np.int64)
+        return pa.table({"h": h, "c": c, "starts": pa.ListArray.from_arrays(one, pa.array(t)), "ends": pa.ListArray.from_arrays(one, pa.array((t + length).astype(np.int32)))})
 
     return keys.groupBy("h", "part").applyInArrow(merge, "h long, c long, starts array<int>, ends array<int>")
 
