@@ -218,3 +218,13 @@ def recomposed(pixels: DataFrame, smoothed: DataFrame) -> DataFrame:
     new, old = F.col("wall") == 1, F.col("v") == 0
     v = F.when(new & ~old, 0).when(old & ~new & F.coalesce("near", F.lit(False)), 255).when(old & ~new, 127).otherwise(F.col("v"))
     return joined.select(*AT, v.alias("v"))
+
+
+def disc_closed(rasters: DataFrame, value: int, size: int) -> DataFrame:
+    """Pixels of a value closed by a disc of odd size, packed as 255 and 0; what lies outside neither grows nor shrinks."""
+
+    def kernel(row: dict) -> Iterator[dict]:
+        closed = K.close_disc(array_of(row) == value, size)
+        yield {"h": row["h"], "w": row["w"], "data": (closed * np.uint8(255)).tobytes()}
+
+    return per_map(rasters, kernel, "h int, w int, data binary")

@@ -23,6 +23,7 @@ from ..operators import landmarks as M
 from ..operators import polygons as P
 from ..operators import raster as R
 from ..operators import regions as RG
+from ..sources import maps as S
 from ..sources import seed
 from . import requests as plans
 
@@ -698,6 +699,17 @@ def closed_geometry(spark, sf_dir):
     return _corner_rooms(spark, sf_dir).select("map_id", "pos", F.size(G.flat(G.closed(given))).alias("closed_size"), F.size(G.ring(F.when(F.col("pos") % 3 == 0, near).otherwise(given), 1e-6)).alias("ring_size"))
 
 
+@query(
+    f"""WITH {RAW}, dc AS (SELECT * FROM (VALUES (-2, 0), (2, 0), (-1, -2), (-1, -1), (-1, 0), (-1, 1), (-1, 2), (1, -2), (1, -1), (1, 0), (1, 1), (1, 2), (0, -2), (0, -1), (0, 0), (0, 1), (0, 2)) v(dy, dx)),
+gr AS (SELECT DISTINCT map_id, y + dy AS y, x + dx AS x FROM px, dc WHERE v = 0 AND y + dy BETWEEN 0 AND 47 AND x + dx BETWEEN 0 AND 63),
+lost AS (SELECT DISTINCT p.map_id, p.y + dy AS y, p.x + dx AS x FROM px p LEFT JOIN gr ON gr.map_id = p.map_id AND gr.y = p.y AND gr.x = p.x, dc WHERE gr.x IS NULL)
+SELECT p.map_id, p.y, p.x FROM px p WHERE NOT EXISTS (SELECT 1 FROM lost l WHERE l.map_id = p.map_id AND l.y = p.y AND l.x = p.x)"""
+)
+def disc_closing(spark, sf_dir):
+    """Walls closed by a disc of five pixels, as the pieces of a room are."""
+    return R.unpack(R.disc_closed(seed.rasters(spark, sf_dir), K.WALL, 5)).where("v = 255").select("map_id", "y", "x")
+
+
 # --- detections ----------------------------------------------------------------------------------------------------
 
 DET = """li AS (SELECT *, l_orderkey * 1000 + row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity) AS k FROM lineitem),
@@ -903,9 +915,30 @@ def landmark_center(spark, sf_dir):
 @query()
 def landmarks_with_furniture(spark, sf_dir):
     """A table over each room's centre: the point moves away from it."""
+    return M.generated(_furnished(spark, sf_dir), least=0.02).select("map_id", "id", "roomId", "name", "type", "geometry")
+
+
+@query(
+    f"""WITH {ROOMS}, c AS (SELECT map_id, pos, x0 * 0.05::DOUBLE AS a, y0 * 0.05::DOUBLE AS b, x1 * 0.05::DOUBLE AS c, y1 * 0.05::DOUBLE AS d FROM rm),
+g AS (SELECT map_id, pos, (a + c) / 2 AS mx, (b + d) / 2 AS my, a + (c - a) * i.range / 50 AS x, b + (d - b) * j.range / 50 AS y, a, b, c, d FROM c, range(51) i, range(51) j),
+e AS (SELECT map_id, pos, least(x - a, c - x, y - b, d - y) AS clear, sqrt(power(greatest(abs(x - mx) - 0.02, 0), 2) + power(greatest(abs(y - my) - 0.02, 0), 2)) AS off FROM g)
+SELECT map_id, pos, round(max(clear), 5) AS clearance, true AS apart FROM e WHERE clear > 0.021 AND off > 0.021 GROUP BY 1, 2"""
+)
+def landmark_clearance(spark, sf_dir):
+    """How far the points of rooms with a table in their middle lie from the walls, the most that a grid allows, and
+    whether they keep off the table."""
+    rooms = _furnished(spark, sf_dir)
+    at = M.centers(rooms, least=0.021).join(rooms, ["map_id", "pos"])
+    clear = G.distance_to_polygon(F.col("x"), F.col("y"), G.ring(G.points_of(F.col("geometry"))))
+    table = G.ring(G.points_of(F.col("markers")[0]))
+    apart = ~G.inside_polygon(F.col("x"), F.col("y"), table) & (G.distance_to_polygon(F.col("x"), F.col("y"), table) > 0.021)
+    return at.select("map_id", "pos", F.round(clear, 5).alias("clearance"), apart.alias("apart"))
+
+
+def _furnished(spark, sf_dir):
     cx, cy = (F.col("x0") + F.col("x1")) * seed.RESOLUTION / 2, (F.col("y0") + F.col("y1")) * seed.RESOLUTION / 2
     table = F.array(*[v for sx, sy in ((-1, -1), (1, -1), (1, 1), (-1, 1), (-1, -1)) for v in (cx + sx * 0.02, cy + sy * 0.02)])
-    return M.generated(seed.rooms(spark, sf_dir).withColumn("markers", F.array(table)), least=0.02).select("map_id", "id", "roomId", "name", "type", "geometry")
+    return seed.rooms(spark, sf_dir).withColumn("markers", F.array(table))
 
 
 # --- labels and requests -------------------------------------------------------------------------------------------
@@ -1034,3 +1067,72 @@ def auto_partition_rooms(spark, sf_dir):
 def auto_partition(spark, sf_dir):
     """The automatic partition of every seed map as a labels document."""
     return plans.partition(_maps(spark, sf_dir), Config(min_room_area=0.1))
+
+
+def _case_files(spark, sf_dir):
+    """The seed maps as the files of cases, in a table: every fifth image is broken, every seventh map has no sizes,
+    labels are missing or cut short."""
+    k = F.col("map_id")
+    images = R.per_map(seed.rasters(spark, sf_dir, raw=True), lambda row: iter([{"content": S.encode_png(R.array_of(row))}]), "content binary")
+    images = images.select("map_id", F.lit(S.IMAGE).alias("name"), F.when(k % 5 == 0, F.encode(F.lit("no image"), "UTF-8")).otherwise(F.col("content")).alias("content"))
+    held = seed.maps(spark, sf_dir).join(_documents(spark, sf_dir), "map_id", "left")
+    text = lambda c: F.encode(c, "UTF-8")
+    meta = F.when(k % 7 > 0, text(F.to_json(F.struct(F.lit(seed.RESOLUTION).alias("resolution"), F.array(k * 0.5, F.lit(-1.0), F.lit(0.0)).alias("origin")))))
+    info = F.when(k % 2 == 0, text(F.to_json(F.struct(F.lit("S-K20PRO").alias("robot_model"), F.concat(F.lit("u"), k.cast("string")).alias("uuid")))))
+    marker = lambda name, kind, *g: F.struct(F.lit(name).alias("name"), F.lit(kind).alias("type"), F.array(*[F.lit(v).cast("double") if not hasattr(v, "cast") else v.cast("double") for v in g]).alias("geometry"))
+    marks = F.when(k % 3 == 0, text(F.to_json(F.struct(F.array(marker(L.FURNITURE, "polygon", 0, 0, 1, 0, 1, 1), marker("MY_CHARGE_1", "pose", k, 2, 3), marker(L.FURNITURE, "pose", 1, 1)).alias("data")))))
+    labels = F.when(k % 4 == 1, text(F.lit("{"))).when(k % 4 == 3, F.unhex(F.lit("7BFF"))).when(k % 4 == 0, text(F.col("doc")))
+    sides = F.array(*[F.struct(F.lit(n).alias("name"), c.alias("content")) for n, c in ((S.META, meta), (S.INFO, info), (S.MARKS, marks), (S.LABELS, labels))])
+    return images.unionByName(held.select("map_id", F.explode(sides).alias("f")).select("map_id", "f.*").where("content IS NOT NULL"))
+
+
+@query(
+    f"""WITH {RAW}, {ROOMS}, f AS (SELECT map_id, count(*) FILTER (v = 254) AS free, CAST(sum(v * (y * 64 + x)) AS BIGINT) AS places FROM raw GROUP BY 1), n AS (SELECT map_id, count(*) AS rooms FROM rm GROUP BY 1)
+SELECT f.map_id, CASE WHEN f.map_id % 5 > 0 THEN 48 END AS h, CASE WHEN f.map_id % 5 > 0 THEN 64 END AS w, CASE WHEN f.map_id % 5 > 0 THEN free END AS free, CASE WHEN f.map_id % 5 > 0 THEN places END AS places,
+CASE WHEN f.map_id % 7 > 0 THEN 0.05::DOUBLE END AS resolution, CASE WHEN f.map_id % 7 > 0 THEN f.map_id * 0.5::DOUBLE END AS ox, CASE WHEN f.map_id % 2 = 0 THEN 'S-K20PRO' ELSE 's10' END AS robot_model, CASE WHEN f.map_id % 2 = 0 THEN 'u' || f.map_id END AS uuid,
+CASE WHEN f.map_id % 6 = 0 THEN f.map_id ELSE 0 END::DOUBLE AS charge, CAST(CASE WHEN f.map_id % 3 = 0 THEN 1 ELSE 0 END AS INTEGER) AS furniture, CAST(CASE WHEN f.map_id % 4 = 0 THEN n.rooms END AS INTEGER) AS rooms FROM f LEFT JOIN n USING (map_id)"""
+)
+def case_maps(spark, sf_dir):
+    """Cases read from their files: images, sizes, models, markers and labels, with defaults where a file is missing,
+    broken or cut short."""
+    read = S.maps_of(_case_files(spark, sf_dir))
+    seen = R.unpack(read.where("data IS NOT NULL").select("map_id", "h", "w", "data"))
+    sums = seen.groupBy("map_id").agg(F.count(F.when(F.col("v") == 254, 1)).alias("free"), F.sum(F.col("v").cast("long") * (F.col("y") * 64 + F.col("x"))).alias("places"))
+    rooms = F.when(F.col("labels").isNotNull(), F.size(L.rooms_of(F.col("labels.data"))))
+    return read.join(sums, "map_id", "left").select("map_id", "h", "w", "free", "places", "resolution", "ox", "robot_model", "uuid", F.col("charge_pose")[0].alias("charge"), F.size("furniture").alias("furniture"), rooms.alias("rooms"))
+
+
+@query(
+    """SELECT 'r' || s_suppkey AS request_id, CAST(CASE WHEN s_suppkey % 4 < 3 THEN 171 ELSE 190 END AS INTEGER) AS "statusCode",
+CASE s_suppkey % 4 WHEN 0 THEN 'no such operation' WHEN 1 THEN 'need room merge list' WHEN 2 THEN 'need division croods list' ELSE CASE WHEN s_suppkey % 8 = 3 THEN '11' WHEN s_nationkey % 5 = 0 THEN '1' WHEN s_nationkey % 7 = 0 THEN '2' WHEN s_nationkey % 4 > 0 THEN '3' ELSE '7' END END AS body FROM supplier"""
+)
+def refused_requests(spark, sf_dir):
+    """Requests as JSON lines, each with something wrong: an argument missing, no such map, an image that can't be read,
+    no sizes, no labels, no such room. All are answered with what is wrong."""
+    k, n = F.col("s_suppkey"), F.col("s_nationkey")
+    none = F.lit(None)
+    operation = F.element_at(F.array(*map(F.lit, ("dance", "merge", "division", "merge"))), (k % 4 + 1).cast("int"))
+    key = F.concat(F.lit("sites/a/"), F.when(k % 8 == 3, F.lit("nowhere")).otherwise(n.cast("string")), F.when(k % 3 == 0, "/").otherwise(""))
+    line = F.to_json(F.struct(F.concat(F.lit("r"), k.cast("string")).alias("request_id"), operation.alias("operation"), F.lit("b").alias("bucket"), key.alias("key"), F.when(k % 4 == 3, F.array(F.lit("ROOM_x"), F.lit("ROOM_y"))).otherwise(none).alias("roomMergeList")))
+    lines = seed.table(spark, sf_dir, "supplier").select(line.alias("value"))
+    maps = S.maps_of(_case_files(spark, sf_dir)).withColumn("map_id", F.col("map_id").cast("string"))
+    return plans.run(S.requests_of(lines.union(lines)), maps)
+
+
+@query(
+    f"""WITH {ROOMS}, q AS (SELECT *, lead(pos) OVER w AS pb, lead(x0) OVER w AS a0, lead(x1) OVER w AS a1, lead(y0) OVER w AS b0, lead(y1) OVER w AS b1 FROM rm WHERE map_id % 2 = 0 WINDOW w AS (PARTITION BY map_id ORDER BY pos)),
+g AS (SELECT map_id, count(*) AS n, sum((x1 - x0) * (y1 - y0)) AS total FROM rm GROUP BY 1),
+d AS (SELECT *, (x1 - x0) * (y1 - y0) AS s, (a1 - a0) * (b1 - b0) AS t, least(x1, a1) - greatest(x0, a0) AS ix, least(y1, b1) - greatest(y0, b0) AS iy FROM q WHERE pb IS NOT NULL)
+SELECT pos AS request_id, CAST(CASE WHEN ix < -1 OR iy < -1 THEN 8 END AS INTEGER) AS code, CAST(CASE WHEN ix >= -1 AND iy >= -1 THEN n - 1 END AS INTEGER) AS rooms,
+CASE WHEN ix >= -1 AND iy >= -1 THEN round((total - s - t + CASE WHEN ix < 0 OR iy < 0 THEN greatest(s, t) ELSE s + t - ix * iy END) * 0.0025, 4)::DOUBLE END AS total FROM d JOIN g USING (map_id)"""
+)
+def merge_documents(spark, sf_dir):
+    """Every room of the maps with labels merged with the next one: the documents hold one room less and the area of both
+    together. Rooms that are apart aren't merged (code 8); of two that only their walls' pixels join the larger stays."""
+    rooms = seed.rooms(spark, sf_dir).where("map_id % 2 = 0")
+    after = F.lead("id").over(Window.partitionBy("map_id").orderBy("pos"))
+    requests = rooms.select(F.col("pos").alias("request_id"), "map_id", F.array("id", after).alias("room_merge_list")).where("room_merge_list[1] IS NOT NULL")
+    maps = _maps(spark, sf_dir).withColumn("resolution", F.lit(seed.RESOLUTION))
+    done = plans.merge(requests, maps, Config()).select("request_id", "code", L.rooms_of(F.from_json("body", L.DOCUMENT)["data"]).alias("rooms"))
+    area = F.aggregate("rooms", F.lit(0.0), lambda a, r: a + G.polygon_area(G.ring(G.points_of(r["geometry"]))))
+    return done.select("request_id", "code", F.when(F.col("rooms").isNotNull(), F.size("rooms")).alias("rooms"), F.round(area, 4).alias("total"))

@@ -11,6 +11,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, IntegerType, StructField, StructType
 
 from ..functions import labels as L
 from ..operators.kernels import gray
@@ -112,13 +113,21 @@ def encode_png(img: np.ndarray) -> bytes:
     return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", struct.pack(">IIBBBBB", w, h, 8, color, 0, 0, 0)) + chunk(b"IDAT", zlib.compress(rows)) + chunk(b"IEND", b"")
 
 
-def _files(spark: SparkSession, root: str, name: str) -> DataFrame:
-    found = spark.read.format("binaryFile").option("pathGlobFilter", name).option("recursiveFileLookup", "true").load(root)
-    return found.select(F.regexp_extract("path", r"([^/]+)/[^/]+$", 1).alias("map_id"), "content")
+#: The files of a case.
+IMAGE, META, INFO, MARKS, LABELS = NAMES = ("saved_map.png", "saved_map.json", "mapinfo.json", "markers.json", "labels.json")
 
 
-def read_rasters(spark: SparkSession, root: str) -> DataFrame:
-    """map_id (folder name), h, w, data; null but for the id where the image can't be read."""
+def case_files(spark: SparkSession, root: str, names: tuple[str, ...] = NAMES) -> DataFrame:
+    """map_id (folder name), name, content of the files of all cases under a folder."""
+    glob = "{" + ",".join(names) + "}"
+    found = spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", "true").load(root)
+    part = lambda i: F.regexp_extract("path", r"([^/]+)/([^/]+)$", i)
+    return found.select(part(1).alias("map_id"), part(2).alias("name"), "content")
+
+
+def images_of(files: DataFrame) -> DataFrame:
+    """files(map_id, name, content) -> map_id, h, w, data of the images; null but for the id where one can't be read."""
+    schema = StructType([StructField("map_id", files.schema["map_id"].dataType), *(StructField(n, t) for n, t in (("h", IntegerType()), ("w", IntegerType()), ("data", BinaryType())))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -127,35 +136,40 @@ def read_rasters(spark: SparkSession, root: str) -> DataFrame:
                     img = decode_png(batch.column(1)[i].as_py())
                 except (ValueError, KeyError, IndexError, TypeError, struct.error, zlib.error, UnboundLocalError):
                     img = None
-                if img is None:
-                    yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, 1), *(pa.nulls(1, t) for t in (pa.int32(), pa.int32(), pa.binary()))], names=["map_id", "h", "w", "data"])
-                    continue
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, 1), pa.array([img.shape[0]], pa.int32()), pa.array([img.shape[1]], pa.int32()), pa.array([img.tobytes()], pa.binary())], names=["map_id", "h", "w", "data"])
-
-    return _files(spark, root, "saved_map.png").mapInArrow(run, "map_id string, h int, w int, data binary")
+                row = [pa.nulls(1, t) for t in (pa.int32(), pa.int32(), pa.binary())]
+                if img is not None:
+                    row = [pa.array([img.shape[0]], pa.int32()), pa.array([img.shape[1]], pa.int32()), pa.array([img.tobytes()], pa.binary())]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, 1), *row], names=["map_id", "h", "w", "data"])
+
+    return files.where(F.col("name") == IMAGE).select("map_id", "content").mapInArrow(run, schema)
+
+
+def maps_of(files: DataFrame, default_model: str = "s10") -> DataFrame:
+    """files(map_id, name, content), from folders or any table -> one row a case: raster, resolution, origin,
+    robot_model, uuid, charge_pose, furniture, labels (null if missing or unreadable). A case is what has an image; all
+    its JSON files meet in one grouping."""
+    text = F.try_validate_utf8(F.col("content").cast("string"))
+    held = files.where(F.col("name").isin(*NAMES) & (F.col("name") != IMAGE)).groupBy("map_id").agg(*[F.max(F.when(F.col("name") == n, text)).alias(c) for n, c in ((META, "meta"), (INFO, "info"), (MARKS, "marks"), (LABELS, "doc"))])
+    read = lambda c, schema: F.from_json(c, schema, {"mode": "PERMISSIVE"}).alias(c)
+    held = held.select("map_id", read("meta", L.MAP_META), read("info", L.MAP_INFO), read("marks", L.MARKERS), read("doc", L.DOCUMENT))
+    out = images_of(files).join(held, "map_id", "left").withColumn("markers", F.col("marks.data"))
+    model = F.coalesce("info.robot_model", F.lit(default_model))
+    empty = F.array().cast("array<array<double>>")
+    return out.select(
+        "map_id", "h", "w", "data", "meta.resolution", F.col("meta.origin")[0].alias("ox"), F.col("meta.origin")[1].alias("oy"), model.alias("robot_model"), "info.uuid",
+        L.charge_pose(F.coalesce("markers", F.array().cast("array<struct<name:string,type:string,geometry:array<double>>>")), model).alias("charge_pose"),
+        F.coalesce(L.furniture(F.col("markers")), empty).alias("furniture"), F.when(F.col("doc.data").isNotNull(), F.col("doc")).alias("labels"),
+    )
 
 
-def _json(spark: SparkSession, root: str, name: str, schema: str) -> DataFrame:
-    return _files(spark, root, name).select("map_id", F.from_json(F.decode("content", "UTF-8"), schema, {"mode": "PERMISSIVE"}).alias("j"))
+def read_rasters(spark: SparkSession, root: str) -> DataFrame:
+    """The images of all cases under a folder, see `images_of`."""
+    return images_of(case_files(spark, root, (IMAGE,)))
 
 
 def read_maps(spark: SparkSession, root: str, default_model: str = "s10") -> DataFrame:
-    """One row a case: raster, resolution, origin, robot_model, uuid, charge_pose, furniture, labels (null if missing
-    or unreadable)."""
-    meta = _json(spark, root, "saved_map.json", L.MAP_META).select("map_id", "j.resolution", "j.origin")
-    info = _json(spark, root, "mapinfo.json", L.MAP_INFO).select("map_id", "j.robot_model", "j.uuid")
-    marks = _json(spark, root, "markers.json", L.MARKERS).select("map_id", F.col("j.data").alias("markers"))
-    documents = _json(spark, root, "labels.json", L.DOCUMENT).select("map_id", F.when(F.col("j.data").isNotNull(), F.col("j")).alias("labels"))
-    out = read_rasters(spark, root)
-    for side in (meta, info, marks, documents):
-        out = out.join(side, "map_id", "left")
-    model = F.coalesce("robot_model", F.lit(default_model))
-    empty = F.array().cast("array<array<double>>")
-    return out.select(
-        "map_id", "h", "w", "data", "resolution", F.col("origin")[0].alias("ox"), F.col("origin")[1].alias("oy"), model.alias("robot_model"), "uuid",
-        L.charge_pose(F.coalesce("markers", F.array().cast("array<struct<name:string,type:string,geometry:array<double>>>")), model).alias("charge_pose"),
-        F.coalesce(L.furniture(F.col("markers")), empty).alias("furniture"), "labels",
-    )
+    """All cases under a folder, see `maps_of`."""
+    return maps_of(case_files(spark, root), default_model)
 
 
 def write_labels(results: DataFrame, path: str) -> None:
@@ -163,12 +177,17 @@ def write_labels(results: DataFrame, path: str) -> None:
     results.select("map_id", F.col("body").alias("value")).write.mode("overwrite").partitionBy("map_id").text(path)
 
 
-def read_requests(spark: SparkSession, path: str) -> DataFrame:
-    """JSON lines of requests (operation, bucket, key, roomMergeList, divisionCroodsDict and, optionally, request_id) as
-    `plans.requests.run` takes them. map_id is the key's last part; a request without an id gets its line's digest, and
-    equal ones are one request."""
-    lines = spark.read.text(path).where(F.trim("value") != "").select("value", F.from_json("value", L.REQUEST).alias("r"))
-    return lines.select(
+def requests_of(lines: DataFrame) -> DataFrame:
+    """JSON lines (value) of requests (operation, bucket, key, roomMergeList, divisionCroodsDict and, optionally,
+    request_id) as `plans.requests.run` takes them. map_id is the key's last part; a request without an id gets its line's
+    digest, and equal ones are one request."""
+    read = lines.where(F.trim("value") != "").select("value", F.from_json("value", L.REQUEST).alias("r"))
+    return read.select(
         F.coalesce("r.request_id", F.sha2("value", 256)).alias("request_id"), F.regexp_extract("r.key", r"([^/]+)/?$", 1).alias("map_id"), "r.operation",
         F.col("r.roomMergeList").alias("room_merge_list"), F.col("r.divisionCroodsDict").alias("division"),
     ).dropDuplicates(["request_id"])
+
+
+def read_requests(spark: SparkSession, path: str) -> DataFrame:
+    """Requests from text files, see `requests_of`."""
+    return requests_of(spark.read.text(path))
