@@ -602,3 +602,36 @@ def contour_mask(points: list[tuple[int, int]], h: int, w: int) -> np.ndarray:
             if 0 <= y < h and 0 <= x < w:
                 mask[y, x] = True
     return mask
+
+
+def _from_ring(px: np.ndarray, py: np.ndarray, ring: list[tuple[float, float]]) -> tuple[np.ndarray, np.ndarray]:
+    """Which points lie inside a ring (even-odd), and how far all are from its edges."""
+    inside, far = np.zeros(len(px), bool), np.full(len(px), np.inf)
+    for (ax, ay), (bx, by) in zip(ring, ring[1:] + ring[:1]):
+        dx, dy = bx - ax, by - ay
+        size = dx * dx + dy * dy
+        t = np.clip(((px - ax) * dx + (py - ay) * dy) / size, 0.0, 1.0) if size else 0.0
+        far = np.minimum(far, np.hypot(px - (ax + t * dx), py - (ay + t * dy)))
+        if dy:
+            inside ^= ((ay > py) != (by > py)) & (px < dx * (py - ay) / dy + ax)
+    return inside, far
+
+
+def clearest_point(ring: list[tuple[float, float]], others: list[list[tuple[float, float]]], least: float, grid: int) -> tuple[float, float] | None:
+    """Of a grid over a ring's box, the point inside that is farthest from its edges (within a billionth the first by x,
+    then y): farther than `least`, and farther than that from every other ring and outside it. None without one."""
+    if not ring:
+        return None
+    (x0, y0), (x1, y1) = np.min(ring, axis=0), np.max(ring, axis=0)
+    steps = np.arange(grid)
+    px, py = np.repeat(x0 + (x1 - x0) * steps / (grid - 1), grid), np.tile(y0 + (y1 - y0) * steps / (grid - 1), grid)
+    good, far = _from_ring(px, py, ring)
+    good &= far > least
+    for other in others:
+        if other:
+            inside, off = _from_ring(px, py, other)
+            good &= ~inside & (off > least)
+    if not good.any():
+        return None
+    k = int(np.argmax(np.where(good, np.round(far, 9), -1.0)))
+    return float(px[k]), float(py[k])

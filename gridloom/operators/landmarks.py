@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import geometry as G
 from ..functions.labels import landmark_id
+from . import kernels as K
+from .raster import per_map
 
 GRID = 51
 #: A ring's last point within this of the first one closes it (fixed value).
@@ -21,20 +25,29 @@ def valid(x: Column, y: Column, points: Column, markers: Column, least: float) -
 
 def centers(rooms: DataFrame, least: float = 0.1, grid: int = GRID) -> DataFrame:
     """rooms(map_id, pos, geometry, markers) -> map_id, pos, x, y: the box centre if valid; else the valid point of a
-    grid over the box that is farthest from the boundary (the first by x, then y); else the box centre."""
+    grid over the box that is farthest from the boundary (within a billionth the first by x, then y); else the box
+    centre. The grid of a room is searched in one kernel."""
     ring = G.ring(G.points_of(F.col("geometry")), CLOSED)
     base = G.settled(rooms.select("map_id", "pos", ring.alias("p"), F.coalesce("markers", F.array().cast("array<array<double>>")).alias("markers")))
     xs, ys = F.transform("p", lambda q: q["x"]), F.transform("p", lambda q: q["y"])
     base = G.settled(base.withColumns({"x0": F.array_min(xs), "x1": F.array_max(xs), "y0": F.array_min(ys), "y1": F.array_max(ys)}))
     base = G.settled(base.withColumns({"cx": (F.col("x0") + F.col("x1")) / 2, "cy": (F.col("y0") + F.col("y1")) / 2}))
     base = G.settled(base.withColumn("ok", valid(F.col("cx"), F.col("cy"), F.col("p"), F.col("markers"), least)))
-    steps = F.array(*map(F.lit, range(grid)))
-    spread = base.where("NOT ok").withColumn("ix", F.explode(steps)).withColumn("iy", F.explode(steps))
-    spread = G.settled(spread.withColumns({"x": F.col("x0") + (F.col("x1") - F.col("x0")) * F.col("ix") / (grid - 1), "y": F.col("y0") + (F.col("y1") - F.col("y0")) * F.col("iy") / (grid - 1)}))
-    spread = spread.where(valid(F.col("x"), F.col("y"), F.col("p"), F.col("markers"), least)).withColumn("d", G.distance_to_polygon(F.col("x"), F.col("y"), F.col("p")))
-    best = spread.groupBy("map_id", "pos").agg(F.max_by(F.struct("x", "y"), F.struct("d", -F.col("ix"), -F.col("iy"))).alias("b"))
+
+    def xy(ring: list[dict] | None) -> list[tuple[float, float]]:
+        points = [(q["x"], q["y"]) for q in ring or () if q]
+        return [] if any(None in q for q in points) else points  # a ring with a gap bounds nothing
+
+    def place(row: dict) -> Iterator[dict]:
+        at = K.clearest_point(xy(row["p"]), [xy(m) for m in row["rings"]], least, grid)
+        if at is not None:
+            yield {"pos": row["pos"], "x": at[0], "y": at[1]}
+
+    rings = F.transform("markers", lambda m: G.ring(G.points_of(m), CLOSED)).alias("rings")
+    pos = base.schema["pos"].dataType.simpleString()
+    best = per_map(base.where("NOT ok").select("map_id", "pos", "p", rings), place, f"pos {pos}, x double, y double")
     out = base.select("map_id", "pos", "cx", "cy").join(best, ["map_id", "pos"], "left")
-    return out.select("map_id", "pos", F.coalesce("b.x", "cx", F.lit(0.0)).alias("x"), F.coalesce("b.y", "cy", F.lit(0.0)).alias("y"))
+    return out.select("map_id", "pos", F.coalesce("x", "cx", F.lit(0.0)).alias("x"), F.coalesce("y", "cy", F.lit(0.0)).alias("y"))
 
 
 def generated(rooms: DataFrame, least: float = 0.1) -> DataFrame:

@@ -921,18 +921,19 @@ def landmarks_with_furniture(spark, sf_dir):
 @query(
     f"""WITH {ROOMS}, c AS (SELECT map_id, pos, x0 * 0.05::DOUBLE AS a, y0 * 0.05::DOUBLE AS b, x1 * 0.05::DOUBLE AS c, y1 * 0.05::DOUBLE AS d FROM rm),
 g AS (SELECT map_id, pos, (a + c) / 2 AS mx, (b + d) / 2 AS my, a + (c - a) * i.range / 50 AS x, b + (d - b) * j.range / 50 AS y, a, b, c, d FROM c, range(51) i, range(51) j),
-e AS (SELECT map_id, pos, least(x - a, c - x, y - b, d - y) AS clear, sqrt(power(greatest(abs(x - mx) - 0.02, 0), 2) + power(greatest(abs(y - my) - 0.02, 0), 2)) AS off FROM g)
-SELECT map_id, pos, round(max(clear), 5) AS clearance, true AS apart FROM e WHERE clear > 0.021 AND off > 0.021 GROUP BY 1, 2"""
+e AS (SELECT map_id, pos, x, y, least(x - a, c - x, y - b, d - y) AS clear, sqrt(power(greatest(abs(x - mx) - 0.02, 0), 2) + power(greatest(abs(y - my) - 0.02, 0), 2)) AS off FROM g),
+o AS (SELECT *, row_number() OVER (PARTITION BY map_id, pos ORDER BY round(clear, 9) DESC, round(x, 6), y) AS rn FROM e WHERE clear > 0.021 AND off > 0.021)
+SELECT map_id, pos, round(x, 3) AS x, round(y, 3) AS y, round(clear, 5) AS clearance, true AS apart FROM o WHERE rn = 1"""
 )
 def landmark_clearance(spark, sf_dir):
-    """How far the points of rooms with a table in their middle lie from the walls, the most that a grid allows, and
+    """Points of rooms with a table in their middle, how far they lie from the walls, the most that a grid allows, and
     whether they keep off the table."""
     rooms = _furnished(spark, sf_dir)
     at = M.centers(rooms, least=0.021).join(rooms, ["map_id", "pos"])
     clear = G.distance_to_polygon(F.col("x"), F.col("y"), G.ring(G.points_of(F.col("geometry"))))
     table = G.ring(G.points_of(F.col("markers")[0]))
     apart = ~G.inside_polygon(F.col("x"), F.col("y"), table) & (G.distance_to_polygon(F.col("x"), F.col("y"), table) > 0.021)
-    return at.select("map_id", "pos", F.round(clear, 5).alias("clearance"), apart.alias("apart"))
+    return at.select("map_id", "pos", F.round("x", 3).alias("x"), F.round("y", 3).alias("y"), F.round(clear, 5).alias("clearance"), apart.alias("apart"))
 
 
 def _furnished(spark, sf_dir):

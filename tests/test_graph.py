@@ -1,7 +1,12 @@
-"""Colours and walking order of the seed maps' rooms against plain versions."""
+"""Colours and walking order of the seed maps' rooms against plain versions; landmarks' places."""
 
 from collections import defaultdict
 
+import numpy as np
+from pyspark.sql import functions as F
+
+from gridloom.functions import geometry as G
+from gridloom.operators import kernels as K
 from gridloom.plans import catalogue
 from gridloom.plans.catalogue import _graph
 
@@ -52,3 +57,31 @@ def test_colors_and_walks(spark):
         for v in sorted(g, key=lambda v: (-len(g[v]), v)):
             walk(v)
         assert [k for k, _ in sorted(ranks[m].items(), key=lambda p: p[1])] == order
+
+
+def test_clearest_point_as_columns(spark):
+    """The kernel's inside and distance are the column functions'; a grid without a valid point gives none."""
+    rng = np.random.default_rng(3)
+    rows = []
+    for k in range(20):
+        angle = np.sort(rng.uniform(0, 6.28, 7))
+        ring = [(float(a), float(b)) for a, b in zip(np.cos(angle) * rng.uniform(1, 3, 7), np.sin(angle) * rng.uniform(1, 3, 7))]
+        table = [(0.1, 0.1), (0.5, 0.1), (0.5, 0.5), (0.1, 0.5)]
+        at = K.clearest_point(ring, [table, []], 0.05, 21)
+        if at is not None:
+            rows.append((k, ring, table, *at))
+    assert len(rows) > 10
+    kind = "array<struct<x:double,y:double>>"
+    df = spark.createDataFrame(rows, f"k int, ring {kind}, other {kind}, x double, y double")
+    steps = F.sequence(F.lit(0), F.lit(20))
+    low = lambda f: F.array_min(F.transform("ring", lambda q: q[f]))
+    high = lambda f: F.array_max(F.transform("ring", lambda q: q[f]))
+    cells = df.select("*", F.explode(steps).alias("i")).select("*", F.explode(steps).alias("j"))
+    cells = G.settled(cells.withColumns({"gx": low("x") + (high("x") - low("x")) * F.col("i") / 20, "gy": low("y") + (high("y") - low("y")) * F.col("j") / 20}))
+    far = lambda ring: G.distance_to_polygon(F.col("gx"), F.col("gy"), F.col(ring))
+    cells = cells.where(G.inside_polygon(F.col("gx"), F.col("gy"), F.col("ring")) & ~G.inside_polygon(F.col("gx"), F.col("gy"), F.col("other")) & (far("ring") > 0.05) & (far("other") > 0.05))
+    want = cells.groupBy("k", "x", "y").agg(F.max_by(F.struct("gx", "gy"), F.struct(F.round(far("ring"), 9), -F.col("i"), -F.col("j"))).alias("b")).collect()
+    assert len(want) == len(rows)
+    assert all(abs(r.x - r.b.gx) < 1e-9 and abs(r.y - r.b.gy) < 1e-9 for r in want)
+    assert K.clearest_point([(0.0, 0.0), (1.0, 0.0), (1.0, 1.0)], [[(-5.0, -5.0), (5.0, -5.0), (5.0, 5.0), (-5.0, 5.0)]], 0.05, 21) is None
+    assert K.clearest_point([], [], 0.05, 21) is None and K.clearest_point([(0.0, 0.0)] * 3, [], 0.05, 21) is None
