@@ -25,6 +25,8 @@ from ..operators import raster as R
 from ..operators import regions as RG
 from ..sources import maps as S
 from ..sources import seed
+from ..sources.scratch import fresh_path
+from ..streaming import requests as stream
 from . import requests as plans
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -355,6 +357,22 @@ def perimeter(spark, sf_dir):
     return RG.boundary_edges(_tiles(spark, sf_dir)).groupBy("map_id", "lid").agg(F.count(F.lit(1)).alias("perimeter"))
 
 
+@query(
+    f"""WITH RECURSIVE {TILES}, s AS (SELECT map_id * 100 + lid AS map_id, y, x FROM t), {_components('c', 's')},
+q AS (SELECT map_id, lid, y, x, (map_id % 100 - 1) // 8 * 6 - 1 AS y0, (map_id % 100 - 1) % 8 * 8 - 1 AS x0 FROM c),
+b AS MATERIALIZED (SELECT DISTINCT map_id, lid, y0, x0, y0 + i.range AS y, x0 + j.range AS x FROM q, range(8) i, range(10) j),
+e AS MATERIALIZED (SELECT b.* FROM b ANTI JOIN q USING (map_id, lid, y, x)),
+o AS (SELECT map_id, lid, y, x FROM e WHERE y = y0 AND x = x0 UNION SELECT e.map_id, e.lid, e.y, e.x FROM o, (VALUES (0, 1), (1, 0), (0, -1), (-1, 0)) d(dy, dx), e WHERE e.map_id = o.map_id AND e.lid = o.lid AND e.y = o.y + dy AND e.x = o.x + dx),
+n AS (SELECT map_id, lid, 80 - count(*) AS area FROM o GROUP BY 1, 2)
+SELECT CAST(map_id // 100 AS INTEGER) AS map_id, CAST(map_id % 100 AS INTEGER) AS lid, max(area)::DOUBLE AS area FROM n GROUP BY 1, 2"""
+)
+def outline_areas(spark, sf_dir):
+    """What the outlines of tiles of free pixels bound: their largest piece with its holes."""
+    cells = seed.pixels(spark, sf_dir).select("map_id", "y", "x", F.when(F.col("v") == 255, F.floor(F.col("y") / 6) * 8 + F.floor(F.col("x") / 8) + 1).otherwise(0).cast("int").alias("v"))
+    labels = R.pack(cells).select("map_id", "h", "w", R.widened(F.col("data")).alias("labels"))
+    return RG.region_polygons(labels).select("map_id", "lid", G.polygon_area(F.col("points")).alias("area"))
+
+
 @query()
 def region_polygons(spark, sf_dir):
     """Outlines of the rooms that the fallback partition finds, with area and length."""
@@ -801,6 +819,21 @@ def nms_keep_turned(spark, sf_dir):
     return D.suppressed(D.decoded(seed.detections(spark, sf_dir, turned=True))).select("map_id", "det_id")
 
 
+@query(
+    f"""WITH RECURSIVE {RAW}, fr AS (SELECT map_id, y, x FROM px WHERE v = 255 AND NOT (y BETWEEN 3 + map_id % 40 AND 4 + map_id % 40 AND x BETWEEN 1 AND 30 + map_id % 7) AND NOT (x BETWEEN 38 + map_id % 9 AND 39 + map_id % 9 AND y >= 2)), {_components('lab', 'fr')}
+SELECT map_id, lid, count(*) AS n, CAST(sum(y * 64 + x) AS BIGINT) AS places FROM lab GROUP BY 1, 2"""
+)
+def door_cuts(spark, sf_dir):
+    """The pieces of free space without a level line and an upright one, each two pixels wide, the latter past the map's
+    edge."""
+    k = F.col("map_id")
+    ends = [(F.lit(2), 4 + k % 40, 30 + k % 7, 4 + k % 40), (39 + k % 9, F.lit(60), 39 + k % 9, F.lit(3))]
+    line = lambda e: F.struct(*[v.cast("double").alias(n) for n, v in zip(("x1", "y1", "x2", "y2"), e)])
+    lines = seed.maps(spark, sf_dir).select("map_id", F.explode(F.array(*map(line, ends))).alias("l")).select("map_id", "l.*")
+    pieces = R.unpack_labels(D.split_by_lines(seed.rasters(spark, sf_dir), lines))
+    return pieces.groupBy("map_id", "lid").agg(F.count(F.lit(1)).alias("n"), F.sum((F.col("y") * 64 + F.col("x")).cast("long")).alias("places"))
+
+
 _LB = "(SELECT CAST(c_custkey AS INTEGER) AS id, CAST(100 + c_custkey * 37 % 1900 AS INTEGER) AS w, CAST(100 + c_custkey * 53 % 1500 AS INTEGER) AS h FROM customer)"
 
 
@@ -1103,37 +1136,57 @@ def case_maps(spark, sf_dir):
     return read.join(sums, "map_id", "left").select("map_id", "h", "w", "free", "places", "resolution", "ox", "robot_model", "uuid", F.col("charge_pose")[0].alias("charge"), F.size("furniture").alias("furniture"), rooms.alias("rooms"))
 
 
-@query(
-    """SELECT 'r' || s_suppkey AS request_id, CAST(CASE WHEN s_suppkey % 4 < 3 THEN 171 ELSE 190 END AS INTEGER) AS "statusCode",
+_REFUSED = """SELECT 'r' || s_suppkey AS request_id, CAST(CASE WHEN s_suppkey % 4 < 3 THEN 171 ELSE 190 END AS INTEGER) AS "statusCode",
 CASE s_suppkey % 4 WHEN 0 THEN 'no such operation' WHEN 1 THEN 'need room merge list' WHEN 2 THEN 'need division croods list' ELSE CASE WHEN s_suppkey % 8 = 3 THEN '11' WHEN s_nationkey % 5 = 0 THEN '1' WHEN s_nationkey % 7 = 0 THEN '2' WHEN s_nationkey % 4 > 0 THEN '3' ELSE '7' END END AS body FROM supplier"""
-)
-def refused_requests(spark, sf_dir):
-    """Requests as JSON lines, each with something wrong: an argument missing, no such map, an image that can't be read,
-    no sizes, no labels, no such room. All are answered with what is wrong."""
+
+
+def _bad_requests(spark, sf_dir):
+    """A request for every supplier, each with something wrong: an argument missing, no such map, an image that can't be
+    read, no sizes, no labels, no such room; and the maps."""
     k, n = F.col("s_suppkey"), F.col("s_nationkey")
-    none = F.lit(None)
     operation = F.element_at(F.array(*map(F.lit, ("dance", "merge", "division", "merge"))), (k % 4 + 1).cast("int"))
-    key = F.concat(F.lit("sites/a/"), F.when(k % 8 == 3, F.lit("nowhere")).otherwise(n.cast("string")), F.when(k % 3 == 0, "/").otherwise(""))
-    line = F.to_json(F.struct(F.concat(F.lit("r"), k.cast("string")).alias("request_id"), operation.alias("operation"), F.lit("b").alias("bucket"), key.alias("key"), F.when(k % 4 == 3, F.array(F.lit("ROOM_x"), F.lit("ROOM_y"))).otherwise(none).alias("roomMergeList")))
-    lines = seed.table(spark, sf_dir, "supplier").select(line.alias("value"))
-    maps = S.maps_of(_case_files(spark, sf_dir)).withColumn("map_id", F.col("map_id").cast("string"))
+    asked = seed.table(spark, sf_dir, "supplier").select(
+        F.concat(F.lit("r"), k.cast("string")).alias("request_id"), F.when(k % 8 == 3, F.lit("nowhere")).otherwise(n.cast("string")).alias("map_id"), operation.alias("operation"),
+        F.when(k % 4 == 3, F.array(F.lit("ROOM_x"), F.lit("ROOM_y"))).alias("room_merge_list"),
+    )
+    return asked, S.maps_of(_case_files(spark, sf_dir)).withColumn("map_id", F.col("map_id").cast("string"))
+
+
+@query(_REFUSED)
+def refused_requests(spark, sf_dir):
+    """Bad requests as JSON lines, every one twice. All are answered once, with what is wrong."""
+    asked, maps = _bad_requests(spark, sf_dir)
+    key = F.concat(F.lit("sites/a/"), "map_id", F.when(F.hash("request_id") % 3 == 0, "/").otherwise(""))
+    lines = asked.select(F.to_json(F.struct("request_id", "operation", F.lit("b").alias("bucket"), key.alias("key"), F.col("room_merge_list").alias("roomMergeList"))).alias("value"))
     return plans.run(S.requests_of(lines.union(lines)), maps)
 
 
+@query(_REFUSED)
+def streamed_requests(spark, sf_dir):
+    """The same as files that a stream finds in its inbox."""
+    asked, maps = _bad_requests(spark, sf_dir)
+    place = fresh_path(spark, "stream")
+    asked.write.json(f"{place}/inbox")
+    stream.serve(spark, f"{place}/inbox", maps, f"{place}/outbox", f"{place}/state").awaitTermination()
+    return spark.read.parquet(f"{place}/outbox").select("request_id", "statusCode", "body")
+
+
 @query(
     f"""WITH {ROOMS}, q AS (SELECT *, lead(pos) OVER w AS pb, lead(x0) OVER w AS a0, lead(x1) OVER w AS a1, lead(y0) OVER w AS b0, lead(y1) OVER w AS b1 FROM rm WHERE map_id % 2 = 0 WINDOW w AS (PARTITION BY map_id ORDER BY pos)),
 g AS (SELECT map_id, count(*) AS n, sum((x1 - x0) * (y1 - y0)) AS total FROM rm GROUP BY 1),
 d AS (SELECT *, (x1 - x0) * (y1 - y0) AS s, (a1 - a0) * (b1 - b0) AS t, least(x1, a1) - greatest(x0, a0) AS ix, least(y1, b1) - greatest(y0, b0) AS iy FROM q WHERE pb IS NOT NULL)
-SELECT pos AS request_id, CAST(CASE WHEN ix < -1 OR iy < -1 THEN 8 END AS INTEGER) AS code, CAST(CASE WHEN ix >= -1 AND iy >= -1 THEN n - 1 END AS INTEGER) AS rooms,
+SELECT pos AS request_id, CAST(CASE WHEN ix < -1 OR iy < -1 THEN 8 END AS INTEGER) AS code, CAST(CASE WHEN ix >= -1 AND iy >= -1 THEN n - 1 END AS INTEGER) AS rooms, CAST(CASE WHEN ix >= -1 AND iy >= -1 THEN n - 1 END AS INTEGER) AS landmarks,
 CASE WHEN ix >= -1 AND iy >= -1 THEN round((total - s - t + CASE WHEN ix < 0 OR iy < 0 THEN greatest(s, t) ELSE s + t - ix * iy END) * 0.0025, 4)::DOUBLE END AS total FROM d JOIN g USING (map_id)"""
 )
 def merge_documents(spark, sf_dir):
-    """Every room of the maps with labels merged with the next one: the documents hold one room less and the area of both
-    together. Rooms that are apart aren't merged (code 8); of two that only their walls' pixels join the larger stays."""
+    """Every room of the maps with labels merged with the next one: the documents hold one room less, a landmark for each,
+    and the area of both together. Rooms that are apart aren't merged (code 8); of two that only their walls' pixels join the larger stays."""
     rooms = seed.rooms(spark, sf_dir).where("map_id % 2 = 0")
     after = F.lead("id").over(Window.partitionBy("map_id").orderBy("pos"))
     requests = rooms.select(F.col("pos").alias("request_id"), "map_id", F.array("id", after).alias("room_merge_list")).where("room_merge_list[1] IS NOT NULL")
     maps = _maps(spark, sf_dir).withColumn("resolution", F.lit(seed.RESOLUTION))
-    done = plans.merge(requests, maps, Config()).select("request_id", "code", L.rooms_of(F.from_json("body", L.DOCUMENT)["data"]).alias("rooms"))
+    data = F.from_json("body", L.DOCUMENT)["data"]
+    done = plans.merge(requests, maps, Config()).select("request_id", "code", L.rooms_of(data).alias("rooms"), L.landmarks_of(data).alias("marks"))
     area = F.aggregate("rooms", F.lit(0.0), lambda a, r: a + G.polygon_area(G.ring(G.points_of(r["geometry"]))))
-    return done.select("request_id", "code", F.when(F.col("rooms").isNotNull(), F.size("rooms")).alias("rooms"), F.round(area, 4).alias("total"))
+    size = lambda c: F.when(F.col(c).isNotNull(), F.size(c))
+    return done.select("request_id", "code", size("rooms").alias("rooms"), size("marks").alias("landmarks"), F.round(area, 4).alias("total"))

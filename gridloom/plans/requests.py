@@ -9,6 +9,7 @@ per map where an order runs through them, everything else is joins.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window
@@ -309,12 +310,19 @@ def run(requests: DataFrame, maps: DataFrame, config: Config | None = None, dete
     ok = checked.where("code IS NULL")
     has = F.col("labels").isNotNull() & (F.size("labels.data") > 0)
     fresh = ok.where((F.col("operation") == "repartition") | ((F.col("operation") == "split") & ~F.coalesce(has, F.lit(False))))
-    wanted = maps.join(fresh.select("map_id").distinct(), "map_id", "left_semi")
-    auto = fresh.select("request_id", "map_id").join(partition(wanted, config, detections), "map_id", "left").select("request_id", F.lit(None).cast("int").alias("code"), "body")
-    cut = division(ok.where("operation = 'division'"), maps, config).select("request_id", "code", "body")
-    joined = merge(ok.where("operation = 'merge'"), maps, config).select("request_id", "code", "body")
-    wider = extension(ok.where((F.col("operation") == "split") & has), maps, config, detections).select("request_id", "code", "body")
-    done = auto.unionByName(cut).unionByName(joined).unionByName(wider).unionByName(checked.where("code IS NOT NULL").select("request_id", "code", F.lit(None).cast("string").alias("body")))
+    old = ok.where((F.col("operation") == "split") & has)
+    columns = ("request_id", "code", "body")
+    parts = [checked.where("code IS NOT NULL").select("request_id", "code", F.lit(None).cast("string").alias("body"))]
+    if not fresh.isEmpty():  # what nobody asks for isn't planned
+        wanted = maps.join(fresh.select("map_id").distinct(), "map_id", "left_semi")
+        auto = fresh.select("request_id", "map_id").join(partition(wanted, config, detections), "map_id", "left")
+        parts.append(auto.withColumn("code", F.lit(None).cast("int")).select(*columns))
+    for rows, answer in ((ok.where("operation = 'division'"), division), (ok.where("operation = 'merge'"), merge)):
+        if not rows.isEmpty():
+            parts.append(answer(rows, maps, config).select(*columns))
+    if not old.isEmpty():
+        parts.append(extension(old, maps, config, detections).select(*columns))
+    done = reduce(DataFrame.unionByName, parts)
     failed = F.col("code").isNotNull() | F.col("body").isNull()
     done = done.select("request_id", F.when(failed, FAILED).otherwise(OK).alias("statusCode"), F.when(failed, F.coalesce(F.col("code"), F.lit(0)).cast("string")).otherwise(F.col("body")).alias("body"))
     return done.unionByName(refused)
