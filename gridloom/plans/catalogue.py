@@ -1190,3 +1190,38 @@ def merge_documents(spark, sf_dir):
     area = F.aggregate("rooms", F.lit(0.0), lambda a, r: a + G.polygon_area(G.ring(G.points_of(r["geometry"]))))
     size = lambda c: F.when(F.col(c).isNotNull(), F.size(c))
     return done.select("request_id", "code", size("rooms").alias("rooms"), size("marks").alias("landmarks"), F.round(area, 4).alias("total"))
+
+
+@query(
+    """SELECT s_suppkey AS request_id, CAST(CASE WHEN s_suppkey % 3 > 0 THEN 2 ELSE 1 END AS INTEGER) AS rooms, CASE WHEN s_suppkey % 3 > 0 THEN 'ROOM_007 C,ROOM_008 A' ELSE 'ROOM_007 C' END AS named,
+CAST(CASE WHEN s_suppkey % 3 = 0 THEN 1 WHEN s_suppkey % 2 = 0 THEN 2 ELSE 0 END AS INTEGER) AS landmarks, CAST(CASE WHEN s_suppkey % 3 > 0 THEN (31 + s_suppkey % 5) - 20 + 2 ELSE 0 END AS INTEGER) AS wide FROM supplier"""
+)
+def extension_documents(spark, sf_dir):
+    """A map for every supplier with one stored room, and new space apart from it in two of three: it becomes a room with
+    the next id and the first name that is free. Landmarks are placed anew there, if the robot wants any; a map without
+    new space keeps its own. wide: from the new contour's first column to its last; it lies a pixel outside the free ones (columns 20
+    to 31 and more) on either side."""
+    k = F.col("k")
+    keys = seed.table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("k"))
+    cells = keys.withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(60 * 50 - 1)))).withColumn("y", F.floor(F.col("i") / 50).cast("int")).withColumn("x", F.col("i") % 50)
+    room = F.col("y").between(10, 24) & F.col("x").between(10, 24)
+    block = (k % 3 > 0) & F.col("y").between(35, 49) & F.col("x").between(20, 31 + k % 5)
+    rasters = R.pack(cells.select(k.alias("map_id"), "y", "x", F.when(room | block, 254).otherwise(0).alias("v")))
+    corners = F.array(*[F.struct(F.lit(x).alias("x"), F.lit(y).alias("y")) for x, y in ((10, 10), (24, 10), (24, 24), (10, 24))])
+    shape = G.contour_to_geometry(corners, F.lit(seed.RESOLUTION), F.lit(0.0), F.lit(0.0), F.lit(60))
+    item = lambda name, id_, kind, g: F.struct(F.lit(name).alias("name"), F.lit(id_).alias("id"), F.lit(kind).alias("type"), g.alias("geometry"), F.lit(2).alias("colorType"))
+    data = F.array(item("C", "ROOM_007", "polygon", shape), item("C", "PLATFORM_LANDMARK_001", "pose", F.array(*[F.lit(0.0)] * 3)))
+    labels = F.from_json(F.to_json(F.struct(F.lit("v1").alias("version"), F.lit("u").alias("uuid"), data.alias("data"))), L.DOCUMENT)
+    maps = rasters.select(
+        "map_id", "h", "w", "data", F.lit(seed.RESOLUTION).alias("resolution"), F.lit(0.0).alias("ox"), F.lit(0.0).alias("oy"), F.when(F.col("map_id") % 2 == 0, "S-K20PRO").otherwise("s10").alias("robot_model"),
+        F.lit("u").alias("uuid"), F.array(*[F.lit(0.0)] * 3).alias("charge_pose"), F.array().cast("array<array<double>>").alias("furniture"), labels.alias("labels"),
+    )
+    requests = keys.select(k.alias("request_id"), k.alias("map_id"), F.lit("split").alias("operation"), F.lit(None).cast("array<string>").alias("room_merge_list"), F.lit(None).cast("struct<id:string,A:array<double>,B:array<double>>").alias("division"))
+    done = plans.run(requests, maps, Config(min_room_area=0.1)).select("request_id", F.from_json("body", L.DOCUMENT)["data"].alias("d"))
+    held = done.select("request_id", L.rooms_of(F.col("d")).alias("rooms"), L.landmarks_of(F.col("d")).alias("marks"))
+    new = F.get(F.filter("rooms", lambda r: r["id"] == "ROOM_008"), F.lit(0))
+    held = G.settled(held.withColumn("new", new["geometry"]))
+    xs = F.transform(G.points_of(F.col("new")), lambda p: p["x"])
+    wide = F.coalesce(F.round((F.array_max(xs) - F.array_min(xs)) / seed.RESOLUTION).cast("int"), F.lit(0))
+    named = F.array_join(F.array_sort(F.transform("rooms", lambda r: F.concat_ws(" ", r["id"], r["name"]))), ",")
+    return held.select("request_id", F.size("rooms").alias("rooms"), named.alias("named"), F.size("marks").alias("landmarks"), wide.alias("wide"))

@@ -5,7 +5,7 @@ import pytest
 
 from gridloom.plans import catalogue
 
-NAMES = ("case_maps", "refused_requests", "streamed_requests", "landmark_clearance", "disc_closing", "outline_areas", "door_cuts")
+NAMES = ("case_maps", "refused_requests", "streamed_requests", "landmark_clearance", "disc_closing", "outline_areas", "door_cuts", "extension_documents")
 #: The smallest tables have no map with labels and two rooms.
 CASES = [*((name, "sf0.001") for name in NAMES), ("merge_documents", "sf0.01")]
 
