@@ -1069,7 +1069,7 @@ def request_status(spark, sf_dir):
 
 @query(
     f"""WITH {ROOMS}, g AS (SELECT map_id, count(*) AS n, max(pos % 1000) AS top, sum((x1 - x0) * (y1 - y0)) * 0.0025 AS total FROM rm GROUP BY 1)
-SELECT rm.pos AS request_id, CAST(CASE WHEN top >= 999 THEN 0 WHEN pos % 5 = 0 THEN 5 END AS INTEGER) AS code, CAST(CASE WHEN top < 999 AND pos % 5 > 0 THEN n + 1 END AS INTEGER) AS rooms, CASE WHEN top < 999 AND pos % 5 > 0 THEN round(total, 6) END AS total
+SELECT rm.pos AS request_id, CAST(CASE WHEN top >= 999 THEN 0 WHEN pos % 5 = 0 THEN 5 END AS INTEGER) AS code, CAST(CASE WHEN top < 999 AND pos % 5 > 0 THEN n + 1 END AS INTEGER) AS rooms, CASE WHEN top < 999 AND pos % 5 > 0 THEN round(total, 6)::DOUBLE END AS total
 FROM rm JOIN g USING (map_id) WHERE map_id % 2 = 0"""
 )
 def division_documents(spark, sf_dir):
