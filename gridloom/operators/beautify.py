@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from . import kernels as K
 from .polygons import straightened
-from .raster import array_of, per_map
+from .raster import array_of, met, per_map
 
 #: Rounds after which a contour is left as it is, whether it has settled or not.
 ROUNDS = 4
@@ -187,7 +187,7 @@ def without_overlaps(rings: list[Points]) -> list[Points]:
 
 def beautified(rasters: DataFrame, contours: DataFrame) -> DataFrame:
     """rasters and contours (map_id, pos, points in pixels) -> map_id, pos, points: plain, aligned, without overlaps."""
-    held = contours.groupBy("map_id").agg(F.array_sort(F.collect_list(F.struct("pos", "points"))).alias("rooms")).join(rasters.select("map_id", "h", "w", "data"), "map_id")
+    held = met(contours.groupBy("map_id").agg(F.array_sort(F.collect_list(F.struct("pos", "points"))).alias("rooms")), rasters.select("map_id", "h", "w", "data"), "map_id")
 
     def kernel(row: dict) -> Iterator[dict]:
         free = array_of(row) == K.FREE
@@ -223,7 +223,7 @@ def doorways(rings: DataFrame, free: DataFrame) -> DataFrame:
     free ones doesn't part a run, on any border; a run of one pixel is no doorway."""
     chain = border_pixels(rings)
     turn = Window.partitionBy("map_id", "pos").orderBy("t")
-    flagged = chain.join(free.select("map_id", "y", "x").distinct().withColumn("free", F.lit(1)), ["map_id", "y", "x"], "left").withColumn("free", F.coalesce("free", F.lit(0)))
+    flagged = met(chain, free.select("map_id", "y", "x").distinct().withColumn("free", F.lit(1)), ["map_id", "y", "x"], "left").withColumn("free", F.coalesce("free", F.lit(0)))
 
     def cyclic(name: str, step: int):
         """The neighbour's value on the cycle."""
@@ -231,7 +231,7 @@ def doorways(rings: DataFrame, free: DataFrame) -> DataFrame:
         return F.coalesce(F.lag(name).over(turn), F.last(name).over(whole)) if step < 0 else F.coalesce(F.lead(name).over(turn), F.first(name).over(whole))
 
     island = flagged.withColumn("a", cyclic("free", -1)).withColumn("b", cyclic("free", 1)).where("free = 0 AND a = 1 AND b = 1").select("map_id", "y", "x").distinct()
-    flagged = flagged.join(island.withColumn("island", F.lit(1)), ["map_id", "y", "x"], "left").withColumn("free", F.greatest("free", F.coalesce("island", F.lit(0)))).drop("island")
+    flagged = met(flagged, island.withColumn("island", F.lit(1)), ["map_id", "y", "x"], "left").withColumn("free", F.greatest("free", F.coalesce("island", F.lit(0)))).drop("island")
     opened = flagged.withColumn("begins", ((F.col("free") == 1) & (cyclic("free", -1) == 0)).cast("int"))
     opened = opened.withColumn("run", F.sum("begins").over(turn)).withColumn("last", F.max("run").over(Window.partitionBy("map_id", "pos")))
     # pixels before the first beginning belong to the last run, behind its others

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions import geometry as G
 from . import kernels as K
-from .raster import array_of, per_map
+from .raster import array_of, met, per_map
 
 #: Channels of the output formats: box or corners, confidence, angle (1-based; fixed values).
 FORMATS = {"yolo_obb": {"conf": 5, "angle": 6}, "xywha": {"conf": 6, "angle": 5}, "xyxyxyxy": {"conf": 9}}
@@ -95,8 +95,8 @@ def iou_pairs(detections: DataFrame, tile: float = 256.0, least: float = 0.0) ->
         box = (F.least("r1", "r2") - F.greatest("l1", "l2")) * (F.least("b1", "b2") - F.greatest("t1", "t2"))
         most = F.least(box, "s1", "s2")
         pairs = pairs.where(most * (1 + 1e-9) >= least * (F.col("s1") + F.col("s2") - most))
-    met = pairs.select("map_id", F.col("det_id1").alias("a"), F.col("det_id2").alias("b"), shared(plain(F.col("v1")), plain(F.col("v2"))).alias("i"), "s1", "s2")
-    return met.select("map_id", "a", "b", F.when(F.col("s1") + F.col("s2") - F.col("i") > 0, F.col("i") / (F.col("s1") + F.col("s2") - F.col("i"))).otherwise(0.0).alias("iou"))
+    found = pairs.select("map_id", F.col("det_id1").alias("a"), F.col("det_id2").alias("b"), shared(plain(F.col("v1")), plain(F.col("v2"))).alias("i"), "s1", "s2")
+    return found.select("map_id", "a", "b", F.when(F.col("s1") + F.col("s2") - F.col("i") > 0, F.col("i") / (F.col("s1") + F.col("s2") - F.col("i"))).otherwise(0.0).alias("iou"))
 
 
 def suppressed(detections: DataFrame, threshold: float = 0.35) -> DataFrame:
@@ -115,8 +115,8 @@ def suppressed(detections: DataFrame, threshold: float = 0.35) -> DataFrame:
                 yield {"det_id": d["det_id"]}
 
     kind = detections.schema["det_id"].dataType.simpleString()
-    keep = per_map(ids.join(heavy, "map_id", "left"), kernel, f"det_id {kind}")
-    return detections.join(keep, ["map_id", "det_id"], "left_semi")
+    keep = per_map(met(ids, heavy, "map_id", "left"), kernel, f"det_id {kind}")
+    return met(detections, keep, ["map_id", "det_id"], "left_semi")
 
 
 def ray_extended(lines: DataFrame, free: DataFrame, reach: int = 3) -> DataFrame:
@@ -127,10 +127,10 @@ def ray_extended(lines: DataFrame, free: DataFrame, reach: int = 3) -> DataFrame
     unit = lambda n: (b[n].cast("double") - a[n]) / size
     ends = lines.select("map_id", "seg_id", F.explode(F.array(F.struct(F.lit(0).alias("end"), a["x"].cast("double").alias("px"), a["y"].cast("double").alias("py"), (-unit("x")).alias("ux"), (-unit("y")).alias("uy")), F.struct(F.lit(1).alias("end"), b["x"].cast("double").alias("px"), b["y"].cast("double").alias("py"), unit("x").alias("ux"), unit("y").alias("uy")))).alias("e")).select("map_id", "seg_id", "e.*")
     steps = ends.withColumn("k", F.explode(F.sequence(F.lit(1), F.lit(reach)))).withColumn("x", F.rint(F.col("px") + F.col("k") * F.col("ux")).cast("int")).withColumn("y", F.rint(F.col("py") + F.col("k") * F.col("uy")).cast("int"))
-    seen = steps.join(free.select("map_id", "y", "x").withColumn("open", F.lit(1)), ["map_id", "y", "x"], "left")
+    seen = met(steps, free.select("map_id", "y", "x").withColumn("open", F.lit(1)), ["map_id", "y", "x"], "left")
     run = Window.partitionBy("map_id", "seg_id", "end").orderBy("k").rowsBetween(Window.unboundedPreceding, 0)
     went = seen.withColumn("still", F.min(F.coalesce("open", F.lit(0))).over(run)).groupBy("map_id", "seg_id", "end").agg(F.sum("still").alias("k"))
-    moved = ends.join(went, ["map_id", "seg_id", "end"]).select("map_id", "seg_id", "end", (F.col("px") + F.col("k") * F.col("ux")).alias("x"), (F.col("py") + F.col("k") * F.col("uy")).alias("y"))
+    moved = met(ends, went, ["map_id", "seg_id", "end"]).select("map_id", "seg_id", "end", (F.col("px") + F.col("k") * F.col("ux")).alias("x"), (F.col("py") + F.col("k") * F.col("uy")).alias("y"))
     pick = lambda e, n: F.max(F.when(F.col("end") == e, F.col(n)))
     return moved.groupBy("map_id", "seg_id").agg(pick(0, "x").alias("x1"), pick(0, "y").alias("y1"), pick(1, "x").alias("x2"), pick(1, "y").alias("y2"))
 
@@ -160,7 +160,7 @@ def merged_lines(lines: DataFrame, gap: int = 3) -> DataFrame:
 
 def split_by_lines(rasters: DataFrame, lines: DataFrame, thickness: int = 2) -> DataFrame:
     """Free space without the drawn lines, as components: packed labels."""
-    held = rasters.join(lines.groupBy("map_id").agg(F.collect_list(F.struct("x1", "y1", "x2", "y2")).alias("lines")), "map_id", "left")
+    held = met(rasters, lines.groupBy("map_id").agg(F.collect_list(F.struct("x1", "y1", "x2", "y2")).alias("lines")), "map_id", "left")
 
     def kernel(row: dict) -> Iterator[dict]:
         img = array_of(row)

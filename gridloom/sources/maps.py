@@ -15,6 +15,7 @@ from pyspark.sql.types import BinaryType, IntegerType, StructField, StructType
 
 from ..functions import labels as L
 from ..operators.kernels import gray
+from ..operators.raster import met
 
 _CHANNELS = {0: 1, 2: 3, 3: 1, 4: 2, 6: 4}
 
@@ -152,7 +153,7 @@ def maps_of(files: DataFrame, default_model: str = "s10") -> DataFrame:
     held = files.where(F.col("name").isin(*NAMES) & (F.col("name") != IMAGE)).groupBy("map_id").agg(*[F.max(F.when(F.col("name") == n, text)).alias(c) for n, c in ((META, "meta"), (INFO, "info"), (MARKS, "marks"), (LABELS, "doc"))])
     read = lambda c, schema: F.from_json(c, schema, {"mode": "PERMISSIVE"}).alias(c)
     held = held.select("map_id", read("meta", L.MAP_META), read("info", L.MAP_INFO), read("marks", L.MARKERS), read("doc", L.DOCUMENT))
-    out = images_of(files).join(held, "map_id", "left").withColumn("markers", F.col("marks.data"))
+    out = met(images_of(files), held, "map_id", "left").withColumn("markers", F.col("marks.data"))
     model = F.coalesce("info.robot_model", F.lit(default_model))
     empty = F.array().cast("array<array<double>>")
     return out.select(
