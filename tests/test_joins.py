@@ -14,3 +14,8 @@ PIXELS = [
 def test_pixels_are_not_broadcast(spark, sf_dir, name):
     plan = C.QUERIES[name](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
     assert "BroadcastExchange" not in plan
+
+
+def test_small_files_of_much_work_are_dealt_over_tasks(spark, sf_dir):
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert C.merge_gap_union_area(spark, sf_dir).rdd.getNumPartitions() == tasks

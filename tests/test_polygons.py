@@ -170,3 +170,20 @@ def test_union_of_boxes_by_pixels(boxes):
     want = max(K.filled(K.components(grid) == c).sum() for c in range(1, K.components(grid).max() + 1))
     ring, _ = P.union_outline([square(*map(float, b)) for b in boxes])
     assert abs(K.shoelace(ring) - want) < 1e-2
+
+
+def test_crossing_edges_share_their_node():
+    """Of this room's two wings one was lost: both edges rounded their crossing for themselves, and the loop stayed open."""
+    from gridloom.operators import polygons as P
+
+    bow = np.array([[27.0, 1.0], [33.0, 10.0], [33.0, 1.0], [27.0, 10.0]])
+    ring, parts = P.union_outline([bow])
+    assert parts == 1
+    assert round(abs(K.shoelace(ring)), 2) == 27.0
+
+
+def test_hole_that_touches_the_outer_ring():
+    from gridloom.operators import polygons as P
+
+    ring, parts = P.union_outline([np.array([(x, y), (x + w, y), (x + w, y + h), (x, y + h)], float) for x, y, w, h in ((0, 0, 1, 2), (0, 0, 2, 1), (0, 2, 2, 1), (2, 0, 3, 2))])
+    assert parts == 1 and abs(K.shoelace(ring) - 12) < 1e-9
