@@ -19,3 +19,13 @@ def test_pixels_are_not_broadcast(spark, sf_dir, name):
 def test_small_files_of_much_work_are_dealt_over_tasks(spark, sf_dir):
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
     assert C.merge_gap_union_area(spark, sf_dir).rdd.getNumPartitions() == tasks
+
+
+def test_repeated_keys_give_rooms_ids_of_their_own(spark, sf_dir, tmp_path):
+    """Edits name rooms by id; keys that differ by thousands shared one."""
+    from pyspark.sql import functions as F
+
+    supplier = spark.read.parquet(f"{sf_dir}/supplier.parquet")
+    supplier.union(supplier.withColumn("s_suppkey", F.col("s_suppkey") + 1000)).write.parquet(f"{tmp_path}/supplier.parquet")
+    rooms = C._named_rooms(spark, str(tmp_path))
+    assert rooms.select("map_id", "id").distinct().count() == rooms.count()
