@@ -9,8 +9,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from ..functions import geometry as G
 from . import kernels as K
@@ -18,6 +20,8 @@ from .raster import array_of, met, per_map
 
 #: Channels of the output formats: box or corners, confidence, angle (1-based; fixed values).
 FORMATS = {"yolo_obb": {"conf": 5, "angle": 6}, "xywha": {"conf": 6, "angle": 5}, "xyxyxyxy": {"conf": 9}}
+#: Pairs of boxes that are compared, and clipped, at a time.
+PAIRS, CLIPPED = 1 << 18, 1 << 12
 
 
 def decoded(raw: DataFrame, form: str = "yolo_obb", least: float = 0.1) -> DataFrame:
@@ -33,90 +37,179 @@ def decoded(raw: DataFrame, form: str = "yolo_obb", least: float = 0.1) -> DataF
 
 
 def _pieces(p: np.ndarray, q: np.ndarray, margin: np.ndarray, closed: bool) -> np.ndarray:
-    """What the pieces of p's edges within q add to the area they bound. An edge along one of q's counts if closed, where
-    both run the same way (else the polygons only touch there)."""
-    d, e = np.roll(p, -1, axis=1) - p, np.roll(q, -1, axis=1) - q
-    size = np.hypot(e[..., 0], e[..., 1])
-    normal = np.stack([-e[..., 1], e[..., 0]], axis=-1) / np.where(size > 0, size, 1)[..., None]
-    start = np.einsum("njc,nijc->nij", normal, p[:, :, None] - q[:, None])
-    rate = np.einsum("njc,nic->nij", normal, d)
-    margin = margin[:, None, None]
-    level = np.abs(rate) <= margin
-    out = level & (start <= margin)
-    if closed:
-        out &= (start < -margin) | (np.einsum("nic,njc->nij", d, e) <= 0)
-    with np.errstate(divide="ignore", invalid="ignore"):
-        t = -start / rate
-    lo = np.where(~level & (rate > 0), t, 0.0).max(axis=2).clip(0, 1)
-    hi = np.where(~level & (rate < 0), t, 1.0).min(axis=2).clip(0, 1)
-    a, b = p + lo[..., None] * d, p + hi[..., None] * d
-    cross = a[..., 0] * b[..., 1] - a[..., 1] * b[..., 0]
-    return np.where((lo < hi) & ~out.any(axis=2), cross, 0.0).sum(axis=1) / 2
+    """What the pieces of p's edges within q add to the area they bound; corners are (corner, axis, n). An edge along one
+    of q's counts if closed, where both run the same way (else the polygons only touch there)."""
+    d, e = np.roll(p, -1, axis=0) - p, np.roll(q, -1, axis=0) - q
+    size = np.hypot(e[:, 0], e[:, 1])
+    size = np.where(size > 0, size, 1)
+    nx, ny = -e[:, 1] / size, e[:, 0] / size
+    total = np.zeros(p.shape[-1])
+    for (x, y), (dx, dy) in zip(p, d):
+        lo, hi, out = np.zeros_like(total), np.ones_like(total), np.zeros(len(total), bool)
+        for j, (ox, oy) in enumerate(q):
+            start = nx[j] * (x - ox) + ny[j] * (y - oy)
+            rate = nx[j] * dx + ny[j] * dy
+            level = np.abs(rate) <= margin
+            if level.any():
+                beyond = level & (start <= margin)
+                if closed:
+                    beyond &= (start < -margin) | (dx * e[j, 0] + dy * e[j, 1] <= 0)
+                out |= beyond
+            with np.errstate(divide="ignore", invalid="ignore"):
+                t = -start / rate
+            np.copyto(lo, t, where=~level & (rate > 0) & (t > lo))
+            np.copyto(hi, t, where=~level & (rate < 0) & (t < hi))
+        lo, hi = np.minimum(lo, 1), np.maximum(hi, 0)
+        ax, ay, bx, by = x + lo * dx, y + lo * dy, x + hi * dx, y + hi * dy
+        total += np.where((lo < hi) & ~out, ax * by - ay * bx, 0.0)
+    return total / 2
 
 
 def clip_areas(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Areas of the intersections of pairs of convex polygons (n, corners, 2), by the boundary of each intersection:
     the edges of one inside the other, and the other way round; 0 for degenerate ones."""
-    a, b = a - a[:, :1], b - a[:, :1]
+    if len(a) > CLIPPED:
+        return np.concatenate([clip_areas(a[k : k + CLIPPED], b[k : k + CLIPPED]) for k in range(0, len(a), CLIPPED)])
+    a, b = (np.ascontiguousarray((v - a[:, :1]).transpose(1, 2, 0)) for v in (a, b))
 
     def wound(p: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        x, y = p[..., 0], p[..., 1]
-        s = (x * np.roll(y, -1, axis=1) - np.roll(x, -1, axis=1) * y).sum(axis=1) / 2
-        return np.where((s < 0)[:, None, None], p[:, ::-1], p), np.abs(s)
+        x, y = p[:, 0], p[:, 1]
+        s = (x * np.roll(y, -1, axis=0) - np.roll(x, -1, axis=0) * y).sum(axis=0) / 2
+        return np.where(s < 0, p[::-1], p), np.abs(s)
 
     (a, one), (b, two) = wound(a), wound(b)
-    margin = 1e-11 * np.maximum(np.abs(a).max(axis=(1, 2)), np.abs(b).max(axis=(1, 2)))
+    margin = 1e-11 * np.maximum(np.abs(a).max(axis=(0, 1)), np.abs(b).max(axis=(0, 1)))
     area = _pieces(a, b, margin, True) + _pieces(b, a, margin, False)
     return np.where((one >= 1e-12) & (two >= 1e-12), np.clip(area, 0, np.minimum(one, two)), 0.0)
 
 
-def iou_pairs(detections: DataFrame, tile: float = 256.0, least: float = 0.0) -> DataFrame:
-    """Pairs of a map's detections whose bounding boxes meet: map_id, a, b (a before b by confidence, then id), iou.
-    Boxes are dealt to tiles and met there, so far ones are never paired. Pairs surely under `least` are not clipped:
-    an intersection is at most the smaller area and what the bounding boxes share."""
+
+
+def _near(g: np.ndarray, l: np.ndarray, r: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:  # noqa: E741
+    """Pairs i < j of rows of one group (g, ascending) whose spans l..r meet, by a sweep along l, PAIRS or so at a time."""
+    n = len(g)
+    order = np.lexsort((l, g))
+    events = np.lexsort((np.repeat([0, 1], n), np.concatenate([l[order], r[order]]), np.tile(g[order], 2)))
+    begun = np.cumsum(events < n)
+    end = np.empty(2 * n, np.int64)
+    end[events] = begun
+    counts = np.maximum(end[n:] - np.arange(n) - 1, 0)
+    done = np.concatenate([[0], np.cumsum(counts)])
+    at = 0
+    while at < n:
+        to = max(at + 1, int(np.searchsorted(done, done[at] + PAIRS, "right")) - 1)
+        c = counts[at:to]
+        p = np.repeat(np.arange(at, to), c)
+        q = p + 1 + np.arange(len(p)) - np.repeat(done[at:to] - done[at], c)
+        i, j = order[p], order[q]
+        yield np.minimum(i, j), np.maximum(i, j)
+        at = to
+
+
+def _by_group(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by the keys, cut anew so that a group never lies in two batches."""
+    held: list[pa.RecordBatch] = []
+    whole = lambda parts: pa.Table.from_batches(parts).combine_chunks().to_batches()
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        last = np.ones(batch.num_rows, bool)
+        for k in keys:
+            last &= pc.equal(batch.column(k), batch.column(k)[-1]).to_numpy(zero_copy_only=False)
+        at = int(last.argmax())
+        if held and (at or any(held[-1].column(k)[-1] != batch.column(k)[0] for k in keys)):
+            if all(held[-1].column(k)[-1] == batch.column(k)[0] for k in keys):
+                held.append(batch.slice(0, at))
+                batch, at = batch.slice(at), 0
+            yield from whole(held)
+            held = []
+        if at:
+            yield batch.slice(0, at)
+        held.append(batch.slice(at))
+    if held:
+        yield from whole(held)
+
+
+def _overlaps(detections: DataFrame, tile: float, least: float) -> DataFrame:
+    """iou_pairs with the confidences ca, cb of both."""
     xs, ys = F.transform("v", lambda p: p["x"]), F.transform("v", lambda p: p["y"])
     boxed = G.settled(detections.select("map_id", "det_id", "v", "conf", F.array_min(xs).alias("l"), F.array_min(ys).alias("t"), F.array_max(xs).alias("r"), F.array_max(ys).alias("b"), G.polygon_area(F.col("v")).alias("s")))
     cells = lambda lo, hi: F.explode(F.sequence(F.floor(F.col(lo) / tile), F.floor(F.col(hi) / tile)))
-    tiled = boxed.withColumn("tx", cells("l", "r")).withColumn("ty", cells("t", "b"))
-    one = tiled.select("map_id", "tx", "ty", *[F.col(c).alias(f"{c}1") for c in ("det_id", "v", "conf", "l", "t", "r", "b", "s")])
-    two = tiled.select("map_id", "tx", "ty", *[F.col(c).alias(f"{c}2") for c in ("det_id", "v", "conf", "l", "t", "r", "b", "s")])
-    first = (F.col("conf1") > F.col("conf2")) | ((F.col("conf1") == F.col("conf2")) & (F.col("det_id1") < F.col("det_id2")))
-    pairs = one.join(two, ["map_id", "tx", "ty"]).where(first & (F.col("l1") <= F.col("r2")) & (F.col("l2") <= F.col("r1")) & (F.col("t1") <= F.col("b2")) & (F.col("t2") <= F.col("b1")))
-    # one tile counts, where the overlap begins
-    pairs = pairs.where((F.floor(F.greatest("l1", "l2") / tile) == F.col("tx")) & (F.floor(F.greatest("t1", "t2") / tile) == F.col("ty")))
-
-    @F.arrow_udf("double")
-    def shared(a: pa.Array, b: pa.Array) -> pa.Array:
-        corners = lambda v: v.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(v), -1, 2)
-        return pa.array(clip_areas(corners(a), corners(b)) if len(a) else [], pa.float64())
-
-    plain = lambda v: F.flatten(F.transform(v, lambda p: F.array(p["x"], p["y"])))
-    if least > 0:
-        box = (F.least("r1", "r2") - F.greatest("l1", "l2")) * (F.least("b1", "b2") - F.greatest("t1", "t2"))
-        most = F.least(box, "s1", "s2")
-        pairs = pairs.where(most * (1 + 1e-9) >= least * (F.col("s1") + F.col("s2") - most))
-    found = pairs.select("map_id", F.col("det_id1").alias("a"), F.col("det_id2").alias("b"), shared(plain(F.col("v1")), plain(F.col("v2"))).alias("i"), "s1", "s2")
-    return found.select("map_id", "a", "b", F.when(F.col("s1") + F.col("s2") - F.col("i") > 0, F.col("i") / (F.col("s1") + F.col("s2") - F.col("i"))).otherwise(0.0).alias("iou"))
+    tiled = boxed.where("map_id IS NOT NULL AND conf IS NOT NULL").withColumn("tx", cells("l", "r")).withColumn("ty", cells("t", "b"))
+    keys = ["map_id", "tx", "ty"]
+    dealt = tiled.repartition(*keys).sortWithinPartitions(*keys, F.desc("conf"), "det_id")  # the earlier box of a pair is a
+    kind = {f.name: f.dataType for f in detections.schema}
+    out = StructType([StructField(n, t) for n, t in (("map_id", kind["map_id"]), ("a", kind["det_id"]), ("b", kind["det_id"]), ("ca", kind["conf"]), ("cb", kind["conf"]), ("iou", DoubleType()))])
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    arrow = to_arrow_schema(out)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in _by_group(batches, keys):
+            number = lambda n: batch.column(n).to_numpy(zero_copy_only=False)
+            left, top, right, bottom, size = (number(n).astype(float) for n in ("l", "t", "r", "b", "s"))
+            tx, ty, conf = number("tx"), number("ty"), number("conf")
+            code = lambda n: batch.column(n).dictionary_encode().indices.fill_null(-1).to_numpy(zero_copy_only=False)
+            maps, ids = code("map_id"), code("det_id")
+            corners = batch.column("v").flatten()
+            corners = np.stack([corners.field(n).to_numpy(zero_copy_only=False).astype(float) for n in ("x", "y")], axis=-1).reshape(batch.num_rows, -1, 2)
+            group = np.cumsum(np.concatenate([[0], (np.diff(maps) != 0) | (np.diff(tx) != 0) | (np.diff(ty) != 0)]))
+            for a, b in _near(group, left, right):
+                fore, up = np.maximum(left[a], left[b]), np.maximum(top[a], top[b])
+                back, down = np.minimum(right[a], right[b]), np.minimum(bottom[a], bottom[b])
+                # one tile counts, where the overlap begins
+                held = (up <= down) & (np.floor(fore / tile) == tx[a]) & (np.floor(up / tile) == ty[a])
+                level = (conf[a] == conf[b]) | (np.isnan(conf[a]) & np.isnan(conf[b]))
+                held &= ~(level & ((ids[a] == ids[b]) | (ids[a] < 0) | (ids[b] < 0)))
+                if least > 0:
+                    most = np.minimum(np.minimum((back - fore) * (down - up), size[a]), size[b])
+                    held &= most * (1 + 1e-9) >= least * (size[a] + size[b] - most)
+                a, b = a[held], b[held]
+                if not len(a):
+                    continue
+                both = clip_areas(corners[a], corners[b])
+                union = size[a] + size[b] - both
+                iou = np.divide(both, union, out=np.zeros_like(both), where=union > 0)
+                one, two = pa.array(a), pa.array(b)
+                columns = [batch.column(n).take(k) for n, k in (("map_id", one), ("det_id", one), ("det_id", two), ("conf", one), ("conf", two))]
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(iou, pa.float64())], schema=arrow)
+
+    return dealt.mapInArrow(run, out)
 
 
-def suppressed(detections: DataFrame, threshold: float = 0.35) -> DataFrame:
-    """Greedy suppression: by confidence (then id) each survivor removes the later ones that overlap it so much."""
-    heavy = iou_pairs(detections, least=threshold).where(F.col("iou") >= threshold).groupBy("map_id").agg(F.collect_list(F.struct("a", "b")).alias("pairs"))
-    ids = detections.groupBy("map_id").agg(F.sort_array(F.collect_list(F.struct((-F.col("conf")).alias("c"), "det_id"))).alias("ids"))
+def iou_pairs(detections: DataFrame, tile: float = 256.0, least: float = 0.0) -> DataFrame:
+    """Pairs of a map's detections whose bounding boxes meet: map_id, a, b (a before b by confidence, then id), iou.
+    Boxes are dealt to tiles and met there by a sweep, so far ones are never paired. Pairs surely under `least` are not
+    clipped: an intersection is at most the smaller area and what the bounding boxes share. Boxes without finite corners
+    meet nothing."""
+    return _overlaps(detections, tile, least).select("map_id", "a", "b", "iou")
 
-    def kernel(row: dict) -> Iterator[dict]:
-        later: dict = {}
-        for p in row["pairs"] or ():
-            later.setdefault(p["a"], []).append(p["b"])
-        gone: set = set()
-        for d in row["ids"]:
-            if d["det_id"] not in gone:
-                gone.update(later.get(d["det_id"], ()))
-                yield {"det_id": d["det_id"]}
-
-    kind = detections.schema["det_id"].dataType.simpleString()
-    keep = per_map(met(ids, heavy, "map_id", "left"), kernel, f"det_id {kind}")
-    return met(detections, keep, ["map_id", "det_id"], "left_semi")
+
+def suppressed(detections: DataFrame, threshold: float = 0.35) -> DataFrame:
+    """Greedy suppression: by confidence (then id) each survivor removes the later ones that overlap it so much. Only the
+    pairs that do are put in order; of a map no more is held than what has gone."""
+    heavy = _overlaps(detections, 256.0, threshold).where(F.col("iou") >= threshold).drop("iou")
+    dealt = heavy.repartition("map_id").sortWithinPartitions("map_id", F.desc("ca"), "a")
+    out = StructType([StructField(n, detections.schema[n].dataType) for n in ("map_id", "det_id", "conf")])
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    arrow = to_arrow_schema(out)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, gone = None, set()
+        for batch in batches:
+            found = []
+            ca, cb = ([None if c != c else c for c in batch.column(n).to_pylist()] for n in ("ca", "cb"))
+            for k, (m, *a) in enumerate(zip(batch.column("map_id").to_pylist(), zip(batch.column("a").to_pylist(), ca), zip(batch.column("b").to_pylist(), cb))):
+                if m != now:
+                    now, gone = m, set()
+                if a[0] not in gone and a[1] not in gone:
+                    gone.add(a[1])
+                    found.append(k)
+            yield pa.RecordBatch.from_arrays([batch.column(n).take(pa.array(found, pa.int64())) for n in ("map_id", "b", "cb")], schema=arrow)
+
+    whole = detections.where("map_id IS NOT NULL AND det_id IS NOT NULL")
+    return met(whole, dealt.mapInArrow(run, out), ["map_id", "det_id", "conf"], "left_anti")
 
 
 def ray_extended(lines: DataFrame, free: DataFrame, reach: int = 3) -> DataFrame:

@@ -102,3 +102,47 @@ def test_turned_detections(spark):
     big = {k for k, v in pairs.items() if v > 1e-5}
     assert big <= set(got) and all(abs(got[k] - pairs.get(k, 0)) < 1e-5 for k in got)
     assert {tuple(r) for r in catalogue.QUERIES["nms_keep_turned"](spark, SMALL).collect()} == kept
+
+
+def boxes_of(spark, rows):
+    """rows of (map_id, det_id, conf, x, y, w, h) as detections."""
+    corners = lambda x, y, w, h: [(x, y), (x + w, y), (x + w, y + h), (x, y + h)]
+    return spark.createDataFrame([(m, i, corners(*box), c) for m, i, c, *box in rows], "map_id int, det_id string, v array<struct<x:double,y:double>>, conf double")
+
+
+def test_pairs_are_met_by_a_sweep(spark):
+    """One deal of the boxes, no join of pairs; equal to all pairs, also where a tile's boxes come in many batches."""
+    rng = random.Random(5)
+    rows = [(rng.randrange(3), f"d{k:03}", rng.choice([0.2, 0.5, 0.9]), float(rng.randrange(-300, 600)), float(rng.randrange(-40, 300)), float(rng.randrange(1, 90)), float(rng.randrange(1, 90))) for k in range(300)]
+    found = D.iou_pairs(boxes_of(spark, rows))
+    assert "Join" not in found._jdf.queryExecution().executedPlan().toString()
+    want = {}
+    for m, i, c, x, y, w, h in rows:
+        for n, j, d, s, t, u, v in rows:
+            if m == n and (-c, i) < (-d, j) and max(x, s) <= min(x + w, s + u) and max(y, t) <= min(y + h, t + v):
+                both = (min(x + w, s + u) - max(x, s)) * (min(y + h, t + v) - max(y, t))
+                want[m, i, j] = round(both / (w * h + u * v - both), 6)
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    for size in ("10000", "7"):
+        spark.conf.set(key, size)
+        try:
+            got = [(r.map_id, r.a, r.b, round(r.iou, 6)) for r in found.collect()]
+        finally:
+            spark.conf.unset(key)
+        assert len(got) == len(want) and {g[:3]: g[3] for g in got} == want
+
+
+def test_many_pairs_are_compared_piece_by_piece(monkeypatch):
+    monkeypatch.setattr(D, "PAIRS", 5)
+    rng = np.random.default_rng(2)
+    g, l = np.sort(rng.integers(0, 4, 60)), rng.integers(0, 20, 60).astype(float)  # noqa: E741
+    r = l + rng.integers(0, 6, 60)
+    got = [(int(i), int(j)) for a, b in D._near(g, l, r) for i, j in zip(a, b)]
+    assert sorted(got) == [(i, j) for i in range(60) for j in range(i + 1, 60) if g[i] == g[j] and l[i] <= r[j] and l[j] <= r[i]]
+
+
+def test_boxes_that_share_an_id_are_judged_each(spark):
+    """The first x goes before y, which is removed by it; the second x overlaps only y, so it stays; the third falls."""
+    rows = [(1, "x", 0.9, 0.0, 0.0, 10.0, 10.0), (1, "y", 0.7, 2.0, 0.0, 10.0, 10.0), (1, "x", 0.5, 6.0, 0.0, 10.0, 10.0), (1, "z", 0.8, 100.0, 0.0, 10.0, 10.0), (1, "x", 0.4, 101.0, 0.0, 10.0, 10.0)]
+    kept = {(r.det_id, r.conf) for r in D.suppressed(boxes_of(spark, rows)).collect()}
+    assert kept == {("x", 0.9), ("x", 0.5), ("z", 0.8)}
