@@ -5,7 +5,7 @@ import pytest
 from gridloom.plans import catalogue as C
 
 PIXELS = [
-    "room_adjacency", "degree", "color_valid", "color_repair", "dfs_permutation", "room_colors", "walk_order", "components", "component_sizes", "area_split", "boundary_edges", "classify_regions",
+    "room_adjacency", "degree", "color_valid", "color_repair", "dfs_permutation", "room_colors", "walk_order", "components", "component_sizes", "component_tiles", "area_split", "boundary_edges", "classify_regions",
     "closing_h", "closing_v", "burr_prune_1", "dilate_unknown", "disc_closing", "case_maps", "new_space", "relabel", "merge_by_point", "old_room_mapping", "region_contact", "interior_noise", "unknown_noise", "gauss_wall",
 ]
 
