@@ -81,6 +81,15 @@ def test_large_map_in_tiles(spark):
     assert np.array_equal(whole(row, "labels", "<i4"), K.components(layers["input"] >= 200))
 
 
+def test_tiles_are_dealt_over_tasks(spark):
+    """Tiles are few bytes, so Spark would put them all into one task; a map's greatest value is known to each."""
+    dark, lit = np.full((40, 40), 90, np.uint8), np.zeros((40, 40), np.uint8)
+    lit[39, 39] = 255
+    tiles = T.cut(table(spark, [dark, lit]), 10)
+    assert tiles.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert {(r.map_id, r.top) for r in tiles.collect()} == {(0, 90), (1, 255)} and tiles.count() == 32
+
+
 def test_connected(spark):
     """A long chain, a star, a ring and pairs of another map."""
     rng = np.random.default_rng(2)
